@@ -1,18 +1,15 @@
 """Filters, intent and the distilled prompt of a query text, as column expressions.
 
-All patterns are literals inside `when` chains, so they are compiled once and
-stay in generated code; only the removal of the matched place name uses a
-per-row pattern.
+Patterns are literals, so they are compiled once and stay in generated code; only
+the removal of the matched place name uses a per-row pattern.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
-from .common import contains_any, count_contained, lookup
+from .common import count_contained
 
 # --- fixed values: patterns of the text grammar
 BBOX = r"\[\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*,\s*(-?\d+\.?\d*)\s*\]"
@@ -34,118 +31,122 @@ def clean(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-def intent_scores(text: Column, tile_id: Column | None = None) -> dict[str, Column]:
-    """Score of every intent; a selected tile boosts three of them."""
-    low = F.lower(clean(text))
+def with_lowered(df: DataFrame, text: str) -> DataFrame:
+    """Stage 1: `_base` (trimmed) and `_low` (lower case).
+
+    The stages below are separate projections on purpose: each reads columns of
+    the one before more than once, so Spark keeps them apart, nothing is computed
+    twice and every generated method stays small.
+    """
+    return df.withColumn("_base", clean(F.col(text))).withColumn("_low", F.lower("_base"))
+
+
+def with_intent_scores(df: DataFrame, tile_id: str | None = None) -> DataFrame:
+    """Score of every intent as `s_<intent>`; a selected tile boosts three of them."""
+    low = F.col("_low")
     scores = {}
     for name, weight, words, patterns in vocab.INTENTS:
-        s = count_contained(low, words) * F.lit(weight * 0.5)
-        hit = reduce(lambda a, b: a | b, [low.rlike(p) for p in patterns])
-        s = s + F.when(hit, F.lit(weight * 0.7)).otherwise(F.lit(0.0))
+        hit = low.rlike("|".join(f"(?:{p})" for p in patterns))
+        s = count_contained(low, words) * F.lit(weight * 0.5) + F.when(hit, F.lit(weight * 0.7)).otherwise(F.lit(0.0))
         if tile_id is not None and name in vocab.CONTEXT_BOOSTED:
-            s = s * F.when(tile_id.isNotNull() & (tile_id != ""), F.lit(vocab.CONTEXT_BOOST)).otherwise(F.lit(1.0))
-        scores[name] = F.round(s, 6)
-    return scores
+            s = s * F.when(F.col(tile_id) != "", F.lit(vocab.CONTEXT_BOOST)).otherwise(F.lit(1.0))
+        scores["s_" + name.lower()] = F.round(s, 6)
+    return df.withColumns(scores)
 
 
-def best_intent(scores: dict[str, Column]) -> Column:
+def with_intent(df: DataFrame) -> DataFrame:
     """Highest score, ties to the listed order, search below 0.1."""
-    top = F.greatest(*scores.values())
-    out = F.when(top < 0.1, F.lit(vocab.DEFAULT_INTENT))
-    for name, s in scores.items():
-        out = out.when(s == top, F.lit(name))
-    return out
-
-
-def is_change(text: Column, intent: Column) -> Column:
-    return (intent == "CHANGE_ANALYSIS") | contains_any(F.lower(clean(text)), vocab.CHANGE_WORDS)
+    names = [i[0] for i in vocab.INTENTS]
+    df = df.withColumn("_top", F.greatest(*["s_" + n.lower() for n in names]))
+    out = F.when(F.col("_top") < 0.1, F.lit(vocab.DEFAULT_INTENT))
+    for n in names:
+        out = out.when(F.col("s_" + n.lower()) == F.col("_top"), F.lit(n))
+    return df.withColumn("intent", out).drop("_top")
 
 
-def region_name(text: Column) -> Column:
-    """First gazetteer region, in list order, that occurs as whole words (lower case)."""
-    low = F.lower(text)
+def region_name(low: Column) -> Column:
+    """First gazetteer region, in list order, that occurs as whole words."""
     out = None
     for name, *_ in vocab.REGIONS:
-        hit = low.contains(name) & low.rlike(rf"\b{name}\b")
+        hit = low.rlike(rf"\b{name}\b")
         out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
     return out
 
 
-def region_bounds(region: Column) -> list[Column]:
-    return [lookup(region, [(r[0], r[i]) for r in vocab.REGIONS]) for i in (1, 2, 3, 4)]
+def _table(rows) -> Column:
+    return F.create_map(*[F.lit(x) if not isinstance(x, Column) else x for kv in rows for x in kv])
 
 
-def explicit_bounds(text: Column) -> list[Column]:
-    return [F.nullif(F.regexp_extract(text, BBOX, i), F.lit("")).cast("double") for i in (1, 2, 3, 4)]
+MONTH_FIELDS = ("_m1", "_m2", "_m3")
 
 
-def _first_day(year: Column, month: Column) -> Column:
-    return F.make_date(year, month, F.lit(1))
+def with_extracted(df: DataFrame, text: str) -> DataFrame:
+    """Place, box, dates, cloud limit and sensor named in the text.
 
-
-def date_range(text: Column) -> tuple[Column, Column]:
-    """(date_from, date_to) as YYYY-MM-DD strings; ISO dates override month names."""
-    low = F.lower(clean(text))
-    m1 = lookup(F.regexp_extract(low, MONTH_RANGE, 1), vocab.MONTHS)
-    m2 = lookup(F.regexp_extract(low, MONTH_RANGE, 2), vocab.MONTHS)
-    year = F.coalesce(F.nullif(F.regexp_extract(low, MONTH_RANGE, 3), F.lit("")).cast("int"), F.lit(vocab.DEFAULT_YEAR))
-    ranged = m1.isNotNull() & m2.isNotNull()
-    one = lookup(F.regexp_extract(low, MONTH_ONE, 1), vocab.MONTHS)
-    one_year = F.nullif(F.regexp_extract(low, MONTH_ONE, 2), F.lit("")).cast("int")
-    start = F.when(ranged, _first_day(year, m1)).otherwise(_first_day(one_year, one))
-    end = F.when(ranged, F.last_day(_first_day(year, m2))).otherwise(F.last_day(_first_day(one_year, one)))
-    iso = F.regexp_extract_all(text, F.lit(ISO_DATE), 1)
-    n = F.size(iso)
-    first, second = F.get(iso, F.lit(0)), F.get(iso, F.lit(1))
-    since = low.contains("after") | low.contains("since")
-    date_from = F.when((n >= 2) | ((n == 1) & since), first).otherwise(start.cast("string"))
-    date_to = F.when(n >= 2, second).when((n == 1) & ~since, first).otherwise(end.cast("string"))
-    return date_from, date_to
-
-
-def cloud_limit(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(F.lower(clean(text)), CLOUD, 1), F.lit("")).cast("double")
-
-
-def sensor_named(text: Column) -> Column:
-    low = F.lower(clean(text))
-    return (
-        F.when(low.contains("sentinel-2") | low.contains("sentinel 2"), F.lit("Sentinel-2"))
+    Month names give whole months; ISO dates override them: two are from and to,
+    a single one is the start after "after"/"since", else the end.
+    """
+    t, low = F.col(text), F.col("_low")
+    part = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
+    # each clause is searched for once, and only where its marker occurs; its parts are then read from the clause
+    df = df.withColumns({
+        "_region": region_name(low),
+        "_range": F.when(low.contains("between") | low.contains("from"), F.regexp_extract(low, MONTH_RANGE, 0)),
+        "_one": F.when(low.contains("in") | low.contains("during"), F.regexp_extract(low, MONTH_ONE, 0)),
+        "_boxed": F.when(t.contains("["), F.regexp_extract(t, BBOX, 0)),
+        "_iso": F.when(t.contains("-"), F.regexp_extract_all(t, F.lit(ISO_DATE), 1)).otherwise(F.array().cast("array<string>")),
+        "_since": low.contains("after") | low.contains("since"),
+        "max_cloud_cover": F.when(low.contains("cloud"), part(low, CLOUD, 1)).cast("double"),
+        "sensor": F.when(low.contains("sentinel-2") | low.contains("sentinel 2"), F.lit("Sentinel-2"))
         .when(low.contains("landsat"), F.lit("Landsat-8"))
-        .when(low.contains("sar") | low.contains("sentinel-1"), F.lit("Sentinel-1"))
+        .when(low.contains("sar") | low.contains("sentinel-1"), F.lit("Sentinel-1")),
+    })
+    ranged, one, boxed = F.col("_range"), F.col("_one"), F.col("_boxed")
+    df = df.withColumns({
+        "_m1": F.regexp_extract(ranged, MONTH_RANGE, 1), "_m2": F.regexp_extract(ranged, MONTH_RANGE, 2),
+        "_y1": part(ranged, MONTH_RANGE, 3).cast("int"),
+        "_m3": F.regexp_extract(one, MONTH_ONE, 1), "_y3": part(one, MONTH_ONE, 2).cast("int"),
+        **{f"_b{i}": part(boxed, BBOX, i).cast("double") for i in (1, 2, 3, 4)},
+    })
+    months = _table(vocab.MONTHS)
+    boxes = _table([(r[0], F.array(*[F.lit(x) for x in r[1:]])) for r in vocab.REGIONS])
+    df = df.withColumns({m: F.try_element_at(months, F.col(m)) for m in MONTH_FIELDS}).withColumn(
+        "_box", F.try_element_at(boxes, F.col("_region"))
     )
+    ranged = F.col("_m1").isNotNull() & F.col("_m2").isNotNull()
+    df = df.withColumns({
+        "_from": F.make_date(F.when(ranged, F.coalesce("_y1", F.lit(vocab.DEFAULT_YEAR))).otherwise(F.col("_y3")), F.when(ranged, F.col("_m1")).otherwise(F.col("_m3")), F.lit(1)),
+        "_to": F.make_date(F.when(ranged, F.coalesce("_y1", F.lit(vocab.DEFAULT_YEAR))).otherwise(F.col("_y3")), F.when(ranged, F.col("_m2")).otherwise(F.col("_m3")), F.lit(1)),
+    })
+    n, first, second = F.size("_iso"), F.get("_iso", F.lit(0)), F.get("_iso", F.lit(1))
+    return df.withColumns({
+        "location": F.initcap("_region"),
+        **{c: F.coalesce(F.col(f"_b{i + 1}"), F.col("_box")[i]) for i, c in enumerate(("bbox_minx", "bbox_miny", "bbox_maxx", "bbox_maxy"))},
+        "date_from": F.when((n >= 2) | ((n == 1) & F.col("_since")), first).otherwise(F.col("_from").cast("string")),
+        "date_to": F.when(n >= 2, second).when((n == 1) & ~F.col("_since"), first).otherwise(F.last_day("_to").cast("string")),
+    }).drop("_range", "_one", "_boxed", "_m1", "_m2", "_m3", "_y1", "_y3", "_iso", "_since", "_b1", "_b2", "_b3", "_b4", "_box", "_from", "_to")
 
 
-def distilled_prompt(text: Column, region: Column) -> Column:
+def with_prompt(df: DataFrame) -> DataFrame:
     """The text without date, cloud, box and place clauses and leading verb; the text itself if under 4 characters remain."""
-    base = clean(text)
-    p = base
+    p = F.col("_base")
     for pattern in STRIP_CLAUSES:
         p = F.regexp_replace(p, pattern, "")
+    df = df.withColumn("_p", p)
+    region = F.col("_region")
     place_clause = F.concat(F.lit(r"(?i)\b(?:in|around|near|across)\s+"), region, F.lit(r"\b"))
     place = F.concat(F.lit(r"(?i)\b"), region, F.lit(r"\b"))
-    p = F.when(region.isNotNull(), F.regexp_replace(F.regexp_replace(p, place_clause, ""), place, "")).otherwise(p)
-    p = F.regexp_replace(p, LEADING_VERB, "")
-    p = F.btrim(F.regexp_replace(p, r"\s+", " "), F.lit(" ,.-"))
-    return F.when(F.length(p) < 4, base).otherwise(p)
+    df = df.withColumn("_p", F.when(region.isNotNull(), F.regexp_replace(F.regexp_replace("_p", place_clause, F.lit("")), place, F.lit(""))).otherwise(F.col("_p")))
+    df = df.withColumn("_p", F.btrim(F.regexp_replace(F.regexp_replace("_p", LEADING_VERB, ""), r"\s+", " "), F.lit(" ,.-")))
+    return df.withColumn("cleaned_prompt", F.when(F.length("_p") < 4, F.col("_base")).otherwise(F.col("_p"))).drop("_p")
 
 
 def parse_queries(df: DataFrame, text: str = "text", tile_id: str | None = None) -> DataFrame:
     """Add every extracted field to a query table."""
-    t = F.col(text)
-    tile = F.col(tile_id) if tile_id else None
-    df = df.withColumn("_region", region_name(t)).withColumn("intent", best_intent(intent_scores(t, tile)))
-    date_from, date_to = date_range(t)
-    bounds = [F.coalesce(e, r) for e, r in zip(explicit_bounds(t), region_bounds(F.col("_region")))]
-    return df.withColumns({
-        "is_change_query": is_change(t, F.col("intent")),
-        "location": F.initcap(F.col("_region")),
-        "bbox_minx": bounds[0], "bbox_miny": bounds[1], "bbox_maxx": bounds[2], "bbox_maxy": bounds[3],
-        "date_from": date_from, "date_to": date_to,
-        "max_cloud_cover": cloud_limit(t), "sensor": sensor_named(t),
-        "cleaned_prompt": distilled_prompt(t, F.col("_region")),
-        "confidence": F.lit(vocab.CLASSIFIER_CONFIDENCE),
-    }).drop("_region")
+    df = with_intent(with_intent_scores(with_lowered(df, text), tile_id))
+    df = df.withColumn("is_change_query", (F.col("intent") == "CHANGE_ANALYSIS") | (count_contained(F.col("_low"), vocab.CHANGE_WORDS) > 0))
+    df = with_prompt(with_extracted(df, text)).withColumn("confidence", F.lit(vocab.CLASSIFIER_CONFIDENCE))
+    return df.drop("_base", "_low", "_region", *["s_" + i[0].lower() for i in vocab.INTENTS])
 
 
 def explicit_over_extracted(df: DataFrame, explicit: dict[str, str]) -> DataFrame:

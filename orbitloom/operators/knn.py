@@ -28,7 +28,7 @@ def top_rows(primary: np.ndarray, tie_keys: list[np.ndarray], k: int) -> np.ndar
 
 def rank_hits(hits: DataFrame, k: int, *order) -> DataFrame:
     """Merge block winners: rank per query and keep k.  The rank filter is applied before the shuffle too."""
-    order = order or (F.col("score").desc(), F.col("tile_id"))
+    order = order or (F.round("score", 6).desc(), F.col("tile_id"))
     w = Window.partitionBy("query_id").orderBy(*order)
     return hits.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
@@ -39,18 +39,17 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, dim: int, exclude_self:
 
     `base` is (tile_id, embedding), `queries` is (query_id, embedding); filters
     belong on `base` before this call.  k above the table size returns all rows.
+    Scores that agree to 6 decimals rank by tile id.
     """
     def reduce_block(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         out = []
         if len(b) and len(q):
             ids = b["tile_id"].to_numpy()
             id_rank = np.argsort(np.argsort(ids))
-            scores = np.round(matrix(q["embedding"]) @ matrix(b["embedding"]).T, 6)
+            scores = matrix(q["embedding"]) @ matrix(b["embedding"]).T
             for i, qid in enumerate(q["query_id"]):
-                s = scores[i]
-                if exclude_self:
-                    s = np.where(ids == qid, -np.inf, s)
-                best = top_rows(s, [id_rank], k)
+                s = np.where(ids == qid, -np.inf, scores[i]) if exclude_self else scores[i]
+                best = top_rows(np.round(s, 6), [id_rank], k)
                 out.append(pd.DataFrame({"query_id": qid, "tile_id": ids[best], "score": s[best]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "tile_id": [], "score": []})
 

@@ -44,3 +44,14 @@ def shared_folder(spark: SparkSession) -> str:
 def new_table_path(spark: SparkSession, label: str) -> str:
     """A fresh path below the shared folder."""
     return os.path.join(shared_folder(spark), f"{label}-{uuid.uuid4().hex[:12]}")
+
+
+def materialize(df, label: str):
+    """Write a table that several later steps read, and read it back.
+
+    It is computed once, survives the loss of executors, and gives the planner
+    real sizes; predicates on it stop at its scan.
+    """
+    path = new_table_path(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -36,7 +36,7 @@ def replace_in_manifest(existing: DataFrame, record: DataFrame) -> DataFrame:
 
 
 def write_scene_manifest(df: DataFrame, path: str) -> None:
-    df.select(*schemas.SCENE_MANIFEST.fieldNames()).write.mode("overwrite").option("header", True).csv(path)
+    df.select(*schemas.names(schemas.SCENE_MANIFEST)).write.mode("overwrite").option("header", True).csv(path)
 
 
 def read_relevance(spark: SparkSession, path: str) -> DataFrame:
