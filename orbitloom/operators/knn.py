@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import vector as V
-from .blocks import QUERY_BYTES_LIMIT, block_apply
+from .blocks import BASE_BLOCK_ROWS, QUERY_BLOCK_ROWS, QUERY_BYTES_LIMIT, block_apply
 
 HIT_SCHEMA = "query_id string, tile_id string, score double"
 
@@ -26,6 +26,20 @@ def top_rows(primary: np.ndarray, tie_keys: list[np.ndarray], k: int) -> np.ndar
     return alive[order[:k]]
 
 
+def _block_top(b: pd.DataFrame, q: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
+    """k best base rows of one block for each query of one block."""
+    out = []
+    if len(b) and len(q):
+        ids = b["tile_id"].to_numpy()
+        id_rank = np.argsort(np.argsort(ids))
+        scores = matrix(q["embedding"]) @ matrix(b["embedding"]).T
+        for i, qid in enumerate(q["query_id"]):
+            s = np.where(ids == qid, -np.inf, scores[i]) if exclude_self else scores[i]
+            best = top_rows(np.round(s, 6), [id_rank], k)
+            out.append(pd.DataFrame({"query_id": qid, "tile_id": ids[best], "score": s[best]}))
+    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "tile_id": [], "score": []})
+
+
 def rank_hits(hits: DataFrame, k: int, *order) -> DataFrame:
     """Merge block winners: rank per query and keep k.  The rank filter is applied before the shuffle too."""
     order = order or (F.round("score", 6).desc(), F.col("tile_id"))
@@ -42,16 +56,7 @@ def nearest(base: DataFrame, queries: DataFrame, k: int, dim: int, exclude_self:
     Scores that agree to 6 decimals rank by tile id.
     """
     def reduce_block(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(b) and len(q):
-            ids = b["tile_id"].to_numpy()
-            id_rank = np.argsort(np.argsort(ids))
-            scores = matrix(q["embedding"]) @ matrix(b["embedding"]).T
-            for i, qid in enumerate(q["query_id"]):
-                s = np.where(ids == qid, -np.inf, scores[i]) if exclude_self else scores[i]
-                best = top_rows(np.round(s, 6), [id_rank], k)
-                out.append(pd.DataFrame({"query_id": qid, "tile_id": ids[best], "score": s[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "tile_id": [], "score": []})
+        return _block_top(b, q, k, exclude_self)
 
     base = base.where(F.col("embedding").isNotNull()).select("tile_id", "embedding")
     queries = queries.where(F.col("embedding").isNotNull()).select("query_id", "embedding")
@@ -113,17 +118,48 @@ def match_rank(images: DataFrame, texts: DataFrame, dim: int, query_bytes_limit:
     return parts.groupBy("query_id").agg((F.sum("beaten_by") + 1).alias("rank"))
 
 
-def approximate_pairs(base: DataFrame, queries: DataFrame, radius: float, bucket_length: float = 0.5,
-                      tables: int = 8, seed: int = 42) -> DataFrame:
-    """Neighbours within a Euclidean radius by random-projection hashing on unit vectors:
-    (query_id, tile_id, distance).  Recall against `nearest` is measured in the tests."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
+def nearest_by_cells(base: DataFrame, queries: DataFrame, k: int, dim: int, cells: int = 64, probes: int = 8,
+                     iterations: int = 5, seed: int = 42) -> DataFrame:
+    """Approximate top-k: every tile is assigned to its nearest k-means cell and a query looks into its nearest cells.
+
+    Cells are cut into sub-blocks of bounded size on both sides, so a cell that
+    attracts much of the archive is spread over many tasks, and each sub-block
+    sends on k rows per query.  Recall against `nearest` is measured in the tests.
+    """
+    from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    left = queries.select("query_id", array_to_vector(F.col("embedding")).alias("v"))
-    right = base.select("tile_id", array_to_vector(F.col("embedding")).alias("v"))
-    lsh = BucketedRandomProjectionLSH(inputCol="v", outputCol="h", bucketLength=bucket_length, numHashTables=tables, seed=seed)
-    model = lsh.fit(right)
-    return model.approxSimilarityJoin(left, right, radius, "distance").select(
-        F.col("datasetA.query_id").alias("query_id"), F.col("datasetB.tile_id").alias("tile_id"), "distance"
-    )
+    train = base.select(array_to_vector(F.col("embedding")).alias("features"))
+    model = KMeans(k=cells, maxIter=iterations, seed=seed).fit(train)
+    centers = np.asarray(model.clusterCenters())
+
+    def nearest_cells(n: int):
+        def run(batches):
+            for pdf in batches:
+                m = matrix(pdf["embedding"])
+                order = np.argsort(0.5 * (centers ** 2).sum(axis=1)[None, :] - m @ centers.T, axis=1)[:, :n] if len(pdf) else []
+                yield pdf.assign(cell=[list(map(int, row)) for row in order])
+        return run
+
+    def in_cells(df: DataFrame, key: str, n: int) -> DataFrame:
+        return df.select(key, "embedding").mapInPandas(
+            nearest_cells(n), f"{key} string, embedding array<double>, cell array<int>"
+        ).withColumn("cell", F.explode("cell"))
+
+    def blocks(df: DataFrame, rows: int, name: str) -> DataFrame:
+        return df.groupBy("cell").agg(F.ceil(F.count("*") / F.lit(rows)).cast("int").alias(name))
+
+    b, q = in_cells(base, "tile_id", 1), in_cells(queries, "query_id", min(probes, cells))
+    # one row per cell: at most `cells` rows, so it may pass through the driver and be broadcast
+    counted = blocks(b, BASE_BLOCK_ROWS, "_nb").join(blocks(q, QUERY_BLOCK_ROWS, "_nq"), "cell").collect()
+    shape = F.broadcast(base.sparkSession.createDataFrame([tuple(r) for r in counted], "cell int, _nb int, _nq int"))
+    seq = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    at = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+    left = b.join(shape, "cell").withColumn("_bb", at("tile_id", "_nb")).withColumn("_qb", seq("_nq")).drop("_nb", "_nq")
+    right = q.join(shape, "cell").withColumn("_qb", at("query_id", "_nq")).withColumn("_bb", seq("_nb")).drop("_nb", "_nq")
+
+    def cell_top(_key, bp: pd.DataFrame, qp: pd.DataFrame) -> pd.DataFrame:
+        return _block_top(bp, qp, k, False)
+
+    grid = ["cell", "_bb", "_qb"]
+    return rank_hits(left.groupBy(*grid).cogroup(right.groupBy(*grid)).applyInPandas(cell_top, HIT_SCHEMA), k)

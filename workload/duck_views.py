@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .views import PLACES, SCENE_NAMES, THEMES
+from .views import BLOCKS, LEVELS, NOISE, PLACES, SCENE_NAMES, THEMES
 
 
 def case(index: str, values) -> str:
@@ -13,6 +13,19 @@ def case(index: str, values) -> str:
 _SCENE = f"'scene_' || label || '_' || {case('label', SCENE_NAMES)}"
 _T, _P = case("o_orderkey % 7", THEMES), case("o_orderkey % 5", PLACES)
 
+def _pixel_sql(date: int) -> str:
+    bands = []
+    for i, b in enumerate(NOISE):
+        n = f"n{i + 1}"
+        level = {"low": f"{n} + 20", "mid": f"{n} * 3 + 90", "high": f"{n} % 6 + 250"}
+        whens = f"WHEN row < 4 THEN {n} + 225 WHEN row >= 28 THEN {n}"
+        for k, areas in BLOCKS.items():
+            for lo, hi in areas:
+                whens += f" WHEN tile % 4 = {k} AND row BETWEEN {lo} AND {hi} AND col BETWEEN {lo} AND {hi} THEN {level[LEVELS[k][b][date - 1]]}"
+        bands.append(f"(CASE {whens} ELSE {level['mid']} END)::INT AS {b}")
+    return f"SELECT tile, row, col, tile_id, {', '.join(bands)} FROM v_noise"
+
+
 VIEWS = {
     "v_scenes": f"""
 SELECT DISTINCT {_SCENE} AS scene_id, {case('label % 3', ('Sentinel-2', 'Landsat-8', 'Sentinel-1'))} AS sensor,
@@ -93,20 +106,13 @@ SELECT 'q-' || o_orderkey AS query_id, CASE o_orderkey % 11
   CASE WHEN o_orderkey % 4 = 0 THEN 'tile_' || lpad((o_orderkey % 500)::VARCHAR, 5, '0') END AS tile_id,
   CASE WHEN o_orderkey % 9 = 4 THEN 'Landsat-8' END AS sensor_given
 FROM orders""",
-    "v_pixels": """
+    "v_noise": """
 SELECT (event_id // 1024)::INT AS tile, ((event_id % 1024) // 32)::INT AS row, (event_id % 32)::INT AS col,
-  floor(value)::INT % 256 AS red, floor(value * 3)::INT % 256 AS green, floor(value * 5)::INT % 256 AS blue, floor(value * 7)::INT % 256 AS nir,
+  floor(value)::INT % 10 AS n1, floor(value * 3)::INT % 10 AS n2, floor(value * 5)::INT % 10 AS n3, floor(value * 7)::INT % 10 AS n4,
   'px_' || lpad((event_id // 1024)::VARCHAR, 6, '0') AS tile_id
 FROM events""",
-    "v_pixels_t2": """
-SELECT tile, row, col, tile_id,
-  CASE WHEN bright OR lost THEN least(red + 120, 255) WHEN flood THEN 10 ELSE red END AS red,
-  CASE WHEN bright THEN least(green + 120, 255) WHEN flood THEN 240 ELSE green END AS green,
-  CASE WHEN bright OR lost THEN least(blue + 120, 255) WHEN flood THEN 200 ELSE blue END AS blue,
-  CASE WHEN bright THEN least(nir + 120, 255) WHEN lost OR flood THEN 5 ELSE nir END AS nir
-FROM (SELECT *, tile % 4 = 0 AND (row BETWEEN 6 AND 17 AND col BETWEEN 6 AND 17 OR row BETWEEN 20 AND 28 AND col BETWEEN 18 AND 29) AS bright,
-  tile % 4 = 1 AND row BETWEEN 6 AND 17 AND col BETWEEN 6 AND 17 AS lost,
-  tile % 4 = 2 AND row BETWEEN 6 AND 17 AND col BETWEEN 6 AND 17 AS flood FROM v_pixels)""",
+    "v_pixels": _pixel_sql(1),
+    "v_pixels_t2": _pixel_sql(2),
     "v_pixel_pairs": """
 SELECT DISTINCT tile_id AS pair_id, tile_id, tile_id || '_t1' AS t1_tile_id, tile_id || '_t2' AS t2_tile_id,
   DATE '2024-01-15' + (tile * 17) % 365 AS t1_date,

@@ -56,7 +56,7 @@ def query_domains(spark, d):
 # ---- vectors
 
 @query("V1", """
-SELECT tile_id, round(list_sum(list_transform(embedding, x -> x * x)), 6) AS squared, round(embedding[1] / sqrt(list_sum(list_transform(embedding, x -> x * x))), 6) AS first FROM v_tiles""")
+SELECT tile_id, round(list_sum(list_transform(embedding, lambda x: x * x)), 6) AS squared, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS first FROM v_tiles""")
 def unit_vectors(spark, d):
     e = F.col("embedding")
     return v.tiles(spark, d).select("tile_id", F.round(V.dot(e, e), 6).alias("squared"), F.round(V.unit(e)[0], 6).alias("first"))
@@ -71,7 +71,7 @@ def nearest_tiles(spark, d):
 
 
 @query("V3 L5", """
-SELECT tile_id, round(list_dot_product(embedding, list_transform(range(64), i -> CASE WHEN i % 2 = 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END)), 6) AS score
+SELECT tile_id, round(list_dot_product(embedding, list_transform(range(64), lambda i: CASE WHEN i % 2 = 0 THEN 0.125::DOUBLE ELSE -0.125::DOUBLE END)), 6) AS score
 FROM v_tiles ORDER BY score DESC, tile_id LIMIT 20""")
 def nearest_to_literal(spark, d):
     return knn.nearest_one(_vectors(spark, d), [0.125 if i % 2 == 0 else -0.125 for i in range(DIM)], 20)
@@ -128,7 +128,8 @@ def tiles_not_indexed(spark, d):
 
 @query("V13")
 def approximate_neighbours(spark, d):
-    return knn.approximate_pairs(_vectors(spark, d), _as_queries(spark, d), 0.9)
+    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=16, probes=8)
+    return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
 
 
 # ---- rerank and full search

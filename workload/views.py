@@ -118,32 +118,48 @@ def queries(spark, d):
     )
 
 
-def pixels(spark, d):
-    """32 x 32 tiles cut from events, four bands; the last tile may be shorter."""
+# block position (first and last row and column) and band levels of both dates, by tile kind (tile % 4)
+BLOCKS = {0: ((6, 13), (17, 24)), 1: ((8, 17),), 2: ((8, 17),), 3: ()}
+LEVELS = {
+    0: {"red": ("low", "high"), "green": ("low", "high"), "blue": ("low", "high"), "nir": ("low", "high")},
+    1: {"red": ("low", "high"), "green": ("mid", "mid"), "blue": ("low", "high"), "nir": ("high", "low")},
+    2: {"red": ("mid", "mid"), "green": ("low", "high"), "blue": ("low", "high"), "nir": ("high", "low")},
+}
+NOISE = {"red": 1, "green": 3, "blue": 5, "nir": 7}
+
+
+def _pixels(spark, d, date: int):
+    """32 x 32 tiles cut from events, four bands; the last tile may be shorter.
+
+    A bright stripe on top, a dark one below, and blocks that change between the
+    dates: brighter (kind 0), lost vegetation (1), flood (2), nothing (3).
+    """
     e = table(spark, d, "events")
     at = F.col("event_id")
-    band = lambda m: (F.floor(F.col("value") * m).cast("int") % 256)
-    return e.select(
-        F.floor(at / 1024.0).cast("int").alias("tile"), F.floor((at % 1024) / 32.0).cast("int").alias("row"),
-        (at % 32).cast("int").alias("col"), band(1).alias("red"), band(3).alias("green"), band(5).alias("blue"), band(7).alias("nir"),
-    ).withColumn("tile_id", F.concat(F.lit("px_"), F.lpad(F.col("tile").cast("string"), 6, "0")))
+    px = e.select(
+        F.floor(at / 1024.0).cast("int").alias("tile"), F.floor((at % 1024) / 32.0).cast("int").alias("row"), (at % 32).cast("int").alias("col"),
+        *[(F.floor(F.col("value") * m).cast("int") % 10).alias(b) for b, m in NOISE.items()],
+    )
+    kind, row, c = F.col("tile") % 4, F.col("row"), F.col("col")
+
+    def band(b: str) -> Column:
+        n = F.col(b)
+        level = {"low": n + 20, "mid": n * 3 + 90, "high": n % 6 + 250}
+        out = F.when(row < 4, n + 225).when(row >= 28, n)
+        for k, areas in BLOCKS.items():
+            for lo, hi in areas:
+                out = out.when((kind == k) & row.between(lo, hi) & c.between(lo, hi), level[LEVELS[k][b][date - 1]])
+        return out.otherwise(level["mid"]).cast("int")
+
+    return px.withColumns({b: band(b) for b in NOISE}).withColumn("tile_id", F.concat(F.lit("px_"), F.lpad(F.col("tile").cast("string"), 6, "0")))
+
+
+def pixels(spark, d):
+    return _pixels(spark, d, 1)
 
 
 def pixels_t2(spark, d):
-    """The later date: brighter blocks, lost vegetation, flood or nothing, by tile."""
-    p = pixels(spark, d)
-    kind = F.col("tile") % 4
-    block = F.col("row").between(6, 17) & F.col("col").between(6, 17)
-    second = F.col("row").between(20, 28) & F.col("col").between(18, 29)
-    up = lambda b: F.least(F.col(b) + 120, F.lit(255))
-    bright = (kind == 0) & (block | second)
-    lost, flood = (kind == 1) & block, (kind == 2) & block
-    return p.withColumns({
-        "red": F.when(bright | lost, up("red")).when(flood, F.lit(10)).otherwise(F.col("red")),
-        "green": F.when(bright, up("green")).when(flood, F.lit(240)).otherwise(F.col("green")),
-        "blue": F.when(bright | lost, up("blue")).when(flood, F.lit(200)).otherwise(F.col("blue")),
-        "nir": F.when(bright, up("nir")).when(lost | flood, F.lit(5)).otherwise(F.col("nir")),
-    })
+    return _pixels(spark, d, 2)
 
 
 def pixel_pairs(spark, d):
