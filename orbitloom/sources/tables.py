@@ -56,10 +56,14 @@ def relevance_sets(judgments: DataFrame) -> tuple[DataFrame, DataFrame]:
     return once, sizes
 
 
-def read_pairs(spark: SparkSession, path: str, positive_only: bool = True) -> DataFrame:
-    """Image-text pairs of manifest files; a missing label counts as 1."""
+def read_pairs(spark: SparkSession, path: str, positive_only: bool = True, one_document: bool = True) -> DataFrame:
+    """Image-text pairs of manifest files; a missing label counts as 1.
+
+    `one_document` reads files that hold a single JSON document each (one task per
+    file); line-delimited manifests are splittable.
+    """
     pairs = (
-        spark.read.schema(schemas.PAIR_MANIFEST).option("multiLine", True).json(path)
+        spark.read.schema(schemas.PAIR_MANIFEST).option("multiLine", one_document).json(path)
         .select(F.explode("pairs").alias("p")).select("p.*")
     )
     return pairs.where(F.coalesce("label", F.lit(1)) == 1) if positive_only else pairs

@@ -1,3 +1,3 @@
 """Imports every query module so that it registers."""
 
-from . import catalog, pixels, search, temporal  # noqa: F401
+from . import catalog, pixels, search, temporal, training  # noqa: F401

@@ -139,6 +139,25 @@ FROM documents WHERE doc_id % 3 <> 0""",
     "v_pairs": """
 SELECT doc_id::VARCHAR AS tile_id, text AS caption, lang AS land_cover, CASE WHEN doc_id % 6 = 5 THEN 0 ELSE 1 END AS label, source AS scene_id
 FROM documents""",
+    "v_index": """
+SELECT 'idx_' || o_orderkey AS tile_id, 'scene_' || (o_orderkey % 4) AS scene_id, (o_orderkey % 121 - 40) / 100.0::DOUBLE AS v, ((o_orderkey // 3) % 71 - 35) / 100.0::DOUBLE AS w,
+  (o_orderkey % 97) / 100.0::DOUBLE AS b, (o_orderkey % 13) / 100.0::DOUBLE AS s, (o_orderkey % 17) / 100.0::DOUBLE AS t,
+  CASE o_orderkey % 4 WHEN 0 THEN 'winter' WHEN 1 THEN 'pre_monsoon' WHEN 2 THEN 'monsoon' END AS season FROM orders""",
+    "v_cover_rules": """
+SELECT tile_id, 0 AS ord, 'dense_vegetation' AS class, least(1.0, (v - 0.45) / 0.3 + 0.5) AS score FROM v_index WHERE v > 0.45
+UNION ALL SELECT tile_id, 1, 'sparse_vegetation', least(1.0, (v - 0.20) / 0.25 + 0.3) FROM v_index WHERE v > 0.20 AND v <= 0.45
+UNION ALL SELECT tile_id, 2, 'water', CASE WHEN w > 0.10 THEN least(1.0, (w - 0.10) / 0.3 + 0.5) ELSE 0.4 END FROM v_index WHERE w > 0.10 OR (w > -0.05 AND b < 0.20)
+UNION ALL SELECT tile_id, 3, 'built_up', CASE WHEN v < 0.15 AND b > 0.35 THEN least(1.0, b * 1.2) ELSE 0.5 END FROM v_index WHERE (v < 0.15 AND b > 0.35) OR (v < 0.20 AND b > 0.30 AND t > 0.08)
+UNION ALL SELECT tile_id, 4, 'bare_soil', 0.6 FROM v_index WHERE v < 0.15 AND b < 0.35 AND b > 0.10
+UNION ALL SELECT tile_id, 5, 'agricultural', least(1.0, 0.5 + (0.55 - abs(v - 0.40)) / 0.3) FROM v_index WHERE v > 0.25 AND v < 0.55 AND t < 0.10
+UNION ALL SELECT tile_id, 6, 'cloud_or_haze', 0.8 FROM v_index WHERE b > 0.75 AND s < 0.05""",
+    "v_cover": """
+SELECT tile_id, class, round(score::DOUBLE, 6) AS score, row_number() OVER (PARTITION BY tile_id ORDER BY round(score::DOUBLE, 6) DESC, ord) AS place FROM v_cover_rules
+UNION ALL SELECT tile_id, 'mixed', 0.5::DOUBLE, 1 FROM v_index WHERE tile_id NOT IN (SELECT tile_id FROM v_cover_rules)""",
+    "v_main_cover": """
+SELECT i.*, a.class AS main, c.class AS second, 'terrain with ' || concat_ws(' and ', CASE WHEN v > 0.5 THEN 'high vegetation density' WHEN v > 0.3 THEN 'moderate vegetation cover' WHEN v > 0.15 THEN 'sparse vegetation' ELSE 'minimal vegetation' END,
+  CASE WHEN w > 0.15 THEN 'significant water presence' WHEN w > 0.0 THEN 'traces of moisture or water' END, CASE WHEN b > 0.6 THEN 'high reflectance from bright surfaces' WHEN b < 0.15 THEN 'dark surface features' END) AS phrase
+FROM v_index i JOIN v_cover a ON i.tile_id = a.tile_id AND a.place = 1 LEFT JOIN v_cover c ON i.tile_id = c.tile_id AND c.place = 2""",
     "v_reviews": """
 SELECT doc_id AS analysis_id, CASE WHEN toxic = 1 THEN 'rejected' WHEN quality = 1 THEN 'confirmed'
   WHEN doc_id % 4 = 0 THEN 'maybe' ELSE 'uncertain' END AS decision FROM labels""",
@@ -232,6 +251,59 @@ SELECT t.*, s.sensor, s.acquisition_date, {dom('t.scene_id', 2)} AS confirms, {d
 REASON = ""
 _parse_views()
 
+
+def _caption_views() -> None:
+    """Template tables and caption rules, built from the fixed texts."""
+    from orbitloom import vocab as w
+
+    rows = lambda table: ", ".join(f"('{c}', '{t}')" for c, ts in table for t in ts)
+    VIEWS["v_templates"] = f"SELECT * FROM (VALUES {rows(w.CAPTION_TEMPLATES)}) k(class, text)"
+    VIEWS["v_seasons"] = "SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in w.SEASONS) + ") k(season, line)"
+    h = lambda purpose, text: f"md5(tile_id || '|42|{purpose}|' || {text})"
+    VIEWS["v_primary"] = f"""
+SELECT m.tile_id, 'a satellite image showing ' || t.text || CASE WHEN s.line IS NOT NULL AND {h('season', 't.text')} >= '8' THEN ' ' || s.line ELSE '' END AS caption
+FROM v_main_cover m JOIN v_templates t ON t.class = m.main LEFT JOIN v_seasons s ON s.season = m.season QUALIFY row_number() OVER (PARTITION BY m.tile_id ORDER BY {h('primary', 't.text')}) <= 5"""
+    VIEWS["v_mix"] = f"""
+SELECT tile_id, 'a satellite image showing ' || a || ' with ' || b AS caption FROM (SELECT m.tile_id, min_by(t.text, {h('mix1', 't.text')}) AS a FROM v_main_cover m JOIN v_templates t ON t.class = m.main GROUP BY 1)
+JOIN (SELECT m.tile_id, min_by(t.text, {h('mix2', 't.text')}) AS b FROM v_main_cover m JOIN v_templates t ON t.class = m.second GROUP BY 1) USING (tile_id)"""
+    VIEWS["v_captions"] = f"""
+SELECT tile_id, caption FROM (SELECT * FROM v_primary UNION ALL SELECT * FROM v_mix UNION ALL SELECT tile_id, 'a satellite image of ' || phrase FROM v_main_cover)
+QUALIFY row_number() OVER (PARTITION BY tile_id ORDER BY {h('order', 'caption')}) <= 5"""
+    absent = ", ".join(f"('{c}')" for c, _ in w.CAPTION_TEMPLATES if c not in w.NOT_NEGATIVE)
+    VIEWS["v_absent"] = f"""
+SELECT i.tile_id, k.class FROM v_index i, (VALUES {absent}) k(class) WHERE NOT EXISTS (SELECT 1 FROM v_cover c WHERE c.tile_id = i.tile_id AND c.class = k.class)
+QUALIFY row_number() OVER (PARTITION BY i.tile_id ORDER BY {h('absent', 'k.class').replace('tile_id', 'i.tile_id')}) <= 3"""
+    VIEWS["v_negatives"] = f"""
+SELECT tile_id, 'a satellite image showing ' || min_by(t.text, {h('negative', 't.text')}) AS caption FROM v_absent JOIN v_templates t USING (class) GROUP BY tile_id, class"""
+    cur = ", ".join(f"('{c}', '{t}')" for c, ts in w.CURATED_QUERIES for t in ts)
+    default = ", ".join(f"'{t}'" for t in w.CURATED_DEFAULT)
+    known = ", ".join(f"'{c}'" for c, _ in w.CURATED_QUERIES)
+    VIEWS["v_curated"] = f"""
+SELECT tile_id, 'a satellite image showing ' || k.text AS caption FROM v_main_cover m JOIN (VALUES {cur}) k(class, text) ON k.class = m.main
+UNION ALL SELECT tile_id, 'a satellite image showing ' || unnest([{default}]) FROM v_main_cover WHERE main NOT IN ({known})"""
+    VIEWS["v_training"] = """
+SELECT tile_id, caption, 1 AS label, NULL AS source FROM v_captions UNION ALL SELECT tile_id, caption, 0, NULL FROM v_negatives UNION ALL SELECT tile_id, caption, 1, 'curated' FROM v_curated"""
+    VIEWS["v_training_rows"] = """
+SELECT t.*, scene_id, main AS land_cover, round(v, 3) AS ndvi FROM v_training t JOIN v_main_cover USING (tile_id)"""
+    VIEWS["v_tile_order"] = "SELECT tile_id, row_number() OVER (ORDER BY md5(tile_id || '|42'), tile_id) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT tile_id FROM v_training)"
+    VIEWS["v_split"] = """
+SELECT r.*, CASE WHEN rank <= greatest(1, floor(n * 0.15::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM v_training_rows r JOIN v_tile_order USING (tile_id)"""
+    names = ", ".join(f"'{c}'" for c, _ in w.CLASS_CAPTIONS)
+    VIEWS["v_class_files"] = f"""
+SELECT '/eurosat/' || class_name || '/' || class_name || '_' || p_partkey || '.jpg' AS path, class_name FROM (SELECT p_partkey, ([{names}])[p_partkey % 10 + 1] AS class_name FROM part)"""
+    VIEWS["v_class_captions"] = f"SELECT * FROM (VALUES {rows(w.CLASS_CAPTIONS)}) k(class_name, caption)"
+    named = "'COASTAL_AGRICULTURE', 'URBAN_INDUSTRIAL_HUB', 'FOREST_WATERSHED', 'SUNDARBANS_MANGROVE', 'BRAHMAPUTRA', 'BHADLA', 'MUMBAI_PORT', 'GUWAHATI', 'PLATEAU'"
+    VIEWS["v_named_tiles"] = f"SELECT ([{named}])[c_custkey % 9 + 1] || CASE WHEN c_custkey % 2 = 0 THEN '_tile_' ELSE '_' END || c_custkey AS tile_id FROM customer"
+    VIEWS["v_scene_categories"] = "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{c}')" for k, cs in w.SCENE_CATEGORIES for c in cs) + ") k(keyword, category)"
+    VIEWS["v_taxonomy"] = f"SELECT * FROM (VALUES {rows(w.QUERY_TAXONOMY)}) k(category, caption)"
+    cats = ", ".join(f"'{c}'" for c in w.DEFAULT_CATEGORIES)
+    VIEWS["v_tile_categories"] = f"""
+SELECT DISTINCT tile_id, category FROM v_named_tiles JOIN v_scene_categories ON contains(tile_id, keyword)
+UNION ALL SELECT tile_id, unnest([{cats}]) FROM v_named_tiles t WHERE NOT EXISTS (SELECT 1 FROM v_scene_categories WHERE contains(t.tile_id, keyword))"""
+
+
+_caption_views()
+
 VERIFIED = """round(CASE WHEN (domains & confirms) <> 0 THEN least(0.985::DOUBLE, greatest(0.88::DOUBLE, 0.94::DOUBLE + code % 100 / 1000.0::DOUBLE * 0.04::DOUBLE + raw * 0.15::DOUBLE))
   WHEN (domains & contradicts) <> 0 THEN 0.35::DOUBLE + code % 50 / 500.0::DOUBLE
   ELSE least(0.85::DOUBLE, greatest(0.60::DOUBLE, 0.72::DOUBLE + raw * 0.5::DOUBLE)) END, 6)"""

@@ -322,8 +322,8 @@ def confidence_rules(spark, d):
 
 
 @query("F6", """
-SELECT tile_id, c AS cloud_fraction FROM (SELECT tile_id, round(avg(CASE WHEN (red + green + blue + nir) / 4.0 > 230 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS c FROM v_pixels GROUP BY 1) WHERE c * 100 < 1.0""")
+SELECT tile_id, c AS cloud_fraction FROM (SELECT tile_id, round(avg(CASE WHEN (red + green + blue + nir) / 4.0 > 230 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END), 4) AS c FROM v_pixels GROUP BY 1) WHERE c * 100 < 4.0""")
 def clear_tiles(spark, d):
     from orbitloom.operators.filters import metadata_filter
 
-    return metadata_filter(R.quality(v.pixels(spark, d), ["tile_id"]), max_cloud=1.0).select("tile_id", "cloud_fraction")
+    return metadata_filter(R.quality(v.pixels(spark, d), ["tile_id"]), max_cloud=4.0).select("tile_id", "cloud_fraction")

@@ -244,3 +244,32 @@ def caption_vectors(spark, d):
     nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("_e2"))
     mixed = F.zip_with("embedding", F.coalesce("_e2", "embedding"), lambda a, b: a.cast("double") * 0.6 + b.cast("double") * 0.8)
     return e.join(nxt, "vec_id", "left").select("vec_id", "embedding", V.unit(mixed).alias("text_embedding"))
+
+
+def index_values(spark, d):
+    """Index summaries from orders, spread over every land-cover rule."""
+    k = F.col("o_orderkey")
+    return table(spark, d, "orders").select(
+        F.concat(F.lit("idx_"), k.cast("string")).alias("tile_id"), F.concat(F.lit("scene_"), (k % 4).cast("string")).alias("scene_id"),
+        ((k % 121 - 40) / 100.0).alias("ndvi_mean"), ((F.floor(k / 3) % 71 - 35) / 100.0).alias("ndwi_mean"), ((k % 97) / 100.0).alias("brightness_mean"),
+        ((k % 13) / 100.0).alias("brightness_std"), ((k % 17) / 100.0).alias("texture_mean"), pick(k % 4, ("winter", "pre_monsoon", "monsoon")).alias("season"),
+    )
+
+
+def class_files(spark, d):
+    """Image files of ten scene classes from parts."""
+    from orbitloom import vocab
+
+    k = F.col("p_partkey")
+    cls = pick(k % 10, [c for c, _ in vocab.CLASS_CAPTIONS])
+    return table(spark, d, "part").select(
+        F.concat(F.lit("/eurosat/"), cls, F.lit("/"), cls, F.lit("_"), k.cast("string"), F.lit(".jpg")).alias("path"), cls.alias("class_name")
+    )
+
+
+def named_tiles(spark, d):
+    """Tile names that carry scene keywords, from suppliers and customers."""
+    c = table(spark, d, "customer")
+    k = F.col("c_custkey")
+    names = ("COASTAL_AGRICULTURE", "URBAN_INDUSTRIAL_HUB", "FOREST_WATERSHED", "SUNDARBANS_MANGROVE", "BRAHMAPUTRA", "BHADLA", "MUMBAI_PORT", "GUWAHATI", "PLATEAU")
+    return c.select(F.concat(pick(k % 9, names), F.when(k % 2 == 0, "_tile_").otherwise("_"), k.cast("string")).alias("tile_id"))
