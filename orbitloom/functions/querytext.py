@@ -47,7 +47,7 @@ def with_intent_scores(df: DataFrame, tile_id: str | None = None) -> DataFrame:
     scores = {}
     for name, weight, words, patterns in vocab.INTENTS:
         hit = low.rlike("|".join(f"(?:{p})" for p in patterns))
-        s = count_contained(low, words) * F.lit(weight * 0.5) + F.when(hit, F.lit(weight * 0.7)).otherwise(F.lit(0.0))
+        s = count_contained("_low", words) * F.lit(weight * 0.5) + F.when(hit, F.lit(weight * 0.7)).otherwise(F.lit(0.0))
         if tile_id is not None and name in vocab.CONTEXT_BOOSTED:
             s = s * F.when(F.col(tile_id) != "", F.lit(vocab.CONTEXT_BOOST)).otherwise(F.lit(1.0))
         scores["s_" + name.lower()] = F.round(s, 6)
@@ -64,13 +64,10 @@ def with_intent(df: DataFrame) -> DataFrame:
     return df.withColumn("intent", out).drop("_top")
 
 
-def region_name(low: Column) -> Column:
-    """First gazetteer region, in list order, that occurs as whole words."""
-    out = None
-    for name, *_ in vocab.REGIONS:
-        hit = low.rlike(rf"\b{name}\b")
-        out = F.when(hit, F.lit(name)) if out is None else out.when(hit, F.lit(name))
-    return out
+def region_name(low: str) -> Column:
+    """First gazetteer region, in list order, that occurs as whole words in a lower-cased column."""
+    whens = " ".join(f"WHEN {low} RLIKE r'\\b{r[0]}\\b' THEN '{r[0]}'" for r in vocab.REGIONS)
+    return F.expr(f"CASE {whens} END")
 
 
 def _table(rows) -> Column:
@@ -90,7 +87,7 @@ def with_extracted(df: DataFrame, text: str) -> DataFrame:
     part = lambda c, pattern, i: F.nullif(F.regexp_extract(c, pattern, i), F.lit(""))
     # each clause is searched for once, and only where its marker occurs; its parts are then read from the clause
     df = df.withColumns({
-        "_region": region_name(low),
+        "_region": region_name("_low"),
         "_range": F.when(low.contains("between") | low.contains("from"), F.regexp_extract(low, MONTH_RANGE, 0)),
         "_one": F.when(low.contains("in") | low.contains("during"), F.regexp_extract(low, MONTH_ONE, 0)),
         "_boxed": F.when(t.contains("["), F.regexp_extract(t, BBOX, 0)),
@@ -144,7 +141,7 @@ def with_prompt(df: DataFrame) -> DataFrame:
 def parse_queries(df: DataFrame, text: str = "text", tile_id: str | None = None) -> DataFrame:
     """Add every extracted field to a query table."""
     df = with_intent(with_intent_scores(with_lowered(df, text), tile_id))
-    df = df.withColumn("is_change_query", (F.col("intent") == "CHANGE_ANALYSIS") | (count_contained(F.col("_low"), vocab.CHANGE_WORDS) > 0))
+    df = df.withColumn("is_change_query", (F.col("intent") == "CHANGE_ANALYSIS") | F.col("_low").rlike("|".join(vocab.CHANGE_WORDS)))
     df = with_prompt(with_extracted(df, text)).withColumn("confidence", F.lit(vocab.CLASSIFIER_CONFIDENCE))
     return df.drop("_base", "_low", "_region", *["s_" + i[0].lower() for i in vocab.INTENTS])
 

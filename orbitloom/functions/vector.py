@@ -18,10 +18,17 @@ def l2_norm(v: Column) -> Column:
     return F.sqrt(F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double")))
 
 
+def _let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`; inside a lambda a plain expression would run per element."""
+    return F.transform(F.array(value), body)[0]
+
+
 def unit(v: Column) -> Column:
     """v / |v|; null for a zero vector."""
-    n = l2_norm(v)
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n))
+    def scaled(s):
+        return F.when(s["n"] > 0, F.transform(s["u"], lambda x: x.cast("double") / s["n"]))
+
+    return _let(v, lambda u: _let(F.struct(u.alias("u"), l2_norm(u).alias("n")), scaled))
 
 
 def mean_of(vectors: Column) -> Column:

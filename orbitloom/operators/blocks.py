@@ -2,8 +2,9 @@
 
 Vector search and in-full ranking need all base x query scores but never all
 those rows: each block reduces to a few rows per query before any shuffle.
-A query side that fits the byte limit is broadcast as one array; a larger one is
-cut into a grid of (base block, query block) cells, each of bounded size.
+A query side that fits the byte limit and is small beside the base is broadcast;
+otherwise both sides are cut into a grid of (base block, query block) cells, each
+of bounded size.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 QUERY_BYTES_LIMIT = 64 * 1024 * 1024
 BASE_BLOCK_ROWS = 8192
-QUERY_BLOCK_ROWS = 2048
+QUERY_BLOCK_ROWS = 512
 
 
 def _in_blocks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
@@ -47,7 +48,9 @@ def block_apply(
     """
     row_limit = max(1, query_bytes_limit // query_row_bytes)
     head = queries.limit(row_limit + 1).toPandas()
-    if len(head) <= row_limit:
+    n_head = len(head)
+    n_base_rows = base.count() if n_head > QUERY_BLOCK_ROWS else None
+    if n_head <= row_limit and (n_base_rows is None or n_base_rows >= 4 * n_head):
         shared = base.sparkSession.sparkContext.broadcast(head)
 
         def run(batches):
@@ -58,8 +61,9 @@ def block_apply(
 
         return base.mapInPandas(run, schema)
 
-    n_base = max(1, -(-base.count() // BASE_BLOCK_ROWS))
-    n_query = max(1, -(-queries.count() // QUERY_BLOCK_ROWS))
+    n_query_rows = n_head if n_head <= row_limit else queries.count()
+    n_base = max(1, -(-(base.count() if n_base_rows is None else n_base_rows) // BASE_BLOCK_ROWS))
+    n_query = max(1, -(-n_query_rows // QUERY_BLOCK_ROWS))
     seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = base.withColumn("_bb", F.pmod(F.xxhash64(base_key), F.lit(n_base)).cast("int")).withColumn("_qb", seq(n_query))
     right = queries.withColumn("_qb", F.pmod(F.xxhash64(query_key), F.lit(n_query)).cast("int")).withColumn("_bb", seq(n_base))
@@ -69,4 +73,7 @@ def block_apply(
             return reduce_block(b.iloc[:0], q.iloc[:0])
         return reduce_block(b.reset_index(drop=True), q.reset_index(drop=True))
 
-    return left.groupBy("_bb", "_qb").cogroup(right.groupBy("_bb", "_qb")).applyInPandas(cell, schema)
+    # cells are heavy in work but light in bytes: a fixed partition count keeps them from being merged into few tasks
+    tasks = min(n_base * n_query, 32 * base.sparkSession.sparkContext.defaultParallelism)
+    spread = lambda df: df.repartition(tasks, "_bb", "_qb").groupBy("_bb", "_qb")
+    return spread(left).cogroup(spread(right)).applyInPandas(cell, schema)

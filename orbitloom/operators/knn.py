@@ -26,18 +26,31 @@ def top_rows(primary: np.ndarray, tie_keys: list[np.ndarray], k: int) -> np.ndar
     return alive[order[:k]]
 
 
+def gathered(parts: list[tuple], ids: np.ndarray, **columns: list[np.ndarray]) -> pd.DataFrame:
+    """One frame from per-query winners: parts are (query id, base indices)."""
+    if not parts:
+        return pd.DataFrame({"query_id": [], "tile_id": [], **{c: [] for c in columns}})
+    at = np.concatenate([i for _, i in parts])
+    return pd.DataFrame({
+        "query_id": np.repeat(np.array([q for q, _ in parts], dtype=object), [len(i) for _, i in parts]),
+        "tile_id": ids[at], **{c: np.concatenate(v) for c, v in columns.items()},
+    })
+
+
 def _block_top(b: pd.DataFrame, q: pd.DataFrame, k: int, exclude_self: bool) -> pd.DataFrame:
     """k best base rows of one block for each query of one block."""
-    out = []
+    parts, won = [], []
+    ids = b["tile_id"].to_numpy()
     if len(b) and len(q):
-        ids = b["tile_id"].to_numpy()
         id_rank = np.argsort(np.argsort(ids))
         scores = matrix(q["embedding"]) @ matrix(b["embedding"]).T
+        rounded = np.round(scores, 6)
         for i, qid in enumerate(q["query_id"]):
-            s = np.where(ids == qid, -np.inf, scores[i]) if exclude_self else scores[i]
-            best = top_rows(np.round(s, 6), [id_rank], k)
-            out.append(pd.DataFrame({"query_id": qid, "tile_id": ids[best], "score": s[best]}))
-    return pd.concat(out) if out else pd.DataFrame({"query_id": [], "tile_id": [], "score": []})
+            s = np.where(ids == qid, -np.inf, rounded[i]) if exclude_self else rounded[i]
+            best = top_rows(s, [id_rank], k)
+            parts.append((qid, best))
+            won.append(scores[i][best])
+    return gathered(parts, ids, score=won)
 
 
 def rank_hits(hits: DataFrame, k: int, *order) -> DataFrame:
@@ -108,10 +121,12 @@ def match_rank(images: DataFrame, texts: DataFrame, dim: int, query_bytes_limit:
             return pd.DataFrame({"query_id": [], "beaten_by": []})
         scores = np.round(matrix(q["embedding"]) @ matrix(b["embedding"]).T, 6)
         own_score = q["own"].to_numpy()[:, None]
-        ids = b["tile_id"].to_numpy()[None, :]
-        qid = q["query_id"].to_numpy()[:, None]
-        ahead = (scores > own_score) & (ids != qid) | (scores == own_score) & (ids < qid)
-        return pd.DataFrame({"query_id": q["query_id"], "beaten_by": ahead.sum(axis=1)})
+        ids, qid = b["tile_id"].to_numpy(), q["query_id"].to_numpy()
+        ahead = (scores > own_score).sum(axis=1)
+        # equal scores are rare: only those compare ids
+        qi, bi = np.nonzero(scores == own_score)
+        np.add.at(ahead, qi, (ids[bi] < qid[qi]).astype(ahead.dtype))
+        return pd.DataFrame({"query_id": q["query_id"], "beaten_by": ahead})
 
     parts = block_apply(images.select("tile_id", "embedding"), queries, reduce_block, "query_id string, beaten_by long",
                         "tile_id", "query_id", dim * 8 + 72, query_bytes_limit)

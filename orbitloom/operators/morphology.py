@@ -12,10 +12,10 @@ MIN_AREA = 50
 
 def _spread(mask: DataFrame, pair: str) -> DataFrame:
     """Every mask pixel to its 13 disk positions, counted per position inside the image."""
-    offsets = F.array(*[F.struct(F.lit(dr).alias("dr"), F.lit(dc).alias("dc")) for dr, dc in DISK])
-    moved = mask.withColumn("o", F.explode(offsets)).select(
-        pair, (F.col("row") + F.col("o.dr")).alias("row"), (F.col("col") + F.col("o.dc")).alias("col"), "height", "width"
-    ).where((F.col("row") >= 0) & (F.col("col") >= 0) & (F.col("row") < F.col("height")) & (F.col("col") < F.col("width")))
+    offsets = ", ".join(f"struct({dr} AS dr, {dc} AS dc)" for dr, dc in DISK)
+    moved = mask.select(pair, "row", "col", "height", "width", F.expr(f"explode(array({offsets})) AS o")).selectExpr(
+        pair, "row + o.dr AS row", "col + o.dc AS col", "height", "width"
+    ).where("row >= 0 AND col >= 0 AND row < height AND col < width")
     return moved.groupBy(pair, "row", "col", "height", "width").agg(F.count("*").alias("hits"))
 
 
@@ -25,12 +25,8 @@ def dilate(mask: DataFrame, pair: str = "pair_id") -> DataFrame:
 
 def erode(mask: DataFrame, pair: str = "pair_id") -> DataFrame:
     """Keep centers whose whole in-image neighbourhood is set; neighbours outside the image are ignored."""
-    inside = sum(
-        ((F.col("row") + dr >= 0) & (F.col("row") + dr < F.col("height"))
-         & (F.col("col") + dc >= 0) & (F.col("col") + dc < F.col("width"))).cast("int")
-        for dr, dc in DISK
-    )
-    return _spread(mask, pair).where(F.col("hits") == inside).drop("hits")
+    inside = " + ".join(f"int(row + {dr} >= 0 AND row + {dr} < height AND col + {dc} >= 0 AND col + {dc} < width)" for dr, dc in DISK)
+    return _spread(mask, pair).where(f"hits = {inside}").drop("hits")
 
 
 def clean(mask: DataFrame, pair: str = "pair_id") -> DataFrame:
@@ -68,13 +64,14 @@ def _label(rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
 
 
 def regions(mask: DataFrame, pair: str = "pair_id", pair_type: str = "string") -> DataFrame:
-    """Mask pixels with `region` (number of its first pixel) and `area`.  A region never leaves its pair's
-    image, so each group is at most one image."""
+    """Mask pixels with `region` (row * 2^20 + col of its first pixel) and `area`.  A region never leaves its
+    pair's image, so each group is at most one image."""
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["row", "col"], ignore_index=True)
         lab = _label(pdf["row"].to_numpy(), pdf["col"].to_numpy())
         area = np.bincount(lab, minlength=len(lab))[lab]
-        return pdf[[pair, "row", "col"]].assign(region=lab.astype("int64"), area=area.astype("int64"))
+        return pdf[[pair, "row", "col"]].assign(
+            region=pdf["row"].to_numpy("int64")[lab] * (1 << 20) + pdf["col"].to_numpy("int64")[lab], area=area.astype("int64"))
 
     schema = f"{pair} {pair_type}, row int, col int, region long, area long"
     return mask.select(pair, F.col("row").cast("int"), F.col("col").cast("int")).groupBy(pair).applyInPandas(run, schema)

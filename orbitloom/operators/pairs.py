@@ -115,10 +115,13 @@ def training_pairs(summaries: DataFrame, captions_per_tile: int, negatives: int,
     return parts[0].select(PAIR_COLUMNS).unionByName(parts[1].select(PAIR_COLUMNS)).unionByName(parts[2].select(PAIR_COLUMNS))
 
 
-def split_by_tile(pairs: DataFrame, share: float, seed: int) -> DataFrame:
-    """`split`: the first max(1, share) of the tiles in hash order is val; a tile is never in both."""
-    ranked = hash_ranked(pairs.select("tile_id").distinct(), ["tile_id"], seed, "_rank")
-    return _cut(pairs, ranked, ["tile_id"], share, 1)
+def split_by_tile(pairs: DataFrame, share: float, seed: int, tiles: DataFrame | None = None) -> DataFrame:
+    """`split`: the first max(1, share) of the tiles in hash order is val; a tile is never in both.
+
+    Give `tiles` when the tile table is at hand: the pairs are then read once, not scanned for their ids first.
+    """
+    ids = (pairs if tiles is None else tiles).select("tile_id").distinct()
+    return _cut(pairs, hash_ranked(ids, ["tile_id"], seed, "_rank"), ["tile_id"], share, 1)
 
 
 def split_by_row(pairs: DataFrame, keys: list[str], share: float, seed: int, at_least: int = 0) -> DataFrame:

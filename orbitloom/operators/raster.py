@@ -44,23 +44,32 @@ def stretch(pixels: DataFrame, tile: str = "tile_id", bands=("red", "green", "bl
     return pixels.join(cuts, tile, "left").withColumns({b: scaled(b) for b in bands}).drop("_lo", "_hi")
 
 
-def quality(pixels: DataFrame, keys: list[str], bands=BANDS) -> DataFrame:
-    """Cloud, dark and saturated shares, dynamic range and overall quality per tile, in one aggregate."""
+def quality_aggregates(bands: list[str], tag: str = "") -> list[Column]:
+    """The sums behind `quality_columns`, usable inside a larger aggregate."""
     cols = [F.col(b) for b in bands]
-    df = pixels.withColumn("_gray", band_mean(cols)).withColumn(
-        "_sat", F.greatest(*[F.coalesce(c, F.lit(0)) for c in cols]) >= 250
-    )
+    gray = band_mean(cols)
     share = lambda cond: F.avg(F.when(cond, 1.0).otherwise(0.0))
-    agg = df.groupBy(*keys).agg(
-        share(F.col("_gray") > 230).alias("_c"), share(F.col("_gray") < 15).alias("_d"), share(F.col("_sat")).alias("_s"),
-        F.percentile("_gray", F.array(F.lit(0.02), F.lit(0.98))).alias("_q"),
-    ).withColumn("_dr", F.col("_q")[1] - F.col("_q")[0])
-    low = F.when(F.col("_dr") < 50, 0.2).otherwise(0.0)
-    return agg.select(
-        *keys, F.round("_c", 4).alias("cloud_fraction"), F.round("_d", 4).alias("dark_fraction"),
-        F.round("_dr", 2).alias("dynamic_range"), F.round("_s", 4).alias("saturation_fraction"),
-        F.round(clamp(F.lit(1.0) - F.col("_c") * 0.5 - F.col("_d") * 0.3 - F.col("_s") * 0.2 - low, 0.0, 1.0), 4).alias("overall_quality"),
-    )
+    saturated = F.greatest(*[F.coalesce(c, F.lit(0)) for c in cols]) >= 250
+    return [
+        share(gray > 230).alias("_c" + tag), share(gray < 15).alias("_d" + tag), share(saturated).alias("_s" + tag),
+        F.percentile(gray, F.array(F.lit(0.02), F.lit(0.98))).alias("_q" + tag),
+    ]
+
+
+def quality_columns(tag: str = "") -> list[Column]:
+    c, d, s, q = (F.col(x + tag) for x in ("_c", "_d", "_s", "_q"))
+    span = q[1] - q[0]
+    low = F.when(span < 50, 0.2).otherwise(0.0)
+    return [
+        F.round(c, 4).alias("cloud_fraction" + tag), F.round(d, 4).alias("dark_fraction" + tag), F.round(span, 2).alias("dynamic_range" + tag),
+        F.round(s, 4).alias("saturation_fraction" + tag),
+        F.round(clamp(F.lit(1.0) - c * 0.5 - d * 0.3 - s * 0.2 - low, 0.0, 1.0), 4).alias("overall_quality" + tag),
+    ]
+
+
+def quality(pixels: DataFrame, keys: list[str], bands=BANDS) -> DataFrame:
+    """Cloud, dark and saturated shares, dynamic range and overall quality per tile, in one aggregate."""
+    return pixels.groupBy(*keys).agg(*quality_aggregates(list(bands))).select(*keys, *quality_columns())
 
 
 def quality_or_worst(tiles: DataFrame, per_tile: DataFrame, keys: list[str]) -> DataFrame:

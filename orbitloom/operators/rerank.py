@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions.common import contains_any, stable_int
 from .blocks import QUERY_BYTES_LIMIT, block_apply
-from .knn import matrix, rank_hits, top_rows
+from .knn import gathered, matrix, rank_hits, top_rows
 
 
 def _bits(flags: list[Column]) -> Column:
@@ -107,10 +107,10 @@ def search_blocks(tiles: DataFrame, requests: DataFrame, k: int, dim: int,
     )
 
     def reduce_block(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        parts, raws, scores = [], [], []
+        ids = b["tile_id"].to_numpy()
         if len(b) and len(q):
             raw = np.round(matrix(q["embedding"]) @ matrix(b["embedding"]).T, 4)
-            ids = b["tile_id"].to_numpy()
             id_rank = np.argsort(np.argsort(ids))
             code, yes, no = b["hash_code"].to_numpy(), b["confirms"].to_numpy(), b["contradicts"].to_numpy()
             date, sensor = b["date"].to_numpy(dtype="U10"), b["sensor"].to_numpy(dtype=str)
@@ -134,8 +134,10 @@ def search_blocks(tiles: DataFrame, requests: DataFrame, k: int, dim: int,
                 )
                 score = np.where(keep, np.round(score, 6), -np.inf)
                 best = top_rows(score, [-raw[i], id_rank], k)
-                out.append(pd.DataFrame({"query_id": r.query_id, "tile_id": ids[best], "raw_similarity": raw[i][best], "verified": score[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "tile_id": [], "raw_similarity": [], "verified": []})
+                parts.append((r.query_id, best))
+                raws.append(raw[i][best])
+                scores.append(score[best])
+        return gathered(parts, ids, raw_similarity=raws, verified=scores)
 
     hits = block_apply(base, queries, reduce_block, "query_id string, tile_id string, raw_similarity double, verified double",
                        "tile_id", "query_id", dim * 8 + 256, query_bytes_limit)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from ..functions import spectral as S
 from ..functions.common import short_id
 from ..operators import change as C, morphology as M, raster as R
 
@@ -27,30 +28,23 @@ def final_mask(pixels: DataFrame) -> DataFrame:
 
 
 def pair_facts(pixels: DataFrame, mask: DataFrame) -> DataFrame:
-    """Counts, masked difference and index deltas per pair, in one aggregate over the paired pixels."""
-    marked = pixels.join(mask.select("pair_id", "row", "col", "region"), ["pair_id", "row", "col"], "left")
-    one = lambda s: [F.col(b + s).cast("double") for b in R.BANDS]
-    from ..functions import spectral as S
+    """Counts, masked difference, index deltas and both image qualities per pair, in one aggregate.
 
+    The mask is partitioned like the pixels, so joining it back does not move them.
+    """
+    marked = pixels.join(mask.select("pair_id", "row", "col", "region").repartition("pair_id"), ["pair_id", "row", "col"], "left")
+    one = lambda s: [F.col(b + s).cast("double") for b in R.BANDS]
     on = F.col("region").isNotNull()
     delta = lambda f: F.avg(F.when(on, f(*one("2")) - f(*one("1"))))
     return marked.groupBy("pair_id").agg(
         F.count("*").alias("total_pixels"), F.count_if(on).alias("change_pixels"),
-        F.countDistinct("region").alias("region_count"), F.first("threshold").alias("threshold"),
+        F.count_if(on & (F.col("row") * F.lit(1 << 20) + F.col("col") == F.col("region"))).alias("region_count"), F.first("threshold").alias("threshold"),
         F.avg(F.when(on, F.col("diff"))).alias("mean_masked_diff"),
         delta(S.ndvi).alias("delta_ndvi"), delta(S.ndwi).alias("delta_ndwi"), delta(S.ndbi).alias("delta_ndbi"),
-    )
-
-
-def both_qualities(pairs: DataFrame) -> DataFrame:
-    sides = F.explode(F.array(*[
-        F.struct(F.lit(s).alias("side"), *[F.col(f"{b}{s}").alias(b) for b in R.BANDS]) for s in (1, 2)
-    ])).alias("p")
-    q = R.quality(pairs.select("pair_id", sides).select("pair_id", "p.*"), ["pair_id", "side"])
-    at = lambda s, c: F.max(F.when(F.col("side") == s, F.col(c)))
-    return q.groupBy("pair_id").agg(
-        at(1, "cloud_fraction").alias("cloud1"), at(2, "cloud_fraction").alias("cloud2"),
-        at(1, "overall_quality").alias("quality1"), at(2, "overall_quality").alias("quality2"),
+        *[c for s in ("1", "2") for c in R.quality_aggregates([b + s for b in R.BANDS], s)],
+    ).select(
+        "pair_id", "total_pixels", "change_pixels", "region_count", "threshold", "mean_masked_diff", "delta_ndvi", "delta_ndwi", "delta_ndbi",
+        *R.quality_columns("1"), *R.quality_columns("2"),
     )
 
 
@@ -65,9 +59,9 @@ def analyze_pairs(pairs: DataFrame, t1: DataFrame, t2: DataFrame) -> DataFrame:
     shifts = M.shift_estimates(both).select(
         "pair_id", F.col("registration_quality").alias("registration"), F.col("total_shift_pixels").alias("registration_shift_px")
     )
-    joined = (
-        pairs.join(facts, "pair_id", "left").join(both_qualities(both), "pair_id", "left").join(shifts, "pair_id", "left")
-    )
+    joined = pairs.join(facts, "pair_id", "left").join(shifts, "pair_id", "left").withColumnsRenamed({
+        "cloud_fraction1": "cloud1", "cloud_fraction2": "cloud2", "overall_quality1": "quality1", "overall_quality2": "quality2",
+    })
     return C.decide(joined).withColumn(
         "analysis_id", short_id("chg-", F.col("tile_id"), F.col("t1_tile_id"), F.col("t2_tile_id"))
     )

@@ -8,6 +8,13 @@ from .. import schemas
 from ..functions import naming as N
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use on a plain file scan ahead of heavy per-row work: a scan with fewer partitions than the cluster has
+    cores is redistributed; one with enough partitions, as any large table has, is returned as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores // 2 else scan
+
+
 def scene_files(spark: SparkSession, folder: str, recursive: bool = False) -> DataFrame:
     """GeoTIFF files of a folder: path, length, modificationTime, content."""
     return (

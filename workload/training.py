@@ -49,7 +49,7 @@ def _training(spark, d):
 
 @query("T5 T7 U1", "SELECT tile_id, scene_id, caption, label, land_cover, ndvi, source, split FROM v_split")
 def training_split(spark, d):
-    return PR.split_by_tile(_training(spark, d), 0.15, 42).select("tile_id", "scene_id", "caption", "label", "land_cover", "ndvi", "source", "split")
+    return PR.split_by_tile(_training(spark, d), 0.15, 42, tiles=v.index_values(spark, d)).select("tile_id", "scene_id", "caption", "label", "land_cover", "ndvi", "source", "split")
 
 
 @query("T7 A6 S6", """

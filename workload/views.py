@@ -6,6 +6,8 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from orbitloom.sources.tables import spread
+
 # scene name by label; label 9 is undated
 SCENE_NAMES = (
     "SUNDARBANS_MANGROVE", "COASTAL_AGRICULTURE", "URBAN_INDUSTRIAL_HUB", "MUMBAI_PORT_COAST", "GUWAHATI",
@@ -54,7 +56,7 @@ def tiles(spark, d):
 
 def headers(spark, d):
     """Scene file headers from orders; names cover every sensor and date form."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     k = F.col("o_orderkey")
     fmt = lambda f: F.date_format("o_orderdate", f)
     s = k.cast("string")
@@ -91,7 +93,7 @@ def headers(spark, d):
 
 def queries(spark, d):
     """Query texts from orders: eleven phrasings that reach every extraction rule."""
-    o = table(spark, d, "orders")
+    o = spread(table(spark, d, "orders"))
     k = F.col("o_orderkey")
     o = o.withColumns({"_t": pick(k % 7, THEMES), "_p": pick(k % 5, PLACES)})
     t, p, n = F.col("_t"), F.col("_p"), (k % 50).cast("string")
@@ -249,7 +251,7 @@ def caption_vectors(spark, d):
 def index_values(spark, d):
     """Index summaries from orders, spread over every land-cover rule."""
     k = F.col("o_orderkey")
-    return table(spark, d, "orders").select(
+    return spread(table(spark, d, "orders")).select(
         F.concat(F.lit("idx_"), k.cast("string")).alias("tile_id"), F.concat(F.lit("scene_"), (k % 4).cast("string")).alias("scene_id"),
         ((k % 121 - 40) / 100.0).alias("ndvi_mean"), ((F.floor(k / 3) % 71 - 35) / 100.0).alias("ndwi_mean"), ((k % 97) / 100.0).alias("brightness_mean"),
         ((k % 13) / 100.0).alias("brightness_std"), ((k % 17) / 100.0).alias("texture_mean"), pick(k % 4, ("winter", "pre_monsoon", "monsoon")).alias("season"),
