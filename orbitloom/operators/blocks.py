@@ -66,6 +66,8 @@ def block_apply(
     n_query = max(1, -(-n_query_rows // QUERY_BLOCK_ROWS))
     seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = base.withColumn("_bb", F.pmod(F.xxhash64(base_key), F.lit(n_base)).cast("int")).withColumn("_qb", seq(n_query))
+    # fresh column identities: both sides may come from the same table, and a cogroup confuses shared ones
+    queries = queries.select(*[F.col(c).alias(c) for c in queries.columns])
     right = queries.withColumn("_qb", F.pmod(F.xxhash64(query_key), F.lit(n_query)).cast("int")).withColumn("_bb", seq(n_base))
 
     def cell(_key, b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

@@ -91,8 +91,15 @@ def archive_stats(scenes: DataFrame, tiles: DataFrame, embeddings: DataFrame) ->
     )
     t = tiles.agg(F.count("*").alias("total_tiles"))
     e = embeddings.agg(F.count("*").alias("total_embeddings"))
-    one = F.lit(1).alias("_k")
-    return s.select("*", one).join(t.select("*", one), "_k").join(e.select("*", one), "_k").drop("_k")
+    return one_row(s, t, e)
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row frames side by side, without a join."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
 
 
 def manifest_stats(manifest: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
+from .catalog import one_row
 from .knn import match_rank, matrix
 
 
@@ -57,9 +58,9 @@ def paired_recall(images: DataFrame, texts: DataFrame, dim: int, ks=(1, 5, 10))
     i2t = match_rank(rename(texts, "query_id", "tile_id"), rename(images, "tile_id", "query_id"), dim)
 
     def shares(ranks: DataFrame, tag: str) -> DataFrame:
-        return ranks.agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}_{tag}") for k in ks]).withColumn("_k", F.lit(1))
+        return ranks.agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}_{tag}") for k in ks])
 
-    both = shares(i2t, "i2t").join(shares(t2i, "t2i"), "_k").drop("_k")
+    both = one_row(shares(i2t, "i2t"), shares(t2i, "t2i"))
     return both.withColumns({f"recall_{k}": (F.col(f"recall_{k}_i2t") + F.col(f"recall_{k}_t2i")) / 2 for k in ks})
 
 
