@@ -57,7 +57,7 @@ def latency_rollup(log: DataFrame) -> DataFrame:
     """Count and mean latency per (type, day), per type, and overall."""
     return (
         log.withColumn("day", F.date_format("created_at", "yyyy-MM-dd")).rollup("query_type", "day")
-        .agg(F.count("*").alias("queries"), F.round(F.avg("latency_ms"), 4).alias("mean_latency_ms"))
+        .agg(F.count("*").alias("queries"), F.avg("latency_ms").alias("mean_latency_ms"))
     )
 
 

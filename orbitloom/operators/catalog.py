@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
 from ..functions import naming as N
+from .ranking import one_row
 
 
 def validate_scenes(headers: DataFrame) -> DataFrame:
@@ -94,13 +95,6 @@ def archive_stats(scenes: DataFrame, tiles: DataFrame, embeddings: DataFrame) ->
     return one_row(s, t, e)
 
 
-def one_row(*parts: DataFrame) -> DataFrame:
-    """One-row frames side by side, without a join."""
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
-    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])
-
 
 def manifest_stats(manifest: DataFrame) -> DataFrame:
     """Tiles indexed per (model, version)."""

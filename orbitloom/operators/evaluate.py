@@ -6,8 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .catalog import one_row
 from .knn import match_rank, matrix
+from .ranking import one_row
 
 
 def judged_hits(hits: DataFrame, judgments: DataFrame) -> DataFrame:

@@ -72,19 +72,13 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
         F.avg("_v").alias("mean"),
         F.percentile_approx("_v", F.array(*[F.lit(m) for m in marks]), SKETCH_ACCURACY).alias("_q"),
     )
-    inf = F.lit(float("inf"))
-    brackets = []
-    for i, p in enumerate(probs):
-        whole = F.col("n") <= SKETCH_ACCURACY
-        pos = F.lit(p) * (F.col("n") - 1)
-        brackets.append(F.struct(
-            F.lit(i).alias("i"),
-            F.when(whole, -inf).otherwise(F.col("_q")[2 * i]).alias("lo"),
-            F.when(whole, inf).otherwise(F.col("_q")[2 * i + 1]).alias("hi"),
-            pos.alias("pos"),
-        ))
-    marked = sketch.select(*keys, F.explode(F.array(*brackets)).alias("b")).select(*keys, "b.*")
-    joined = rows.join(marked, keys)
+    if keys:
+        marked = sketch.select(*keys, F.explode(_brackets(probs, F.col("n"), F.col("_q"))).alias("b")).select(*keys, "b.*")
+        joined = rows.join(marked, keys)
+    else:  # one sketch row for the whole table: its numbers become literals
+        whole = sketch.first()
+        marks_now = F.array(*[F.lit(float(m)) for m in whole["_q"] or [0.0] * len(marks)])
+        joined = rows.select("_v", F.explode(_brackets(probs, F.lit(whole["n"]), marks_now)).alias("b")).select("_v", "b.*")
     below = joined.where(F.col("_v") < F.col("lo")).groupBy(*keys, "i").agg(F.count("*").alias("below"))
     inside = (
         joined.where((F.col("_v") >= F.col("lo")) & (F.col("_v") <= F.col("hi")))
@@ -98,4 +92,24 @@ def exact_percentiles(df: DataFrame, keys: list[str], value: str, probs: list[fl
     stats = walked.groupBy(*keys, "i").agg(at(lo_i).alias("a"), at(hi_i).alias("z"), F.first("pos").alias("pos"))
     stats = stats.withColumn("x", F.col("a") + (F.col("pos") - F.floor("pos")) * (F.col("z") - F.col("a")))
     wide = stats.groupBy(*keys).agg(*[F.max(F.when(F.col("i") == i, F.col("x"))).alias(n) for i, n in enumerate(names)])
-    return sketch.drop("_q").join(wide, keys)
+    return sketch.drop("_q").join(wide, keys) if keys else one_row(sketch.drop("_q"), wide)
+
+
+def _brackets(probs: list[float], n: Column, marks: Column) -> Column:
+    """Per percentile: index, bracket and exact position; a small group has an open bracket."""
+    inf = F.lit(float("inf"))
+    whole = n <= SKETCH_ACCURACY
+    return F.array(*[
+        F.struct(
+            F.lit(i).alias("i"), F.when(whole, -inf).otherwise(marks[2 * i]).alias("lo"),
+            F.when(whole, inf).otherwise(marks[2 * i + 1]).alias("hi"), (F.lit(p) * (n - 1)).alias("pos"),
+        ) for i, p in enumerate(probs)
+    ])
+
+
+def one_row(*parts: DataFrame) -> DataFrame:
+    """One-row frames side by side, without a join."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p, allowMissingColumns=True)
+    return rows.agg(*[F.max(c).alias(c) for c in rows.columns])

@@ -300,15 +300,14 @@ def latency_by_type(spark, d):
 @query("A9", """
 SELECT count(*) AS n, round(avg(latency_ms), 2) AS mean, round(quantile_cont(latency_ms, 0.5), 2) AS p50, round(quantile_cont(latency_ms, 0.95), 2) AS p95 FROM v_query_log""")
 def latency_overall(spark, d):
-    one = v.query_log(spark, d).withColumn("all", F.lit(1))
-    return A.latency_by(one, ["all"]).select("n", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95")])
+    return A.latency_by(v.query_log(spark, d), []).select("n", *[F.round(c, 2).alias(c) for c in ("mean", "p50", "p95")])
 
 
 @query("A14", """
-SELECT query_type, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS queries, round(avg(latency_ms), 4) AS mean_latency_ms
+SELECT query_type, strftime(created_at, '%Y-%m-%d') AS day, count(*) AS queries, round(avg(latency_ms), 6) AS mean_latency_ms
 FROM v_query_log GROUP BY ROLLUP (query_type, day)""")
 def latency_rollup(spark, d):
-    return A.latency_rollup(v.query_log(spark, d))
+    return A.latency_rollup(v.query_log(spark, d)).withColumn("mean_latency_ms", F.round("mean_latency_ms", 6))
 
 
 @query("A15", """
