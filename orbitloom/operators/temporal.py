@@ -21,30 +21,38 @@ def _cell(c: Column, size: float) -> Column:
     return F.floor(c / F.lit(size)).cast("bigint")
 
 
-def nearby_locations(tiles: DataFrame, degrees: float = vocab.COLOCATION_DEGREES) -> DataFrame:
+def nearby_locations(tiles: DataFrame, degrees: float = vocab.COLOCATION_DEGREES, around: DataFrame | None = None) -> DataFrame:
     """(loc_lat, loc_lon) -> every distinct location within `degrees` (strict, per axis), itself included.
+    `around` limits the left side to the locations of some tiles.
 
     A cell grid turns the range join into an equi-join: each location is looked up
     in its own and the eight adjacent cells, and the exact distance test stays.
     """
-    locs = tiles.select(F.col("center_lat").alias("loc_lat"), F.col("center_lon").alias("loc_lon")).dropna().distinct()
-    cells = locs.select("*", _cell(F.col("loc_lat"), degrees).alias("_r"), _cell(F.col("loc_lon"), degrees).alias("_c"))
+    def celled(df: DataFrame) -> DataFrame:
+        locs = df.select(F.col("center_lat").alias("loc_lat"), F.col("center_lon").alias("loc_lon")).dropna().distinct()
+        return locs.select("*", _cell(F.col("loc_lat"), degrees).alias("_r"), _cell(F.col("loc_lon"), degrees).alias("_c"))
+
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     probes = (
-        cells.withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
+        celled(tiles if around is None else around).withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
         .select("loc_lat", "loc_lon", (F.col("_r") + F.col("_dr")).alias("_r"), (F.col("_c") + F.col("_dc")).alias("_c"))
     )
-    other = cells.select(F.col("loc_lat").alias("near_lat"), F.col("loc_lon").alias("near_lon"), "_r", "_c")
+    other = celled(tiles).select(F.col("loc_lat").alias("near_lat"), F.col("loc_lon").alias("near_lon"), "_r", "_c")
     close = (F.abs(F.col("near_lat") - F.col("loc_lat")) < degrees) & (F.abs(F.col("near_lon") - F.col("loc_lon")) < degrees)
     return probes.join(other, ["_r", "_c"]).where(close).select("loc_lat", "loc_lon", "near_lat", "near_lon")
 
 
-def location_observations(tiles: DataFrame, scenes: DataFrame, degrees: float = vocab.COLOCATION_DEGREES) -> DataFrame:
-    """Every dated observation near every distinct location."""
-    near = nearby_locations(tiles, degrees)
-    obs = tiles.join(scenes.select("scene_id", "sensor", "acquisition_date"), "scene_id").where(
+def _dated(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
+    return tiles.join(scenes.select("scene_id", "sensor", "acquisition_date"), "scene_id").where(
         F.col("acquisition_date").isNotNull() & F.col("center_lat").isNotNull() & F.col("center_lon").isNotNull()
     )
+
+
+def location_observations(tiles: DataFrame, scenes: DataFrame, degrees: float = vocab.COLOCATION_DEGREES,
+                          around: DataFrame | None = None) -> DataFrame:
+    """Every dated observation near every distinct location (or near the locations of `around`)."""
+    near = nearby_locations(tiles, degrees, around)
+    obs = _dated(tiles, scenes)
     on = (obs.center_lat == near.near_lat) & (obs.center_lon == near.near_lon)
     return near.join(obs, on).select(*LOCATION, "tile_id", "scene_id", "sensor", F.col("acquisition_date").alias("date"))
 
@@ -65,7 +73,7 @@ def tile_timeline(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame) -> D
         F.col("tile_id").alias("reference"), F.col("center_lat").alias("loc_lat"), F.col("center_lon").alias("loc_lon"),
         F.col("acquisition_date").alias("date"), "sensor",
     )
-    obs = location_observations(tiles, scenes)
+    obs = location_observations(tiles, scenes, around=tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi"))
     others = asked.select("reference", *LOCATION).join(obs, LOCATION).where(F.col("reference") != F.col("tile_id")).select(
         "reference", "tile_id", "date", "sensor", F.lit(False).alias("is_reference")
     )
@@ -77,18 +85,21 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """First and last dated observation for every tile with at least two of them.
 
     A tile goes first among equal dates, so the end points are kept per location
-    (earliest one, latest two) and resolved per tile; no timeline is built.
+    (earliest one, latest two) and resolved per tile.  They are reduced at each exact
+    place before the range join, so a place with very many observations sends three
+    rows to its neighbours, and no timeline is built.
     """
-    obs = location_observations(tiles, scenes)
-    first = obs.groupBy(*LOCATION).agg(
-        F.count("*").alias("observations"), F.min(F.struct("date", "tile_id")).alias("lo")
-    )
-    w = Window.partitionBy(*LOCATION).orderBy(F.col("date").desc(), F.col("tile_id").desc())
-    last = (
-        obs.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2).groupBy(*LOCATION).agg(
-            F.max(F.when(F.col("_rn") == 1, F.struct("date", "tile_id"))).alias("hi"),
-            F.max(F.when(F.col("_rn") == 2, F.struct("date", "tile_id"))).alias("hi2"),
-        )
+    here = ["center_lat", "center_lon"]
+    obs = _dated(tiles, scenes).select(*here, F.struct(F.col("acquisition_date").alias("date"), "tile_id").alias("o"))
+    latest_two = lambda df, keys: df.withColumn(
+        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("o.date").desc(), F.col("o.tile_id").desc()))
+    ).where(F.col("_rn") <= 2)
+    near = nearby_locations(tiles).withColumnsRenamed({"near_lat": "center_lat", "near_lon": "center_lon"})
+    first = near.join(obs.groupBy(*here).agg(F.count("*").alias("_n"), F.min("o").alias("_lo")), here).groupBy(*LOCATION).agg(
+        F.sum("_n").alias("observations"), F.min("_lo").alias("lo")
+    )
+    last = latest_two(near.join(latest_two(obs, here).drop("_rn"), here), LOCATION).groupBy(*LOCATION).agg(
+        F.max(F.when(F.col("_rn") == 1, F.col("o"))).alias("hi"), F.max(F.when(F.col("_rn") == 2, F.col("o"))).alias("hi2")
     )
     ends = first.join(last, LOCATION).where(F.col("observations") >= 2)
     refs = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").select(

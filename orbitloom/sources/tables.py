@@ -119,6 +119,19 @@ def write_report(one_row: DataFrame, path: str) -> None:
     one_row.coalesce(1).write.mode("overwrite").json(path)
 
 
+def resolve_paths(tiles: DataFrame, files: DataFrame, root: str = "data/public") -> DataFrame:
+    """The first existing file of each tile among its recorded path, the path below the root, and the usual
+    names in the tile folder; null when none exists.  `files` lists existing paths (path)."""
+    p = F.col("file_path")
+    places = F.array(
+        p, F.concat(F.lit(root + "/"), p), F.concat(F.lit(root + "/tiles/"), N.file_name(p)),
+        F.concat(F.lit(root + "/tiles/"), "tile_id", F.lit(".png")), F.concat(F.lit(root + "/tiles/"), "tile_id", F.lit(".jpg")),
+    )
+    tried = tiles.select("tile_id", F.posexplode(places).alias("_order", "path"))
+    found = tried.join(files.select("path").distinct(), "path").groupBy("tile_id").agg(F.min_by("path", "_order").alias("found_path"))
+    return tiles.join(found, "tile_id", "left")
+
+
 def append(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
     w = df.write.mode("append")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)

@@ -188,3 +188,10 @@ def test_percentiles_of_a_whole_table(spark):
     got = RK.exact_percentiles(df, [], "x", [0.5, 0.95]).first()
     x = df.toPandas()["x"]
     assert np.allclose([got.p50, got.p95, got["mean"]], [*np.percentile(x, [50, 95]), x.mean()], rtol=1e-12) and got.n == 30001
+
+
+def test_resolve_paths(spark):
+    tiles = spark.createDataFrame([("a", "x/a.tif"), ("b", "x/b.tif"), ("c", "x/c.tif"), ("d", "x/d.tif")], "tile_id string, file_path string")
+    files = spark.createDataFrame([("x/a.tif",), ("data/public/tiles/a.tif",), ("data/public/x/b.tif",), ("data/public/tiles/c.jpg",), ("data/public/tiles/c.png",)], "path string")
+    got = {r.tile_id: r.found_path for r in S.resolve_paths(tiles, files).collect()}
+    assert got == {"a": "x/a.tif", "b": "data/public/x/b.tif", "c": "data/public/tiles/c.png", "d": None}

@@ -373,3 +373,16 @@ SELECT file_path AS path, regexp_extract(file_path, '([^/]+)/[^/]+$', 1) AS clas
 def class_folder_names(spark, d):
     p = F.col("file_path")
     return v.headers(spark, d).select(p.alias("path"), N.parent_folder(p).alias("class_name"), F.concat_ws("_", N.parent_folder(p), N.stem(p)).alias("tile_id"))
+
+
+@query("V12", """
+WITH t AS (SELECT 'h' || header_key AS tile_id, file_path, header_key % 6 AS k FROM v_headers),
+tried AS (SELECT tile_id, unnest(['data/public/' || file_path, 'data/public/tiles/' || tile_id || '.png', 'data/public/tiles/' || tile_id || '.jpg', file_path]) AS path, unnest([1, 3, 4, 0]) AS o, unnest([1, 2, 3, 4]) AS f, k FROM t)
+SELECT t.tile_id, min_by(x.path, x.o) AS found_path FROM t LEFT JOIN tried x ON x.tile_id = t.tile_id AND (x.f = x.k OR x.f = x.k - 1) GROUP BY 1""")
+def resolved_paths(spark, d):
+    h = v.headers(spark, d).select(F.concat(F.lit("h"), F.col("header_key").cast("string")).alias("tile_id"), "file_path", (F.col("header_key") % 6).alias("k"))
+    place = F.array(F.concat(F.lit("data/public/"), "file_path"), F.concat(F.lit("data/public/tiles/"), "tile_id", F.lit(".png")),
+                    F.concat(F.lit("data/public/tiles/"), "tile_id", F.lit(".jpg")), F.col("file_path"))
+    files = h.select("k", F.posexplode(place).alias("f", "path")).where((F.col("f") + 1 == F.col("k")) | (F.col("f") + 2 == F.col("k")))
+    return S.resolve_paths(h.drop("k"), files).select("tile_id", "found_path")
+

@@ -180,3 +180,15 @@ def semantic_search(spark, d):
         E.HashingEncoder(DIM), 20, {"sensor": "sensor_given"},
     )
     return hits.select("query_id", "tile_id", "rank", "raw_similarity", "similarity", "is_strongly_aligned", "tile_sensor", "date")
+
+
+@query("S13 V12", "SELECT tile_id, round(list_sum(list_transform(embedding, lambda x: x * x)), 5) AS squared FROM v_tiles")
+def stored_vectors(spark, d):
+    """The vector table saved and loaded again."""
+    from orbitloom.session import new_table_path
+    from orbitloom.sources import tables as S
+
+    path = new_table_path(spark, "vectors")
+    S.save_vectors(v.tiles(spark, d), path)
+    e = F.col("embedding")
+    return S.load_vectors(spark, path).select("tile_id", F.round(V.dot(e, e), 5).alias("squared"))
