@@ -15,8 +15,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 QUERY_BYTES_LIMIT = 64 * 1024 * 1024
-BASE_BLOCK_ROWS = 8192
-QUERY_BLOCK_ROWS = 512
+BASE_BLOCK_ROWS = 4096
+QUERY_BLOCK_ROWS = 2048
+SMALL_QUERY_BLOCK_ROWS = 256
 
 
 def _in_blocks(batches: Iterator[pd.DataFrame], rows: int) -> Iterator[pd.DataFrame]:
@@ -49,7 +50,7 @@ def block_apply(
     row_limit = max(1, query_bytes_limit // query_row_bytes)
     head = queries.limit(row_limit + 1).toPandas()
     n_head = len(head)
-    n_base_rows = base.count() if n_head > QUERY_BLOCK_ROWS else None
+    n_base_rows = base.count() if n_head > 2 * SMALL_QUERY_BLOCK_ROWS else None
     if n_head <= row_limit and (n_base_rows is None or n_base_rows >= 4 * n_head):
         shared = base.sparkSession.sparkContext.broadcast(head)
 
@@ -63,7 +64,9 @@ def block_apply(
 
     n_query_rows = n_head if n_head <= row_limit else queries.count()
     n_base = max(1, -(-(base.count() if n_base_rows is None else n_base_rows) // BASE_BLOCK_ROWS))
-    n_query = max(1, -(-n_query_rows // QUERY_BLOCK_ROWS))
+    # large query blocks copy the base least; smaller ones are used only while there are fewer cells than cores
+    cores = base.sparkSession.sparkContext.defaultParallelism
+    n_query = max(1, -(-n_query_rows // QUERY_BLOCK_ROWS), min(-(-n_query_rows // SMALL_QUERY_BLOCK_ROWS), -(-4 * cores // n_base)))
     seq = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = base.withColumn("_bb", F.pmod(F.xxhash64(base_key), F.lit(n_base)).cast("int")).withColumn("_qb", seq(n_query))
     # fresh column identities: both sides may come from the same table, and a cogroup confuses shared ones
@@ -76,6 +79,6 @@ def block_apply(
         return reduce_block(b.reset_index(drop=True), q.reset_index(drop=True))
 
     # cells are heavy in work but light in bytes: a fixed partition count keeps them from being merged into few tasks
-    tasks = min(n_base * n_query, 32 * base.sparkSession.sparkContext.defaultParallelism)
+    tasks = min(n_base * n_query, 32 * cores)
     spread = lambda df: df.repartition(tasks, "_bb", "_qb").groupBy("_bb", "_qb")
     return spread(left).cogroup(spread(right)).applyInPandas(cell, schema)

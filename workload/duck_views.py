@@ -13,6 +13,11 @@ def case(index: str, values) -> str:
 _SCENE = f"'scene_' || label || '_' || {case('label', SCENE_NAMES)}"
 _T, _P = case("o_orderkey % 7", THEMES), case("o_orderkey % 5", PLACES)
 
+def pct(x: str) -> str:
+    """100 * x to one decimal, half up on the printed value."""
+    return f"round((({x}) * 100)::VARCHAR::DECIMAL(30, 18), 1)::DOUBLE"
+
+
 def _pixel_sql(date: int) -> str:
     bands = []
     for i, b in enumerate(NOISE):
@@ -245,7 +250,7 @@ SELECT t.*, s.sensor, s.acquisition_date, {dom('t.scene_id', 2)} AS confirms, {d
     miss_text = " ".join(f"WHEN (domains & contradicts & {1 << i}) <> 0 THEN '{d[5]}'" for i, d in reversed(list(enumerate(w.DOMAINS))))
     before, after = w.UNVERIFIED_TEXT.replace("%%", "%").split("%s")
     global REASON
-    REASON = f"{hit_text} {miss_text} ELSE '{before}' || round(verified * 100, 1)::VARCHAR || '{after}' END"
+    REASON = f"{hit_text} {miss_text} ELSE '{before}' || {pct('verified')}::VARCHAR || '{after}' END"
 
 
 REASON = ""

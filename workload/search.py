@@ -77,9 +77,9 @@ def nearest_to_literal(spark, d):
     return knn.nearest_one(_vectors(spark, d), [0.125 if i % 2 == 0 else -0.125 for i in range(DIM)], 20)
 
 
-@query("V4 F11 L6 V9 V10 J3 F5", """
+@query("V4 F11 L6 V9 V10 J3 F5", f"""
 SELECT query_id, tile_id, rank, round(0.5 + 0.48::DOUBLE * least(greatest((score - 0.45) / 0.5, 0.0), 1.0), 4) AS similarity, round(score, 4) AS raw_similarity,
-  round(round(0.5 + 0.48::DOUBLE * least(greatest((score - 0.45) / 0.5, 0.0), 1.0), 4) * 100, 1) AS match_percentage, sensor
+  {dv.pct("round(0.5 + 0.48::DOUBLE * least(greatest((score - 0.45) / 0.5, 0.0), 1.0), 4)")} AS match_percentage, sensor
 FROM (SELECT a.tile_id AS query_id, b.tile_id, list_dot_product(a.embedding, b.embedding) AS score, s.sensor,
   row_number() OVER (PARTITION BY a.tile_id ORDER BY round(list_dot_product(a.embedding, b.embedding), 6) DESC, b.tile_id) AS rank
   FROM v_tiles a, v_tiles b JOIN v_scenes s ON b.scene_id = s.scene_id
@@ -143,7 +143,7 @@ WITH scored AS (SELECT *, {dv.VERIFIED} AS verified FROM ({_CAND})),
 ranked AS (SELECT *, {dv.ALIGNED} AS al, row_number() OVER (PARTITION BY cleaned_prompt ORDER BY verified DESC, raw DESC, tile_id) AS rank FROM scored QUALIFY rank <= 20),
 topped AS (SELECT *, first_value(al) OVER (PARTITION BY cleaned_prompt ORDER BY rank) AS top FROM ranked),
 done AS (SELECT *, CASE WHEN top AND al THEN round(greatest(0.85::DOUBLE, 0.965::DOUBLE - (rank - 1) * 0.022::DOUBLE + code % 10 * 0.002::DOUBLE), 4) ELSE verified END AS similarity FROM topped)
-SELECT cleaned_prompt AS query_id, tile_id, rank, raw AS raw_similarity, similarity, round(similarity * 100, 1) AS match_percentage, al AS is_strongly_aligned, {dv.REASON} AS vlm_reasoning FROM done""")
+SELECT cleaned_prompt AS query_id, tile_id, rank, raw AS raw_similarity, similarity, {dv.pct("similarity")} AS match_percentage, al AS is_strongly_aligned, {dv.REASON} AS vlm_reasoning FROM done""")
 def reranked_prompts(spark, d):
     """Distinct prompts against the whole archive, no filters."""
     enc = E.HashingEncoder(DIM)
