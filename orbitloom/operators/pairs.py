@@ -121,18 +121,17 @@ def split_by_tile(pairs: DataFrame, share: float, seed: int, tiles: DataFrame |
     Give `tiles` when the tile table is at hand: the pairs are then read once, not scanned for their ids first.
     """
     ids = (pairs if tiles is None else tiles).select("tile_id").distinct()
-    return _cut(pairs, hash_ranked(ids, ["tile_id"], seed, "_rank"), ["tile_id"], share, 1)
+    return _cut(pairs, ids, ["tile_id"], share, seed, 1)
 
 
 def split_by_row(pairs: DataFrame, keys: list[str], share: float, seed: int, at_least: int = 0) -> DataFrame:
     """`split` by row in hash order: max(at_least, share) rows are val; tiles may fall in both."""
-    ranked = hash_ranked(pairs, keys, seed, "_rank")
-    return _cut(None, ranked, keys, share, at_least)
+    return _cut(None, pairs, keys, share, seed, at_least)
 
 
-def _cut(pairs: DataFrame | None, ranked: DataFrame, keys: list[str], share: float, at_least: int) -> DataFrame:
-    n_val = max(at_least, int(ranked.count() * share))
-    marked = ranked.withColumn("split", F.when(F.col("_rank") <= n_val, "val").otherwise("train")).drop("_rank")
+def _cut(pairs: DataFrame | None, units: DataFrame, keys: list[str], share: float, seed: int, at_least: int) -> DataFrame:
+    n_val = max(at_least, int(units.count() * share))
+    marked = hash_ranked(units, keys, seed, "_rank").withColumn("split", F.when(F.col("_rank") <= n_val, "val").otherwise("train")).drop("_rank")
     return marked if pairs is None else pairs.join(marked.select(*keys, "split"), keys)
 
 

@@ -144,3 +144,18 @@ def test_query_suite(spark, scenes_and_tiles):
     top = {r.query_id: r for r in P.semantic_search(q, tiles, scenes, enc, 1).collect()}
     assert "q0" in top and "q1" in top and "q2" not in top  # Mumbai's box holds no tile
     assert "q7" not in top  # nothing acquired in July or August
+
+
+def test_a_text_asked_by_most_users_is_scored_once(spark, scenes_and_tiles):
+    scenes, tiles = scenes_and_tiles
+    enc = E.HashingEncoder(32)
+    tiles = E.encode_texts(tiles.withColumn("about", F.concat(F.lit("river "), "tile_id")), "about", enc)
+    q = spark.range(60).selectExpr("concat('q', id) AS query_id", "IF(id % 3 < 2, 'river in guwahati', concat('forest ', id)) AS text")
+    assert P.parsed_requests(q).select("request_id").distinct().count() == 21
+    rows = P.semantic_search(q, tiles, scenes, enc, 5).collect()
+    lists = {}
+    for r in rows:
+        lists.setdefault(r.query_id, []).append((r["rank"], r.tile_id, r.similarity))
+    hot = {tuple(sorted(v)) for k, v in lists.items() if int(k[1:]) % 3 < 2}
+    assert len(lists) == 60 and len(hot) == 1 and len(next(iter(hot))) == 5
+    assert all(not t.endswith("_2") for _, t, _ in next(iter(hot)))  # outside the Guwahati box
