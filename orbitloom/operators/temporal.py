@@ -14,7 +14,13 @@ from .. import vocab
 from ..functions.spectral import doy_distance
 from .ranking import date_ordered
 
-LOCATION = ["loc_lat", "loc_lon"]
+LOCATION = ["place"]
+
+
+def place_of(lat: str = "center_lat", lon: str = "center_lon") -> Column:
+    """Exact text key of a center; null without one.  Joins and aggregates on one text key share a partitioning,
+    which float keys do not (each join normalises them anew)."""
+    return F.concat((F.col(lat) + 0.0).cast("string"), F.lit(","), (F.col(lon) + 0.0).cast("string"))
 
 
 def _cell(c: Column, size: float) -> Column:
@@ -22,24 +28,26 @@ def _cell(c: Column, size: float) -> Column:
 
 
 def nearby_locations(tiles: DataFrame, degrees: float = vocab.COLOCATION_DEGREES, around: DataFrame | None = None) -> DataFrame:
-    """(loc_lat, loc_lon) -> every distinct location within `degrees` (strict, per axis), itself included.
+    """(place, loc_lat, loc_lon) -> every distinct location (near_place, ...) within `degrees` (strict, per axis), itself included.
     `around` limits the left side to the locations of some tiles.
 
     A cell grid turns the range join into an equi-join: each location is looked up
     in its own and the eight adjacent cells, and the exact distance test stays.
     """
     def celled(df: DataFrame) -> DataFrame:
-        locs = df.select(F.col("center_lat").alias("loc_lat"), F.col("center_lon").alias("loc_lon")).dropna().distinct()
+        locs = df.select(place_of().alias("place"), "center_lat", "center_lon").where(F.col("place").isNotNull()).groupBy("place").agg(
+            F.first("center_lat").alias("loc_lat"), F.first("center_lon").alias("loc_lon")
+        )
         return locs.select("*", _cell(F.col("loc_lat"), degrees).alias("_r"), _cell(F.col("loc_lon"), degrees).alias("_c"))
 
     steps = F.array(F.lit(-1), F.lit(0), F.lit(1))
     probes = (
         celled(tiles if around is None else around).withColumn("_dr", F.explode(steps)).withColumn("_dc", F.explode(steps))
-        .select("loc_lat", "loc_lon", (F.col("_r") + F.col("_dr")).alias("_r"), (F.col("_c") + F.col("_dc")).alias("_c"))
+        .select("place", "loc_lat", "loc_lon", (F.col("_r") + F.col("_dr")).alias("_r"), (F.col("_c") + F.col("_dc")).alias("_c"))
     )
-    other = celled(tiles).select(F.col("loc_lat").alias("near_lat"), F.col("loc_lon").alias("near_lon"), "_r", "_c")
+    other = celled(tiles).select(F.col("place").alias("near_place"), F.col("loc_lat").alias("near_lat"), F.col("loc_lon").alias("near_lon"), "_r", "_c")
     close = (F.abs(F.col("near_lat") - F.col("loc_lat")) < degrees) & (F.abs(F.col("near_lon") - F.col("loc_lon")) < degrees)
-    return probes.join(other, ["_r", "_c"]).where(close).select("loc_lat", "loc_lon", "near_lat", "near_lon")
+    return probes.join(other, ["_r", "_c"]).where(close).select("place", "loc_lat", "loc_lon", "near_place", "near_lat", "near_lon")
 
 
 def _dated(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
@@ -52,9 +60,8 @@ def location_observations(tiles: DataFrame, scenes: DataFrame, degrees: float =
                           around: DataFrame | None = None) -> DataFrame:
     """Every dated observation near every distinct location (or near the locations of `around`)."""
     near = nearby_locations(tiles, degrees, around)
-    obs = _dated(tiles, scenes)
-    on = (obs.center_lat == near.near_lat) & (obs.center_lon == near.near_lon)
-    return near.join(obs, on).select(*LOCATION, "tile_id", "scene_id", "sensor", F.col("acquisition_date").alias("date"))
+    obs = _dated(tiles, scenes).withColumn("near_place", place_of())
+    return near.join(obs, "near_place").select(*LOCATION, "loc_lat", "loc_lon", "tile_id", "scene_id", "sensor", F.col("acquisition_date").alias("date"))
 
 
 def timeline(observations: DataFrame) -> DataFrame:
@@ -70,8 +77,7 @@ def tile_timeline(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame) -> D
     asked = tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi").join(
         scenes.select("scene_id", "acquisition_date", "sensor"), "scene_id"
     ).select(
-        F.col("tile_id").alias("reference"), F.col("center_lat").alias("loc_lat"), F.col("center_lon").alias("loc_lon"),
-        F.col("acquisition_date").alias("date"), "sensor",
+        F.col("tile_id").alias("reference"), place_of().alias("place"), F.col("acquisition_date").alias("date"), "sensor",
     )
     obs = location_observations(tiles, scenes, around=tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi"))
     others = asked.select("reference", *LOCATION).join(obs, LOCATION).where(F.col("reference") != F.col("tile_id")).select(
@@ -89,12 +95,12 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     place before the range join, so a place with very many observations sends three
     rows to its neighbours, and no timeline is built.
     """
-    here = ["center_lat", "center_lon"]
-    obs = _dated(tiles, scenes).select(*here, F.struct(F.col("acquisition_date").alias("date"), "tile_id").alias("o"))
+    here = ["near_place"]
+    obs = _dated(tiles, scenes).select(place_of().alias("near_place"), F.struct(F.col("acquisition_date").alias("date"), "tile_id").alias("o"))
     latest_two = lambda df, keys: df.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("o.date").desc(), F.col("o.tile_id").desc()))
     ).where(F.col("_rn") <= 2)
-    near = nearby_locations(tiles).withColumnsRenamed({"near_lat": "center_lat", "near_lon": "center_lon"})
+    near = nearby_locations(tiles).select("place", "near_place")
     first = near.join(obs.groupBy(*here).agg(F.count("*").alias("_n"), F.min("o").alias("_lo")), here).groupBy(*LOCATION).agg(
         F.sum("_n").alias("observations"), F.min("_lo").alias("lo")
     )
@@ -103,8 +109,7 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     )
     ends = first.join(last, LOCATION).where(F.col("observations") >= 2)
     refs = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").select(
-        F.col("tile_id").alias("reference"), F.col("center_lat").alias("loc_lat"), F.col("center_lon").alias("loc_lon"),
-        F.col("acquisition_date").alias("_d"),
+        F.col("tile_id").alias("reference"), place_of().alias("place"), F.col("acquisition_date").alias("_d"),
     )
     own_first = F.col("_d") == F.col("lo.date")
     shift = (F.col("hi.tile_id") == F.col("reference")) & (F.col("hi2.date") == F.col("hi.date"))
