@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .line_windows import dedup_lines
+from .setsketch import near_duplicates
 from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -31,6 +32,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query(
+    r"""
+    WITH RECURSIVE worded AS (
+      SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                        '[^\x20\x09-\x0D]+') AS w FROM documents),
+    sets AS (
+      SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+        ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM worded),
+    items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
+    links AS (
+      SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
+      GROUP BY a.doc_id, b.doc_id HAVING 100 * count(*) >= 75 * (any_value(a.n) + any_value(b.n) - count(*))),
+    reach(doc_id, other) AS (
+      SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, l.b FROM reach r JOIN links l ON l.a = r.other),
+    least AS (SELECT doc_id, min(other) AS component_id FROM reach GROUP BY doc_id)
+    SELECT s.doc_id, CAST(len(s.s) AS BIGINT) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+    FROM sets s JOIN least c ON c.doc_id = s.doc_id
+    """)
+def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's set size, near-duplicate component and whether it is the one that stays."""
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query(
     """
     WITH lines AS (
