@@ -6,10 +6,11 @@ register.  Groups of registers are bands; documents that share a band are candid
 greater, smaller and equal registers, with both set sizes known, rejects pairs whose maximum lies below a floor far
 under the threshold; every remaining pair is confirmed on its full sets.
 
-Groups of any size: equal sets are one class, before anything else.  In a band each class meets the band's smallest
-member (and a second one), so a group of n near copies makes O(n) candidates.  Only where a band still holds several
-components are the remaining pairs across components compared; a band with many such classes is first divided by a
-second band.  Connected components come from a distributed large-star / small-star iteration.
+Groups of any size: equal sets are one class, before anything else.  In a band each class meets the band's most central
+member and its smallest one, so a group of n near copies makes O(n) candidates.  Where a band still holds several
+components, the pairs across components are compared: as rows in small bands, and in bands of many classes block by
+block, where the full sets are held against each other in memory and only links come out.  Connected components come
+from a distributed large-star / small-star iteration.
 
 Defined results: words are runs of non-space characters, A-Z as a-z; a text of one to four words is one shingle; a null
 or wordless text has the empty set, is linked with nothing and keeps its own id.  Rows with equal doc_id are one
@@ -27,21 +28,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import materialize
-from .words import SPACES, column_bytes, row_groups, shingles, tokenize
+from .words import MULTIPLIER, SPACES, column_bytes, mix, row_groups, shingles, tokenize
 
 WORDS = 5
-REGISTERS, ROWS = 256, 5
+REGISTERS, ROWS = 512, 7  # a pair at 0.75 shares one of 73 bands with probability 0.99997
 BANDS = REGISTERS // ROWS
 BASE, RATE, TOP = 1.001, 20.0, 65534
-FLOOR = 0.60  # of the likelihood: 5.5 standard deviations of the estimate below 0.75
-SMALL_BAND = 48
+FLOOR = 0.64  # of the likelihood: 5.5 standard deviations of the estimate below 0.75
+SMALL_BAND, CELL = 12, 150_000
 
 _seeds = np.random.Generator(np.random.PCG64(7))
 FLIPS = _seeds.integers(0, 1 << 32, REGISTERS, dtype=np.uint32)
 FACTORS = _seeds.integers(0, 1 << 31, REGISTERS, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 
-SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("registers", pa.binary())])
-SKETCH_DDL = "doc_id long, n_shingles long, set_key binary, registers binary"
+SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_key", pa.binary()), ("bands", pa.list_(pa.int64()))])
+SKETCH_DDL = "doc_id long, n_shingles long, set_key binary, bands array<long>"
 
 
 def registers_of(hashes: np.ndarray) -> np.ndarray:
@@ -70,18 +71,29 @@ def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
             yield np.unique(h[at[r]:at[r + 1]])
 
 
+def bands_of(registers: np.ndarray) -> np.ndarray:
+    """One 64-bit value per group of ROWS registers, different for equal groups at different places."""
+    groups = registers[:BANDS * ROWS].reshape(BANDS, ROWS).astype(np.uint64)
+    h = np.arange(1, BANDS + 1, dtype=np.uint64) << np.uint64(40)
+    for r in range(ROWS):
+        h = mix(h * MULTIPLIER + groups[:, r])
+    return h.view(np.int64)
+
+
 def sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sizes, keys, regs = [], [], []
+        sizes, keys, bands = [], [], []
         for s in shingle_sets(batch.column("text")):
             sizes.append(len(s))
             keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-            regs.append(registers_of(s).tobytes() if len(s) else None)
-        yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(regs, pa.binary())], schema=SKETCH)
+            bands.append(bands_of(registers_of(s)) if len(s) else np.zeros(0, np.int64))
+        starts = np.concatenate(([0], np.cumsum([len(b) for b in bands]))).astype(np.int32)
+        flat = pa.array(np.concatenate([*bands, np.zeros(0, np.int64)]))
+        yield pa.record_batch([batch.column("doc_id").cast(pa.int64()), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.ListArray.from_arrays(pa.array(starts), flat)], schema=SKETCH)
 
 
 def sketch(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, set_key, registers) of every row of `docs` (doc_id, text)."""
+    """(doc_id, n_shingles, set_key, bands) of every row of `docs` (doc_id, text)."""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(sketch_batches, SKETCH_DDL)
 
 
@@ -113,27 +125,52 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
     return lo
 
 
-def likely_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) whose sizes allow the threshold and whose estimate reaches the floor."""
+def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, n, registers, items): a document's set itself, as sorted 64-bit hashes."""
+    for batch in batches:
+        sets = list(shingle_sets(batch.column("text")))
+        yield pa.record_batch([
+            batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers_of(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+            pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "registers", "items"])
+
+
+def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of pairs (a, b) with sizes, registers and sets: those whose likelihood reaches the floor and whose full sets
+    reach the threshold."""
     for batch in batches:
         if not batch.num_rows:
             continue
         ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
         na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("na", "nb"))
         keep = (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb)) & (likelihood_slope(ra, rb, na, nb, FLOOR) >= 0)
-        yield pa.record_batch([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(keep))
-
-
-def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs (a, b) with text_a, text_b whose full sets reach the threshold, with both sizes."""
-    for batch in batches:
-        keep, shared = [], []
-        for x, y in zip(shingle_sets(batch.column("ta")), shingle_sets(batch.column("tb")), strict=True):
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            keep.append(both > 0 and 100 * both >= 75 * (len(x) + len(y) - both))
-            shared.append(both)
-        out = pa.record_batch([batch.column("a"), batch.column("b"), pa.array(shared, pa.int64())], names=["a", "b", "shared"])
-        yield out.filter(pa.array(keep, pa.bool_()))
+        shared = np.zeros(len(keep), np.int64)
+        for i in np.flatnonzero(keep):
+            x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("ia", "ib"))
+            shared[i] = len(np.intersect1d(x, y, assume_unique=True))
+        keep &= 100 * shared >= 75 * (na + nb - shared)
+        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(shared)], names=["a", "b", "shared"]).filter(pa.array(keep))
+
+
+def link_cell(cell: pa.Table) -> pa.Table:
+    """Links of one cell (id, component, items) that join different components, as a spanning forest: each set outside
+    the largest component is held against all others."""
+    ids = cell.column("id").to_numpy()
+    label = np.unique(cell.column("component").to_numpy(), return_inverse=True)[1]
+    sets = [np.frombuffer(x, np.uint64) for x in cell.column("items").to_pylist()]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.concatenate(([0], np.cumsum(sizes)))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    found = []
+    for x in np.flatnonzero(label != np.bincount(label).argmax()):
+        mark = np.zeros(codes.max() + 1, np.int64)
+        mark[codes[starts[x]:starts[x + 1]]] = 1
+        shared = np.add.reduceat(mark[codes], starts[:-1])
+        for y in np.flatnonzero(100 * shared >= 75 * (sizes[x] + sizes - shared)):
+            if label[y] != label[x]:
+                found.append((max(ids[x], ids[y]), min(ids[x], ids[y]), shared[y]))
+                label[label == label[y]] = label[x]
+    a, b, n = zip(*found, strict=True) if found else ((), (), ())
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), "shared": pa.array(n, pa.int64())})
 
 
 def components(edges: DataFrame, rounds: int = 40) -> DataFrame:
@@ -162,25 +199,27 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     sketches = materialize(sketch(docs), "sketches")
     classes = materialize(
         sketches.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("set_key")
-        .agg(F.min("doc_id").alias("id"), F.max("n_shingles").alias("n"), F.first("registers").alias("registers")), "classes")
-    # an id borne by several different sets stands for each of them: they are linked under it at the end
-    bands = materialize(classes.select("id", F.explode(_bands()).alias("band")).distinct(), "bands")
-    shared = materialize(
-        bands.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("p1"), F.min_by("id", F.xxhash64("id")).alias("p2"))
-        .where("size > 1"), "shared")
+        .agg(F.min("doc_id").alias("id"), F.first("bands").alias("bands")), "classes")
+    # an id borne by several different sets stands for all of them
+    bands = classes.select("id", F.explode("bands").alias("band"))
+    shared = bands.groupBy("band").agg(F.count("*").alias("size"), F.min("id").alias("least")).where("size > 1")
     members = materialize(bands.join(shared, "band"), "members")
-    first = members.select("id", F.explode(F.array("p1", "p2")).alias("p")).where("id <> p")
-    links = materialize(_confirmed(docs, classes, first), "links")
-    labels = components(links)
+    # of a band's members the one that meets most others is likely to be the text the others were copied from
+    degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
+    central = members.join(degree, "id").groupBy("band").agg(F.max_by("id", F.struct("degree", -F.col("id"))).alias("central"))
+    first = members.join(central, "band").select("id", F.explode(F.array("central", "least")).alias("p"))
+    links = materialize(_confirmed(docs, first.where("id <> p")), "links")
+    labels = materialize(components(links), "labels")
 
     # what the first meeting left apart
-    known = members.select("band", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
+    known = members.select("band", "id").distinct().join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "band", "id", F.coalesce("component", "id").alias("component"))
     apart = known.groupBy("band").agg(F.count("*").alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
     open_ = materialize(known.join(apart.select("band", "size"), "band"), "open")
-    rest = _cross_pairs(open_, classes)
-    more = materialize(_confirmed(docs, classes, rest.join(first.select(F.greatest("id", "p").alias("id"), F.least("id", "p").alias("p")), ["id", "p"], "left_anti")), "links")
-    labels = components(links.select("a", "b").unionByName(more.select("a", "b")))
+    small = open_.where(F.col("size") <= SMALL_BAND)
+    pairs = small.join(small.select("band", F.col("id").alias("p"), F.col("component").alias("other")), "band").where("id > p AND component <> other")
+    more = materialize(_confirmed(docs, pairs), "links").unionByName(materialize(_by_cells(docs, open_.where(F.col("size") > SMALL_BAND)), "links"))
+    labels = components(links.unionByName(more))
 
     of_class = classes.select("set_key", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select(
         "set_key", F.coalesce("component", "id").alias("component_id"))
@@ -190,39 +229,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     ).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _bands():
-    return F.array(*[F.xxhash64(F.lit(j), F.substring("registers", 2 * ROWS * j + 1, 2 * ROWS)) for j in range(BANDS)])
-
-
-def _cross_pairs(open_: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (id, p) of different components in an open band.  A band of many classes is divided by every other band:
-    similar classes share about a quarter of their bands, so they meet again, and unlike ones hardly do."""
-    small = open_.where(F.col("size") <= SMALL_BAND).select("band", "id", "component")
-    large = open_.where(F.col("size") > SMALL_BAND).join(classes.select("id", F.explode(_bands()).alias("second")), "id")
-    divided = large.where("second <> band").select(F.xxhash64("band", "second").alias("band"), "id", "component")
-    met = small.unionByName(divided)
-    other = met.select("band", F.col("id").alias("p"), F.col("component").alias("pc"))
-    return met.join(other, "band").where("id > p AND component <> pc").select("id", "p").distinct()
+def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, n, registers, items) of the asked documents."""
+    asked = docs.select(F.col("doc_id").alias("id"), "text").join(ids.distinct(), "id")
+    return materialize(asked.mapInArrow(set_batches, "id long, n long, registers binary, items binary").where("n > 0"), "sets")
 
 
-def _confirmed(docs: DataFrame, classes: DataFrame, pairs: DataFrame) -> DataFrame:
+def _confirmed(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     """(a, b, shared) of the pairs (id, p) that pass the likelihood and then the full sets."""
-    pairs = pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct()
-    side = classes.select("id", "n", "registers")
-    met = (
-        pairs.join(side.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("registers").alias("ra")), "a")
-        .where(F.col("na") > 0)
-        .join(side.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("registers").alias("rb")), "b")
-        .where("100 * least(na, nb) >= 75 * greatest(na, nb)")
-    )
-    likely = materialize(met.select("a", "b", "na", "nb", "ra", "rb").mapInArrow(likely_batches, "a long, b long"), "likely")
-    asked = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = materialize(docs.join(asked, "doc_id"), "texts")
-    full = (
-        likely.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-        .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b")
-    )
-    return full.select("a", "b", "ta", "tb").mapInArrow(confirm_batches, "a long, b long, shared long").distinct()
+    pairs = materialize(pairs.select(F.greatest("id", "p").alias("a"), F.least("id", "p").alias("b")).distinct(), "pairs")
+    sets = _sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")))
+    side = lambda x: sets.select(F.col("id").alias(x), F.col("n").alias(f"n{x}"), F.col("registers").alias(f"r{x}"), F.col("items").alias(f"i{x}"))
+    met = pairs.join(side("a"), "a").join(side("b"), "b").where("100 * least(na, nb) >= 75 * greatest(na, nb)")
+    return met.mapInArrow(confirm_batches, "a long, b long, shared long").distinct()
+
+
+def _by_cells(docs: DataFrame, open_: DataFrame) -> DataFrame:
+    """Links across components within bands of many classes.  A band is cut into blocks of at most about CELL set
+    elements, each pair of blocks is one cell, and only links leave a cell."""
+    sets = _sets(docs, open_.select("id"))
+    held = open_.select("band", "id", "component").join(sets.select("id", "n"), "id")
+    blocks = held.groupBy("band").agg(F.ceil(F.sum("n") / CELL).cast("int").alias("blocks"))
+    cut = held.join(blocks, "band").withColumn("i", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
+    placed = cut.select("id", "component", "band", "i", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j")).select(
+        "id", "component", "band", F.concat_ws(":", F.least("i", "j"), F.greatest("i", "j")).alias("cell"))
+    cells = placed.join(sets.select("id", "items"), "id").select("band", "cell", "id", "component", "items")
+    return cells.groupBy("band", "cell").applyInArrow(link_cell, "a long, b long, shared long").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
