@@ -231,7 +231,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def _sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """(id, n, registers, items) of the asked documents."""
-    asked = docs.select(F.col("doc_id").alias("id"), "text").join(ids.distinct(), "id")
+    # a merge join at every size: neither side has a bound, so none is broadcast
+    asked = docs.select(F.col("doc_id").alias("id"), "text").hint("merge").join(ids.distinct(), "id")
     return materialize(asked.mapInArrow(set_batches, "id long, n long, registers binary, items binary").where("n > 0"), "sets")
 
 
