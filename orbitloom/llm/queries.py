@@ -6,7 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from . import quality, toxicity
+from .chat_format import conversation_digests, format_turns, text_parts
+from .decontaminate import find_passages
 from .line_windows import dedup_lines
+from .secrets_scan import KINDS, find_secrets
 from .setsketch import near_duplicates
 from .url_rules import judge_urls
 
@@ -39,7 +43,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
                                         '[^\x20\x09-\x0D]+') AS w FROM documents),
     sets AS (
       SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-        ELSE list_distinct(list_transform(range(1, len(w) - 3), i -> array_to_string(w[i:i+4], ' '))) END AS s FROM worded),
+        ELSE list_distinct([array_to_string(w[i:i+4], ' ') for i in range(1, len(w) - 3)]) END AS s FROM worded),
     items AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
     links AS (
       SELECT a.doc_id AS a, b.doc_id AS b FROM items a JOIN items b ON a.x = b.x AND a.doc_id <> b.doc_id
@@ -55,6 +59,64 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item in every document, with its place and edit distance."""
+    return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+
+
+@query()
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected severity, probability of toxicity and verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
+@query()
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's expected grade, tail probabilities and selection."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
+
+@query()
+def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's secrets: counts per base kind, a digest of the base spans, and all spans."""
+    found = find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    written = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long")
+    return found.select(
+        "doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
+        F.sha2(written(F.filter("spans", lambda s: s["kind"] != "random")), 256).alias("base_sha256"), written(F.col("spans")).alias("spans"))
+
+
+@query(
+    """
+    WITH t AS (
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+      UNION ALL SELECT * FROM (VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')) v),
+    g AS (
+      SELECT conv_id, count(*) AS n_turns,
+             string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
+             coalesce(string_agg(text, '' ORDER BY turn, text) FILTER (WHERE role = 'assistant'), '') AS loss,
+             sum(length(text) + length(role) + 20) AS plain_chars,
+             sum(length(regexp_replace(text, '(\\\\|<s>|</s>|\\[/?ROLE\\]|\\[/?INST\\]|<\\|(image|audio|document|end)\\|>)', '\\\\\\1', 'g')) - length(text)) AS extra
+      FROM t GROUP BY conv_id)
+    SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
+           sha256(loss) AS loss_sha256, CAST(plain_chars + extra AS BIGINT) AS formatted_chars
+    FROM g
+    """)
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, formatted and read back; conversation -1 speaks the template's control strings."""
+    talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], talks.schema)
+    digests = conversation_digests(format_turns(text_parts(talks.unionByName(probe))))
+    return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+
+
 @query(
     """
     WITH lines AS (

@@ -85,8 +85,12 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> It
         at = to
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hashes, first and end bytes of all words, and the first word of every row (with the number of words at the end)."""
+def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, values: np.ndarray = VALUES, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first and end bytes of all words, and the first word of every row (with the number of words at the end).
+
+    `values` are the letters' values (equal values: letters that count as equal); with `prefix`, a word's hash is that
+    of its first so many bytes.
+    """
     hashes, firsts, ends = [], [], []
     row_start = np.zeros(len(data) + 1, bool)
     row_start[offsets] = True
@@ -102,9 +106,10 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> t
         first, end = np.flatnonzero(begin), np.flatnonzero(close) + 1
         up, down = _power_tables(len(piece))
         running = np.zeros(len(piece) + 1, np.uint64)
-        np.cumsum(VALUES[piece] * up[:len(piece)], out=running[1:])
-        h = (running[end] - running[first]) * down[first]
-        hashes.append(mix(h ^ ((end - first).astype(np.uint64) << np.uint64(48))))
+        np.cumsum(values[piece] * up[:len(piece)], out=running[1:])
+        stop = end if prefix is None else np.minimum(end, first + prefix)
+        h = (running[stop] - running[first]) * down[first]
+        hashes.append(mix(h ^ ((stop - first).astype(np.uint64) << np.uint64(48))))
         firsts.append(first + at)
         ends.append(end + at)
     if not hashes:
