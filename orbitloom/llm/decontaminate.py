@@ -161,6 +161,7 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
     data, offsets = column_bytes(texts)
     shortest = min(len(w) for w in index.items)
     stride = STRIDE if shortest >= STRIDE + MIN_WORDS - 1 else 1
+    listed = [w.tolist() for w in index.items]
     bitmaps = {}
     for key, (hashes, _, _) in index.tables.items():
         bitmaps[key] = np.zeros(1 << FILTER_BITS, bool)
@@ -195,6 +196,9 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
             reach = most + STRIDE
             a, b = max(int(begins[row]), place - reach), min(int(begins[row + 1]) - 1, place + len(item) + 2 * reach)
             done[n, row] = place + reach - STRIDE
+            near = set(words[a:b].tolist())
+            if sum(w not in near for w in listed[n]) > most:  # each missing word is an edit
+                continue
             got = best_place(item, words[a:b], most)
             if got and got[2] > got[1]:
                 old = found.get((n, row))
