@@ -11,6 +11,7 @@ from .chat_format import conversation_digests, format_turns, text_parts
 from .decontaminate import find_passages
 from .line_windows import dedup_lines
 from .secrets_scan import KINDS, find_secrets
+from .segment_sampling import sample_segmentations
 from .setsketch import near_duplicates
 from .url_rules import judge_urls
 
@@ -65,6 +66,12 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
 
 
+@query()
+def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's sampled segmentations with their scores, and whether they decode to the text."""
+    return sample_segmentations(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's expected severity, probability of toxicity and verdict."""
