@@ -13,6 +13,7 @@ from .line_windows import dedup_lines
 from .secrets_scan import KINDS, find_secrets
 from .segment_sampling import sample_segmentations
 from .setsketch import near_duplicates
+from .spots import edited_fingerprints
 from .url_rules import judge_urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -60,6 +61,12 @@ def op4_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query()
+def op1_spot_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint, that of its edited text, and how alike they and the next document's are."""
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @query()
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every benchmark item in every document, with its place and edit distance."""
