@@ -53,18 +53,21 @@ def encoding(path: str):
 
 
 def is_identifier(run: str) -> bool:
-    """Parts are words or short numbers, each wholly matched, and words make up most of the run."""
-    letters = 0
+    """Parts are words and short numbers, each wholly matched; words, and numbers that stand alone, make up most of it."""
+    plain = 0
     for part in re.split(r"[_/+=-]+", run):
+        if part.isdigit() and len(part) <= 8:
+            plain += len(part)
+            continue
         at = 0
         while at < len(part):
             m = IDENTIFIER.match(part, at)
             if not m:
                 return False
             if len(m[0]) > 2 and m[0][0].isalpha():
-                letters += len(m[0])
+                plain += len(m[0])
             at = m.end()
-    return 4 * letters >= 3 * sum(c.isalnum() for c in run)
+    return 4 * plain >= 3 * sum(c.isalnum() for c in run)
 
 
 def chars_per_token(run: str, path: str = VOCABULARY) -> float:

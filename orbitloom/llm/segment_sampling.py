@@ -165,7 +165,7 @@ class Lattices:
             free[x] += 1
         code_ = -self.piece - 1
         width = np.where(code_ < 0x80, 1, np.where(code_ < 0x800, 2, np.where((code_ < 0x10000) | (code_ == MASKED), 3, 4)))
-        weight = np.where(self.piece >= 0, voc.weight[self.piece], BYTE_WEIGHT * width)
+        weight = np.where(self.piece >= 0, voc.weight[np.maximum(self.piece, 0)], BYTE_WEIGHT * width)
         self.start = np.repeat(np.arange(n), self.count)
         # log of the summed weights of all ways to the end of the word, from the end backwards
         rest = np.zeros(n)
