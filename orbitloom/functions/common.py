@@ -20,10 +20,15 @@ def stable_int(c: Column) -> Column:
     return F.conv(F.substring(F.md5(c.cast("string")), 1, 8), 16, 10).cast("bigint")
 
 
-def short_id(prefix: str, *parts: Column) -> Column:
-    """`prefix` plus 8 hex digits of a hash of the natural key, so a retried task gives the same id."""
+def key_id(prefix: str, *parts: Column) -> Column:
+    """`prefix` and the hash of the natural key, whole: a retried task gives the same id, and no two keys share one.
+    The first digits are enough for a display (`display_id`)."""
     key = F.concat_ws("|", *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])
-    return F.concat(F.lit(prefix), F.substring(F.sha2(key, 256), 1, 8))
+    return F.concat(F.lit(prefix), F.sha2(key, 256))
+
+
+def display_id(c: Column | str, digits: int = 8) -> Column:
+    return F.regexp_extract(col(c), rf"^([^-]*-[0-9a-f]{{0,{digits}}})", 1)
 
 
 def contains_any(text: Column, words) -> Column:

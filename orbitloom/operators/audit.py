@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
-from ..functions.common import short_id
+from ..functions.common import key_id
 from .ranking import exact_percentiles
 
 
@@ -14,7 +14,7 @@ def query_log_rows(searches: DataFrame) -> DataFrame:
     result_count, latency_ms, created_at); ids derive from the key, so a retried write repeats the same id."""
     filters = F.to_json(F.struct("bbox", "date_from", "date_to", "sensor"), {"ignoreNullFields": "false"})
     return searches.select(
-        short_id("q-", F.col("query_key")).alias("query_id"), "query_type", "query_text", "query_tile_id",
+        key_id("q-", F.col("query_key")).alias("query_id"), "query_type", "query_text", "query_tile_id",
         filters.alias("filters"), "result_count", "latency_ms", "created_at",
     )
 
@@ -23,7 +23,7 @@ def provenance_rows(events: DataFrame) -> DataFrame:
     """Provenance rows; `parameters` and `result_summary` are structs or null."""
     as_json = lambda c: F.when(F.col(c).isNotNull(), F.to_json(c, {"ignoreNullFields": "false"}))
     return events.select(
-        short_id("prov-", F.col("entity_type"), F.col("entity_id"), F.col("created_at")).alias("provenance_id"),
+        key_id("prov-", F.col("entity_type"), F.col("entity_id"), F.col("created_at")).alias("provenance_id"),
         "entity_type", "entity_id", "query_text", "query_tile_id", "embedding_model", "embedding_version",
         F.lit(vocab.PROCESSING_VERSION).alias("processing_version"), as_json("parameters").alias("parameters"),
         as_json("result_summary").alias("result_summary"), "confidence", "created_at",

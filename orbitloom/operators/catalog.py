@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
-from ..functions import naming as N
+from ..functions import naming as N, projection as P
 from .ranking import one_row
 
 
@@ -50,10 +50,14 @@ def scene_metadata(headers: DataFrame, sensor_override: str | None = None, date_
     )
 
 
-def native_bounds(headers: DataFrame) -> DataFrame:
-    """Bounds are passed through for EPSG:4326 and for a missing CRS; other systems are not reprojected (null)."""
-    same = F.col("crs").isNull() | (F.upper("crs") == "EPSG:4326")
-    return headers.withColumns({c: F.when(same, F.col(c)) for c in ("bounds_minx", "bounds_miny", "bounds_maxx", "bounds_maxy")})
+def geographic_bounds(headers: DataFrame) -> DataFrame:
+    """Bounds in degrees, corner by corner, and `crs_status`: EPSG:4326 and a missing system pass through, UTM
+    zones are converted, bounds of other systems become null and are flagged `unsupported`."""
+    minx, miny = P.to_degrees("crs", "bounds_minx", "bounds_miny")
+    maxx, maxy = P.to_degrees("crs", "bounds_maxx", "bounds_maxy")
+    return headers.withColumns({
+        "bounds_minx": minx, "bounds_miny": miny, "bounds_maxx": maxx, "bounds_maxy": maxy, "crs_status": P.crs_status(F.col("crs")),
+    })
 
 
 def tiles_with_scenes(tiles: DataFrame, scenes: DataFrame) -> DataFrame:

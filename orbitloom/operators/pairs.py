@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
 from ..functions.common import lookup, string_array
-from .ranking import hash_order, hash_ranked
+from .ranking import date_ordered, hash_order, hash_ranked
 
 
 def land_cover_scores(df: DataFrame) -> DataFrame:
@@ -180,11 +180,15 @@ def caption_lengths(pairs: DataFrame) -> DataFrame:
 
 
 def captions_by_tile(pairs: DataFrame, chunk: int = 500) -> DataFrame:
-    """Captions grouped per tile, at most `chunk` per row: a tile with very many captions is spread over rows."""
-    spread = F.pmod(F.xxhash64("caption"), F.ceil(F.col("_n") / F.lit(chunk)))
-    counts = pairs.groupBy("tile_id").agg(F.count("*").alias("_n"))
-    return pairs.join(counts, "tile_id").withColumn("part", spread.cast("int")).groupBy("tile_id", "part").agg(
-        F.sort_array(F.collect_list("caption")).alias("captions")
+    """(tile_id, part, captions): a tile's captions in parts of `chunk`, the last one shorter.
+
+    Captions are numbered within their tile by hash prefix and caption, so a tile with most of the captions is
+    numbered in many small sorts.
+    """
+    numbered = date_ordered(pairs.withColumn("_prefix", F.substring(F.md5("caption"), 1, 3)), ["tile_id"], "_prefix", [F.col("caption")])
+    part = F.floor((F.col("position") - 1) / F.lit(chunk)).cast("int")
+    return numbered.groupBy("tile_id", part.alias("part")).agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("position", "caption"))), lambda x: x["caption"]).alias("captions")
     )
 
 

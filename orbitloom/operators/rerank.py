@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from .. import vocab
 from ..functions.common import contains_any, stable_int
 from .blocks import QUERY_BYTES_LIMIT, block_apply
-from .knn import gathered, matrix, rank_hits, top_rows
+from .knn import gathered, matrix, rank_hits
 
 
 def _bits(flags: list[Column]) -> Column:
@@ -107,36 +107,51 @@ def search_blocks(tiles: DataFrame, requests: DataFrame, k: int, dim: int,
     )
 
     def reduce_block(b: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        """Scores and order of the block's tiles once per prompt; each request then takes the first k that pass."""
         parts, raws, scores = [], [], []
         ids = b["tile_id"].to_numpy()
         if len(b) and len(q):
-            raw = np.round(matrix(q["embedding"]) @ matrix(b["embedding"]).T, 4)
             id_rank = np.argsort(np.argsort(ids))
             code, yes, no = b["hash_code"].to_numpy(), b["confirms"].to_numpy(), b["contradicts"].to_numpy()
             date, sensor = b["date"].to_numpy(dtype="U10"), b["sensor"].to_numpy(dtype=str)
             box = [b[c].to_numpy(dtype=float) for c in ("bounds_minx", "bounds_miny", "bounds_maxx", "bounds_maxy")]
             confirmed = 0.94 + code % 100 / 1000.0 * 0.04
             contradicted = 0.35 + code % 50 / 500.0
-            for i, r in enumerate(q.itertuples(index=False)):
-                keep = np.ones(len(b), dtype=bool)
-                if r.bbox_minx == r.bbox_minx and r.bbox_minx is not None:
-                    keep &= (box[2] >= r.bbox_minx) & (box[0] <= r.bbox_maxx) & (box[3] >= r.bbox_miny) & (box[1] <= r.bbox_maxy)
-                if r.date_from:
-                    keep &= (date != "") & (date >= r.date_from)
-                if r.date_to:
-                    keep &= (date != "") & (date <= r.date_to)
-                if r.sensor:
-                    keep &= sensor == r.sensor
-                hit, miss = (yes & r.domains) != 0, (no & r.domains) != 0
-                score = np.where(
-                    hit, np.clip(confirmed + raw[i] * 0.15, 0.88, 0.985),
-                    np.where(miss, contradicted, np.clip(0.72 + raw[i] * 0.5, 0.60, 0.85)),
-                )
-                score = np.where(keep, np.round(score, 6), -np.inf)
-                best = top_rows(score, [-raw[i], id_rank], k)
-                parts.append((r.query_id, best))
-                raws.append(raw[i][best])
-                scores.append(score[best])
+            vectors, base_vectors = matrix(q["embedding"]), matrix(b["embedding"])
+            filters: dict[tuple, np.ndarray] = {}
+
+            def passing(r) -> np.ndarray:
+                boxed = r.bbox_minx == r.bbox_minx and r.bbox_minx is not None
+                key = ((r.bbox_minx, r.bbox_miny, r.bbox_maxx, r.bbox_maxy) if boxed else None, r.date_from, r.date_to, r.sensor)
+                if key not in filters:
+                    keep = np.ones(len(b), dtype=bool)
+                    if boxed:
+                        keep &= (box[2] >= r.bbox_minx) & (box[0] <= r.bbox_maxx) & (box[3] >= r.bbox_miny) & (box[1] <= r.bbox_maxy)
+                    if r.date_from:
+                        keep &= (date != "") & (date >= r.date_from)
+                    if r.date_to:
+                        keep &= (date != "") & (date <= r.date_to)
+                    if r.sensor:
+                        keep &= sensor == r.sensor
+                    filters[key] = keep
+                return filters[key]
+
+            same: dict[tuple, list[int]] = {}
+            for i, domains in enumerate(q["domains"]):
+                same.setdefault((vectors[i].tobytes(), domains), []).append(i)
+            rows = list(q.itertuples(index=False))
+            for (_, domains), members in same.items():
+                raw = np.round(base_vectors @ vectors[members[0]], 4)
+                score = np.round(np.where(
+                    (yes & domains) != 0, np.clip(confirmed + raw * 0.15, 0.88, 0.985),
+                    np.where((no & domains) != 0, contradicted, np.clip(0.72 + raw * 0.5, 0.60, 0.85)),
+                ), 6)
+                order = np.lexsort((id_rank, -raw, -score))
+                for i in members:
+                    best = order[passing(rows[i])[order]][:k]
+                    parts.append((rows[i].query_id, best))
+                    raws.append(raw[best])
+                    scores.append(score[best])
         return gathered(parts, ids, raw_similarity=raws, verified=scores)
 
     hits = block_apply(base, queries, reduce_block, "query_id string, tile_id string, raw_similarity double, verified double",

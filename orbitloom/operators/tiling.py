@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from .. import vocab
-from ..functions import naming as N
+from ..functions import naming as N, projection as P
 
 
 def tile_grid(scenes: DataFrame, tile_size: int | None = None, overlap: int | None = None) -> DataFrame:
-    """One row per tile: window offsets, clamped window size, bounds and center.
+    """One row per tile: window offsets, clamped window size, bounds and center in degrees.
 
     Overlap 0 or None means the default.  The count uses the full windows only;
     a window clamped below half a tile is skipped.
@@ -45,15 +45,15 @@ def _grid(scenes: DataFrame, size: int, lap: int, step: int) -> DataFrame:
         "t_maxy": F.col("bounds_maxy") - F.col("row_off") * y_res,
         "t_miny": F.col("bounds_maxy") - (F.col("row_off") + F.col("win_height")) * y_res,
     }
-    grid = grid.withColumns(tile)
+    grid = grid.withColumns(tile).withColumns({"t_cx": (F.col("t_minx") + F.col("t_maxx")) / 2, "t_cy": (F.col("t_miny") + F.col("t_maxy")) / 2})
+    # corners and center are converted one by one where the scene names its system
+    point = (lambda x, y: P.to_degrees("crs", x, y)) if "crs" in grid.columns else (lambda x, y: (F.col(x), F.col(y)))
+    (minx, miny), (maxx, maxy), (cx, cy) = point("t_minx", "t_miny"), point("t_maxx", "t_maxy"), point("t_cx", "t_cy")
     return grid.select(
         N.tile_id(F.col("scene_id"), F.col("x_index"), F.col("y_index")).alias("tile_id"), "scene_id",
         "x_index", "y_index", "col_off", "row_off", "win_width", "win_height",
-        F.col("t_minx").alias("bounds_minx"), F.col("t_miny").alias("bounds_miny"),
-        F.col("t_maxx").alias("bounds_maxx"), F.col("t_maxy").alias("bounds_maxy"),
-        ((F.col("t_minx") + F.col("t_maxx")) / 2).alias("center_lon"),
-        ((F.col("t_miny") + F.col("t_maxy")) / 2).alias("center_lat"),
-        F.lit(size).alias("width"), F.lit(size).alias("height"),
+        minx.alias("bounds_minx"), miny.alias("bounds_miny"), maxx.alias("bounds_maxx"), maxy.alias("bounds_maxy"),
+        cx.alias("center_lon"), cy.alias("center_lat"), F.lit(size).alias("width"), F.lit(size).alias("height"),
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import spectral as S
-from ..functions.common import short_id
+from ..functions.common import key_id
 from ..operators import change as C, morphology as M, raster as R
 
 
@@ -63,7 +63,7 @@ def analyze_pairs(pairs: DataFrame, t1: DataFrame, t2: DataFrame) -> DataFrame:
         "cloud_fraction1": "cloud1", "cloud_fraction2": "cloud2", "overall_quality1": "quality1", "overall_quality2": "quality2",
     })
     return C.decide(joined).withColumn(
-        "analysis_id", short_id("chg-", F.col("tile_id"), F.col("t1_tile_id"), F.col("t2_tile_id"))
+        "analysis_id", key_id("chg-", F.col("tile_id"), F.col("t1_tile_id"), F.col("t2_tile_id"))
     )
 
 

@@ -9,57 +9,65 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..operators.catalog import latest_per_key
 from ..operators.embedding import Encoder, encode_texts
 from ..operators.incremental import classify
-from ..session import new_table_path
+from ..session import materialize, new_table_path
 
 
-class VersionedTable:
-    """A keyed Parquet table whose upserts are appended batches; the newest batch wins on read.
+class KeyedTable:
+    """A keyed Parquet table, partitioned by a hash of its keys; a merge rewrites the partitions that it touches.
 
-    Writing batch n twice replaces the same folder, so a batch that is retried
-    after a failure leaves the table as if it ran once.
+    `buckets` is chosen so that one partition is a comfortable task.  Merging the same rows twice leaves the same
+    table, so a batch may be retried.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str]):
-        self.spark, self.path, self.schema, self.keys = spark, path, schema, keys
-        spark.createDataFrame([], schema).write.mode("ignore").parquet(self._folder(-1))
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64):
+        self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
+        self._with_bucket(spark.createDataFrame([], schema)).write.mode("append").parquet(path)
 
-    def _folder(self, batch: int) -> str:
-        return os.path.join(self.path, f"batch={batch}")
+    def _with_bucket(self, rows: DataFrame) -> DataFrame:
+        return rows.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
 
-    def write(self, rows: DataFrame, batch: int) -> None:
-        rows.write.mode("overwrite").parquet(self._folder(batch))
+    def _stored(self) -> DataFrame:
+        return self.spark.read.schema(self.schema + ", bucket INT").parquet(self.path)
 
-    def read(self, before: int | None = None) -> DataFrame:
-        """Current rows, or the rows as of the batches before one."""
-        stored = self.spark.read.schema(self.schema + ", batch BIGINT").parquet(self.path)
-        if before is not None:
-            stored = stored.where(F.col("batch") < before)
-        return latest_per_key(stored, self.keys, ["batch"]).drop("batch")
+    def read(self) -> DataFrame:
+        return self._stored().drop("bucket")
 
+    def merge(self, rows: DataFrame) -> None:
+        """Upserts `rows`, one per key.  Only the touched buckets are read and written: their numbers, at most
+        `buckets`, are all that passes through the driver."""
+        new = materialize(self._with_bucket(rows), "merge")
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]
+        if not touched:
+            return
+        old = self._stored().where(F.col("bucket").isin(touched)).join(new.select(*self.keys), self.keys, "left_anti")
+        merged = materialize(old.select(*new.columns).unionByName(new), "merged")
+        merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
-def index_stream(arrivals: DataFrame, manifest: VersionedTable, vectors: VersionedTable, encoder: Encoder, checkpoint: str,
+
+def index_stream(arrivals: DataFrame, manifest: KeyedTable, vectors: KeyedTable, encoder: Encoder, checkpoint: str,
                  stamp="2024-01-01 00:00:00"):
-    """Index arriving tiles (tile_id, content) as they come; unchanged content is skipped.
+    """Index arriving tiles (tile_id, content, and optionally arrived_at) as they come; unchanged content is skipped.
 
-    Every micro-batch is diffed against the manifest by hash and model version; the manifest is the only
-    state.  Runs what is available and stops; call again for the next files.
+    Of several arrivals of a tile the last by arrived_at wins (equal times: the larger content hash); a later
+    micro-batch wins over an earlier one.  Every micro-batch is diffed against the manifest by hash and model version.
+    Runs what is available and stops; call again for the next files.
     """
-    def step(batch: DataFrame, batch_id: int) -> None:
-        batch = latest_per_key(
-            batch.withColumn("content_hash", F.sha2("content", 256)), ["tile_id"], ["content_hash"]
-        )
-        todo = classify(batch, manifest.read(before=batch_id), encoder.name, encoder.version).where(F.col("change") != "UNCHANGED")
+    def step(batch: DataFrame, _batch_id: int) -> None:
+        if "arrived_at" not in batch.columns:
+            batch = batch.withColumn("arrived_at", F.lit(0))
+        last = latest_per_key(batch.withColumn("content_hash", F.sha2("content", 256)), ["tile_id"], ["arrived_at", "content_hash"])
+        todo = materialize(classify(last, manifest.read(), encoder.name, encoder.version).where(F.col("change") != "UNCHANGED"), "todo")
         at = F.lit(stamp).cast("timestamp")
         encoded = encode_texts(todo.select("tile_id", F.col("content").alias("_content")), "_content", encoder)
-        vectors.write(encoded.select(
+        vectors.merge(encoded.select(
             "tile_id", F.lit(encoder.name).alias("model_name"), F.lit(encoder.version).alias("model_version"),
             F.lit(encoder.dim).alias("vector_dim"), at.alias("created_at"), "embedding",
-        ), batch_id)
+        ))
         # the manifest goes last: a failure before it makes the retry encode again, never skip
-        manifest.write(todo.select(
+        manifest.merge(todo.select(
             "tile_id", "content_hash", F.lit(encoder.name).alias("embedding_model"),
             F.lit(encoder.version).alias("embedding_version"), at.alias("indexed_at"),
-        ), batch_id)
+        ))
 
     return (
         arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

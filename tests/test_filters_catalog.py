@@ -119,3 +119,57 @@ def test_reviews_and_requests(spark):
     assert sorted(r.status for r in FL.review_checks(rev, known).collect()) == ["accepted", "bad_decision", "bad_decision", "unknown_analysis"]
     req = spark.createDataFrame([(1, 0.0), (200, 1.0), (0, 0.5), (201, 0.5), (20, 1.1), (None, None)], "top_k int, score double")
     assert [r.status for r in FL.search_checks(req).collect()] == ["accepted", "accepted", "bad_top_k", "bad_top_k", "bad_score", "accepted"]
+
+
+# ---- coordinates and repeated scenes
+
+def forward_utm(lon, lat, zone, south):
+    """Longitude and latitude to metres, by the forward series: an independent check of the inverse."""
+    import math
+
+    f = 1 / 298.257223563
+    n = f / (2 - f)
+    radius = 6378137.0 / (1 + n) * (1 + n**2 / 4 + n**4 / 64)
+    alpha = (n / 2 - 2 * n**2 / 3 + 5 * n**3 / 16 + 41 * n**4 / 180, 13 * n**2 / 48 - 3 * n**3 / 5 + 557 * n**4 / 1440, 61 * n**3 / 240 - 103 * n**4 / 140, 49561 * n**4 / 161280)
+    phi, lam = math.radians(lat), math.radians(lon - (6 * zone - 183))
+    e = 2 * math.sqrt(n) / (1 + n)
+    t = math.sinh(math.atanh(math.sin(phi)) - e * math.atanh(e * math.sin(phi)))
+    xi, eta = math.atan2(t, math.cos(lam)), math.atanh(math.sin(lam) / math.sqrt(1 + t * t))
+    x = eta + sum(a * math.cos(2 * j * xi) * math.sinh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    y = xi + sum(a * math.sin(2 * j * xi) * math.cosh(2 * j * eta) for j, a in enumerate(alpha, 1))
+    return 500000 + 0.9996 * radius * x, (1e7 if south else 0) + 0.9996 * radius * y
+
+
+def test_utm_bounds_become_degrees(spark):
+    from orbitloom.operators.catalog import geographic_bounds
+
+    points = [(93.0, 26.0, 46, False), (91.65, 26.1, 46, False), (-70.5, -33.4, 19, True), (0.0, 0.0, 31, False), (179.9, 70.0, 60, False), (-177.0, -79.0, 1, True)]
+    rows = []
+    for k, (lon, lat, zone, south) in enumerate(points):
+        east, north = forward_utm(lon, lat, zone, south)
+        rows.append((k, f"EPSG:32{7 if south else 6}{zone:02d}", east, north, east, north))
+    rows += [(90, "EPSG:4326", 1.0, 2.0, 3.0, 4.0), (91, None, 1.0, 2.0, 3.0, 4.0), (92, "EPSG:3857", 1.0, 2.0, 3.0, 4.0), (93, "EPSG:32661", 1.0, 2.0, 3.0, 4.0), (94, "epsg:32646", 500000.0, 0.0, 500000.0, 0.0)]
+    df = spark.createDataFrame(rows, "k int, crs string, bounds_minx double, bounds_miny double, bounds_maxx double, bounds_maxy double")
+    got = {r.k: r for r in geographic_bounds(df).collect()}
+    for k, (lon, lat, _, _) in enumerate(points):
+        assert abs(got[k].bounds_minx - lon) < 1e-9 and abs(got[k].bounds_maxy - lat) < 1e-9 and got[k].crs_status == "utm"
+    assert (got[90].bounds_minx, got[91].bounds_maxy, got[90].crs_status) == (1.0, 4.0, "degrees")
+    assert {(got[k].bounds_minx, got[k].crs_status) for k in (92, 93)} == {(None, "unsupported")}
+    assert abs(got[94].bounds_minx - 93.0) < 1e-9 and got[94].bounds_miny == 0.0
+
+
+def test_a_scene_given_twice_is_ingested_once(spark):
+    from orbitloom.plans.ingest import catalog_tables, ingest_results
+
+    ddl = "file_path string, present boolean, readable boolean, crs string, width int, height int, band_count int, bounds_minx double, bounds_miny double, bounds_maxx double, bounds_maxy double"
+    one = (True, True, "EPSG:32646", 512, 512, 4, 300000.0, 2890000.0, 305120.0, 2895120.0)
+    rows = [("/b/S2A_20260115_T.tif", *one), ("/a/S2A_20260115_T.tif", *one), ("/a/S2A_20260115_T.tif", *one), ("/a/S2A_20260116_K.tif", *one), ("/a/bad.png", *one)]
+    headers = spark.createDataFrame(rows, ddl)
+    known = spark.createDataFrame([("SENT_20260116_S2A_20260116_K",)], "scene_id string")
+    got = {r.file_path: (r.status, r.tiles_created) for r in ingest_results(headers, known).collect()}
+    assert got == {"/a/S2A_20260115_T.tif": ("success", 4), "/b/S2A_20260115_T.tif": ("skipped", 0), "/a/S2A_20260116_K.tif": ("skipped", 0), "/a/bad.png": ("error", 0)}
+    scenes, tiles = catalog_tables(headers, known, "2026-01-20 00:00:00")
+    assert [r.file_path for r in scenes.collect()] == ["/a/S2A_20260115_T.tif"]
+    rows = tiles.collect()
+    assert len(rows) == len({r.tile_id for r in rows}) == 4
+    assert all(90 < r.bounds_minx < r.center_lon < r.bounds_maxx < 92 and 26 < r.bounds_miny < r.center_lat < r.bounds_maxy < 27 for r in rows)

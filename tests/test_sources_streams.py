@@ -130,8 +130,8 @@ def test_manifest_rules(spark):
 
 def test_stream_indexes_once_and_survives_a_retry(spark, tmp_path):
     enc = HashingEncoder(16)
-    man = ST.VersionedTable(spark, str(tmp_path / "man"), schemas.INDEX_MANIFEST, ["tile_id", "embedding_model"])
-    vec = ST.VersionedTable(spark, str(tmp_path / "vec"), schemas.VECTORS, ["tile_id", "model_name"])
+    man = ST.KeyedTable(spark, str(tmp_path / "man"), schemas.INDEX_MANIFEST, ["tile_id", "embedding_model"])
+    vec = ST.KeyedTable(spark, str(tmp_path / "vec"), schemas.VECTORS, ["tile_id", "model_name"])
     src = tmp_path / "in"
 
     def arrive(rows, n):
@@ -146,10 +146,23 @@ def test_stream_indexes_once_and_survives_a_retry(spark, tmp_path):
     second = {r.tile_id: r.embedding for r in vec.read().collect()}
     assert days == {"a": 2, "b": 1, "c": 2}  # unchanged b was skipped
     assert second["b"] == first["b"] and second["a"] != first["a"] and len(second) == 3
-    # the same batch written again leaves one version of each key
-    again = man.read().where("tile_id = 'c'")
-    man.write(materialize(again, "again"), 1)
-    assert man.read().where("tile_id = 'c'").count() == 1
+    # the same rows merged again leave one row of each key
+    before = sorted(map(tuple, man.read().collect()))
+    man.merge(materialize(man.read().where("tile_id = 'c'"), "again"))
+    assert sorted(map(tuple, man.read().collect())) == before
+
+
+def test_the_last_arrival_wins(spark, tmp_path):
+    man = ST.KeyedTable(spark, str(tmp_path / "man"), schemas.INDEX_MANIFEST, ["tile_id", "embedding_model"], buckets=3)
+    vec = ST.KeyedTable(spark, str(tmp_path / "vec"), schemas.VECTORS, ["tile_id", "model_name"], buckets=3)
+    rows = [("a", "v1-old", 1), ("a", "v2-new", 2), ("b", "z", 5), ("b", "y", 9), ("b", "x", 7)]
+    schema = "tile_id string, content string, arrived_at long"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "in"))
+    ST.index_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), man, vec, HashingEncoder(16), str(tmp_path / "ck")).awaitTermination()
+    import hashlib
+
+    assert {r.tile_id: r.content_hash for r in man.read().collect()} == {"a": hashlib.sha256(b"v2-new").hexdigest(), "b": hashlib.sha256(b"y").hexdigest()}
+    assert vec.read().count() == 2
 
 
 def test_windows_and_sessions_stream(spark, tmp_path):
@@ -166,7 +179,7 @@ def test_audit_rows_repeat_their_ids(spark):
     df = spark.createDataFrame([("k", "SEARCH", "text", None, [1.0], None, None, "S", 3, 1.5, "2024-01-01")],
                                "query_key string, query_type string, query_text string, query_tile_id string, bbox array<double>, date_from string, date_to string, sensor string, result_count int, latency_ms double, created_at string")
     a, b = A.query_log_rows(df).first(), A.query_log_rows(df).first()
-    assert a == b and a.query_id.startswith("q-") and len(a.query_id) == 10
+    assert a == b and a.query_id.startswith("q-") and len(a.query_id) == 66
     assert json.loads(a.filters) == {"bbox": [1.0], "date_from": None, "date_to": None, "sensor": "S"}
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitloom.functions import naming as N
-from orbitloom.functions.common import short_id
+from orbitloom.functions.projection import utm_sql
 from orbitloom.operators import audit as A, catalog as C, filters as FL, tiling as T
 from orbitloom.sources import tables as S
 
@@ -37,11 +37,23 @@ def scene_metadata(spark, d):
     )
 
 
-@query("M15", """
-SELECT header_key, CASE WHEN crs IS NULL OR upper(crs) = 'EPSG:4326' THEN bounds_minx END AS bounds_minx,
-  CASE WHEN crs IS NULL OR upper(crs) = 'EPSG:4326' THEN bounds_miny END AS bounds_miny FROM v_headers""")
+_ZONE = "CAST(substring(crs, 9, 2) AS DOUBLE)"
+
+
+def _degrees(east: str, north: str) -> tuple[str, str]:
+    """Longitude and latitude of a header's point, in SQL."""
+    lon, lat = utm_sql(east, north, _ZONE, "crs LIKE 'EPSG:327%'")
+    pick = lambda plain, sql: f"CASE WHEN crs IS NULL OR crs = 'EPSG:4326' THEN {plain} WHEN crs LIKE 'EPSG:32%' THEN {sql} END"
+    return pick(east, lon), pick(north, lat)
+
+
+@query("M15", f"""
+SELECT header_key, round({_degrees('bounds_minx', 'bounds_miny')[0]}, 6) AS bounds_minx, round({_degrees('bounds_minx', 'bounds_miny')[1]}, 6) AS bounds_miny,
+  round({_degrees('bounds_maxx', 'bounds_maxy')[0]}, 6) AS bounds_maxx, round({_degrees('bounds_maxx', 'bounds_maxy')[1]}, 6) AS bounds_maxy,
+  CASE WHEN crs IS NULL OR crs = 'EPSG:4326' THEN 'degrees' WHEN crs LIKE 'EPSG:32%' THEN 'utm' ELSE 'unsupported' END AS crs_status FROM v_headers""")
 def scene_bounds(spark, d):
-    return C.native_bounds(v.headers(spark, d)).select("header_key", "bounds_minx", "bounds_miny")
+    bounds = ["bounds_minx", "bounds_miny", "bounds_maxx", "bounds_maxy"]
+    return C.geographic_bounds(v.headers(spark, d)).select("header_key", *[F.round(c, 6).alias(c) for c in bounds], "crs_status")
 
 
 def _grid_scenes(spark, d):
@@ -53,18 +65,18 @@ _VALID = """present AND suffix IN ('.tif', '.tiff', '.geotiff') AND readable AND
 
 
 def _grid_sql(cols: str, rows: str, size: int, step: int, where: str) -> str:
+    (minx, miny), (maxx, maxy), (cx, cy) = _degrees("tx0", "ty0"), _degrees("tx1", "ty1"), _degrees("((tx0 + tx1) / 2)", "((ty0 + ty1) / 2)")
     return f"""
 SELECT scene_id || '_x' || lpad(xi::VARCHAR, 2, '0') || '_y' || lpad(yi::VARCHAR, 2, '0') AS tile_id, xi AS x_index, yi AS y_index,
-  win_w AS win_width, win_h AS win_height,
-  round(bounds_minx + xi * {step} * xr, 6) AS minx, round(bounds_minx + (xi * {step} + win_w) * xr, 6) AS maxx,
-  round(bounds_maxy - yi * {step} * yr, 6) AS maxy, round(bounds_maxy - (yi * {step} + win_h) * yr, 6) AS miny,
-  round(((bounds_minx + xi * {step} * xr) + (bounds_minx + (xi * {step} + win_w) * xr)) / 2, 6) AS center_lon,
-  round(((bounds_maxy - (yi * {step} + win_h) * yr) + (bounds_maxy - yi * {step} * yr)) / 2, 6) AS center_lat
-FROM (SELECT *, least({size}, width - xi * {step})::INT AS win_w, least({size}, height - yi * {step})::INT AS win_h,
-    (bounds_maxx - bounds_minx) / width AS xr, (bounds_maxy - bounds_miny) / height AS yr
-  FROM (SELECT *, unnest(generate_series(0, n_cols - 1))::INT AS xi FROM
-    (SELECT *, unnest(generate_series(0, n_rows - 1))::INT AS yi FROM
-      (SELECT *, {cols} AS n_cols, {rows} AS n_rows FROM v_scene_ids WHERE {_VALID} {where}))))
+  win_w AS win_width, win_h AS win_height, round({minx}, 6) AS minx, round({maxx}, 6) AS maxx,
+  round({maxy}, 6) AS maxy, round({miny}, 6) AS miny, round({cx}, 6) AS center_lon, round({cy}, 6) AS center_lat
+FROM (SELECT *, bounds_minx + xi * {step} * xr AS tx0, bounds_minx + (xi * {step} + win_w) * xr AS tx1,
+    bounds_maxy - yi * {step} * yr AS ty1, bounds_maxy - (yi * {step} + win_h) * yr AS ty0
+  FROM (SELECT *, least({size}, width - xi * {step})::INT AS win_w, least({size}, height - yi * {step})::INT AS win_h,
+      (bounds_maxx - bounds_minx) / width AS xr, (bounds_maxy - bounds_miny) / height AS yr
+    FROM (SELECT *, unnest(generate_series(0, n_cols - 1))::INT AS xi FROM
+      (SELECT *, unnest(generate_series(0, n_rows - 1))::INT AS yi FROM
+        (SELECT *, {cols} AS n_cols, {rows} AS n_rows FROM v_scene_ids WHERE {_VALID} {where})))))
 WHERE win_w >= {size // 2} AND win_h >= {size // 2}"""
 
 
@@ -111,7 +123,7 @@ def pixel_tiles(spark, d):
     return T.pixels_to_tiles(px, dims, 24, 8).select("tile_id", "row", "col", "red", "nir")
 
 
-@query("M11 J14", """
+@query("M11", """
 SELECT t.tile_id, r.i::INT AS row, c.i::INT AS col, coalesce(p.red, 0) AS red, coalesce(p.green, 0) AS green, coalesce(p.blue, 0) AS blue, coalesce(p.nir, 0) AS nir
 FROM (SELECT DISTINCT tile_id FROM v_pixels) t, range(40) r(i), range(40) c(i)
 LEFT JOIN v_pixels p ON p.tile_id = t.tile_id AND p.row = r.i AND p.col = c.i""")
@@ -127,17 +139,34 @@ def content_hashes(spark, d):
     return content_hash(docs, "text").select(F.col("doc_id").cast("string").alias("tile_id"), "content_hash")
 
 
-@query("M16 S12", f"""
-WITH tiles AS ({_grid_sql("greatest(1, (width - 32) // 224)", "greatest(1, (height - 32) // 224)", 256, 224, "").replace("SELECT scene_id ||", "SELECT scene_id AS sid, scene_id ||", 1)}),
-n AS (SELECT sid, count(*) AS tiles_created FROM tiles GROUP BY 1),
-r AS (SELECT CASE WHEN NOT ({_VALID}) THEN 'error' ELSE 'success' END AS status, scene_id FROM v_scene_ids)
-SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, sum(CASE WHEN status = 'success' THEN coalesce(tiles_created, 0) ELSE 0 END)::BIGINT AS tiles_created
-FROM r LEFT JOIN n ON r.scene_id = n.sid""")
-def ingest_summary(spark, d):
+_INGESTED = f"""
+files AS (SELECT *, '/again/' || substr(file_path, 6) AS path FROM v_scene_ids UNION ALL SELECT *, file_path FROM v_scene_ids),
+known AS (SELECT scene_id FROM v_scene_ids WHERE header_key % 5 = 0 AND {_VALID}),
+judged AS (SELECT path AS file_path, CASE WHEN {_VALID} THEN scene_id END AS scene_id, CASE WHEN NOT ({_VALID}) THEN 'error'
+    WHEN scene_id IN (SELECT scene_id FROM known) OR row_number() OVER (PARTITION BY scene_id, {_VALID} ORDER BY path) > 1 THEN 'skipped' ELSE 'success' END AS status FROM files),
+n AS (SELECT regexp_replace(tile_id, '_x[0-9]+_y[0-9]+$', '') AS sid, count(*) AS tiles FROM ({_grid_sql("greatest(1, (width - 32) // 224)", "greatest(1, (height - 32) // 224)", 256, 224, "")}) GROUP BY 1),
+results AS (SELECT j.*, CASE WHEN status = 'success' THEN coalesce(tiles, 0) ELSE 0 END::BIGINT AS tiles_created FROM judged j LEFT JOIN n ON j.scene_id = n.sid)"""
+
+
+def _ingested(spark, d):
+    """Every header twice, under two paths, into an archive that knows a part of the scenes."""
     from orbitloom.plans.ingest import ingest_results
 
-    none_yet = v.headers(spark, d).where("false").select(F.lit("").alias("scene_id"))
-    return C.ingest_summary(ingest_results(v.headers(spark, d), none_yet, "sensor_given", "date_given"))
+    h = v.headers(spark, d)
+    again = h.withColumn("file_path", F.concat(F.lit("/again/"), F.substring("file_path", 6, 10_000)))
+    known = C.scene_metadata(C.validate_scenes(h.where("header_key % 5 = 0")).where("valid"), "sensor_given", "date_given")
+    return ingest_results(h.unionByName(again), known, "sensor_given", "date_given")
+
+
+@query("M16 S12", f"WITH {_INGESTED} SELECT file_path, scene_id, status, tiles_created FROM results")
+def ingest_results(spark, d):
+    return _ingested(spark, d).select("file_path", "scene_id", "status", "tiles_created")
+
+
+@query("M16", f"""
+WITH {_INGESTED} SELECT count(*) AS total, count(*) FILTER (status = 'success') AS success, coalesce(sum(tiles_created), 0)::BIGINT AS tiles_created FROM results""")
+def ingest_summary(spark, d):
+    return C.ingest_summary(_ingested(spark, d))
 
 
 # ---- filters
@@ -175,10 +204,12 @@ def valid_pixel_counts(spark, d):
 @query("F10 C13", """
 SELECT r.analysis_id, decision, CASE WHEN decision NOT IN ('confirmed', 'rejected', 'uncertain') THEN 'bad_decision'
   WHEN k.doc_id IS NULL THEN 'unknown_analysis' ELSE 'accepted' END AS status
-FROM v_reviews r LEFT JOIN (SELECT DISTINCT doc_id FROM documents WHERE lang = 'en') k ON r.analysis_id = k.doc_id""")
+FROM (SELECT analysis_id * 2 AS analysis_id, decision FROM v_reviews) r LEFT JOIN documents k ON r.analysis_id = k.doc_id""")
 def review_status(spark, d):
-    known = v.table(spark, d, "documents").where("lang = 'en'").select(F.col("doc_id").alias("analysis_id"))
-    return FL.review_checks(v.reviews(spark, d), known).select("analysis_id", "decision", "status")
+    """Reviews of every second id: those beyond the last document are unknown."""
+    known = v.table(spark, d, "documents").select(F.col("doc_id").alias("analysis_id"))
+    reviews = v.reviews(spark, d).withColumn("analysis_id", F.col("analysis_id") * 2)
+    return FL.review_checks(reviews, known).select("analysis_id", "decision", "status")
 
 
 @query("F10", """
@@ -207,11 +238,14 @@ def manifest_stats(spark, d):
 
 
 @query("J2 A3 L4", """
-SELECT s.scene_id, ingested_on::VARCHAR AS ingested_on, count(t.tile_id) AS tile_count FROM v_scenes s LEFT JOIN v_tiles t ON s.scene_id = t.scene_id
- AND t.label <> 3 GROUP BY 1, 2 ORDER BY ingested_on DESC, s.scene_id""")
+SELECT s.scene_id, ingested_on::VARCHAR AS ingested_on, count(t.tile_id) AS tile_count
+FROM (SELECT scene_id, ingested_on FROM v_scenes UNION ALL SELECT 'scene_' || r_name, DATE '2024-07-01' FROM region) s LEFT JOIN v_tiles t ON s.scene_id = t.scene_id
+GROUP BY 1, 2 ORDER BY ingested_on DESC, s.scene_id""")
 def scene_listing(spark, d):
-    empty_one = v.tiles(spark, d).where("label <> 3")
-    return C.scene_listing(v.scenes(spark, d), empty_one).select(
+    """All scenes, and one per region that has no tiles yet."""
+    bare = v.table(spark, d, "region").select(F.concat(F.lit("scene_"), "r_name").alias("scene_id"), F.to_timestamp(F.lit("2024-07-01 00:00:00")).alias("ingested_at"))
+    scenes = v.scenes(spark, d).select("scene_id", "ingested_at").unionByName(bare)
+    return C.scene_listing(scenes, v.tiles(spark, d)).select(
         "scene_id", F.to_date("ingested_at").cast("string").alias("ingested_on"), "tile_count"
     )
 
@@ -240,7 +274,7 @@ def tile_lookup(spark, d):
 
 # ---- keyed writes
 
-@query("S11 U5 S3", """
+@query("S11 U5", """
 WITH upd AS (SELECT o_custkey AS k, max_by({'s': o_orderstatus, 'p': o_totalprice}, (o_orderdate, o_orderkey)) AS r FROM orders GROUP BY 1)
 SELECT c_custkey AS site, 'base' AS origin, c_acctbal AS amount FROM customer WHERE c_custkey NOT IN (SELECT k FROM upd)
 UNION ALL SELECT k, r.s, r.p FROM upd""")
@@ -265,7 +299,7 @@ def insert_status(spark, d):
     return C.insert_status(new, seen, ["site"]).select("site", "seq", "status")
 
 
-@query("V11 S12 W9", """
+@query("V11 S12", """
 SELECT c_custkey AS site, 0 AS seq FROM customer WHERE c_acctbal > 0
 UNION ALL SELECT o_custkey, max(o_orderkey) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0) GROUP BY 1""")
 def insert_absent(spark, d):
@@ -277,13 +311,22 @@ def insert_absent(spark, d):
 # ---- relevance sets
 
 @query("S4", """
-SELECT lang AS query_id, count(*) FILTER (quality = 1) AS relevant_count, count(*) FILTER (quality <> 1) AS non_relevant_count
-FROM (SELECT DISTINCT lang, doc_id, max(quality) OVER (PARTITION BY lang, doc_id) AS quality FROM labels JOIN documents USING (doc_id)) GROUP BY 1""")
+SELECT j.query_id, tile_id, relevant, relevant_count, non_relevant_count FROM (
+  SELECT lang AS query_id, doc_id::VARCHAR AS tile_id, max(quality) AS relevant FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2) j
+JOIN (SELECT lang AS query_id, count(*) FILTER (quality = 1) AS relevant_count, count(*) FILTER (quality <> 1) AS non_relevant_count
+  FROM (SELECT lang, doc_id, max(quality) AS quality FROM labels JOIN documents USING (doc_id) GROUP BY 1, 2) GROUP BY 1) USING (query_id)""")
 def relevance_sets(spark, d):
+    """Judgments written as a CSV file and read back as sets, with every member."""
+    from orbitloom.session import new_table_path
+
     j = v.table(spark, d, "labels").join(v.table(spark, d, "documents").select("doc_id", "lang"), "doc_id").select(
         F.col("lang").alias("query_id"), F.col("lang").alias("query"), F.col("doc_id").cast("string").alias("tile_id"), F.col("quality").alias("relevant")
     )
-    return S.relevance_sets(j)[1].select("query_id", "relevant_count", "non_relevant_count")
+    path = new_table_path(spark, "relevance")
+    j.write.option("header", True).csv(path)
+    once, sizes = S.relevance_sets(S.read_relevance(spark, path))
+    return once.select("query_id", "tile_id", "relevant").join(sizes.drop("query"), "query_id").select(
+        "query_id", "tile_id", "relevant", "relevant_count", "non_relevant_count")
 
 
 # ---- audit
@@ -328,7 +371,7 @@ def provenance_by_entity(spark, d):
 
 
 @query("S10", """
-SELECT 'q-' || substr(sha256(query_id), 1, 8) AS query_id, query_type, filters FROM (
+SELECT 'q-' || sha256(query_id) AS query_id, query_type, filters FROM (
 SELECT query_id, query_type, '{"bbox":null,"date_from":null,"date_to":"' || strftime(created_at, '%Y-%m-%d') || '","sensor":"' || query_type || '"}' AS filters FROM v_query_log)""")
 def query_log_rows(spark, d):
     log = v.query_log(spark, d).select(
@@ -341,7 +384,7 @@ def query_log_rows(spark, d):
 
 
 @query("S10", """
-SELECT 'prov-' || substr(sha256(entity_type || '|' || entity_id || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S')), 1, 8) AS provenance_id,
+SELECT 'prov-' || sha256(entity_type || '|' || entity_id || '|' || strftime(created_at, '%Y-%m-%d %H:%M:%S')) AS provenance_id,
   entity_id, '{"k":' || json_extract_string(parameters, '$.k') || '}' AS parameters, '0.1.0' AS processing_version FROM v_provenance""")
 def provenance_rows(spark, d):
     p = v.provenance(spark, d)

@@ -10,6 +10,10 @@ def case(index: str, values) -> str:
     return f"CASE {index} {whens} END"
 
 
+def tile_name(number: str) -> str:
+    return f"'tile_' || lpad({number}::VARCHAR, greatest(5, length({number}::VARCHAR))::INT, '0')"
+
+
 _SCENE = f"'scene_' || label || '_' || {case('label', SCENE_NAMES)}"
 _T, _P = case("o_orderkey % 7", THEMES), case("o_orderkey % 5", PLACES)
 
@@ -38,18 +42,19 @@ SELECT DISTINCT {_SCENE} AS scene_id, {case('label % 3', ('Sentinel-2', 'Landsat
        DATE '2024-06-01' + label % 4 AS ingested_on
 FROM embeddings""",
     "v_tiles": f"""
-SELECT 'tile_' || lpad(vec_id::VARCHAR, 5, '0') AS tile_id, {_SCENE} AS scene_id,
-       (vec_id % 20)::INT AS x_index, (floor(vec_id / 20.0)::BIGINT % 25)::INT AS y_index,
+SELECT {tile_name('vec_id')} AS tile_id, {_SCENE} AS scene_id,
+       (vec_id % 20)::INT AS x_index, floor(vec_id / 20.0)::BIGINT::INT AS y_index,
        round(91.60::DOUBLE + 0.02::DOUBLE * (vec_id % 20), 4) AS center_lon,
-       round(26.05::DOUBLE + 0.02::DOUBLE * (floor(vec_id / 20.0)::BIGINT % 25), 4) AS center_lat,
+       round(26.05::DOUBLE + 0.02::DOUBLE * floor(vec_id / 20.0)::BIGINT, 4) AS center_lat,
        round(91.60::DOUBLE + 0.02::DOUBLE * (vec_id % 20) - 0.01::DOUBLE, 4) AS bounds_minx,
-       round(26.05::DOUBLE + 0.02::DOUBLE * (floor(vec_id / 20.0)::BIGINT % 25) - 0.01::DOUBLE, 4) AS bounds_miny,
+       round(26.05::DOUBLE + 0.02::DOUBLE * floor(vec_id / 20.0)::BIGINT - 0.01::DOUBLE, 4) AS bounds_miny,
        round(91.60::DOUBLE + 0.02::DOUBLE * (vec_id % 20) + 0.01::DOUBLE, 4) AS bounds_maxx,
-       round(26.05::DOUBLE + 0.02::DOUBLE * (floor(vec_id / 20.0)::BIGINT % 25) + 0.01::DOUBLE, 4) AS bounds_maxy,
+       round(26.05::DOUBLE + 0.02::DOUBLE * floor(vec_id / 20.0)::BIGINT + 0.01::DOUBLE, 4) AS bounds_maxy,
        embedding::DOUBLE[] AS embedding, label, vec_id
 FROM embeddings""",
     "v_headers": """
-SELECT *, bounds_minx + width * 0.0001::DOUBLE AS bounds_maxx, bounds_miny + height * 0.0001::DOUBLE AS bounds_maxy FROM (
+SELECT *, bounds_minx + width * CASE WHEN starts_with(crs, 'EPSG:32') THEN 10.0::DOUBLE ELSE 0.0001::DOUBLE END AS bounds_maxx,
+  bounds_miny + height * CASE WHEN starts_with(crs, 'EPSG:32') THEN 10.0::DOUBLE ELSE 0.0001::DOUBLE END AS bounds_maxy FROM (
 SELECT o_orderkey AS header_key, '/raw/' || o_orderstatus || '/' || CASE o_orderkey % 12
     WHEN 0 THEN 'S2A_MSIL2A_' || strftime(o_orderdate, '%Y%m%d') || '_T' || o_orderkey || '.tif'
     WHEN 1 THEN 'S1B_IW_GRD_' || strftime(o_orderdate, '%Y-%m-%d') || '_' || o_orderkey || '.tiff'
@@ -64,10 +69,11 @@ SELECT o_orderkey AS header_key, '/raw/' || o_orderstatus || '/' || CASE o_order
     WHEN 10 THEN 'survey_x' || o_orderkey || '.jp2'
     ELSE 'S2_x' || strftime(o_orderdate, '%Y_%m_%d') || '_x' || o_orderkey || '.tif' END AS file_path,
   o_orderkey % 97 <> 13 AS present, o_orderkey % 89 <> 7 AS readable,
-  CASE WHEN o_orderkey % 11 = 5 THEN 'EPSG:32646' WHEN o_orderkey % 7 <> 3 THEN 'EPSG:4326' END AS crs,
+  CASE WHEN o_orderkey % 11 = 5 THEN CASE WHEN o_orderkey % 2 = 0 THEN 'EPSG:32646' ELSE 'EPSG:32719' END WHEN o_orderkey % 11 = 8 THEN 'EPSG:3857' WHEN o_orderkey % 7 <> 3 THEN 'EPSG:4326' END AS crs,
   CASE WHEN o_orderkey % 50 = 1 THEN 0 ELSE 100 + (o_orderkey * 37) % 1400 END::INT AS width,
   (100 + (o_orderkey * 53) % 1100)::INT AS height, (o_orderkey % 5)::INT AS band_count,
-  60.0::DOUBLE + (o_orderkey % 300) * 0.1::DOUBLE AS bounds_minx, 8.0::DOUBLE + (o_orderkey % 250) * 0.1::DOUBLE AS bounds_miny,
+  CASE WHEN o_orderkey % 11 = 5 THEN 300000.0::DOUBLE + (o_orderkey % 300) * 1000.0::DOUBLE ELSE 60.0::DOUBLE + (o_orderkey % 300) * 0.1::DOUBLE END AS bounds_minx,
+  CASE WHEN o_orderkey % 11 = 5 THEN 2800000.0::DOUBLE + (o_orderkey % 250) * 1000.0::DOUBLE ELSE 8.0::DOUBLE + (o_orderkey % 250) * 0.1::DOUBLE END AS bounds_miny,
   CASE WHEN o_orderkey % 6 = 2 THEN 'Override-1' WHEN o_orderkey % 6 = 4 THEN '' END AS sensor_given,
   CASE WHEN o_orderkey % 8 = 3 THEN '2020-02-02' END AS date_given
 FROM orders)""",
@@ -108,7 +114,7 @@ SELECT 'q-' || o_orderkey AS query_id, CASE o_orderkey % 11
     WHEN 8 THEN 'search for ' || {_T} || ' near ' || {_P} || ' after 2024-03-01'
     WHEN 9 THEN '  ' || {_T} || ' '
     ELSE 'find ' || {_T} || ' sar imagery across ' || {_P} || ' between foo and bar with cloud under ' || (o_orderkey % 50) || '%' END AS text,
-  CASE WHEN o_orderkey % 4 = 0 THEN 'tile_' || lpad((o_orderkey % 500)::VARCHAR, 5, '0') END AS tile_id,
+  CASE WHEN o_orderkey % 4 = 0 THEN {tile_name('(o_orderkey // 4)')} END AS tile_id,
   CASE WHEN o_orderkey % 9 = 4 THEN 'Landsat-8' END AS sensor_given
 FROM orders""",
     "v_noise": """

@@ -269,12 +269,12 @@ decided AS (SELECT *, CASE WHEN f >= 0.72 THEN 'HIGH' WHEN f >= 0.45 THEN 'MEDIU
   CASE WHEN ratio * 100 < 1.0 OR round(f, 4) < 0.3 THEN NULL WHEN ratio * 100 > 15 THEN 'major_change' WHEN ratio * 100 > 5 THEN 'moderate_change' ELSE 'minor_change' END AS change_type FROM scored)"""
 
 
-@query("C12 C1 C2 C3 C5 C6 C7 C8 C9 C10 J15 R3", f"""WITH RECURSIVE {_FACTS}, {_SHIFT},
+@query("C12 C1 C2 C3 C5 C6 C7 C8 C9 C10 R3", f"""WITH RECURSIVE {_FACTS}, {_SHIFT},
 joined AS (SELECT p.*, f.* EXCLUDE (pair_id), {_case_driver('f.change_pixels', 'f.dv', 'f.dw', 'f.db')} AS driver, greatest(round(q1.c, 4), round(q2.c, 4)) AS cloud,
   round(greatest(0.0, least(1.0, 1.0 - sqrt(shift_x ** 2 + shift_y ** 2) / 5.0)), 4) AS reg
   FROM v_pixel_pairs p JOIN facts f USING (pair_id) JOIN {_Q.format(t='v_pixels')} q1 USING (pair_id) JOIN {_Q.format(t='v_pixels_t2')} q2 USING (pair_id) JOIN shift USING (pair_id)),
 {_DECIDE}
-SELECT pair_id, t1_tile_id, t2_tile_id, 'chg-' || substr(sha256(tile_id || '|' || t1_tile_id || '|' || t2_tile_id), 1, 8) AS analysis_id, change_pixels, total_pixels, region_count, round(ratio * 100, 2) AS change_percentage,
+SELECT pair_id, t1_tile_id, t2_tile_id, 'chg-' || sha256(tile_id || '|' || t1_tile_id || '|' || t2_tile_id) AS analysis_id, change_pixels, total_pixels, region_count, round(ratio * 100, 2) AS change_percentage,
   round(s, 4) AS structural, round(p, 4) AS spectral_confirmation, round(sv, 4) AS seasonal_confound, round(cloud, 4) AS cloud_contamination, round(reg, 4) AS registration_quality, pers AS persistence, doy::INT AS doy_diff_days,
   round(f, 4) AS final_score, label, change_type, CASE WHEN change_pixels > 0 THEN driver ELSE 'structural' END AS spectral_driver, 'completed' AS status FROM decided""")
 def change_analyses(spark, d):

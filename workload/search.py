@@ -56,10 +56,11 @@ def query_domains(spark, d):
 # ---- vectors
 
 @query("V1", """
-SELECT tile_id, round(list_sum(list_transform(embedding, lambda x: x * x)), 6) AS squared, round(embedding[1] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS first FROM v_tiles""")
+SELECT tile_id, (i - 1)::INT AS slot, round(embedding[i] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS value
+FROM (SELECT *, unnest(range(1, 65)) AS i FROM v_tiles)""")
 def unit_vectors(spark, d):
-    e = F.col("embedding")
-    return v.tiles(spark, d).select("tile_id", F.round(V.dot(e, e), 6).alias("squared"), F.round(V.unit(e)[0], 6).alias("first"))
+    u = v.tiles(spark, d).select("tile_id", F.posexplode(V.unit(F.col("embedding"))).alias("slot", "value"))
+    return u.select("tile_id", "slot", F.round("value", 6).alias("value"))
 
 
 @query("V2 V3 L5", """
@@ -126,6 +127,29 @@ def tiles_not_indexed(spark, d):
     return not_indexed(v.current_tiles(spark, d), have, "hashing-words").select("tile_id", "content_hash")
 
 
+_EXACT = """
+SELECT a.tile_id AS query_id, b.tile_id, round(list_dot_product(a.embedding, b.embedding), 6) AS score,
+  row_number() OVER (PARTITION BY a.tile_id ORDER BY round(list_dot_product(a.embedding, b.embedding), 6) DESC, b.tile_id) AS rank
+FROM v_tiles a, v_tiles b QUALIFY rank <= 10"""
+
+
+@query("V13", _EXACT)
+def neighbours_of_all_cells(spark, d):
+    """The cell index with as many probes as cells: it has to give the exact answer."""
+    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=16, probes=16)
+    return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("V13", f"SELECT count(*) AS hits, true AS recall_reached FROM ({_EXACT})")
+def neighbour_recall(spark, d):
+    """Found neighbours of the cell index, and whether at least 0.9 of the exact ones are among them."""
+    base, asked = _vectors(spark, d), _as_queries(spark, d)
+    exact = knn.nearest(base, asked, 10, DIM).select("query_id", "tile_id")
+    near = knn.nearest_by_cells(base, asked, 10, DIM, cells=16, probes=8).select("query_id", "tile_id", F.lit(1).alias("found"))
+    return exact.join(near, ["query_id", "tile_id"], "left").agg(
+        F.count("*").alias("hits"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
+
+
 @query("V13")
 def approximate_neighbours(spark, d):
     hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=16, probes=8)
@@ -182,7 +206,7 @@ def semantic_search(spark, d):
     return hits.select("query_id", "tile_id", "rank", "raw_similarity", "similarity", "is_strongly_aligned", "tile_sensor", "date")
 
 
-@query("S13 V12", "SELECT tile_id, round(list_sum(list_transform(embedding, lambda x: x * x)), 5) AS squared FROM v_tiles")
+@query("S13 V12", "SELECT tile_id, (i - 1)::INT AS slot, round(embedding[i]::FLOAT::DOUBLE, 5) AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM v_tiles)")
 def stored_vectors(spark, d):
     """The vector table saved and loaded again."""
     from orbitloom.session import new_table_path
@@ -190,5 +214,5 @@ def stored_vectors(spark, d):
 
     path = new_table_path(spark, "vectors")
     S.save_vectors(v.tiles(spark, d), path)
-    e = F.col("embedding")
-    return S.load_vectors(spark, path).select("tile_id", F.round(V.dot(e, e), 5).alias("squared"))
+    loaded = S.load_vectors(spark, path).select("tile_id", F.posexplode("embedding").alias("slot", "value"))
+    return loaded.select("tile_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from orbitloom.operators import temporal as T
 
 from . import views as v
+from .duck_views import tile_name
 from .registry import query
 
 _DATED = """SELECT t.*, s.sensor, s.acquisition_date AS date FROM v_tiles t JOIN v_scenes s USING (scene_id) WHERE s.acquisition_date IS NOT NULL"""
@@ -73,7 +74,7 @@ def same_season_pairs(spark, d):
 
 
 @query("W2", _TIMELINES + f""",
-req AS (SELECT tile_id AS reference, CASE WHEN vec_id % 3 = 0 THEN tile_id ELSE '' END AS t1_tile_id, CASE WHEN vec_id % 2 = 0 THEN 'tile_' || lpad(((vec_id + 1) % 500)::VARCHAR, 5, '0') END AS t2_tile_id
+req AS (SELECT tile_id AS reference, CASE WHEN vec_id % 3 = 0 THEN tile_id ELSE '' END AS t1_tile_id, CASE WHEN vec_id % 2 = 0 THEN {tile_name('(vec_id + 1)')} END AS t2_tile_id
   FROM v_tiles JOIN asked USING (tile_id)),
 best AS ({_BEST.strip()})
 SELECT q.reference,
@@ -85,19 +86,19 @@ def chosen_pairs(spark, d):
     k = F.col("vec_id")
     req = v.tiles(spark, d).join(asked, "tile_id", "left_semi").select(
         F.col("tile_id").alias("reference"), F.when(k % 3 == 0, F.col("tile_id")).otherwise("").alias("t1_tile_id"),
-        F.when(k % 2 == 0, F.concat(F.lit("tile_"), F.lpad(((k + 1) % 500).cast("string"), 5, "0"))).alias("t2_tile_id"),
+        F.when(k % 2 == 0, v.tile_name(k + 1)).alias("t2_tile_id"),
     )
     return T.chosen_pairs(req, v.tiles(spark, d), v.scenes(spark, d))
 
 
 @query("J5", f"""
 SELECT r.tile_id AS reference, o.tile_id, o.date::VARCHAR AS date, round(w * h / (0.0008 - w * h), 4) AS iou
-FROM (SELECT * FROM v_tiles WHERE label = 4) r JOIN ({_DATED}) o ON o.tile_id <> r.tile_id AND o.bounds_maxx >= r.bounds_minx AND o.bounds_minx <= r.bounds_maxx
+FROM v_tiles r JOIN ({_DATED}) o ON o.tile_id <> r.tile_id AND o.bounds_maxx >= r.bounds_minx AND o.bounds_minx <= r.bounds_maxx
   AND o.bounds_maxy >= r.bounds_miny AND o.bounds_miny <= r.bounds_maxy,
 LATERAL (SELECT least(o.bounds_maxx, r.bounds_maxx) - greatest(o.bounds_minx, r.bounds_minx) AS w, least(o.bounds_maxy, r.bounds_maxy) - greatest(o.bounds_miny, r.bounds_miny) AS h)""")
 def footprint_overlaps(spark, d):
     t = v.tiles(spark, d)
-    out = T.footprint_overlaps(t.where("label = 4"), t, v.scenes(spark, d))
+    out = T.footprint_overlaps(t, t, v.scenes(spark, d))
     return out.select("reference", "tile_id", F.col("date").cast("string").alias("date"), F.round("iou", 4).alias("iou"))
 
 

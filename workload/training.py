@@ -9,8 +9,8 @@ from orbitloom.operators.embedding import HashingEncoder
 from orbitloom.sources import tables as S
 from orbitloom.streaming import incremental as ST
 
-from . import views as v
-from .registry import query
+from . import pixels, views as v  # noqa: F401  (pixels first: its statement of change_analyses is used here)
+from .registry import ORACLES, query
 
 DIM = 64
 
@@ -52,7 +52,7 @@ def training_split(spark, d):
     return PR.split_by_tile(_training(spark, d), 0.15, 42, tiles=v.index_values(spark, d)).select("tile_id", "scene_id", "caption", "label", "land_cover", "ndvi", "source", "split")
 
 
-@query("T7 A6 S6", """
+@query("T7 A6", """
 SELECT CASE WHEN rank <= greatest(1, floor(n * 0.15::DOUBLE)) THEN 'val' ELSE 'train' END AS split, count(*) AS total_pairs, count(*) FILTER (label = 1) AS positive_pairs, count(*) FILTER (label = 0) AS negative_pairs, count(DISTINCT tile_id) AS unique_tiles
 FROM v_pairs JOIN (SELECT tile_id, row_number() OVER (ORDER BY md5(tile_id || '|42'), tile_id) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT tile_id FROM v_pairs)) USING (tile_id) GROUP BY 1""")
 def split_summary(spark, d):
@@ -83,10 +83,14 @@ def caption_lengths(spark, d):
     return PR.caption_lengths(_doc_split(spark, d)).select("split", "total", "mean", F.col("min").cast("bigint").alias("min"), F.col("max").cast("bigint").alias("max"))
 
 
-@query("A7", "SELECT c_mktsegment AS tile_id, count(*) AS captions, count(DISTINCT o_orderkey) AS distinct_captions FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1")
+@query("A7", """
+SELECT tile_id, ((position - 1) // 500)::INT AS part, string_agg(caption, ';' ORDER BY position) AS captions FROM (
+  SELECT c_mktsegment AS tile_id, o_orderkey::VARCHAR AS caption,
+    row_number() OVER (PARTITION BY c_mktsegment ORDER BY substr(md5(o_orderkey::VARCHAR), 1, 3), o_orderkey::VARCHAR) AS position
+  FROM orders JOIN customer ON o_custkey = c_custkey) GROUP BY 1, 2""")
 def captions_by_tile(spark, d):
     rows = v.observations(spark, d).select(F.col("sensor").alias("tile_id"), F.col("obs_id").cast("string").alias("caption"))
-    return PR.captions_by_tile(rows).groupBy("tile_id").agg(F.sum(F.size("captions")).alias("captions"), F.sum(F.size(F.array_distinct("captions"))).alias("distinct_captions"))
+    return PR.captions_by_tile(rows).select("tile_id", "part", F.array_join("captions", ";").alias("captions"))
 
 
 @query("A8", "SELECT DISTINCT caption FROM v_pairs")
@@ -159,7 +163,7 @@ def retrieval_metrics(spark, d):
     return m.select("query_id", "relevant_count", "total_retrieved", "top_3", *[F.round(c, 4).alias(c) for c in ("recall_1", "recall_5", "recall_10", "precision_5", "reciprocal_rank")])
 
 
-@query("A10 E3 S9", _PERQ + " SELECT count(*) AS queries, round(avg(recall_1), 4) AS mean_recall_1, round(avg(recall_5), 4) AS mean_recall_5, round(avg(recall_10), 4) AS mean_recall_10, round(avg(precision_5), 4) AS mean_precision_5, round(avg(reciprocal_rank), 4) AS mrr FROM perq")
+@query("A10 E3", _PERQ + " SELECT count(*) AS queries, round(avg(recall_1), 4) AS mean_recall_1, round(avg(recall_5), 4) AS mean_recall_5, round(avg(recall_10), 4) AS mean_recall_10, round(avg(precision_5), 4) AS mean_precision_5, round(avg(reciprocal_rank), 4) AS mrr FROM perq")
 def retrieval_report(spark, d):
     return EV.metric_means(_per_query(spark, d))
 
@@ -211,14 +215,17 @@ def hard_negative_batches(spark, d):
     return _rounded(EV.contrastive_batches(_batches(spark, d), hard_weight=2.0))
 
 
-@query("E7", """
-SELECT pair_id AS t1_tile_id, t1_date::VARCHAR AS t1_date, t2_date::VARCHAR AS t2_date FROM v_pixel_pairs""")
+@query("E7", f"""
+SELECT analysis_id, t1_tile_id, t2_tile_id, t1_date::VARCHAR AS t1_date, t2_date::VARCHAR AS t2_date, change_type, final_score AS confidence, structural, seasonal_confound, cloud_contamination
+FROM ({ORACLES["change_analyses"]}) JOIN (SELECT pair_id, t1_date, t2_date FROM v_pixel_pairs) USING (pair_id) WHERE status = 'completed'""")
 def change_evaluation(spark, d):
     from orbitloom.plans.change_analysis import analyze_pairs
 
     px = lambda f: f(spark, d).withColumn("pair_id", F.col("tile_id"))
     out = EV.pair_evaluation(analyze_pairs(v.pixel_pairs(spark, d), px(v.pixels), px(v.pixels_t2)))
-    return out.select(F.regexp_replace("t1_tile_id", "_t1$", "").alias("t1_tile_id"), F.col("t1_date").cast("string").alias("t1_date"), F.col("t2_date").cast("string").alias("t2_date"))
+    return out.select(
+        "analysis_id", "t1_tile_id", "t2_tile_id", F.col("t1_date").cast("string").alias("t1_date"), F.col("t2_date").cast("string").alias("t2_date"),
+        "change_type", "confidence", "structural", "seasonal_confound", "cloud_contamination")
 
 
 # ---- incremental and streams
@@ -247,26 +254,51 @@ def applied_manifest(spark, d):
     return _apply(spark, d)[0].select("tile_id", "content_hash", "embedding_version", F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_on"))
 
 
-@query("I3 V12", f"SELECT tile_id, 64 AS vector_dim FROM ({_CLASSIFY}) WHERE change <> 'UNCHANGED'")
+def _vector_sql(texts: str) -> str:
+    """(tile_id, slot, w): the hashing encoder's vectors of (tile_id, text), without zeros."""
+    return f"""
+SELECT tile_id, slot::INT AS slot, round((w / sqrt(sum(w * w) OVER (PARTITION BY tile_id)))::FLOAT::DOUBLE, 4) AS w FROM (
+  SELECT tile_id, ('0x' || substr(md5(word), 1, 8))::BIGINT % 64 AS slot, sum(CASE WHEN ('0x' || substr(md5(word), 9, 1))::BIGINT % 2 = 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END) AS w
+  FROM (SELECT tile_id, unnest(string_split(lower(text), ' ')) AS word FROM ({texts})) WHERE word <> '' GROUP BY 1, 2) WHERE w <> 0"""
+
+
+def _slots(vectors):
+    long = vectors.select("tile_id", F.posexplode("embedding").alias("slot", "w")).where("w <> 0")
+    return long.select("tile_id", "slot", F.round(F.col("w").cast("double"), 4).alias("w"))
+
+
+@query("I3 V12", _vector_sql(f"SELECT tile_id, content AS text FROM ({_CLASSIFY}) JOIN v_current USING (tile_id) WHERE change <> 'UNCHANGED'"))
 def applied_vectors(spark, d):
-    return _apply(spark, d)[1].select("tile_id", "vector_dim")
+    return _slots(_apply(spark, d)[1])
+
+
+_ARRIVED = """SELECT (doc_id // 2)::VARCHAR AS tile_id, text, (doc_id // 2) % 5 = 0 AS known FROM documents QUALIFY row_number() OVER (PARTITION BY doc_id // 2 ORDER BY doc_id DESC) = 1"""
 
 
-@query("I4 I3", "SELECT doc_id::VARCHAR AS tile_id, sha256(text) AS content_hash FROM documents")
+@query("I4 I3", f"""
+SELECT tile_id, sha256(text) AS content_hash, CASE WHEN known THEN '2023-01-01' ELSE '2024-01-01' END AS indexed_on, slot, w
+FROM ({_ARRIVED}) LEFT JOIN ({_vector_sql(f"SELECT tile_id, text FROM ({_ARRIVED}) WHERE NOT known")}) USING (tile_id)""")
 def indexed_stream(spark, d):
-    """Documents arrive as a file stream and are indexed; the manifest afterwards."""
+    """Documents arrive as a file stream, two for each tile, of which the later one counts; every fifth tile is known
+    with that content.  The manifest and the vectors afterwards."""
     from orbitloom import schemas
     from orbitloom.session import new_table_path
 
     enc = HashingEncoder(DIM)
-    manifest = ST.VersionedTable(spark, new_table_path(spark, "manifest"), schemas.INDEX_MANIFEST, ["tile_id", "embedding_model"])
-    vectors = ST.VersionedTable(spark, new_table_path(spark, "vectors"), schemas.VECTORS, ["tile_id", "model_name"])
-    src = v.table(spark, d, "documents").schema
-    arrivals = spark.readStream.schema(src).option("pathGlobFilter", "documents.parquet").parquet(d).select(
-        F.col("doc_id").cast("string").alias("tile_id"), F.col("text").alias("content")
+    manifest = ST.KeyedTable(spark, new_table_path(spark, "manifest"), schemas.INDEX_MANIFEST, ["tile_id", "embedding_model"], buckets=8)
+    vectors = ST.KeyedTable(spark, new_table_path(spark, "vectors"), schemas.VECTORS, ["tile_id", "model_name"], buckets=8)
+    doc = v.table(spark, d, "documents")
+    tile = F.floor(F.col("doc_id") / 2)
+    known = doc.where(tile % 5 == 0).groupBy(tile.alias("t")).agg(F.max_by("text", "doc_id").alias("text"))
+    manifest.merge(known.select(
+        F.col("t").cast("string").alias("tile_id"), F.sha2("text", 256).alias("content_hash"), F.lit(enc.name).alias("embedding_model"),
+        F.lit(enc.version).alias("embedding_version"), F.to_timestamp(F.lit("2023-01-01 00:00:00")).alias("indexed_at")))
+    arrivals = spark.readStream.schema(doc.schema).option("pathGlobFilter", "documents.parquet").parquet(d).select(
+        tile.cast("string").alias("tile_id"), F.col("text").alias("content"), F.col("doc_id").alias("arrived_at")
     )
     ST.index_stream(arrivals, manifest, vectors, enc, new_table_path(spark, "ck")).awaitTermination()
-    return manifest.read().select("tile_id", "content_hash")
+    rows = manifest.read().select("tile_id", "content_hash", F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_on"))
+    return rows.join(_slots(vectors.read()), "tile_id", "left").select("tile_id", "content_hash", "indexed_on", "slot", "w")
 
 
 def _log_stream(spark, d):

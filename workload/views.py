@@ -29,6 +29,12 @@ def pick(index: Column, values) -> Column:
     return reduce(lambda acc, iv: acc.when(index == iv[0], F.lit(iv[1])), list(enumerate(values))[1:], F.when(index == 0, F.lit(values[0])))
 
 
+def tile_name(number: Column) -> Column:
+    """tile_ and the number, of five digits at least."""
+    text = number.cast("string")
+    return F.concat(F.lit("tile_"), F.lpad(text, F.greatest(F.lit(5), F.length(text)), F.lit("0")))
+
+
 def scenes(spark, d):
     label = table(spark, d, "embeddings").select("label").distinct()
     at = F.to_timestamp(F.lit("2024-06-01 00:00:00"))
@@ -42,10 +48,10 @@ def scenes(spark, d):
 
 def tiles(spark, d):
     e = table(spark, d, "embeddings")
-    x, y = F.col("vec_id") % 20, F.floor(F.col("vec_id") / 20.0) % 25
+    x, y = F.col("vec_id") % 20, F.floor(F.col("vec_id") / 20.0)
     lon, lat = F.lit(91.60) + F.lit(0.02) * x, F.lit(26.05) + F.lit(0.02) * y
     return e.select(
-        F.concat(F.lit("tile_"), F.lpad(F.col("vec_id").cast("string"), 5, "0")).alias("tile_id"),
+        tile_name(F.col("vec_id")).alias("tile_id"),
         F.concat(F.lit("scene_"), F.col("label").cast("string"), F.lit("_"), pick(F.col("label"), SCENE_NAMES)).alias("scene_id"),
         x.cast("int").alias("x_index"), y.cast("int").alias("y_index"), F.round(lon, 4).alias("center_lon"), F.round(lat, 4).alias("center_lat"),
         F.round(lon - 0.01, 4).alias("bounds_minx"), F.round(lat - 0.01, 4).alias("bounds_miny"),
@@ -74,20 +80,22 @@ def headers(spark, d):
         F.concat(F.lit("survey_x"), s, F.lit(".jp2")),
         F.concat(F.lit("S2_x"), fmt("yyyy_MM_dd"), F.lit("_x"), s, F.lit(".tif")),
     ]
-    kind = k % 12
+    kind, utm = k % 12, k % 11 == 5
     name = reduce(lambda acc, iv: acc.when(kind == iv[0], iv[1]), list(enumerate(names))[1:], F.when(kind == 0, names[0]))
     df = o.select(
         k.alias("header_key"), F.concat(F.lit("/raw/"), F.col("o_orderstatus"), F.lit("/"), name).alias("file_path"),
         (k % 97 != 13).alias("present"), (k % 89 != 7).alias("readable"),
-        F.when(k % 11 == 5, "EPSG:32646").when(k % 7 != 3, "EPSG:4326").alias("crs"),
+        F.when(k % 11 == 5, F.when(k % 2 == 0, "EPSG:32646").otherwise("EPSG:32719")).when(k % 11 == 8, "EPSG:3857").when(k % 7 != 3, "EPSG:4326").alias("crs"),
         F.when(k % 50 == 1, 0).otherwise(100 + (k * 37) % 1400).cast("int").alias("width"),
         (100 + (k * 53) % 1100).cast("int").alias("height"), (k % 5).cast("int").alias("band_count"),
-        (F.lit(60.0) + (k % 300) * F.lit(0.1)).alias("bounds_minx"), (F.lit(8.0) + (k % 250) * F.lit(0.1)).alias("bounds_miny"),
+        F.when(utm, F.lit(300000.0) + (k % 300) * F.lit(1000.0)).otherwise(F.lit(60.0) + (k % 300) * F.lit(0.1)).alias("bounds_minx"),
+        F.when(utm, F.lit(2800000.0) + (k % 250) * F.lit(1000.0)).otherwise(F.lit(8.0) + (k % 250) * F.lit(0.1)).alias("bounds_miny"),
         F.when(k % 6 == 2, "Override-1").when(k % 6 == 4, "").alias("sensor_given"),
         F.when(k % 8 == 3, "2020-02-02").alias("date_given"),
     )
-    return df.withColumn("bounds_maxx", F.col("bounds_minx") + F.col("width") * F.lit(0.0001)).withColumn(
-        "bounds_maxy", F.col("bounds_miny") + F.col("height") * F.lit(0.0001)
+    pixel = F.when(F.col("crs").startswith("EPSG:32"), F.lit(10.0)).otherwise(F.lit(0.0001))
+    return df.withColumn("bounds_maxx", F.col("bounds_minx") + F.col("width") * pixel).withColumn(
+        "bounds_maxy", F.col("bounds_miny") + F.col("height") * pixel
     )
 
 
@@ -115,7 +123,7 @@ def queries(spark, d):
     text = reduce(lambda acc, iv: acc.when(kind == iv[0], iv[1]), list(enumerate(texts))[1:], F.when(kind == 0, texts[0]))
     return o.select(
         F.concat(F.lit("q-"), k.cast("string")).alias("query_id"), text.alias("text"),
-        F.when(k % 4 == 0, F.concat(F.lit("tile_"), F.lpad((k % 500).cast("string"), 5, "0"))).alias("tile_id"),
+        F.when(k % 4 == 0, tile_name(F.floor(k / 4))).alias("tile_id"),
         F.when(k % 9 == 4, "Landsat-8").alias("sensor_given"),
     )
 
