@@ -29,15 +29,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import MULTIPLIER, mix
+from .words import INVERSE, MULTIPLIER, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, EXPONENT = 2, 17, 1.0
-GROUP_CHARS = 3_000_000
+GROUP_CHARS = 2_500_000
 SPACE = 0x2581
 MASKED = 0x110000  # stands for U+2581 inside a text: has no piece
 BYTE_WEIGHT = -12.0
-_WORD = re.compile(r" *[^ ]+| +")
 OUT_DDL = "doc_id long, sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, restored boolean"
 
 
@@ -53,12 +52,19 @@ class Vocabulary:
         self.byte_id = {int(self.pieces[i][3:5], 16): i for i in range(n) if model.is_byte(i)}
         self.byte_of = {i: b for b, i in self.byte_id.items()}
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
-        if any(not re.fullmatch("▁*[^▁]*", self.pieces[i]) for i in plain):
-            raise ValueError("a piece crosses into a following word")
+        if any(not re.fullmatch("▁*[^▁\n]*", self.pieces[i]) for i in plain):
+            raise ValueError("a piece crosses into a following word or line")
         ranked = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.weight = np.full(n, -np.inf)
         self.weight[ranked] = -EXPONENT * np.log(np.arange(len(ranked)) + 2.0)
         self.text = [p.replace("▁", " ") for p in self.pieces]
+        self.is_high = np.zeros(n, bool)  # bytes that are a part of a character only
+        self.ascii_id = np.full(128, -1, np.int64)
+        for b, i in self.byte_id.items():
+            if b < 0x80:
+                self.text[i], self.ascii_id[b] = chr(b), i
+            else:
+                self.is_high[i] = True
         levels: dict[int, dict[int, int]] = {}
         for i in plain:
             h = 0
@@ -71,32 +77,62 @@ class Vocabulary:
         self.levels = []
         for k in range(1, self.longest + 1):
             hashes = np.array(sorted(levels[k]), np.uint64)
-            seen = np.zeros(1 << 18, bool)
-            seen[hashes >> np.uint64(46)] = True
-            self.levels.append((hashes, np.array([levels[k][int(h)] for h in hashes], np.int64), seen))
+            key = (hashes >> np.uint64(46)).astype(np.int64)
+            seen = np.bincount(key, minlength=1 << 18).astype(np.uint8)
+            slot = np.zeros(1 << 18, np.int32)
+            slot[key] = np.arange(len(hashes))
+            self.levels.append((hashes, np.array([levels[k][int(h)] for h in hashes], np.int64), seen > 0, slot, seen > 1))
 
     @staticmethod
     def _step(h: int, c: int) -> int:
         x = ((h ^ c) * int(MULTIPLIER)) & 0xFFFFFFFFFFFFFFFF
         return x ^ (x >> 29)
 
+    def find(self, k: int, h: np.ndarray) -> np.ndarray:
+        """Index of each hash among the prefixes of k + 1 characters, -1 where there is none."""
+        hashes, _, _, slot, shared = self.levels[k]
+        key = (h >> np.uint64(46)).astype(np.int64)
+        place = slot[key].astype(np.int64)
+        wrong = hashes[place] != h
+        again = np.flatnonzero(wrong & shared[key])
+        place[wrong] = -1
+        if len(again):
+            other = np.minimum(np.searchsorted(hashes, h[again]), len(hashes) - 1)
+            place[again] = np.where(hashes[other] == h[again], other, -1)
+        return place
+
     def encode_bytes(self, code: int) -> list[int]:
         return [self.byte_id[b] for b in chr(SPACE if code == MASKED else code).encode()]
 
-    def decode(self, ids: list[int]) -> str:
+    def ids(self, pieces: np.ndarray) -> np.ndarray:
+        """Piece ids, with characters that have no piece (-code - 1) in byte pieces."""
+        bare = np.flatnonzero(pieces < 0)
+        if not len(bare):
+            return pieces
+        codes = -pieces[bare] - 1
+        if codes.max() < 0x80:
+            out = pieces.copy()
+            out[bare] = self.ascii_id[codes]
+            return out
+        return np.array([x for p in pieces.tolist() for x in ([p] if p >= 0 else self.encode_bytes(-p - 1))], np.int64)
+
+    def decode(self, ids) -> str:
         """The text of piece ids; the leading space is taken off."""
-        try:
-            out = "".join([self.text[i] for i in ids]) if not self.byte_of.keys() & set(ids) else None
-        except IndexError as e:
-            raise ValueError("unknown piece id") from e
-        if out is None:
+        ids = np.asarray(ids, np.int64)
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.pieces):
+            raise ValueError("unknown piece id")
+        if not self.is_high[ids].any():
+            out = "".join(map(self.text.__getitem__, ids.tolist()))
+        else:
             parts, held = [], bytearray()
-            for i in ids:
-                if i in self.byte_of:
+            for i in ids.tolist():
+                if self.is_high[i]:
                     held.append(self.byte_of[i])
                     continue
-                parts += [held.decode(errors="replace"), self.text[i]]
-                held = bytearray()
+                if held:
+                    parts.append(held.decode(errors="replace"))
+                    held = bytearray()
+                parts.append(self.text[i])
             out = "".join([*parts, held.decode(errors="replace")])
         return out[1:] if out.startswith(" ") else out
 
@@ -113,18 +149,17 @@ class Lattices:
     level[t] + i: nodes at one distance from the end are consecutive, and so are the edges of one node.
     """
 
-    def __init__(self, words: list[str], voc: Vocabulary) -> None:
-        length = np.fromiter(map(len, words), np.int64, len(words))
+    def __init__(self, code: np.ndarray, length: np.ndarray, voc: Vocabulary) -> None:
+        """`code`: the words' characters one after the other (as code points), `length`: characters per word."""
         by_length = np.argsort(-length, kind="stable")
         rank = np.empty_like(by_length)
-        rank[by_length] = np.arange(len(words))
+        rank[by_length] = np.arange(len(length))
         longest = int(length.max())
         # words of at least t characters, t = 0, 1, ...
-        at_least = len(words) - np.concatenate(([0], np.cumsum(np.bincount(length, minlength=longest + 1))))[:longest + 1]
+        at_least = len(length) - np.concatenate(([0], np.cumsum(np.bincount(length, minlength=longest + 1))))[:longest + 1]
         level = np.concatenate(([0], np.cumsum(at_least)))
         n = int(level[-1])
         self.first_node = level[length] + rank
-        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
         code = np.where(code == SPACE, MASKED, np.where(code == 0x20, SPACE, code))
         word = np.repeat(rank, length)
         left = np.repeat(np.cumsum(length), length) - np.arange(len(code))  # characters to the word's end
@@ -132,7 +167,7 @@ class Lattices:
         matched = []
         at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
         single = np.zeros(len(code), bool)
-        for k, (hashes, ids, seen) in enumerate(voc.levels):
+        for k, (_, ids, seen, _, _) in enumerate(voc.levels):
             if k:
                 fits = left[at] > k
                 at, h = at[fits], h[fits]
@@ -140,8 +175,8 @@ class Lattices:
             h ^= h >> np.uint64(29)
             maybe = seen[h >> np.uint64(46)]
             at, h = at[maybe], h[maybe]
-            place = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            same = hashes[place] == h
+            place = voc.find(k, h)
+            same = place >= 0
             at, h, piece = at[same], h[same], ids[place[same]]
             if not len(at):
                 break
@@ -167,6 +202,7 @@ class Lattices:
         width = np.where(code_ < 0x80, 1, np.where(code_ < 0x800, 2, np.where((code_ < 0x10000) | (code_ == MASKED), 3, 4)))
         weight = np.where(self.piece >= 0, voc.weight[np.maximum(self.piece, 0)], BYTE_WEIGHT * width)
         self.start = np.repeat(np.arange(n), self.count)
+        self.choices = np.repeat(self.count, self.count)  # edges of the node that an edge leaves
         # log of the summed weights of all ways to the end of the word, from the end backwards
         rest = np.zeros(n)
         self.log_q = np.empty(total)
@@ -222,38 +258,9 @@ class Search:
         self.key, self.k = key, k
         self.paths: list[np.ndarray] = []
         self.scores: list[float] = []
-        self.values: list[float] = []
         self.open: list[tuple[int, np.ndarray]] = []  # first step, values of the subtrees beside a path
         self.barred: dict[tuple[int, int], list[int]] = {}
 
-    def add(self, lat: Lattices, path: np.ndarray, value: float, since: int, barred: list[int]) -> None:
-        """A drawn path that leaves its parent at step `since`, where the edges `barred` and its own are used up."""
-        number = len(self.paths)
-        log_q = lat.log_q[path]
-        before = np.cumsum(log_q)
-        self.paths.append(path)
-        self.scores.append(float(before[-1]))
-        self.values.append(value)
-        if barred:
-            self.barred[number, since] = barred
-        # a subtree's value is below its log mass + 37, as no exponential is drawn below exp(-37): beyond the step where
-        # that falls under the k + 1 best values, none can be searched
-        to = min(since + 96, len(path))
-        while True:
-            steps = path[since:to]
-            used = -np.expm1(log_q[since:to])
-            if len(used) and barred:
-                used[0] = max(0.0, 1.0 - np.exp(lat.log_q[[*barred, path[since]]]).sum())
-            used[lat.count[lat.start[steps]] - (np.arange(len(used)) == 0) * len(barred) <= 1] = 0.0
-            with np.errstate(divide="ignore"):
-                mass = before[since:to] - log_q[since:to] + np.log(used)
-            e = -np.log(uniform(self.key + np.uint64(0x5851F42D4C957F2D) * np.arange(since + 1, to + 1, dtype=np.uint64) + np.uint64((number * 0x14057B7EF767814F) & 0xFFFFFFFFFFFFFFFF)))
-            values = -np.logaddexp(-value, np.log(e) - mass)
-            if to == len(path) or len(values) > self.k and np.partition(values, -self.k - 1)[-self.k - 1] > before[to - 1] + 37:
-                break
-            to = min(since + 4 * (to - since), len(path))
-        self.open.append((since, values))
-
     def best(self) -> tuple[int, int, float]:
         """(path, step, value) of the best open subtree; value -inf if none is left."""
         found = (0, 0, -np.inf)
@@ -271,55 +278,132 @@ class Search:
         taken = [*self.barred.get((number, step), []), int(self.paths[number][step])]
         node = lat.start[taken[0]]
         edges = np.arange(lat.first[node], lat.first[node] + lat.count[node])
-        edges = edges[~np.isin(edges, taken)]
+        for t in taken:
+            edges = edges[edges != t]
         weights = np.cumsum(np.exp(lat.log_q[edges] - lat.log_q[edges].max()))
         u = uniform(np.array([self.key + np.uint64(len(self.paths)) * np.uint64(0x9FB21C651E98DF25)]))[0]
         return int(edges[min(np.searchsorted(weights, u * weights[-1], "right"), len(edges) - 1)]), taken
 
 
+def spread(lat: Lattices, turns: list[tuple[Search, np.ndarray, float, int, list[int]]]) -> None:
+    """Adds drawn paths (search, path, value, since, barred) to their searches: a path leaves its parent at step
+    `since`, where the edges `barred` and its own are used up, and the subtrees beside its later steps open.
+
+    A subtree's value is below its log mass + 37, as no exponential is drawn below exp(-37).  So the first steps are
+    looked at, and more only for a path whose k + 1 best values do not yet lie above that bound for all later steps.
+    """
+    width, todo = 64, list(range(len(turns)))
+    lengths = np.array([len(t[1]) for t in turns])
+    since = np.array([t[3] for t in turns])
+    log_q = lat.log_q[np.concatenate([t[1] for t in turns])]
+    starts = np.cumsum(lengths) - lengths
+    scores = np.add.reduceat(log_q, starts)
+    cuts = np.column_stack((starts, starts + since)).ravel()
+    before = np.where(since > 0, np.add.reduceat(log_q, cuts)[::2], 0.0)
+    for (s, path, _, at, barred), score in zip(turns, scores, strict=True):
+        if barred:
+            s.barred[len(s.paths), at] = barred
+        s.paths.append(path)
+        s.scores.append(float(score))
+        s.open.append((at, np.zeros(0)))
+    while todo:
+        rows = np.array(todo)
+        size = np.minimum(lengths[rows] - since[rows], width)
+        mask = np.arange(width) < size[:, None]
+        steps = np.zeros(mask.shape, np.int64)
+        steps[mask] = np.concatenate([turns[r][1][since[r]:since[r] + width] for r in todo])
+        lq = np.where(mask, lat.log_q[steps], 0.0)
+        total = before[rows][:, None] + np.cumsum(lq, axis=1)
+        used = -np.expm1(lq)
+        spare = lat.choices[steps] - 1
+        for i, r in enumerate(todo):
+            if barred := turns[r][4]:
+                used[i, 0] = max(0.0, 1.0 - np.exp(lat.log_q[[*barred, steps[i, 0]]]).sum())
+                spare[i, 0] -= len(barred)
+        used[(spare <= 0) | ~mask] = 0.0
+        keys = np.array([turns[r][0].key + np.uint64(((len(turns[r][0].paths) - 1) * 0x14057B7EF767814F) & 0xFFFFFFFFFFFFFFFF) for r in todo], np.uint64)
+        places = (since[rows][:, None] + np.arange(1, width + 1)).astype(np.uint64)
+        e = -np.log(uniform(keys[:, None] + np.uint64(0x5851F42D4C957F2D) * places))
+        with np.errstate(divide="ignore"):
+            mass = total - lq + np.log(used)
+        parent = np.array([turns[r][2] for r in todo])
+        values = -np.logaddexp(-parent[:, None], np.log(e) - mass)
+        k = turns[0][0].k
+        enough = (since[rows] + size == lengths[rows]) | (np.partition(values, -k - 1, axis=1)[:, -k - 1] > total[:, -1] + 37) if width > k else since[rows] + size == lengths[rows]
+        for i in np.flatnonzero(enough):
+            turns[todo[i]][0].open[-1] = (int(since[rows[i]]), values[i, :size[i]].copy())
+        todo, width = [r for r, done in zip(todo, enough, strict=True) if not done], 4 * width
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    return _power_table(1 << max(16, n.bit_length()))
+
+
+@lru_cache(maxsize=4)
+def _power_table(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for base in (MULTIPLIER, INVERSE):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def split_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The words of " " + text for all texts: (kind of each word, first word of each text, characters of the kinds,
+    characters per kind).
+
+    A word is a run of spaces with the letters after it, or a run of line ends, which no piece holds.
+    """
+    code = np.frombuffer("".join(f" {t}" for t in texts if t).encode("utf-32-le", "surrogatepass"), np.uint32)
+    size = np.array([len(t) + 1 if t else 0 for t in texts])
+    text_at = np.cumsum(size) - size
+    space, line = code == 0x20, code == 0x0A
+    begin = np.ones(len(code), bool)
+    begin[1:] = (line[1:] != line[:-1]) | (space[1:] & ~space[:-1])
+    begin[text_at[size > 0]] = True
+    start = np.flatnonzero(begin)
+    length = np.diff(np.append(start, len(code)))
+    up, down = _powers(len(code))
+    running = np.zeros(len(code) + 1, np.uint64)
+    np.cumsum(mix(code.astype(np.uint64) + np.uint64(1)) * up[:len(code)], out=running[1:])
+    h = mix((running[start + length] - running[start]) * down[start] ^ (length.astype(np.uint64) << np.uint64(40)))
+    _, one, kind = np.unique(h, return_index=True, return_inverse=True)
+    own = length[one]
+    at = np.repeat(start[one] - (np.cumsum(own) - own), own) + np.arange(own.sum())
+    firsts = np.searchsorted(start, np.append(text_at, len(code)))
+    return kind, firsts, code[at].astype(np.int64), own
+
+
 def sample_group(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary) -> Iterator[list[tuple[np.ndarray, float, float]]]:
     """Per text its samples: (piece ids, log probability, log inclusion score)."""
-    words: list[str] = []
-    starts = [0]
-    for t in texts:
-        if t:
-            words += _WORD.findall(" " + t)
-        starts.append(len(words))
-    kinds = {w: i for i, w in enumerate(dict.fromkeys(words))}
-    kind = np.fromiter(map(kinds.__getitem__, words), np.int64, len(words))
+    if not any(texts):
+        yield from ([(np.zeros(0, np.int64), 0.0, 0.0)] for _ in texts)
+        return
     with np.errstate(over="ignore"):
-        lat = Lattices(list(kinds), voc) if kinds else None
-        starts = np.array(starts)
+        kind, starts, code, length = split_words(texts)
+        lat = Lattices(code, length, voc)
         keys = mix(keys + np.uint64(SEED))
-        if lat is None:
-            for _ in texts:
-                yield [(np.zeros(0, np.int64), 0.0, 0.0)]
-            return
         node = lat.first_node[kind]
         text_of = np.repeat(np.arange(len(texts)), np.diff(starts))
-        number = (np.arange(len(words)) - starts[text_of]).astype(np.uint64)
+        number = (np.arange(len(kind)) - starts[text_of]).astype(np.uint64)
         word_keys = lambda rows, no, s: mix(keys[rows] + np.uint64(s + 1) * np.uint64(0xA0761D6478BD642F)) + no * np.uint64(0xE7037ED1A0B428DB)
         edges, lengths = lat.draw(node, word_keys(text_of, number, 0))
         cuts = np.concatenate(([0], np.cumsum(lengths)))
-        searches = []
-        for r in range(len(texts)):
-            s = Search(keys[r], k)
-            if starts[r] < starts[r + 1]:
-                s.add(lat, edges[cuts[starts[r]]:cuts[starts[r + 1]]], float(-np.log(-np.log(uniform(keys[r:r + 1] ^ np.uint64(0x2545F4914F6CDD1D)))[0])), 0, [])
-            searches.append(s)
-        word_at = [lengths[a:b] for a, b in zip(starts[:-1], starts[1:], strict=True)]  # edges per word of the last path
-        paths_words = [[w] for w in word_at]
+        top = -np.log(-np.log(uniform(keys ^ np.uint64(0x2545F4914F6CDD1D))))
+        searches = [Search(key, k) for key in keys]
+        full = np.flatnonzero(np.diff(starts) > 0)
+        spread(lat, [(searches[r], edges[cuts[starts[r]]:cuts[starts[r + 1]]], float(top[r]), 0, []) for r in full])
+        words_of = [[lengths[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]  # edges per word of each path
         for i in range(1, k):
             turns, nodes, rows, numbers = [], [], [], []
-            for r, s in enumerate(searches):
-                if not s.paths:
-                    continue
+            for r in full:
+                s = searches[r]
                 path, step, value = s.best()
                 if value == -np.inf:
                     continue
                 edge, taken = s.pop(lat, path, step)
-                ends = np.cumsum(paths_words[r][path])
-                w = int(np.searchsorted(ends, step, "right"))
+                w = int(np.searchsorted(np.cumsum(words_of[r][path]), step, "right"))
                 rest = np.concatenate(([lat.end[edge]], node[starts[r] + w + 1:starts[r + 1]]))
                 turns.append((r, path, step, value, edge, taken, w, len(rest)))
                 nodes.append(rest)
@@ -327,20 +411,19 @@ def sample_group(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary) ->
                 numbers.append(np.arange(w, w + len(rest)))
             if not turns:
                 break
-            rows_, numbers_ = np.concatenate(rows), np.concatenate(numbers).astype(np.uint64)
-            drawn, drawn_lengths = lat.draw(np.concatenate(nodes), word_keys(rows_, numbers_, i))
-            at, item = 0, 0
+            drawn, drawn_lengths = lat.draw(np.concatenate(nodes), word_keys(np.concatenate(rows), np.concatenate(numbers).astype(np.uint64), i))
+            ends = np.concatenate(([0], np.cumsum(drawn_lengths)))
+            item, added = 0, []
             for r, path, step, value, edge, taken, w, n in turns:
                 own = drawn_lengths[item:item + n]
-                size = int(own.sum())
                 s = searches[r]
-                new = np.concatenate((s.paths[path][:step], [edge], drawn[at:at + size]))
-                before = paths_words[r][path][:w]
+                new = np.concatenate((s.paths[path][:step], [edge], drawn[ends[item]:ends[item + n]]))
+                before = words_of[r][path][:w]
                 inside = step - int(before.sum()) + 1 + int(own[0])
-                paths_words[r].append(np.concatenate((before, [inside], own[1:])))
-                s.add(lat, new, value, step, taken)
-                at += size
+                words_of[r].append(np.concatenate((before, [inside], own[1:])))
+                added.append((s, new, value, step, taken))
                 item += n
+            spread(lat, added)
         for s in searches:
             if not s.paths:
                 yield [(np.zeros(0, np.int64), 0.0, 0.0)]
@@ -378,15 +461,14 @@ def _batches(path: str, k: int):
                 row, sample, flat, sizes, scores, inclusions, restored = [], [], [], [], [], [], []
                 for r, samples in enumerate(sample_group(texts[lo:hi], ids[lo:hi], k, voc), lo):
                     for i, (pieces, score, inclusion) in enumerate(samples):
-                        if len(pieces) and pieces.min() < 0:
-                            pieces = np.array([x for p in pieces.tolist() for x in ([p] if p >= 0 else voc.encode_bytes(-p - 1))], np.int64)
+                        pieces = voc.ids(pieces)
                         row.append(r)
                         sample.append(i)
                         flat.append(pieces.astype(np.int32))
                         sizes.append(len(pieces))
                         scores.append(round(score, 6))
                         inclusions.append(round(inclusion, 6))
-                        restored.append(voc.decode(pieces.tolist()) == texts[r])
+                        restored.append(voc.decode(pieces) == texts[r])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)])))
                 yield pa.record_batch([
                     batch.column("doc_id").take(pa.array(row)), pa.array(sample, pa.int32()), lists, pa.array(sizes, pa.int64()),
