@@ -33,7 +33,7 @@ from .words import INVERSE, MULTIPLIER, mix
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SAMPLES, SEED, EXPONENT = 2, 17, 1.0
-GROUP_CHARS = 2_500_000
+GROUP_CHARS = 600_000
 SPACE = 0x2581
 MASKED = 0x110000  # stands for U+2581 inside a text: has no piece
 BYTE_WEIGHT = -12.0
@@ -57,14 +57,14 @@ class Vocabulary:
         ranked = sorted(plain, key=lambda i: (-model.get_score(i), i))
         self.weight = np.full(n, -np.inf)
         self.weight[ranked] = -EXPONENT * np.log(np.arange(len(ranked)) + 2.0)
-        self.text = [p.replace("▁", " ") for p in self.pieces]
-        self.is_high = np.zeros(n, bool)  # bytes that are a part of a character only
+        spelled = [bytes([self.byte_of[i]]) if i in self.byte_of else p.replace("▁", " ").encode() for i, p in enumerate(self.pieces)]
+        self.spelled = np.frombuffer(b"".join(spelled), np.uint8)
+        self.spelled_size = np.array([len(x) for x in spelled])
+        self.spelled_at = np.cumsum(self.spelled_size) - self.spelled_size
         self.ascii_id = np.full(128, -1, np.int64)
-        for b, i in self.byte_id.items():
-            if b < 0x80:
-                self.text[i], self.ascii_id[b] = chr(b), i
-            else:
-                self.is_high[i] = True
+        for c, i in self.byte_id.items():
+            if c < 0x80:
+                self.ascii_id[c] = i
         levels: dict[int, dict[int, int]] = {}
         for i in plain:
             h = 0
@@ -116,24 +116,18 @@ class Vocabulary:
             return out
         return np.array([x for p in pieces.tolist() for x in ([p] if p >= 0 else self.encode_bytes(-p - 1))], np.int64)
 
+    def spell(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The UTF-8 bytes of piece ids, and the bytes of each."""
+        size = self.spelled_size[ids]
+        at = np.repeat(self.spelled_at[ids] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return self.spelled[at], size
+
     def decode(self, ids) -> str:
         """The text of piece ids; the leading space is taken off."""
         ids = np.asarray(ids, np.int64)
         if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.pieces):
             raise ValueError("unknown piece id")
-        if not self.is_high[ids].any():
-            out = "".join(map(self.text.__getitem__, ids.tolist()))
-        else:
-            parts, held = [], bytearray()
-            for i in ids.tolist():
-                if self.is_high[i]:
-                    held.append(self.byte_of[i])
-                    continue
-                if held:
-                    parts.append(held.decode(errors="replace"))
-                    held = bytearray()
-                parts.append(self.text[i])
-            out = "".join([*parts, held.decode(errors="replace")])
+        out = self.spell(ids)[0].tobytes().decode(errors="replace")
         return out[1:] if out.startswith(" ") else out
 
 
@@ -198,29 +192,40 @@ class Lattices:
             self.end[free[x]] = level[left[at] - k - 1] + word[at]
             self.piece[free[x]] = piece
             free[x] += 1
-        code_ = -self.piece - 1
-        width = np.where(code_ < 0x80, 1, np.where(code_ < 0x800, 2, np.where((code_ < 0x10000) | (code_ == MASKED), 3, 4)))
-        weight = np.where(self.piece >= 0, voc.weight[np.maximum(self.piece, 0)], BYTE_WEIGHT * width)
-        self.start = np.repeat(np.arange(n), self.count)
+        weight = voc.weight.take(self.piece, mode="clip")
+        odd = np.flatnonzero(self.piece < 0)
+        weight[odd] = [BYTE_WEIGHT * len(voc.encode_bytes(c)) for c in (-self.piece[odd] - 1).tolist()]
         self.choices = np.repeat(self.count, self.count)  # edges of the node that an edge leaves
-        # log of the summed weights of all ways to the end of the word, from the end backwards
-        rest = np.zeros(n)
-        self.log_q = np.empty(total)
+        # the summed weights of all ways to the end of the word, from the end backwards, give each edge its probability;
+        # words too long for that are summed in logarithms
+        short = longest <= 48
+        rest = np.ones(n) if short else np.zeros(n)
+        x = np.exp(weight) if short else weight
         for t in range(1, longest + 1):
             a, b = level[t], level[t + 1]
             lo, hi = self.first[a], self.first[b - 1] + self.count[b - 1]
-            x = weight[lo:hi] + rest[self.end[lo:hi]]
             seg, size = self.first[a:b] - lo, self.count[a:b]
-            top = np.maximum.reduceat(x, seg)
-            total_ = top + np.log(np.add.reduceat(np.exp(x - np.repeat(top, size)), seg))
-            rest[a:b] = total_
-            self.log_q[lo:hi] = x - np.repeat(total_, size)
-        running = np.cumsum(np.exp(self.log_q))
+            if short:
+                x[lo:hi] *= rest[self.end[lo:hi]]
+                rest[a:b] = np.add.reduceat(x[lo:hi], seg)
+                x[lo:hi] /= np.repeat(rest[a:b], size)
+                continue
+            x[lo:hi] += rest[self.end[lo:hi]]
+            top = np.maximum.reduceat(x[lo:hi], seg)
+            rest[a:b] = top + np.log(np.add.reduceat(np.exp(x[lo:hi] - np.repeat(top, size)), seg))
+            x[lo:hi] -= np.repeat(rest[a:b], size)
+        self.log_q, q = (np.log(x), x) if short else (x, np.exp(x))
+        running = np.cumsum(q)
         inner = self.count > 0
         base = np.concatenate(([0.0], running))[self.first[inner]]
         self.upto = running - np.repeat(base, self.count[inner])
         self.upto[self.first[inner] + self.count[inner] - 1] = 2.0  # the last edge takes what is left
 
+    def beside(self, edge: int) -> np.ndarray:
+        """All edges of the node that an edge leaves."""
+        node = np.searchsorted(self.first, edge, "right") - 1
+        return np.arange(self.first[node], self.first[node] + self.count[node])
+
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random walks from `nodes` to the ends of their words: all edges in order, and the number of edges of each."""
         nodes = nodes.copy()
@@ -254,8 +259,8 @@ def uniform(keys: np.ndarray) -> np.ndarray:
 class Search:
     """The frontier of one text: subtrees beside the paths drawn so far, each with its largest perturbed value."""
 
-    def __init__(self, key: np.uint64, k: int) -> None:
-        self.key, self.k = key, k
+    def __init__(self, key: np.uint64) -> None:
+        self.key = key
         self.paths: list[np.ndarray] = []
         self.scores: list[float] = []
         self.open: list[tuple[int, np.ndarray]] = []  # first step, values of the subtrees beside a path
@@ -276,8 +281,7 @@ class Search:
         since, values = self.open[number]
         values[step - since] = -np.inf
         taken = [*self.barred.get((number, step), []), int(self.paths[number][step])]
-        node = lat.start[taken[0]]
-        edges = np.arange(lat.first[node], lat.first[node] + lat.count[node])
+        edges = lat.beside(taken[0])
         for t in taken:
             edges = edges[edges != t]
         weights = np.cumsum(np.exp(lat.log_q[edges] - lat.log_q[edges].max()))
@@ -287,52 +291,36 @@ class Search:
 
 def spread(lat: Lattices, turns: list[tuple[Search, np.ndarray, float, int, list[int]]]) -> None:
     """Adds drawn paths (search, path, value, since, barred) to their searches: a path leaves its parent at step
-    `since`, where the edges `barred` and its own are used up, and the subtrees beside its later steps open.
-
-    A subtree's value is below its log mass + 37, as no exponential is drawn below exp(-37).  So the first steps are
-    looked at, and more only for a path whose k + 1 best values do not yet lie above that bound for all later steps.
-    """
-    width, todo = 64, list(range(len(turns)))
-    lengths = np.array([len(t[1]) for t in turns])
+    `since`, where the edges `barred` and its own are used up, and the subtrees beside its later steps open."""
+    size = np.array([len(t[1]) for t in turns])
     since = np.array([t[3] for t in turns])
-    log_q = lat.log_q[np.concatenate([t[1] for t in turns])]
-    starts = np.cumsum(lengths) - lengths
-    scores = np.add.reduceat(log_q, starts)
-    cuts = np.column_stack((starts, starts + since)).ravel()
-    before = np.where(since > 0, np.add.reduceat(log_q, cuts)[::2], 0.0)
-    for (s, path, _, at, barred), score in zip(turns, scores, strict=True):
+    start = np.cumsum(size) - size
+    path = np.concatenate([t[1] for t in turns])
+    log_q = lat.log_q[path]
+    scores = np.add.reduceat(log_q, start)
+    keys = np.array([t[0].key + np.uint64((len(t[0].paths) * 0x14057B7EF767814F) & 0xFFFFFFFFFFFFFFFF) for t in turns], np.uint64)
+    # steps with a way beside the path
+    spare = lat.choices[path] - 1
+    used = -np.expm1(log_q)
+    for i in np.flatnonzero([bool(t[4]) for t in turns]):
+        at, barred = start[i] + since[i], turns[i][4]
+        used[at] = max(0.0, 1.0 - np.exp(lat.log_q[[*barred, path[at]]]).sum())
+        spare[at] -= len(barred)
+    turn = np.repeat(np.arange(len(turns)), size)
+    step = np.arange(len(path)) - start[turn]
+    open_ = np.flatnonzero((spare > 0) & (step >= since[turn]))
+    before = np.concatenate([np.cumsum(log_q[a:a + n]) for a, n in zip(start, size, strict=True)]) - log_q
+    e = -np.log(uniform(keys[turn[open_]] + np.uint64(0x5851F42D4C957F2D) * (step[open_] + 1).astype(np.uint64)))
+    parent = np.array([t[2] for t in turns])
+    values = np.full(len(path), -np.inf)
+    with np.errstate(divide="ignore"):
+        values[open_] = -np.logaddexp(-parent[turn[open_]], np.log(e) - before[open_] - np.log(used[open_]))
+    for (s, own, _, at, barred), score, a, n in zip(turns, scores, start, size, strict=True):
         if barred:
             s.barred[len(s.paths), at] = barred
-        s.paths.append(path)
+        s.paths.append(own)
         s.scores.append(float(score))
-        s.open.append((at, np.zeros(0)))
-    while todo:
-        rows = np.array(todo)
-        size = np.minimum(lengths[rows] - since[rows], width)
-        mask = np.arange(width) < size[:, None]
-        steps = np.zeros(mask.shape, np.int64)
-        steps[mask] = np.concatenate([turns[r][1][since[r]:since[r] + width] for r in todo])
-        lq = np.where(mask, lat.log_q[steps], 0.0)
-        total = before[rows][:, None] + np.cumsum(lq, axis=1)
-        used = -np.expm1(lq)
-        spare = lat.choices[steps] - 1
-        for i, r in enumerate(todo):
-            if barred := turns[r][4]:
-                used[i, 0] = max(0.0, 1.0 - np.exp(lat.log_q[[*barred, steps[i, 0]]]).sum())
-                spare[i, 0] -= len(barred)
-        used[(spare <= 0) | ~mask] = 0.0
-        keys = np.array([turns[r][0].key + np.uint64(((len(turns[r][0].paths) - 1) * 0x14057B7EF767814F) & 0xFFFFFFFFFFFFFFFF) for r in todo], np.uint64)
-        places = (since[rows][:, None] + np.arange(1, width + 1)).astype(np.uint64)
-        e = -np.log(uniform(keys[:, None] + np.uint64(0x5851F42D4C957F2D) * places))
-        with np.errstate(divide="ignore"):
-            mass = total - lq + np.log(used)
-        parent = np.array([turns[r][2] for r in todo])
-        values = -np.logaddexp(-parent[:, None], np.log(e) - mass)
-        k = turns[0][0].k
-        enough = (since[rows] + size == lengths[rows]) | (np.partition(values, -k - 1, axis=1)[:, -k - 1] > total[:, -1] + 37) if width > k else since[rows] + size == lengths[rows]
-        for i in np.flatnonzero(enough):
-            turns[todo[i]][0].open[-1] = (int(since[rows[i]]), values[i, :size[i]].copy())
-        todo, width = [r for r, done in zip(todo, enough, strict=True) if not done], 4 * width
+        s.open.append((at, values[a + at:a + n]))
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -391,7 +379,7 @@ def sample_group(texts: list[str], keys: np.ndarray, k: int, voc: Vocabulary) ->
         edges, lengths = lat.draw(node, word_keys(text_of, number, 0))
         cuts = np.concatenate(([0], np.cumsum(lengths)))
         top = -np.log(-np.log(uniform(keys ^ np.uint64(0x2545F4914F6CDD1D))))
-        searches = [Search(key, k) for key in keys]
+        searches = [Search(key) for key in keys]
         full = np.flatnonzero(np.diff(starts) > 0)
         spread(lat, [(searches[r], edges[cuts[starts[r]]:cuts[starts[r + 1]]], float(top[r]), 0, []) for r in full])
         words_of = [[lengths[a:b]] for a, b in zip(starts[:-1], starts[1:], strict=True)]  # edges per word of each path
@@ -458,25 +446,33 @@ def _batches(path: str, k: int):
             texts = [t or "" for t in batch.column("text").to_pylist()]
             ids = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             for lo, hi in _groups(texts):
-                row, sample, flat, sizes, scores, inclusions, restored = [], [], [], [], [], [], []
+                row, sample, flat, scores, inclusions = [], [], [], [], []
                 for r, samples in enumerate(sample_group(texts[lo:hi], ids[lo:hi], k, voc), lo):
                     for i, (pieces, score, inclusion) in enumerate(samples):
-                        pieces = voc.ids(pieces)
                         row.append(r)
                         sample.append(i)
-                        flat.append(pieces.astype(np.int32))
-                        sizes.append(len(pieces))
+                        flat.append(voc.ids(pieces))
                         scores.append(round(score, 6))
                         inclusions.append(round(inclusion, 6))
-                        restored.append(voc.decode(pieces) == texts[r])
-                lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)), pa.array(np.concatenate([*flat, np.zeros(0, np.int32)])))
+                sizes = np.array([len(x) for x in flat])
+                pieces = np.concatenate([*flat, np.zeros(0, np.int64)])
+                ends = np.concatenate(([0], np.cumsum(sizes)))
+                lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(pieces.astype(np.int32)))
                 yield pa.record_batch([
                     batch.column("doc_id").take(pa.array(row)), pa.array(sample, pa.int32()), lists, pa.array(sizes, pa.int64()),
-                    pa.array(scores, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(restored)],
+                    pa.array(scores, pa.float64()), pa.array(inclusions, pa.float64()), pa.array(_restored(voc, pieces, ends, [texts[r] for r in row]))],
                     names=["doc_id", "sample", "ids", "n_pieces", "log_prob", "log_inclusion", "restored"])
     return run
 
 
+def _restored(voc: Vocabulary, pieces: np.ndarray, ends: np.ndarray, texts: list[str]) -> list[bool]:
+    """Whether the decoded ids (of each sample from ends[i] to ends[i + 1]) are the text, byte for byte."""
+    spelled, size = voc.spell(pieces)
+    at = np.concatenate(([0], np.cumsum(size)))[ends]
+    spelled = spelled.tobytes()
+    return [spelled[a:b] == (b" " + t.encode() if t else b"") for a, b, t in zip(at[:-1], at[1:], texts, strict=True)]
+
+
 def sample_segmentations(docs: DataFrame, k: int = SAMPLES, model: str = MODEL) -> DataFrame:
     """Up to k distinct segmentations of every row of `docs` (doc_id, text): doc_id, sample, ids, n_pieces, log_prob,
     log_inclusion, restored (whether decoding the ids gives the text back)."""

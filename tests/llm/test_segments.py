@@ -14,7 +14,7 @@ def voc():
 
 def brute_segmentations(text, voc):
     """All ways to write " " + text in pieces, with their normalised probabilities."""
-    by_text = {t: i for i, t in enumerate(voc.text) if np.isfinite(voc.weight[i])}
+    by_text = {p.replace("▁", " "): i for i, p in enumerate(voc.pieces) if np.isfinite(voc.weight[i])}
     text = " " + text
 
     def ways(at):
