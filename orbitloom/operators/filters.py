@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import vocab
+from ..functions.common import key_id
 
 
 def bbox_overlap(minx, miny, maxx, maxy) -> Column:
@@ -60,3 +61,13 @@ def search_checks(requests: DataFrame) -> DataFrame:
     ok_k = F.coalesce(F.col("top_k").between(1, 200), F.lit(True))
     ok_s = F.coalesce(F.col("score").between(0.0, 1.0), F.lit(True))
     return requests.withColumn("status", F.when(~ok_k, "bad_top_k").when(~ok_s, "bad_score").otherwise("accepted"))
+
+
+def accepted_reviews(reviews: DataFrame, analyses: DataFrame, stamp) -> DataFrame:
+    """Rows to append to the review table: accepted reviews (analysis_id, decision, and tile_id, notes, analyst), each
+    with an id of its natural key, so that a retried insert brings the same ids."""
+    ok = review_checks(reviews, analyses).where("status = 'accepted'")
+    return ok.select(
+        key_id("rev-", F.col("analysis_id"), F.col("analyst"), F.col("decision")).alias("review_id"), F.col("analysis_id").cast("string").alias("analysis_id"),
+        "tile_id", "decision", "notes", "analyst", F.lit(stamp).cast("timestamp").alias("created_at"),
+    )

@@ -67,6 +67,16 @@ def analyze_pairs(pairs: DataFrame, t1: DataFrame, t2: DataFrame) -> DataFrame:
     )
 
 
+def with_dates(pairs: DataFrame, tiles: DataFrame, scenes: DataFrame) -> DataFrame:
+    """Pairs (t1_tile_id, t2_tile_id, t1_date, t2_date) with missing dates taken from the tiles' scenes; a date that is
+    given stays, and a tile or scene that is not known leaves its date null."""
+    dated = tiles.select("tile_id", "scene_id").join(scenes.select("scene_id", "acquisition_date"), "scene_id").select("tile_id", "acquisition_date")
+    for side in ("t1", "t2"):
+        found = dated.select(F.col("tile_id").alias(f"{side}_tile_id"), F.col("acquisition_date").alias("_found"))
+        pairs = pairs.join(found, f"{side}_tile_id", "left").withColumn(f"{side}_date", F.coalesce(f"{side}_date", "_found")).drop("_found")
+    return pairs
+
+
 def analysis_records(analyses: DataFrame, stamp, earliest: DataFrame | None = None) -> DataFrame:
     """Rows for the change_analyses table; `earliest` is (tile_id, earliest_supported)."""
     df = analyses.where(F.col("status") == "completed")

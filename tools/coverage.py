@@ -23,5 +23,6 @@ def table() -> dict[str, list[str]]:
 
 
 if __name__ == "__main__":
+    print("| Id | Registered queries |\n|---|---|")
     for key, names in table().items():
         print(f"| {key} | {', '.join(sorted(names)) or '-'} |")

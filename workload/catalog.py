@@ -10,6 +10,7 @@ from orbitloom.operators import audit as A, catalog as C, filters as FL, tiling
 from orbitloom.sources import tables as S
 
 from . import views as v
+from .duck_views import tile_name
 from .registry import query
 
 
@@ -429,3 +430,72 @@ def resolved_paths(spark, d):
     files = h.select("k", F.posexplode(place).alias("f", "path")).where((F.col("f") + 1 == F.col("k")) | (F.col("f") + 2 == F.col("k")))
     return S.resolve_paths(h.drop("k"), files).select("tile_id", "found_path")
 
+
+
+# ---- written tables, read back by the real readers
+
+@query("S3", """
+SELECT 'sc_' || c_custkey AS scene_id, c_mktsegment AS sensor, CASE WHEN c_custkey % 10 = 0 THEN '/new/' ELSE '/old/' END || c_custkey AS file_path, c_nationkey::INT AS width FROM customer""")
+def manifest_replaced(spark, d):
+    """A scene manifest as CSV; every tenth record is replaced, and the manifest written and read again."""
+    from orbitloom import schemas
+    from orbitloom.session import new_table_path
+
+    c = v.table(spark, d, "customer")
+    given = {"scene_id": F.concat(F.lit("sc_"), F.col("c_custkey").cast("string")), "sensor": F.col("c_mktsegment"),
+             "file_path": F.concat(F.lit("/old/"), F.col("c_custkey").cast("string")), "width": F.col("c_nationkey").cast("int")}
+    empty = spark.createDataFrame([], schemas.SCENE_MANIFEST).schema
+    rows = c.select("c_custkey", *[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in empty])
+    first, second = new_table_path(spark, "manifest"), new_table_path(spark, "manifest")
+    S.write_scene_manifest(rows, first)
+    record = rows.where("c_custkey % 10 = 0").drop("c_custkey").withColumn("file_path", F.regexp_replace("file_path", "^/old/", "/new/"))
+    S.write_scene_manifest(S.replace_in_manifest(S.read_scene_manifest(spark, first), record), second)
+    return S.read_scene_manifest(spark, second).select("scene_id", "sensor", "file_path", "width")
+
+
+@query("S10", """
+SELECT 'q-' || sha256(query_id) AS query_id, query_type, round(latency_ms, 6) AS latency_ms FROM v_query_log""")
+def appended_log(spark, d):
+    """Query-log rows appended in two writes and read back."""
+    from orbitloom.session import new_table_path
+
+    log = v.query_log(spark, d)
+    none = F.lit(None).cast("string")
+    rows = log.select("event_id", F.col("query_id").alias("query_key"), "query_type", none.alias("query_text"), none.alias("query_tile_id"),
+                      F.lit(None).cast("array<double>").alias("bbox"), none.alias("date_from"), none.alias("date_to"), none.alias("sensor"),
+                      F.lit(0).alias("result_count"), "latency_ms", "created_at")
+    path = new_table_path(spark, "log")
+    for half in (0, 1):
+        S.append(A.query_log_rows(rows.where(F.col("event_id") % 2 == half)), path, ["query_type"])
+    return spark.read.parquet(path).select("query_id", "query_type", F.round("latency_ms", 6).alias("latency_ms"))
+
+
+@query("C13", """
+SELECT 'rev-' || sha256(r.analysis_id || '|' || 'a' || r.analysis_id % 3 || '|' || decision) AS review_id, r.analysis_id::VARCHAR AS analysis_id, decision
+FROM (SELECT analysis_id * 2 AS analysis_id, decision FROM v_reviews) r JOIN documents ON r.analysis_id = doc_id WHERE decision IN ('confirmed', 'rejected', 'uncertain')""")
+def reviews_inserted(spark, d):
+    """Accepted reviews appended to the review table and read back."""
+    from orbitloom.session import new_table_path
+
+    known = v.table(spark, d, "documents").select(F.col("doc_id").alias("analysis_id"))
+    reviews = v.reviews(spark, d).withColumn("analysis_id", F.col("analysis_id") * 2).withColumns({
+        "analyst": F.concat(F.lit("a"), (F.col("analysis_id") % 3).cast("string")), "tile_id": F.lit(None).cast("string"), "notes": F.lit(None).cast("string")})
+    path = new_table_path(spark, "reviews")
+    S.append(FL.accepted_reviews(reviews, known, "2024-06-01 00:00:00"), path)
+    return spark.read.parquet(path).select("review_id", "analysis_id", "decision")
+
+
+@query("J15", """
+SELECT a.tile_id AS t1_tile_id, b.tile_id AS t2_tile_id, coalesce(CASE WHEN a.vec_id % 2 = 0 THEN DATE '2020-01-01' END, s.acquisition_date)::VARCHAR AS t1_date, u.acquisition_date::VARCHAR AS t2_date
+FROM v_tiles a JOIN v_scenes s ON a.scene_id = s.scene_id LEFT JOIN v_tiles b0 ON b0.vec_id = a.vec_id + 1 LEFT JOIN v_scenes u ON b0.scene_id = u.scene_id,
+LATERAL (SELECT """ + tile_name("(a.vec_id + 1)") + """ AS tile_id) b""")
+def pair_dates(spark, d):
+    """Every tile and the next one as a pair; given dates stay, missing ones come from the scenes."""
+    from orbitloom.plans.change_analysis import with_dates
+
+    t = v.tiles(spark, d)
+    pairs = t.select(
+        F.col("tile_id").alias("t1_tile_id"), v.tile_name(F.col("vec_id") + 1).alias("t2_tile_id"),
+        F.when(F.col("vec_id") % 2 == 0, F.lit("2020-01-01").cast("date")).alias("t1_date"), F.lit(None).cast("date").alias("t2_date"))
+    out = with_dates(pairs, t, v.scenes(spark, d))
+    return out.select("t1_tile_id", "t2_tile_id", F.col("t1_date").cast("string").alias("t1_date"), F.col("t2_date").cast("string").alias("t2_date"))

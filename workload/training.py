@@ -59,6 +59,18 @@ def split_summary(spark, d):
     return S.split_summary(PR.split_by_tile(v.caption_pairs(spark, d), 0.15, 42))
 
 
+@query("S6", """
+SELECT CASE WHEN rank <= greatest(1, floor(n * 0.15::DOUBLE)) THEN 'val' ELSE 'train' END AS split, tile_id, label::BIGINT AS label
+FROM v_pairs JOIN (SELECT tile_id, row_number() OVER (ORDER BY md5(tile_id || '|42'), tile_id) AS rank, count(*) OVER () AS n FROM (SELECT DISTINCT tile_id FROM v_pairs)) USING (tile_id)""")
+def pair_files(spark, d):
+    """Split pairs written as JSON by split, and read back."""
+    from orbitloom.session import new_table_path
+
+    folder = new_table_path(spark, "pairs")
+    S.write_pairs(PR.split_by_tile(v.caption_pairs(spark, d), 0.15, 42), folder)
+    return spark.read.schema("tile_id STRING, label BIGINT, split STRING").json(f"{folder}/pairs").select("split", "tile_id", "label")
+
+
 @query("T8", """
 SELECT tile_id, CASE WHEN row_number() OVER (ORDER BY md5(tile_id || '|7'), tile_id) <= greatest(100, floor((SELECT count(*) FROM v_pairs) * 0.15::DOUBLE)) THEN 'val' ELSE 'train' END AS split FROM v_pairs""")
 def row_split(spark, d):
@@ -163,11 +175,25 @@ def retrieval_metrics(spark, d):
     return m.select("query_id", "relevant_count", "total_retrieved", "top_3", *[F.round(c, 4).alias(c) for c in ("recall_1", "recall_5", "recall_10", "precision_5", "reciprocal_rank")])
 
 
-@query("A10 E3", _PERQ + " SELECT count(*) AS queries, round(avg(recall_1), 4) AS mean_recall_1, round(avg(recall_5), 4) AS mean_recall_5, round(avg(recall_10), 4) AS mean_recall_10, round(avg(precision_5), 4) AS mean_precision_5, round(avg(reciprocal_rank), 4) AS mrr FROM perq")
+_REPORT = _PERQ + " SELECT count(*) AS queries, round(avg(recall_1), 4) AS mean_recall_1, round(avg(recall_5), 4) AS mean_recall_5, round(avg(recall_10), 4) AS mean_recall_10, round(avg(precision_5), 4) AS mean_precision_5, round(avg(reciprocal_rank), 4) AS mrr FROM perq"
+
+
+@query("A10 E3", _REPORT)
 def retrieval_report(spark, d):
     return EV.metric_means(_per_query(spark, d))
 
 
+@query("S9", _REPORT)
+def report_file(spark, d):
+    """The retrieval report written as JSON and read back."""
+    from orbitloom.session import new_table_path
+
+    report = EV.metric_means(_per_query(spark, d))
+    path = new_table_path(spark, "report")
+    S.write_report(report, path)
+    return spark.read.schema(report.schema).json(path)
+
+
 _TEXTV = """
 texts AS (SELECT a.vec_id, a.embedding AS image, list_transform(range(64), lambda i: a.embedding[i + 1] * 0.6::DOUBLE + coalesce(b.embedding[i + 1], a.embedding[i + 1]) * 0.8::DOUBLE) AS raw FROM v_tiles a LEFT JOIN v_tiles b ON b.vec_id = a.vec_id + 1),
 vecs AS (SELECT vec_id, image, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS text FROM texts)"""
