@@ -175,22 +175,21 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
             continue
         counts = -(-np.diff(starts) // stride)
         at = np.repeat(begins[:-1], counts) + stride * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        candidates: set[tuple[int, int]] = set()
+        row_of = np.repeat(np.arange(hi - lo), counts)
+        candidates: set[tuple[int, int, int]] = set()
         for walk, size, k, hashes in window_hashes(words, at, index.sizes):
             table, number, offset = index.tables[walk, size, k]
             hit = np.flatnonzero(bitmaps[walk, size, k][hashes >> np.uint64(64 - FILTER_BITS)])
             a, b = np.searchsorted(table, hashes[hit], "left"), np.searchsorted(table, hashes[hit], "right")
             for x in np.flatnonzero(b > a):
                 for e in range(a[x], b[x]):
-                    candidates.add((int(number[e]), int(at[hit[x]]) - int(offset[e])))
+                    row = int(row_of[hit[x]])  # an item whose first words are missing may begin before its row
+                    candidates.add((int(number[e]), row, max(int(begins[row]), int(at[hit[x]]) - int(offset[e]))))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for n, place in sorted(candidates):
+        for n, row, place in sorted(candidates):
             item = index.items[n]
-            row = int(np.searchsorted(begins, max(place, 0), "right")) - 1
             most = int(MAX_EDITS * len(item))
-            if place < begins[row]:
-                place = int(begins[row])
             if done.get((n, row), -1) >= place:  # a little further on: the last look covered it
                 continue
             reach = most + STRIDE

@@ -62,6 +62,14 @@ def test_recall_against_brute_force():
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_a_passage_without_its_first_words_at_the_start_of_a_text():
+    rng = random.Random(6)
+    item = rng.choices(VOCABULARY, k=40)
+    index = D.build_index([7], [" ".join(item)])
+    texts = ["other text before it", " ".join(item[3:]), " ".join(item[2:]) + " and more", " ".join(rng.choices(VOCABULARY, k=30) + item[:-4])]
+    assert {row for row, *_ in D.find_in(index, pa.array(texts))} == {1, 2, 3}
+
+
 def test_clean_texts_stay():
     rng = random.Random(3)
     index = D.build_index([1], [" ".join(rng.choices(VOCABULARY, k=40))])

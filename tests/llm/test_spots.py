@@ -18,7 +18,8 @@ def brute_signatures(text):
     out = set()
     for i, w in enumerate(low):
         rest = [x for x in low[i + 1:] if x not in anchors][:S.CHAIN]
-        if w in anchors and len(rest) == S.CHAIN:
+        alone = not any(x in anchors for x in low[max(0, i - S.GAP):i])
+        if (w in anchors or alone) and len(rest) == S.CHAIN:
             out.add((w, *rest))
     if not out:
         out = {tuple(low[i:i + 1 + S.CHAIN]) for i in range(len(low))}
@@ -33,6 +34,7 @@ def random_text(rng, n):
 def test_signatures_are_those_of_brute_force():
     rng = random.Random(1)
     texts = [random_text(rng, rng.randrange(0, 80)) for _ in range(120)] + ["", "the", "plain words only here"]
+    texts += [" ".join(f"v{rng.randrange(9)}" for _ in range(rng.randrange(1, 60))) + " the x y z" for _ in range(60)]
     for text, got in zip(texts, S.signature_sets(pa.array(texts), S.anchor_hashes()), strict=True):
         assert len(got) == len(brute_signatures(text))
 
