@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .words import LOWER, PUNCTUATION, SPACES, VALUES, column_bytes, mix, row_groups, tokenize
+from .words import PUNCTUATION, SPACES, VALUES, column_bytes, mix, row_groups, tokenize, tokenize_prefixes
 
 BUCKETS = 1 << 18
 PREFIXES = (4, 5, 6, 7, 8, 10)
@@ -38,11 +38,11 @@ def _rows(starts: np.ndarray) -> np.ndarray:
 def word_features(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Words and their beginnings, A-Z as a-z: (row, bucket) of every occurrence, and the words per row.  A beginning
     that a text has twice, or three times and more, is a feature of its own as well."""
-    h, _, _, starts = tokenize(data, offsets, PUNCTUATION)
+    hashes, _, _, starts = tokenize_prefixes(data, offsets, PUNCTUATION, (None, *PREFIXES))
     rows = _rows(starts)
-    all_rows, buckets = [rows], [_bucket(h, 1)]
-    for p in PREFIXES:
-        b = _bucket(tokenize(data, offsets, PUNCTUATION, prefix=p)[0], 1 + p)
+    all_rows, buckets = [rows], [_bucket(hashes[0], 1)]
+    for p, h in zip(PREFIXES, hashes[1:], strict=True):
+        b = _bucket(h, 1 + p)
         r, own, count = _pairs(rows, b)
         all_rows += [rows, r[count == 2], r[count > 2]]
         buckets += [b, _bucket(own[count == 2].astype(np.uint64), 40), _bucket(own[count > 2].astype(np.uint64), 41)]

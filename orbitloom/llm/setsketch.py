@@ -127,28 +127,30 @@ def estimate(regs_a: np.ndarray, regs_b: np.ndarray, n_a: np.ndarray, n_b: np.nd
 
 def set_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(id, n, registers, items): a document's set itself, as sorted 64-bit hashes."""
-    for batch in batches:
-        sets = list(shingle_sets(batch.column("text")))
-        yield pa.record_batch([
-            batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers_of(s).tobytes() if len(s) else None for s in sets], pa.binary()),
-            pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "registers", "items"])
+    for whole in batches:
+        for at in range(0, whole.num_rows, 1_000):
+            batch = whole.slice(at, 1_000)
+            sets = list(shingle_sets(batch.column("text")))
+            yield pa.record_batch([
+                batch.column("id"), pa.array([len(s) for s in sets], pa.int64()), pa.array([registers_of(s).tobytes() if len(s) else None for s in sets], pa.binary()),
+                pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "n", "registers", "items"])
 
 
 def confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of pairs (a, b) with sizes, registers and sets: those whose likelihood reaches the floor and whose full sets
     reach the threshold."""
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
-        na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("na", "nb"))
-        keep = (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb)) & (likelihood_slope(ra, rb, na, nb, FLOOR) >= 0)
-        shared = np.zeros(len(keep), np.int64)
-        for i in np.flatnonzero(keep):
-            x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("ia", "ib"))
-            shared[i] = len(np.intersect1d(x, y, assume_unique=True))
-        keep &= 100 * shared >= 75 * (na + nb - shared)
-        yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(shared)], names=["a", "b", "shared"]).filter(pa.array(keep))
+    for whole in batches:
+        for at in range(0, whole.num_rows, 256):  # a pair weighs its two sets: few are copied at a time
+            batch = whole.slice(at, 256)
+            ra, rb = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint16).reshape(-1, REGISTERS) for c in ("ra", "rb"))
+            na, nb = (batch.column(c).to_numpy(zero_copy_only=False).astype(np.float64) for c in ("na", "nb"))
+            keep = (100 * np.minimum(na, nb) >= 75 * np.maximum(na, nb)) & (likelihood_slope(ra, rb, na, nb, FLOOR) >= 0)
+            shared = np.zeros(len(keep), np.int64)
+            for i in np.flatnonzero(keep):
+                x, y = (np.frombuffer(batch.column(c)[i].as_py(), np.uint64) for c in ("ia", "ib"))
+                shared[i] = len(np.intersect1d(x, y, assume_unique=True))
+            keep &= 100 * shared >= 75 * (na + nb - shared)
+            yield pa.record_batch([batch.column("a"), batch.column("b"), pa.array(shared)], names=["a", "b", "shared"]).filter(pa.array(keep))
 
 
 def link_cell(cell: pa.Table) -> pa.Table:

@@ -85,13 +85,19 @@ def _pieces(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray) -> It
         at = to
 
 
-def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, values: np.ndarray = VALUES, prefix: int | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, values: np.ndarray = VALUES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Hashes, first and end bytes of all words, and the first word of every row (with the number of words at the end).
 
-    `values` are the letters' values (equal values: letters that count as equal); with `prefix`, a word's hash is that
-    of its first so many bytes.
+    `values` are the letters' values (equal values: letters that count as equal).
     """
-    hashes, firsts, ends = [], [], []
+    hashes, firsts, ends, starts = tokenize_prefixes(data, offsets, separators, (None,), values)
+    return hashes[0], firsts, ends, starts
+
+
+def tokenize_prefixes(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, prefixes: tuple[int | None, ...], values: np.ndarray = VALUES) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """As `tokenize`, with the hashes of the words' first so many bytes for each of `prefixes` (None: whole words)."""
+    hashes: list[list[np.ndarray]] = [[] for _ in prefixes]
+    firsts, ends = [], []
     row_start = np.zeros(len(data) + 1, bool)
     row_start[offsets] = True
     for at, to in _pieces(data, offsets, separators):
@@ -107,16 +113,17 @@ def tokenize(data: np.ndarray, offsets: np.ndarray, separators: np.ndarray, valu
         up, down = _power_tables(len(piece))
         running = np.zeros(len(piece) + 1, np.uint64)
         np.cumsum(values[piece] * up[:len(piece)], out=running[1:])
-        stop = end if prefix is None else np.minimum(end, first + prefix)
-        h = (running[stop] - running[first]) * down[first]
-        hashes.append(mix(h ^ ((stop - first).astype(np.uint64) << np.uint64(48))))
+        for prefix, out in zip(prefixes, hashes, strict=True):
+            stop = end if prefix is None else np.minimum(end, first + prefix)
+            h = (running[stop] - running[first]) * down[first]
+            out.append(mix(h ^ ((stop - first).astype(np.uint64) << np.uint64(48))))
         firsts.append(first + at)
         ends.append(end + at)
-    if not hashes:
+    if not firsts:
         none = np.zeros(0, np.int64)
-        return np.zeros(0, np.uint64), none, none, np.zeros(len(offsets), np.int64)
-    firsts = np.concatenate(firsts)
-    return np.concatenate(hashes), firsts, np.concatenate(ends), np.searchsorted(firsts, offsets)
+        return [np.zeros(0, np.uint64) for _ in prefixes], none, none, np.zeros(len(offsets), np.int64)
+    starts = np.concatenate(firsts)
+    return [np.concatenate(h) for h in hashes], starts, np.concatenate(ends), np.searchsorted(starts, offsets)
 
 
 def row_groups(offsets: np.ndarray, size: int = 4 << 20) -> Iterator[tuple[int, int]]:
