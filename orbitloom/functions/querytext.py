@@ -131,8 +131,7 @@ def with_prompt(df: DataFrame) -> DataFrame:
         p = F.regexp_replace(p, pattern, "")
     df = df.withColumn("_p", p)
     region = F.col("_region")
-    place_clause = F.concat(F.lit(r"(?i)\b(?:in|around|near|across)\s+"), region, F.lit(r"\b"))
-    place = F.concat(F.lit(r"(?i)\b"), region, F.lit(r"\b"))
+    place_clause, place = (F.concat(F.lit(a), region, F.lit(b)) for a, b in (vocab.PLACE_CLAUSE, vocab.PLACE_ALONE))
     df = df.withColumn("_p", F.when(region.isNotNull(), F.regexp_replace(F.regexp_replace("_p", place_clause, F.lit("")), place, F.lit(""))).otherwise(F.col("_p")))
     df = df.withColumn("_p", F.btrim(F.regexp_replace(F.regexp_replace("_p", LEADING_VERB, ""), r"\s+", " "), F.lit(" ,.-")))
     return df.withColumn("cleaned_prompt", F.when(F.length("_p") < 4, F.col("_base")).otherwise(F.col("_p"))).drop("_p")

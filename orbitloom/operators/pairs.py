@@ -38,12 +38,18 @@ def land_cover_scores(df: DataFrame) -> DataFrame:
 
 
 def spectral_phrase() -> Column:
-    v, w, b = F.col("ndvi_mean"), F.col("ndwi_mean"), F.col("brightness_mean")
-    green = (F.when(v > 0.5, "high vegetation density").when(v > 0.3, "moderate vegetation cover")
-             .when(v > 0.15, "sparse vegetation").otherwise("minimal vegetation"))
-    wet = F.when(w > 0.15, "significant water presence").when(w > 0.0, "traces of moisture or water")
-    light = F.when(b > 0.6, "high reflectance from bright surfaces").when(b < 0.15, "dark surface features")
-    return F.concat(F.lit("terrain with "), F.concat_ws(" and ", green, wet, light))
+    def graded(value: Column, table) -> Column:
+        out = None
+        for above, phrase in table:
+            hit = F.lit(True) if above is None else value > above
+            out = F.when(hit, phrase) if out is None else out.when(hit, phrase)
+        return out
+
+    light = F.col("brightness_mean")
+    bright, dark = vocab.BRIGHT_PHRASE, vocab.DARK_PHRASE
+    return F.concat(F.lit(vocab.PHRASE_START), F.concat_ws(
+        vocab.PHRASE_JOIN, graded(F.col("ndvi_mean"), vocab.VEGETATION_PHRASES), graded(F.col("ndwi_mean"), vocab.WATER_PHRASES),
+        F.when(light > bright[0], bright[1]).when(light < dark[0], dark[1])))
 
 
 def _templates(land_cover: Column, table) -> Column:

@@ -87,8 +87,9 @@ def tile_timeline(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame) -> D
     return date_ordered(own.unionByName(others), ["reference"], "date", [F.col("is_reference").desc(), F.col("tile_id")])
 
 
-def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
-    """First and last dated observation for every tile with at least two of them.
+def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """First and last dated observation for every tile with at least two of them, or only for the tiles in
+    `references` (reference), whose places alone are then searched.
 
     A tile goes first among equal dates, so the end points are kept per location
     (earliest one, latest two) and resolved per tile.  They are reduced at each exact
@@ -101,6 +102,12 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
         "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("o.date").desc(), F.col("o.tile_id").desc()))
     ).where(F.col("_rn") <= 2)
     near = nearby_locations(tiles).select("place", "near_place")
+    refs = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").select(
+        F.col("tile_id").alias("reference"), place_of().alias("place"), F.col("acquisition_date").alias("_d"),
+    )
+    if references is not None:
+        refs = refs.join(references.select("reference").distinct(), "reference", "left_semi")
+        near = near.join(refs.select("place").distinct(), "place", "left_semi")
     first = near.join(obs.groupBy(*here).agg(F.count("*").alias("_n"), F.min("o").alias("_lo")), here).groupBy(*LOCATION).agg(
         F.sum("_n").alias("observations"), F.min("_lo").alias("lo")
     )
@@ -108,9 +115,6 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
         F.max(F.when(F.col("_rn") == 1, F.col("o"))).alias("hi"), F.max(F.when(F.col("_rn") == 2, F.col("o"))).alias("hi2")
     )
     ends = first.join(last, LOCATION).where(F.col("observations") >= 2)
-    refs = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").select(
-        F.col("tile_id").alias("reference"), place_of().alias("place"), F.col("acquisition_date").alias("_d"),
-    )
     own_first = F.col("_d") == F.col("lo.date")
     shift = (F.col("hi.tile_id") == F.col("reference")) & (F.col("hi2.date") == F.col("hi.date"))
     return refs.join(ends, LOCATION).select(
@@ -125,7 +129,7 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame) -> DataFrame:
 def chosen_pairs(requests: DataFrame, tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pairs for (reference, t1_tile_id, t2_tile_id) requests: both ids given and dated on the
     timeline are used as given (a missing one gives null); one id alone is ignored."""
-    auto = best_pairs(tiles, scenes).select(
+    auto = best_pairs(tiles, scenes, requests).select(
         "reference", F.col("t1_tile_id").alias("_a1"), F.col("t2_tile_id").alias("_a2")
     )
     asked = requests.withColumn("_both", F.coalesce(F.col("t1_tile_id") != "", F.lit(False)) & F.coalesce(F.col("t2_tile_id") != "", F.lit(False)))

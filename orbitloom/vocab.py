@@ -435,3 +435,16 @@ QUERY_TAXONOMY = (
         "coastal shoreline erosion and changing beach sediment line",
         "drought-affected reservoir with receding water level and dry bed")),
 )
+
+# --- fixed values: spectral phrase, (above this value, words); None: otherwise
+PHRASE_START, PHRASE_JOIN = "terrain with ", " and "
+VEGETATION_PHRASES = (
+    (0.5, "high vegetation density"), (0.3, "moderate vegetation cover"), (0.15, "sparse vegetation"), (None, "minimal vegetation"),
+)
+WATER_PHRASES = ((0.15, "significant water presence"), (0.0, "traces of moisture or water"))
+BRIGHT_PHRASE = (0.6, "high reflectance from bright surfaces")
+DARK_PHRASE = (0.15, "dark surface features")
+
+# --- fixed values: place clauses cut from a query text, around the place name
+PLACE_CLAUSE = (r"(?i)\b(?:in|around|near|across)\s+", r"\b")
+PLACE_ALONE = (r"(?i)\b", r"\b")

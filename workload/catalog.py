@@ -258,9 +258,10 @@ def tile_listing(spark, d):
 
 
 @query("A11", """
-SELECT count(*) AS files, sum(n_chars)::BIGINT AS bytes, round(sum(n_chars) / 1048576.0::DOUBLE, 2) AS megabytes FROM documents""")
+SELECT count(*) AS files, sum(strlen(text))::BIGINT AS bytes, round(sum(strlen(text)) / 1048576.0::DOUBLE, 2) AS megabytes FROM documents""")
 def storage_footprint(spark, d):
-    return C.storage_footprint(v.table(spark, d, "documents"), "n_chars")
+    files = v.table(spark, d, "documents").select(F.octet_length("text").cast("bigint").alias("length"))
+    return C.storage_footprint(files)
 
 
 @query("S2", "SELECT tile_id, scene_id FROM v_tiles")

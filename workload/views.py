@@ -278,7 +278,7 @@ def class_files(spark, d):
 
 
 def named_tiles(spark, d):
-    """Tile names that carry scene keywords, from suppliers and customers."""
+    """Tile names that carry scene keywords, from customers."""
     c = table(spark, d, "customer")
     k = F.col("c_custkey")
     names = ("COASTAL_AGRICULTURE", "URBAN_INDUSTRIAL_HUB", "FOREST_WATERSHED", "SUNDARBANS_MANGROVE", "BRAHMAPUTRA", "BHADLA", "MUMBAI_PORT", "GUWAHATI", "PLATEAU")
