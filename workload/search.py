@@ -56,11 +56,11 @@ def query_domains(spark, d):
 # ---- vectors
 
 @query("V1", """
-SELECT tile_id, (i - 1)::INT AS slot, round(embedding[i] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) AS value
+SELECT tile_id, (i - 1)::INT AS slot, round(embedding[i] / sqrt(list_sum(list_transform(embedding, lambda x: x * x))), 6) + 0.0::DOUBLE AS value
 FROM (SELECT *, unnest(range(1, 65)) AS i FROM v_tiles)""")
 def unit_vectors(spark, d):
     u = v.tiles(spark, d).select("tile_id", F.posexplode(V.unit(F.col("embedding"))).alias("slot", "value"))
-    return u.select("tile_id", "slot", F.round("value", 6).alias("value"))
+    return u.select("tile_id", "slot", (F.round("value", 6) + 0.0).alias("value"))
 
 
 @query("V2 V3 L5", """
@@ -145,7 +145,7 @@ def neighbour_recall(spark, d):
     """Found neighbours of the cell index, and whether at least 0.9 of the exact ones are among them."""
     base, asked = _vectors(spark, d), _as_queries(spark, d)
     exact = knn.nearest(base, asked, 10, DIM).select("query_id", "tile_id")
-    near = knn.nearest_by_cells(base, asked, 10, DIM, cells=16, probes=8).select("query_id", "tile_id", F.lit(1).alias("found"))
+    near = knn.nearest_by_cells(base, asked, 10, DIM, cells=16, probes=12).select("query_id", "tile_id", F.lit(1).alias("found"))
     return exact.join(near, ["query_id", "tile_id"], "left").agg(
         F.count("*").alias("hits"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
 
@@ -206,7 +206,7 @@ def semantic_search(spark, d):
     return hits.select("query_id", "tile_id", "rank", "raw_similarity", "similarity", "is_strongly_aligned", "tile_sensor", "date")
 
 
-@query("S13 V12", "SELECT tile_id, (i - 1)::INT AS slot, round(embedding[i]::FLOAT::DOUBLE, 5) AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM v_tiles)")
+@query("S13 V12", "SELECT tile_id, (i - 1)::INT AS slot, round(embedding[i]::FLOAT::DOUBLE, 5) + 0.0::DOUBLE AS value FROM (SELECT *, unnest(range(1, 65)) AS i FROM v_tiles)")
 def stored_vectors(spark, d):
     """The vector table saved and loaded again."""
     from orbitloom.session import new_table_path
@@ -215,4 +215,4 @@ def stored_vectors(spark, d):
     path = new_table_path(spark, "vectors")
     S.save_vectors(v.tiles(spark, d), path)
     loaded = S.load_vectors(spark, path).select("tile_id", F.posexplode("embedding").alias("slot", "value"))
-    return loaded.select("tile_id", "slot", F.round(F.col("value").cast("double"), 5).alias("value"))
+    return loaded.select("tile_id", "slot", (F.round(F.col("value").cast("double"), 5) + 0.0).alias("value"))
