@@ -154,13 +154,16 @@ class Lattices:
         level = np.concatenate(([0], np.cumsum(at_least)))
         n = int(level[-1])
         self.first_node = level[length] + rank
-        code = np.where(code == SPACE, MASKED, np.where(code == 0x20, SPACE, code))
-        word = np.repeat(rank, length)
-        left = np.repeat(np.cumsum(length), length) - np.arange(len(code))  # characters to the word's end
-        letters = code.astype(np.uint64)
+        # every word with one more place, its end; places to the end, and the node of each place
+        size = length + 1
+        left = np.repeat(np.cumsum(size), size) - np.arange(len(code) + len(length)) - 1
+        place = level[left] + np.repeat(rank, size)
+        inside = np.flatnonzero(left)
+        letters = np.zeros(len(left), np.uint64)
+        letters[inside] = np.where(code == SPACE, MASKED, np.where(code == 0x20, SPACE, code))
         matched = []
-        at, h = np.arange(len(code)), np.zeros(len(code), np.uint64)
-        single = np.zeros(len(code), bool)
+        at, h = inside, np.zeros(len(inside), np.uint64)
+        single = np.zeros(len(left), bool)
         for k, (_, ids, seen, _, _) in enumerate(voc.levels):
             if k:
                 fits = left[at] > k
@@ -169,29 +172,28 @@ class Lattices:
             h ^= h >> np.uint64(29)
             maybe = seen[h >> np.uint64(46)]
             at, h = at[maybe], h[maybe]
-            place = voc.find(k, h)
-            same = place >= 0
-            at, h, piece = at[same], h[same], ids[place[same]]
+            known = voc.find(k, h)
+            same = known >= 0
+            at, h, piece = at[same], h[same], ids[known[same]]
             if not len(at):
                 break
             whole = piece >= 0
-            matched.append((k, at[whole], piece[whole]))
+            matched.append((place[at[whole]], place[at[whole] + k + 1], piece[whole]))
             if k == 0:
                 single[at[whole]] = True
-        bare = np.flatnonzero(~single)  # characters in bytes
-        matched.append((0, bare, -code[bare] - 1))
-        nodes = [level[left[at]] + word[at] for _, at, _ in matched]
+        bare = inside[~single[inside]]  # characters in bytes
+        matched.append((place[bare], place[bare + 1], -letters[bare].astype(np.int64) - 1))
         self.count = np.zeros(n, np.int64)
-        for x in nodes:
+        for x, _, _ in matched:
             self.count[x] += 1
         self.first = np.cumsum(self.count) - self.count
         total = int(self.count.sum())
         self.end, self.piece = np.empty(total, np.int64), np.empty(total, np.int64)
         free = self.first.copy()
-        for x, (k, at, piece) in zip(nodes, matched, strict=True):
-            self.end[free[x]] = level[left[at] - k - 1] + word[at]
-            self.piece[free[x]] = piece
-            free[x] += 1
+        for x, end, piece in matched:
+            slot = free[x]
+            self.end[slot], self.piece[slot] = end, piece
+            free[x] = slot + 1
         weight = voc.weight.take(self.piece, mode="clip")
         odd = np.flatnonzero(self.piece < 0)
         weight[odd] = [BYTE_WEIGHT * len(voc.encode_bytes(c)) for c in (-self.piece[odd] - 1).tolist()]
