@@ -101,6 +101,17 @@ def test_approximate_recall(spark):
     assert len(exact & near) / len(exact) >= 0.9
 
 
+def test_registered_search_reaches_its_recall(spark):
+    """The registered search itself and the library default, not a setting of their own."""
+    from workload import search as S
+
+    d = "/root/testdata/sf0.001"
+    exact = {(r.query_id, r.tile_id) for r in S.nearest_tiles(spark, d).collect()}
+    base, asked = S._vectors(spark, d), S._as_queries(spark, d)
+    for hits in (S.approximate_neighbours(spark, d), knn.nearest_by_cells(base, asked, 10, S.DIM)):
+        assert len(exact & {(r.query_id, r.tile_id) for r in hits.collect()}) >= 0.9 * len(exact)
+
+
 def test_unit_ensemble_and_calibration(spark):
     r = spark.range(1).select(
         V.unit(F.array(F.lit(3.0), F.lit(4.0))).alias("u"), V.unit(F.array(F.lit(0.0))).alias("z"),

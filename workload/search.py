@@ -136,23 +136,23 @@ FROM v_tiles a, v_tiles b QUALIFY rank <= 10"""
 @query("V13", _EXACT)
 def neighbours_of_all_cells(spark, d):
     """The cell index with as many probes as cells: it has to give the exact answer."""
-    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=16, probes=16)
+    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=knn.CELLS, probes=knn.CELLS)
     return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query("V13", f"SELECT count(*) AS hits, true AS recall_reached FROM ({_EXACT})")
 def neighbour_recall(spark, d):
-    """Found neighbours of the cell index, and whether at least 0.9 of the exact ones are among them."""
+    """Found neighbours of the registered cell index (`approximate_neighbours`), and whether at least 0.9 of the exact ones are among them."""
     base, asked = _vectors(spark, d), _as_queries(spark, d)
     exact = knn.nearest(base, asked, 10, DIM).select("query_id", "tile_id")
-    near = knn.nearest_by_cells(base, asked, 10, DIM, cells=16, probes=12).select("query_id", "tile_id", F.lit(1).alias("found"))
+    near = knn.nearest_by_cells(base, asked, 10, DIM, cells=knn.CELLS, probes=knn.PROBES).select("query_id", "tile_id", F.lit(1).alias("found"))
     return exact.join(near, ["query_id", "tile_id"], "left").agg(
         F.count("*").alias("hits"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
 
 
 @query("V13")
 def approximate_neighbours(spark, d):
-    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=16, probes=8)
+    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=knn.CELLS, probes=knn.PROBES)
     return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
 
 
