@@ -8,6 +8,11 @@ at `POSITIONS` random places.  Equal hashes are candidates; an item is found whe
 place near the window is at most `MAX_EDITS` of its words.  Windows start at every `STRIDE`-th word and items are
 indexed at every offset below the stride, so each alignment is met.
 
+The walks lose some places, more of them the longer the item and the more edits.  So that every place within `MAX_EDITS`
+is a candidate, an item is also cut into one piece more than the edits allowed: an edit touches at most one piece, so
+one stands unchanged in the text.  The first 2 to 4 words of each piece (all pieces of an item alike) are looked up at
+every word of the text.  Together no place is lost but by the cut of `MAX_EDITS` itself.
+
 All documents are read in one pass per block of items (`BLOCK_ITEMS`, `BLOCK_CHARS`); only a block's index, of bounded
 size, is sent to the tasks.  There is no shuffle of texts.
 
@@ -90,12 +95,27 @@ def window_hashes(words: np.ndarray, at: np.ndarray, sizes: list[int]) -> Iterat
             yield walk, size, k, mix(h)
 
 
+def most_edits(item: np.ndarray) -> int:
+    return int(MAX_EDITS * len(item))
+
+
+def piece_hashes(words: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of every `size` consecutive words; an end mark among them makes one that no item has."""
+    n = max(0, len(words) - size + 1)
+    h = np.zeros(n, np.uint64)
+    for j in range(size):
+        h *= MULTIPLIER
+        h += words[j:j + n]
+    return mix(h)
+
+
 @dataclass
 class ItemIndex:
     ids: list[int]
     items: list[np.ndarray]  # the items' words
     sizes: list[int]
     tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted hashes, item numbers, offsets
+    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by the words of a piece: the same
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -106,7 +126,7 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def build_index(ids: list[int], texts: list[str]) -> ItemIndex:
     h, _, _, starts = words_of(pa.array(texts, pa.large_string()))
     kept = [(i, h[a:b] | np.uint64(1)) for i, a, b in zip(ids, starts[:-1], starts[1:], strict=True) if b - a >= MIN_WORDS]
-    index = ItemIndex([i for i, _ in kept], [w for _, w in kept], [], {})
+    index = ItemIndex([i for i, _ in kept], [w for _, w in kept], [], {}, {})
     if not kept:
         return index
     every = np.array(classes_up_to(max(len(w) for w in index.items)))
@@ -120,6 +140,15 @@ def build_index(ids: list[int], texts: list[str]) -> ItemIndex:
         own = size_of == size
         order = np.argsort(hashes[own], kind="stable")
         index.tables[walk, size, k] = (hashes[own][order], number[own][order], offset[own][order])
+    cut: dict[int, list[tuple[np.uint64, int, int]]] = {}
+    for n, w in enumerate(index.items):
+        count = most_edits(w) + 1
+        size, starts = len(w) // count, [j * len(w) // count for j in range(count)]
+        cut.setdefault(size, []).extend(zip(piece_hashes(w, size)[starts], [n] * count, starts, strict=True))
+    for size, rows in cut.items():
+        hashes, number, offset = (np.array(x) for x in zip(*rows, strict=True))
+        order = np.argsort(hashes, kind="stable")
+        index.pieces[size] = (hashes[order], number[order], offset[order])
     return index
 
 
@@ -163,7 +192,7 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
     stride = STRIDE if shortest >= STRIDE + MIN_WORDS - 1 else 1
     listed = [w.tolist() for w in index.items]
     bitmaps = {}
-    for key, (hashes, _, _) in index.tables.items():
+    for key, (hashes, _, _) in (index.tables | index.pieces).items():
         bitmaps[key] = np.zeros(1 << FILTER_BITS, bool)
         bitmaps[key][hashes >> np.uint64(64 - FILTER_BITS)] = True
     for lo, hi in row_groups(offsets, 1 << 21):
@@ -185,11 +214,19 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
                 for e in range(a[x], b[x]):
                     row = int(row_of[hit[x]])  # an item whose first words are missing may begin before its row
                     candidates.add((int(number[e]), row, max(int(begins[row]), int(at[hit[x]]) - int(offset[e]))))
+        for size, (table, number, offset) in index.pieces.items():
+            hashes = piece_hashes(words, size)
+            hit = np.flatnonzero(bitmaps[size][hashes >> np.uint64(64 - FILTER_BITS)])
+            a, b = np.searchsorted(table, hashes[hit], "left"), np.searchsorted(table, hashes[hit], "right")
+            n = b - a
+            hit, e = np.repeat(hit, n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            row = np.searchsorted(begins, hit, "right") - 1
+            candidates.update(zip(number[e].tolist(), row.tolist(), np.maximum(begins[row], hit - offset[e]).tolist(), strict=True))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         for n, row, place in sorted(candidates):
             item = index.items[n]
-            most = int(MAX_EDITS * len(item))
+            most = most_edits(item)
             if done.get((n, row), -1) >= place:  # a little further on: the last look covered it
                 continue
             reach = most + STRIDE

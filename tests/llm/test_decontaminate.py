@@ -62,6 +62,16 @@ def test_recall_against_brute_force():
     assert len(got & want) >= 0.9 * len(want)
 
 
+def test_long_items_with_many_edits_are_found():
+    rng = random.Random(8)
+    items = [rng.choices([f"w{i}" for i in range(3_000)], k=200) for _ in range(40)]
+    index = D.build_index(list(range(40)), [" ".join(x) for x in items])
+    texts = [rng.choices(VOCABULARY, k=50) + edited(rng, x, 0.15) + rng.choices(VOCABULARY, k=50) for x in items]
+    want = {(n, n) for n, (x, t) in enumerate(zip(items, texts)) if plain_best(x, t) <= int(D.MAX_EDITS * len(x))}
+    assert len(want) >= 30
+    assert {(row, item) for row, item, *_ in D.find_in(index, pa.array([" ".join(t) for t in texts]))} == want
+
+
 def test_a_passage_without_its_first_words_at_the_start_of_a_text():
     rng = random.Random(6)
     item = rng.choices(VOCABULARY, k=40)
