@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from orbitloom.llm import decontaminate as D
 
@@ -72,6 +73,23 @@ def test_long_items_with_many_edits_are_found():
     assert {(row, item) for row, item, *_ in D.find_in(index, pa.array([" ".join(t) for t in texts]))} == want
 
 
+@pytest.mark.parametrize("rate", [0.05, 0.1, 0.15, D.MAX_EDITS])
+@pytest.mark.parametrize("length", [12, 30, 59, 120, 300])
+def test_recall_of_near_copies_by_length_and_edits(length, rate):
+    """Near copies alone: as many edited words as the rate allows, at least one, none of them exact."""
+    rng = random.Random(length)
+    words = [f"w{i}" for i in range(3_000)]
+    items = [rng.choices(words, k=length) for _ in range(30)]
+    texts = []
+    for item in items:
+        parts = [[w] for w in item]
+        for i in rng.sample(range(length), max(1, int(rate * length))):
+            parts[i] = rng.choice(([], [f"new{i}"], [item[i], f"new{i}"]))
+        texts.append(" ".join(rng.choices(words, k=rng.randrange(60)) + sum(parts, []) + rng.choices(words, k=40)))
+    index = D.build_index(list(range(30)), [" ".join(x) for x in items])
+    assert {(row, item) for row, item, *_ in D.find_in(index, pa.array(texts))} == {(n, n) for n in range(30)}
+
+
 def test_a_passage_without_its_first_words_at_the_start_of_a_text():
     rng = random.Random(6)
     item = rng.choices(VOCABULARY, k=40)
