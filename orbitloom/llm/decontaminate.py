@@ -1,6 +1,7 @@
 """Benchmark decontamination by CGK embedding and bit-sampling LSH, with exact edit verification.
 
-The alphabet is words: runs of letters and digits, upper case as lower case.  A CGK random walk reads a word string
+The alphabet is words: runs of letters and digits, upper case as lower case; spaces and punctuation beyond ASCII separate,
+too, and each character of a script without spaces (Han, kana, Thai, Lao, Khmer, Burmese and others) is a word.  A CGK random walk reads a word string
 with steps j = 0, 1, ...; it copies the word at its place and moves on if the bit r_j(word) is set, so that strings at a
 small edit distance become sequences at a small Hamming distance.  Windows of a document as long as a benchmark item
 (in size classes about a third apart) are embedded by `WALKS` walks; each of `SAMPLES` hashes per walk takes the words
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from unicodedata import category
 
 import numpy as np
 import pyarrow as pa
@@ -49,6 +51,42 @@ def fold(data: np.ndarray) -> np.ndarray:
     return out
 
 
+# scripts that write no spaces between words (first and last code points)
+UNSPACED = (
+    (0x0E01, 0x0E4E), (0x0E81, 0x0ECE), (0x0EDC, 0x0EDF), (0x1000, 0x103F), (0x104C, 0x108F), (0x109A, 0x109F), (0x1780, 0x17DD), (0x1950, 0x19CF),
+    (0x1A20, 0x1A7F), (0x1B00, 0x1B4C), (0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x302F), (0x3031, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+    (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9CF), (0xA9E0, 0xA9EF), (0xA9FA, 0xA9FE), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F),
+    (0x16FE0, 0x18DFF), (0x1AFF0, 0x1B2FF),
+)
+LETTER, SEPARATOR, WORD = 0, 1, 2
+KIND = np.zeros(0x20000, np.uint8)
+for _a, _b in UNSPACED:
+    KIND[_a:_b + 1] = WORD
+KIND[[c for c in range(0x80, 0x20000) if category(chr(c))[0] in "ZP" or c < 0xA0 or c in (0x200B, 0xFEFF)]] = SEPARATOR
+
+
+def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As `tokenize`, with separators beyond ASCII and the characters of unspaced scripts as words."""
+    data = fold(data)
+    at = np.flatnonzero((data == 0xC2) | (data >= 0xC4))  # after 0xC3 there are letters only
+    if not len(at):
+        return tokenize(data, offsets, PUNCTUATION)
+    lead = data[at].astype(np.int64)
+    size = 2 + (lead >= 0xE0) + (lead >= 0xF0)
+    code = lead & (0x7F >> size)
+    for k in range(1, 4):
+        more = size > k
+        code[more] = code[more] << 6 | data[at[more] + k] & 0x3F
+    kind = np.where(code < len(KIND), KIND[np.minimum(code, len(KIND) - 1)], np.where(code < 0x40000, WORD, LETTER))
+    data = data.copy()
+    for k in range(4):
+        data[at[(kind == SEPARATOR) & (size > k)] + k] = 0x20
+    alone = kind == WORD
+    edges = np.unique(np.concatenate((offsets, at[alone], at[alone] + size[alone])))
+    h, first, end, _ = tokenize(data, edges, PUNCTUATION)
+    return h, first, end, np.searchsorted(first, offsets)
+
+
 def classes_up_to(longest: int) -> list[int]:
     """Window sizes from MIN_WORDS to `longest`, each about a third larger than the one before."""
     out = [MIN_WORDS]
@@ -120,7 +158,7 @@ class ItemIndex:
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     data, offsets = column_bytes(texts)
-    return tokenize(fold(data), offsets, PUNCTUATION)
+    return split_words(data, offsets)
 
 
 def build_index(ids: list[int], texts: list[str]) -> ItemIndex:
@@ -198,7 +236,7 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
     for lo, hi in row_groups(offsets, 1 << 21):
         own = offsets[lo:hi + 1] - offsets[lo]
         raw = data[offsets[lo]:offsets[hi]]
-        h, first, last, starts = tokenize(fold(raw), own, PUNCTUATION)
+        h, first, last, starts = split_words(raw, own)
         words, begins = padded(h, starts)
         if not len(words):
             continue

@@ -120,6 +120,20 @@ def test_short_items_and_long_words():
     assert [(r, i) for r, i, *_ in got] == [(0, 1)]
 
 
+@pytest.mark.parametrize("item,copy", [
+    ("床前明月光疑是地上霜举头望明月低头思故乡", "床前明月光,疑是地上霜。举头看明月,低头思故乡"),
+    ("吾輩は猫である。名前はまだ無い。", "吾輩は猫である、名前はまだ無い"),
+    ("สวัสดีครับยินดีต้อนรับ", "สวัสดีครับยินดีต้อนรับ"),
+    ("𠀀𠀁𠀂𠀃𠀄𠀅", "𠀀𠀁𠀂𠀃𠀄𠀅"),
+    ("un\u00a0deux\u2003trois\u200bquatre«cinq»six", "un deux trois quatre – cinq – six"),
+])
+def test_scripts_and_separators_beyond_ascii(item, copy):
+    index = D.build_index([4], [item])
+    texts = ["某" * 30, f"前文🚀 {copy} 後文", copy, "ein Satz – „ohne“ sie", ""]
+    found = {row: text[a:b] for row, _, a, b, _ in D.find_in(index, pa.array(texts)) for text in [texts[row]]}
+    assert found.keys() == {1, 2} and found[1] == found[2] == copy.rstrip("。")
+
+
 def test_blocks_cover_all_items(spark, monkeypatch):
     rng = random.Random(5)
     items = [(i, " ".join(rng.choices(VOCABULARY, k=20))) for i in range(7)] + [(99, None), (98, "short")]
