@@ -4,6 +4,9 @@ Base kinds: `assign` (a secret-like name set to 8 or more characters), `access`
 `hex` (32 or more hexadecimal digits); each leftmost and non-overlapping, failing matches dropped after matching.  The
 method adds kind `random`: a run of 20 or more characters of `[A-Za-z0-9+/_=-]` that overlaps no base span, mixes at
 least two of lower case, upper case and digits, and has fewer than `RATIO` characters per token of the vocabulary.
+Where the whole run does not, the same is asked of its parts between `+/_=-`: of neighbouring parts that are no words of four
+or more characters, UUIDs or digests, together and one by one, so that words beside a random string do not hide it; the
+part is the span then.  Words joined to a random string without a separator count with it.
 Natural words reach 3 to 5 characters a token, random strings about 1.5 to 2.  Excluded first: known digests (runs of
 only hexadecimal digits in either case, of 32, 40, 56, 64, 96 or 128), UUIDs, and identifiers, that is runs whose parts
 between separators and case changes are all words (letters only, up to 24 of them) or numbers of up to 8 digits.
@@ -29,7 +32,7 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # the byte-level BPE splitting pattern of that vocabulary (fixed value)
 SPLIT = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 KINDS = ("assign", "access", "hex", "random")
-RATIO, BLOCK = 2.3, 512
+RATIO, BLOCK, SHORTEST = 2.3, 512, 20
 
 # fixed patterns of the base kinds
 ASSIGN = re.compile(
@@ -39,6 +42,7 @@ HEX = re.compile(r"[0-9a-f]{32,}")  # the runs of [0-9a-f]+ that are long enough
 RUN = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 DIGEST = re.compile(r"[0-9A-Fa-f]+")
 UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+PART = re.compile(rf"(?<![A-Za-z0-9])({UUID.pattern})(?![A-Za-z0-9])|[A-Za-z0-9]+")
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]{2,24}|[A-Z]{2,24}|[A-Za-z]|[0-9]{1,8})")
 DIGESTS = {32, 40, 56, 64, 96, 128}
 
@@ -82,6 +86,28 @@ def looks_random(run: str, path: str = VOCABULARY) -> bool:
     return chars_per_token(run, path) < RATIO and not is_identifier(run)
 
 
+def random_parts(run: str, path: str = VOCABULARY) -> Iterator[tuple[int, int]]:
+    """Start and end of what looks random in a run: the whole, or else stretches of its parts, or single parts."""
+    if looks_random(run, path):
+        yield 0, len(run)
+        return
+    stretches: list[list[tuple[int, int]]] = [[]]
+    for m in PART.finditer(run):
+        known = m[1] or len(m[0]) in DIGESTS and DIGEST.fullmatch(m[0])
+        if known or len(m[0]) >= 4 and is_identifier(m[0]):
+            stretches.append([])
+        else:
+            stretches[-1].append(m.span())
+    for parts in stretches:
+        odd = [i for i, part in enumerate(parts) if not is_identifier(run[slice(*part)])]
+        parts = parts[odd[0]:odd[-1] + 1] if odd else []
+        for a, b in [(parts[0][0], parts[-1][1])] if parts else []:
+            if b - a >= SHORTEST and looks_random(run[a:b], path):
+                yield a, b
+            elif len(parts) > 1:
+                yield from ((c, d) for c, d in parts if d - c >= SHORTEST and looks_random(run[c:d], path))
+
+
 def scan(text: str, path: str = VOCABULARY) -> list[tuple[str, int, int]]:
     """(kind, start, end) of all spans, by start, then kind."""
     spans = []
@@ -97,8 +123,8 @@ def scan(text: str, path: str = VOCABULARY) -> list[tuple[str, int, int]]:
         while k < len(base) and base[k][0] < m.end():
             reach = max(reach, base[k][1])
             k += 1
-        if reach <= m.start() and looks_random(m[0], path):
-            spans.append(("random", m.start(), m.end()))
+        if reach <= m.start():
+            spans += [("random", m.start() + a, m.start() + b) for a, b in random_parts(m[0], path)]
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

@@ -44,6 +44,18 @@ def test_random_strings_are_found_and_others_are_not():
         assert S.scan(f"x {clean} y") == [], clean
 
 
+def test_words_beside_a_random_string_do_not_hide_it():
+    rng = random.Random(7)
+    for words in ("https/hooks/services/internal/production/", "client_credentials_for_production="):
+        found = 0
+        for _ in range(200):
+            run = "".join(rng.choice(string.ascii_letters + string.digits) for _ in range(32))
+            found += S.scan(f"{words}{run}") == [("random", len(words), len(words) + 32)] or S.scan(f"{words}{run}") == [("random", 0, len(words) + 32)]
+        assert found >= 190
+    for clean in ("documents/uploads/internal/production/archive/backup/12345678-e89b-12d3-a456-426614174000", "internationalization/documentation/production/D41D8CD98F00B204E9800998ECF8427E"):
+        assert S.scan(clean) == [], clean
+
+
 def test_a_random_span_does_not_overlap_a_base_one():
     run = "Zq8Xw2Lp9Rt4Vb6Nm1Kd7Hs3"
     assert [s[0] for s in S.scan(f"token={run} and {run}")] == ["assign", "random"]
