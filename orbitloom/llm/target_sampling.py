@@ -82,7 +82,8 @@ class Dictionary:
         spelled = [w.encode() for w in words]
         for i, w in enumerate(words, 1):
             if len(w) > LONG_WORD:
-                w = self.names[w] = f"{ROW_END}{i}"
+                self.names[w] = f"{ROW_END}{i}"
+                w = self.names[w]
             self.automaton.add_word(f" {w} ", i)
         self.automaton.make_automaton()
         self.crc = np.array([0, *map(crc32, spelled)], np.uint32)
