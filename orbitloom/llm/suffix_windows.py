@@ -32,7 +32,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from ..session import materialize
+from .tables import written
 from .words import MULTIPLIER, _power_tables, column_bytes, mix, row_groups
 
 DEPTH, GRAM, BLOCK = 400, 64, 64
@@ -211,10 +211,10 @@ def drop_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "tex
     held = rows.where(F.octet_length("text") >= DEPTH)
     anchors = held.select(*ID, "text").mapInArrow(_first_digits, "gram long, id1 long, id2 long, n long")
     lone = anchors.groupBy("gram").agg(F.sum("n").alias("n"), F.min(F.struct(*ID)).alias("holder")).where("n = 1")
-    lone = materialize(lone.groupBy("holder").agg(F.collect_list("gram").alias("grams")).select("holder.*", "grams"), "grams")
+    lone = written(lone.groupBy("holder").agg(F.collect_list("gram").alias("grams")).select("holder.*", "grams"), "grams")
     blocks = held.join(lone, ID, "left").select(*ID, "text", "grams").mapInArrow(
         _second_digits, "h1 long, h2 long, before binary, behind binary, id1 long, id2 long, place long")
-    blocks = materialize(blocks.groupBy("h1", "h2", "before", "behind").agg(
+    blocks = written(blocks.groupBy("h1", "h2", "before", "behind").agg(
         F.count("*").alias("n"), F.min(F.struct(*ID, "place")).alias("holder")), "blocks")
     windows = _unique_windows(blocks).groupBy(*ID).agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
     return (
