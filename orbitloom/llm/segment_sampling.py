@@ -37,6 +37,7 @@ GROUP_CHARS = 600_000
 SPACE = 0x2581
 MASKED = 0x110000  # stands for U+2581 inside a text: has no piece
 BYTE_WEIGHT = -12.0
+EPOCH = 8
 OUT_DDL = "doc_id long, sample int, ids array<int>, n_pieces long, log_prob double, log_inclusion double, restored boolean"
 
 
@@ -199,28 +200,31 @@ class Lattices:
         weight[odd] = [BYTE_WEIGHT * len(voc.encode_bytes(c)) for c in (-self.piece[odd] - 1).tolist()]
         self.choices = np.repeat(self.count, self.count)  # edges of the node that an edge leaves
         # the summed weights of all ways to the end of the word, from the end backwards, give each edge its probability;
-        # words too long for that are summed in logarithms
-        short = longest <= 48
-        rest = np.ones(n) if short else np.zeros(n)
-        x = np.exp(weight) if short else weight
+        # a word's sums are in units of a power of two that moves every EPOCH places: no word is too long for it and no
+        # character too rare
+        part, power = np.ones(n), np.zeros(n, np.int64)
+        q = np.exp(weight)
         for t in range(1, longest + 1):
             a, b = level[t], level[t + 1]
             lo, hi = self.first[a], self.first[b - 1] + self.count[b - 1]
-            seg, size = self.first[a:b] - lo, self.count[a:b]
-            if short:
-                x[lo:hi] *= rest[self.end[lo:hi]]
-                rest[a:b] = np.add.reduceat(x[lo:hi], seg)
-                x[lo:hi] /= np.repeat(rest[a:b], size)
-                continue
-            x[lo:hi] += rest[self.end[lo:hi]]
-            top = np.maximum.reduceat(x[lo:hi], seg)
-            rest[a:b] = top + np.log(np.add.reduceat(np.exp(x[lo:hi] - np.repeat(top, size)), seg))
-            x[lo:hi] -= np.repeat(rest[a:b], size)
-        self.log_q, q = (np.log(x), x) if short else (x, np.exp(x))
-        running = np.cumsum(q)
-        inner = self.count > 0
-        base = np.concatenate(([0.0], running))[self.first[inner]]
-        self.upto = running - np.repeat(base, self.count[inner])
+            seg, size, end = self.first[a:b] - lo, self.count[a:b], self.end[lo:hi]
+            x = q[lo:hi] * part[end]
+            if t > EPOCH:
+                power[a:b] = power[level[t - 1]:level[t - 1] + b - a]  # the word's one place further on
+                x = np.ldexp(x, (power[end] - np.repeat(power[a:b], size)).astype(np.int32))
+            part[a:b] = np.add.reduceat(x, seg)
+            q[lo:hi] = x / np.repeat(part[a:b], size)
+            if t % EPOCH == 0:
+                part[a:b], moved = np.frexp(part[a:b])
+                power[a:b] += moved
+        self.q = q
+        with np.errstate(divide="ignore"):
+            self.log_q = np.log(q)
+        # running sums of each node's edges, in whole parts of 2**-52: differences of the whole running sum are exact
+        running = np.cumsum((q * 2.0**52).astype(np.uint64))
+        inner = np.flatnonzero(self.count > 0)
+        base = np.concatenate((np.zeros(1, np.uint64), running))[self.first[inner]]
+        self.upto = (running - np.repeat(base, self.count[inner])).astype(np.float64) * 2.0**-52
         self.upto[self.first[inner] + self.count[inner] - 1] = 2.0  # the last edge takes what is left
 
     def beside(self, edge: int) -> np.ndarray:
@@ -228,6 +232,18 @@ class Lattices:
         node = np.searchsorted(self.first, edge, "right") - 1
         return np.arange(self.first[node], self.first[node] + self.count[node])
 
+    def others(self, edges: np.ndarray) -> np.ndarray:
+        """The summed probability of the edges beside each edge."""
+        out = -np.expm1(self.log_q[edges])
+        sure = np.flatnonzero(out < 1e-6)  # too near to 1 for a difference: added up one by one
+        first = self.first[np.searchsorted(self.first, edges[sure], "right") - 1]
+        count, total = self.choices[edges[sure]], np.zeros(len(sure))
+        for j in range(int(count.max(initial=0))):
+            on = np.flatnonzero((count > j) & (first + j != edges[sure]))
+            total[on] += self.q[first[on] + j]
+        out[sure] = total
+        return out
+
     def draw(self, nodes: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Random walks from `nodes` to the ends of their words: all edges in order, and the number of edges of each."""
         nodes = nodes.copy()
@@ -303,20 +319,23 @@ def spread(lat: Lattices, turns: list[tuple[Search, np.ndarray, float, int, list
     keys = np.array([t[0].key + np.uint64((len(t[0].paths) * 0x14057B7EF767814F) & 0xFFFFFFFFFFFFFFFF) for t in turns], np.uint64)
     # steps with a way beside the path
     spare = lat.choices[path] - 1
-    used = -np.expm1(log_q)
-    for i in np.flatnonzero([bool(t[4]) for t in turns]):
-        at, barred = start[i] + since[i], turns[i][4]
-        used[at] = max(0.0, 1.0 - np.exp(lat.log_q[[*barred, path[at]]]).sum())
+    part_used = {int(start[i] + since[i]): t[4] for i, t in enumerate(turns) if t[4]}
+    for at, barred in part_used.items():
         spare[at] -= len(barred)
     turn = np.repeat(np.arange(len(turns)), size)
     step = np.arange(len(path)) - start[turn]
     open_ = np.flatnonzero((spare > 0) & (step >= since[turn]))
+    used = lat.others(path[open_])
+    for i in np.searchsorted(open_, sorted(part_used)):
+        if i < len(open_) and int(open_[i]) in part_used:
+            beside = lat.beside(int(path[open_[i]]))
+            used[i] = lat.q[beside[~np.isin(beside, [*part_used[int(open_[i])], path[open_[i]]])]].sum()
     before = np.concatenate([np.cumsum(log_q[a:a + n]) for a, n in zip(start, size, strict=True)]) - log_q
     e = -np.log(uniform(keys[turn[open_]] + np.uint64(0x5851F42D4C957F2D) * (step[open_] + 1).astype(np.uint64)))
     parent = np.array([t[2] for t in turns])
     values = np.full(len(path), -np.inf)
     with np.errstate(divide="ignore"):
-        values[open_] = -np.logaddexp(-parent[turn[open_]], np.log(e) - before[open_] - np.log(used[open_]))
+        values[open_] = -np.logaddexp(-parent[turn[open_]], np.log(e) - before[open_] - np.log(used))
     for (s, own, _, at, barred), score, a, n in zip(turns, scores, start, size, strict=True):
         if barred:
             s.barred[len(s.paths), at] = barred

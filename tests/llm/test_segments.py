@@ -93,3 +93,26 @@ def test_awkward_rows(awkward, nothing):
     decoded = S.decode_segmentations(S.sample_segmentations(awkward)).collect()
     assert all(r["text"] == texts[r["doc_id"]] for r in decoded)
     assert S.sample_segmentations(nothing).count() == 0
+
+
+RARE = ["ab cd " + "𓀀" * 30 + " of the", "𓀀" * 20, "龘靐齉爩" * 10, "日本語" * 40, "a𓀀b" * 20, "x" * 3_000, "plain text with incomprehensibilities"]
+
+
+def test_characters_without_pieces_have_finite_scores_and_all_samples(voc):
+    for text, many in ((t, S.sample_group([t], np.array([3], np.uint64), 2, voc)) for t in RARE):
+        samples = next(iter(many))
+        assert all(np.isfinite(score) and np.isfinite(inclusion) for _, score, inclusion in samples)
+        assert len(samples) == (1 if text in RARE[1:4] else 2)  # these three can be written in one way only
+        assert all(voc.decode(voc.ids(ids)) == text for ids, _, _ in samples)
+    # the words beside the rare ones keep their choices
+    assert len(next(iter(S.sample_group([RARE[0]], np.array([1], np.uint64), 2, voc)))) == 2
+
+
+def test_a_row_is_the_same_alone_and_in_any_group(voc):
+    texts = [*RARE, "the cat sat on the mat", "a b c d e f", "Grüße aus Köln", "w" * 500]
+    keys = np.arange(len(texts), dtype=np.uint64)
+    alone = [next(iter(S.sample_group([t], keys[i:i + 1], 3, voc))) for i, t in enumerate(texts)]
+    for order in (np.arange(len(texts)), np.arange(len(texts))[::-1], np.array([7, 0, 7, 1, 9])):
+        for i, got in zip(order, S.sample_group([texts[i] for i in order], keys[order], 3, voc), strict=True):
+            assert len(got) == len(alone[i])
+            assert all((a[0] == b[0]).all() and a[1:] == b[1:] for a, b in zip(got, alone[i], strict=True))  # bit by bit
