@@ -21,9 +21,11 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document, without its repeated three-line passages; n_chars is that of the remaining text."""
+    """Documents without their repeated three-line passages; n_chars is that of the remaining text.  A document all of
+    whose lines are repeated goes; one that had no text before stays."""
     kept = dedup_lines(docs.select(*COLUMNS))
-    return kept.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
+    left = kept.where("n_removed = 0 OR text <> ''")
+    return left.withColumn("n_chars", F.char_length("text").cast("long")).select(*COLUMNS)
 
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

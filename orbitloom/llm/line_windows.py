@@ -6,7 +6,7 @@ and removed.  The earliest occurrence of any line is never removed, so no line v
 
 Defined results: lines end at `\\n`; a null text stays null and has no lines; a text of fewer than three lines has no
 window and stays as it is; an empty line is a line.  A null doc_id sorts first.  Repeated rows (equal doc_id and text)
-are one document and are all treated alike.  Other columns pass through unless they bear a result's name.
+are one document and are all treated alike.  Other columns pass through, whatever their names, unless they bear a result's.
 """
 
 from __future__ import annotations
@@ -50,18 +50,19 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     Kept runs lie between one covered window's end and the next start, so the work is linear in a document's lines.
     """
     later = later_windows(docs, key, text)
-    joined = docs.withColumns({"_doc": F.col(key), "_version": F.xxhash64(text)}).join(
-        later, F.col("_doc").eqNullSafe(F.col("doc")) & (F.col("_version") == F.col("version")), "left")
-    held = joined.withColumns({"_lines": _lines(F.col(text))}).withColumn("_n", F.size("_lines"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("of"), F.xxhash64(text).alias("hash"), F.col(text).alias("whole"))
+    held = rows.join(later, F.col("of").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("version")), "left").withColumns(
+        {"lines": _lines(F.col("whole"))}).withColumn("n", F.size("lines"))
     runs = F.zip_with(
-        F.concat(F.array(F.lit(-SPAN)), "starts"), F.concat("starts", F.array("_n")),
+        F.concat(F.array(F.lit(-SPAN)), "starts"), F.concat("starts", F.array("n")),
         lambda a, b: F.struct((a + SPAN + 1).alias("at"), F.greatest(b - a - SPAN, F.lit(0)).alias("size")))
-    left = F.flatten(F.transform("_runs", lambda r: F.slice("_lines", r["at"], r["size"])))
+    left = F.flatten(F.transform("runs", lambda r: F.slice("lines", r["at"], r["size"])))
     cut = F.col("starts").isNotNull()
-    held = held.withColumn("_runs", runs).withColumn("_left", F.when(cut, left))
+    held = held.withColumn("runs", runs).withColumn("left", F.when(cut, left))
     out = {
-        removed: F.when(cut, F.col("_n") - F.size("_left")).otherwise(F.lit(0)).cast("long"),
-        kept: F.when(cut, F.array_join("_left", "\n")).otherwise(F.col(text)),
+        removed: F.when(cut, F.col("n") - F.size("left")).otherwise(F.lit(0)).cast("long"),
+        kept: F.when(cut, F.array_join("left", "\n")).otherwise(F.col("whole")),
     }
-    # both come from the same input columns: one step, so that `kept` may replace the text
-    return held.withColumns(out).drop("_doc", "_version", "doc", "version", "starts", "_lines", "_n", "_runs", "_left")
+    # the input row is nested, so that none of its columns meets a name used here; both results replace columns in place
+    names = [*docs.columns, *(c for c in out if c not in docs.columns)]
+    return held.select(*[(out[c] if c in out else F.col("row")[c]).alias(c) for c in names])

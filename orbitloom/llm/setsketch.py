@@ -262,5 +262,6 @@ def _by_cells(docs: DataFrame, open_: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one document of each group: the one with the smallest doc_id (and every row that bears it)."""
-    gone = near_duplicates(docs).where("NOT kept").select(F.col("doc_id").alias("_gone"))
-    return docs.join(gone.distinct(), docs["doc_id"] == F.col("_gone"), "left_anti")
+    gone = near_duplicates(docs).where("NOT kept").select(F.struct("doc_id").alias("gone")).distinct()
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("of"))
+    return rows.join(gone, F.col("of") == F.col("gone.doc_id"), "left_anti").select(*[F.col("row")[c].alias(c) for c in docs.columns])

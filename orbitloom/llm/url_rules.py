@@ -104,5 +104,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = "allow", url:
         .groupBy("host", "path")
         .agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), F.col("rule_verdict").alias("verdict")), rank).alias("won"))
     )
-    return split.join(best, ["host", "path"], "left").select(
-        *[split[c] for c in split.columns], F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))
+    # the input row is nested, so that none of its columns meets a name used here
+    rows = split.select(F.struct("*").alias("row"), "host", "path")
+    return rows.join(best, ["host", "path"], "left").select(
+        *[F.col("row")[c].alias(c) for c in split.columns], F.col("won.rule").alias("rule"), F.coalesce("won.verdict", F.lit(default)).alias("verdict"))

@@ -87,3 +87,16 @@ def test_awkward_pages(spark):
     assert by.count((1, "a.com", "com/", "block")) == 2 and (None, "", None, "allow") in by and (2, "a.com", "com/x", "allow") in by
     assert judge_urls(pages.limit(0), rules).count() == 0
     assert {r["verdict"] for r in judge_urls(pages, rules.limit(0), "block").collect()} == {"block"}
+
+
+def test_names_used_inside_are_free_for_input_columns(spark):
+    names = ["doc", "version", "starts", "_n", "_lines", "_runs", "_left", "n", "lines", "runs", "left", "row", "of", "hash", "whole", "a", "b", "position"]
+    docs = spark.createDataFrame([(1, "p\nq\nr"), (2, "p\nq\nr\ns")], "doc_id long, text string").selectExpr("*", *[f"{i} AS `{n}`" for i, n in enumerate(names)])
+    got = dedup_lines(docs)
+    assert got.columns == ["doc_id", "text", *names, "n_removed"]
+    assert sorted((r["doc_id"], r["text"], r["n_removed"], r["starts"], r["_runs"]) for r in got.collect()) == [(1, "p\nq\nr", 0, 2, 5), (2, "s", 3, 2, 5)]
+    pages = spark.createDataFrame([(1, "https://a.com/x")], "page_id long, url string").selectExpr(
+        "*", "1 AS won", "2 AS row", "3 AS rule_key", "4 AS key", "5 AS prefix", "6 AS level", "7 AS path")
+    rules = spark.createDataFrame([("com", "/", "block")], "host string, path string, verdict string")
+    row = judge_urls(pages, rules).first()
+    assert (row["won"], row["row"], row["rule_key"], row["rule"], row["verdict"], row["path"]) == (1, 2, 3, "com/", "block", "/x")
