@@ -6,7 +6,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from .knn import match_rank, matrix
+from .knn import matrix
+from .pruned import match_rank
 from .ranking import one_row
 
 
@@ -48,14 +49,14 @@ def metric_means(metrics: DataFrame) -> DataFrame:
     )
 
 
-def paired_recall(images: DataFrame, texts: DataFrame, dim: int, ks=(1, 5, 10)) -> DataFrame:
+def paired_recall(images: DataFrame, texts: DataFrame, ks=(1, 5, 10)) -> DataFrame:
     """Recall@K both ways and their mean on paired embeddings (tile_id, embedding) / (query_id, embedding).
 
     The rank of the matching item is counted, so no top-k list is kept.
     """
     rename = lambda df, a, b: df.select(F.col(a).alias(b), "embedding")
-    t2i = match_rank(images, texts, dim)
-    i2t = match_rank(rename(texts, "query_id", "tile_id"), rename(images, "tile_id", "query_id"), dim)
+    t2i = match_rank(images, texts)
+    i2t = match_rank(rename(texts, "query_id", "tile_id"), rename(images, "tile_id", "query_id"))
 
     def shares(ranks: DataFrame, tag: str) -> DataFrame:
         return ranks.agg(*[F.avg((F.col("rank") <= k).cast("double")).alias(f"recall_{k}_{tag}") for k in ks])

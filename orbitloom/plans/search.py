@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.querytext import explicit_over_extracted, parse_queries
-from ..operators import knn, rerank as R
+from ..operators import knn, pruned, rerank as R
 from ..operators.embedding import Encoder, encode_prompts
 from ..session import materialize
 
@@ -48,12 +48,12 @@ def semantic_search(queries: DataFrame, tiles: DataFrame, scenes: DataFrame, enc
     return parsed.select("query_id", "intent", "cleaned_prompt", "request_id").join(done, "request_id").drop("request_id")
 
 
-def similarity_search(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame, dim: int, k: int = 20, **filters) -> DataFrame:
+def similarity_search(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame, k: int = 20, **filters) -> DataFrame:
     """Tile-to-tile search: metadata filters first, then exact k, calibrated scores."""
     from ..operators.filters import metadata_filter
 
     facts = tiles.join(scenes.select("scene_id", "sensor", "acquisition_date"), "scene_id")
     base = metadata_filter(facts, **filters)
     queries = tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi").select(F.col("tile_id").alias("query_id"), "embedding")
-    hits = knn.nearest(base, queries, k, dim, exclude_self=True)
+    hits = pruned.nearest(base, queries, k, exclude_self=True)
     return knn.with_tile_metadata(hits, tiles, scenes, "image")

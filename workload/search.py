@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orbitloom.functions import querytext as Q, vector as V
-from orbitloom.operators import embedding as E, knn, rerank as R
+from orbitloom.operators import embedding as E, knn, pruned, quantised, rerank as R
+from orbitloom.operators.ranking import one_row
 from orbitloom.plans import search as P
 
 from . import duck_views as dv, views as v
@@ -68,7 +69,19 @@ SELECT a.tile_id AS query_id, b.tile_id, round(list_dot_product(a.embedding, b.e
   row_number() OVER (PARTITION BY a.tile_id ORDER BY round(list_dot_product(a.embedding, b.embedding), 6) DESC, b.tile_id) AS rank
 FROM v_tiles a, v_tiles b QUALIFY rank <= 10""")
 def nearest_tiles(spark, d):
-    return knn.nearest(_vectors(spark, d), _as_queries(spark, d), 10, DIM).select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
+    hits = pruned.nearest(_vectors(spark, d), _as_queries(spark, d), 10)
+    return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query("V3 L5", """
+SELECT count(*) AS queries, true AS every_row_in_a_block, true AS at_most_all_pairs FROM v_tiles WHERE vec_id % 20 = 0""")
+def scored_pairs(spark, d):
+    """How much of the archive an exact search looks at: every row is in a block, and no pair of query and block is scored twice."""
+    index = pruned.build(_vectors(spark, d))
+    share = pruned.scored_share(index, _twentieth(spark, d), 10)
+    rows = one_row(share, _vectors(spark, d).agg(F.count("*").alias("held")))
+    return rows.select(
+        "queries", (F.col("held") == int(index.blocks.size.sum())).alias("every_row_in_a_block"), (F.col("scored") <= F.col("pairs")).alias("at_most_all_pairs"))
 
 
 @query("V3 L5", """
@@ -88,7 +101,7 @@ FROM (SELECT a.tile_id AS query_id, b.tile_id, list_dot_product(a.embedding, b.e
     AND b.bounds_maxx >= 91.6 AND b.bounds_minx <= 91.9 AND b.bounds_maxy >= 26.0 AND b.bounds_miny <= 26.4 QUALIFY rank <= 20)""")
 def similar_tiles(spark, d):
     t = v.tiles(spark, d)
-    hits = P.similarity_search(t, t, v.scenes(spark, d), DIM, 20, bbox=[91.6, 26.0, 91.9, 26.4], date_from="2024-03-01")
+    hits = P.similarity_search(t, t, v.scenes(spark, d), 20, bbox=[91.6, 26.0, 91.9, 26.4], date_from="2024-03-01")
     return hits.select("query_id", "tile_id", "rank", "similarity", "raw_similarity", "match_percentage", "sensor")
 
 
@@ -140,19 +153,30 @@ def neighbours_of_all_cells(spark, d):
     return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
 
 
-@query("V13", f"SELECT count(*) AS hits, true AS recall_reached FROM ({_EXACT})")
+def _twentieth(spark, d):
+    return v.tiles(spark, d).where("vec_id % 20 = 0").select(F.col("tile_id").alias("query_id"), "embedding")
+
+
+@query("V13", f"""SELECT count(*) AS hits, true AS recall_reached, true AS every_row_coded, true AS a_fifth_at_most
+FROM ({_EXACT}) JOIN v_tiles q ON q.tile_id = query_id WHERE q.vec_id % 20 = 0""")
 def neighbour_recall(spark, d):
-    """Found neighbours of the registered cell index (`approximate_neighbours`), and whether at least 0.9 of the exact ones are among them."""
-    base, asked = _vectors(spark, d), _as_queries(spark, d)
-    exact = knn.nearest(base, asked, 10, DIM).select("query_id", "tile_id")
-    near = knn.nearest_by_cells(base, asked, 10, DIM, cells=knn.CELLS, probes=knn.PROBES).select("query_id", "tile_id", F.lit(1).alias("found"))
-    return exact.join(near, ["query_id", "tile_id"], "left").agg(
-        F.count("*").alias("hits"), (F.count("found") >= 0.9 * F.count("*")).alias("recall_reached"))
+    """The compressed index of `approximate_neighbours` against the exact search: whether at least 0.9 of the exact neighbours are
+    found, every row has a code, and a query reads at most a fifth of the rows as full vectors."""
+    base, asked = _vectors(spark, d), _twentieth(spark, d)
+    index = quantised.build(base)
+    exact = pruned.nearest(base, asked, 10).select("query_id", "tile_id")
+    near = quantised.nearest(index, asked, 10).select("query_id", "tile_id", F.lit(1).alias("found"))
+    read = quantised.shortlist(index, asked, quantised.SHORTLIST).groupBy("query_id").agg(F.count("*").alias("n")).agg(F.max("n").alias("most"))
+    met = exact.join(near, ["query_id", "tile_id"], "left").agg(F.count("*").alias("hits"), F.count("found").alias("found"))
+    rows = one_row(met, read, base.agg(F.count("*").alias("held")), index.codes.agg(F.count("*").alias("coded")))
+    return rows.select("hits", (F.col("found") >= 0.9 * F.col("hits")).alias("recall_reached"), (F.col("held") == F.col("coded")).alias("every_row_coded"),
+                       (5 * F.col("most") <= F.col("held")).alias("a_fifth_at_most"))
 
 
 @query("V13")
 def approximate_neighbours(spark, d):
-    hits = knn.nearest_by_cells(_vectors(spark, d), _as_queries(spark, d), 10, DIM, cells=knn.CELLS, probes=knn.PROBES)
+    """Ten neighbours of every twentieth tile among all tiles, by compressed vectors and an exact rerank."""
+    hits = quantised.nearest(quantised.build(_vectors(spark, d)), _twentieth(spark, d), 10)
     return hits.select("query_id", "tile_id", F.round("score", 6).alias("score"), "rank")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from orbitloom.operators import evaluate as EV, incremental as I, knn, pairs as PR
+from orbitloom.operators import evaluate as EV, incremental as I, pruned, pairs as PR
 from orbitloom.operators.embedding import HashingEncoder
 from orbitloom.sources import tables as S
 from orbitloom.streaming import incremental as ST
@@ -162,7 +162,7 @@ perq AS (SELECT query_id, max(n) AS relevant_count, count(*) AS total_retrieved,
 def _per_query(spark, d):
     t = v.tiles(spark, d).select("tile_id", "embedding", "label")
     q = t.select(F.col("tile_id").alias("query_id"), "embedding")
-    hits = knn.nearest(t, q, 20, DIM, exclude_self=True)
+    hits = pruned.nearest(t, q, 20, exclude_self=True)
     labels = t.select("tile_id", "label")
     judged = hits.join(labels, "tile_id").join(labels.select(F.col("tile_id").alias("query_id"), F.col("label").alias("ql")), "query_id").withColumn("relevant", F.col("label") == F.col("ql"))
     sizes = labels.join(labels.groupBy("label").agg((F.count("*") - 1).alias("relevant_count")), "label").select(F.col("tile_id").alias("query_id"), "relevant_count")
@@ -207,7 +207,7 @@ SELECT round(a1, 4) AS recall_1_i2t, round(a5, 4) AS recall_5_i2t, round(a10, 4)
 def paired_recall(spark, d):
     c = v.caption_vectors(spark, d)
     key = F.lpad(F.col("vec_id").cast("string"), 12, "0")
-    r = EV.paired_recall(c.select(key.alias("tile_id"), "embedding"), c.select(key.alias("query_id"), F.col("text_embedding").alias("embedding")), DIM)
+    r = EV.paired_recall(c.select(key.alias("tile_id"), "embedding"), c.select(key.alias("query_id"), F.col("text_embedding").alias("embedding")))
     return r.select(*[F.round(x, 4).alias(x) for x in r.columns])
 
 
