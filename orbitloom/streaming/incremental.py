@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+from contextlib import contextmanager
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from ..operators.catalog import latest_per_key
 from ..operators.embedding import Encoder, encode_texts
@@ -44,18 +47,80 @@ class KeyedTable:
         merged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
 
 
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+class NewestArrival(StatefulProcessor):
+    """Lets an arrival of a key through if it is newer than all before it, whatever batch it comes in.
+
+    The state of a key is the newest (order, hash).  With `keep_ms` a timer forgets a key so long after its newest arrival.
+    """
+
+    def __init__(self, keep_ms: int | None) -> None:
+        self.keep_ms = keep_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.held = handle.getValueState("held", "newest string, content_hash string, forget_at long")
+
+    @staticmethod
+    def _order(value) -> str:
+        """A text that sorts like the arrival's number or time."""
+        n = value.value if isinstance(value, pd.Timestamp) else int(value)
+        return f"{n + (1 << 63):020d}"
+
+    def handleInputRows(self, key, rows, timerValues):
+        best = None
+        for pdf in rows:
+            order = pdf["arrived_at"].map(self._order)
+            at = (order + pdf["content_hash"]).idxmax()
+            mine = (order[at], pdf.at[at, "content_hash"])
+            if best is None or mine > best[0]:
+                best = (mine, pdf.loc[[at]])
+        if best is None or (self.held.exists() and tuple(self.held.get())[:2] >= best[0]):
+            return
+        forget_at = 0
+        if self.keep_ms is not None:
+            forget_at = int(best[1]["arrived_at"].iloc[0].value // 1_000_000) + self.keep_ms
+            self.handle.registerTimer(forget_at)
+        self.held.update((*best[0], forget_at))
+        yield best[1]
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        # a newer arrival has set a later timer
+        if self.held.exists() and self.held.get()[2] <= expiredTimerInfo.getExpiryTimeInMs():
+            self.held.clear()
+        return iter([])
+
+    def close(self) -> None:
+        pass
+
+
+def newest_arrivals(arrivals: DataFrame, keep_ms: int | None = None, late: str | None = None) -> DataFrame:
+    """The rows of a stream (tile_id, content, arrived_at, content_hash) that are newer by (arrived_at, content_hash) than all that
+    came before them.  State is one short row per tile, for ever or, with `keep_ms`, until the watermark (`late` behind) is
+    that far beyond the tile's newest arrival; `arrived_at` is a timestamp then."""
+    rows = arrivals.select("tile_id", "content", "arrived_at", "content_hash")
+    if keep_ms is not None:
+        rows = rows.withWatermark("arrived_at", late or "0 seconds")
+    return rows.groupBy("tile_id").transformWithStateInPandas(
+        NewestArrival(keep_ms), outputStructType=rows.schema, outputMode="Append", timeMode="None" if keep_ms is None else "EventTime")
+
+
 def index_stream(arrivals: DataFrame, manifest: KeyedTable, vectors: KeyedTable, encoder: Encoder, checkpoint: str,
-                 stamp="2024-01-01 00:00:00"):
+                 stamp="2024-01-01 00:00:00", keep_ms: int | None = None, late: str | None = None):
     """Index arriving tiles (tile_id, content, and optionally arrived_at) as they come; unchanged content is skipped.
 
-    Of several arrivals of a tile the last by arrived_at wins (equal times: the larger content hash); a later
-    micro-batch wins over an earlier one.  Every micro-batch is diffed against the manifest by hash and model version.
-    Runs what is available and stops; call again for the next files.
+    Of all arrivals of a tile, in one batch or in several and in any order, the last by arrived_at wins (equal times: the larger
+    content hash): keyed state lets only newer ones through (see `newest_arrivals` for `keep_ms` and `late`).  Without that
+    column the last micro-batch wins, and in it the larger hash.  Rows without a tile id or content are left out.  Every micro-batch is
+    diffed against the manifest by hash and model version.  Runs what is available and stops; call again for the next files.
     """
     def step(batch: DataFrame, _batch_id: int) -> None:
         if "arrived_at" not in batch.columns:
             batch = batch.withColumn("arrived_at", F.lit(0))
-        last = latest_per_key(batch.withColumn("content_hash", F.sha2("content", 256)), ["tile_id"], ["arrived_at", "content_hash"])
+        last = latest_per_key(batch, ["tile_id"], ["arrived_at", "content_hash"])
         todo = materialize(classify(last, manifest.read(), encoder.name, encoder.version).where(F.col("change") != "UNCHANGED"), "todo")
         at = F.lit(stamp).cast("timestamp")
         encoded = encode_texts(todo.select("tile_id", F.col("content").alias("_content")), "_content", encoder)
@@ -69,9 +134,21 @@ def index_stream(arrivals: DataFrame, manifest: KeyedTable, vectors: KeyedTable,
             F.lit(encoder.version).alias("embedding_version"), at.alias("indexed_at"),
         ))
 
-    return (
-        arrivals.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    )
+    rows = arrivals.where("tile_id IS NOT NULL AND content IS NOT NULL").withColumn("content_hash", F.sha2("content", 256))
+    if "arrived_at" in arrivals.columns:
+        rows = newest_arrivals(rows.where("arrived_at IS NOT NULL"), keep_ms, late)
+    with _conf(arrivals.sparkSession, PROVIDER, ROCKS):  # a query keeps the settings it is started with
+        return rows.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+@contextmanager
+def _conf(spark: SparkSession, key: str, value: str):
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
 def windowed_latency(log: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:

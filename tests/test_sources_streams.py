@@ -165,6 +165,34 @@ def test_the_last_arrival_wins(spark, tmp_path):
     assert vec.read().count() == 2
 
 
+def test_an_older_arrival_in_a_later_batch_changes_nothing(spark, tmp_path):
+    """Two batches in the wrong order, then a newer one again; with and without a time after which a tile is forgotten."""
+    import hashlib
+
+    text = "tile_id string, content string, arrived_at timestamp"
+    for name, keep in (("always", None), ("forgets", 3_600_000)):
+        man = ST.KeyedTable(spark, str(tmp_path / name / "man"), schemas.INDEX_MANIFEST, ["tile_id", "embedding_model"], buckets=3)
+        vec = ST.KeyedTable(spark, str(tmp_path / name / "vec"), schemas.VECTORS, ["tile_id", "model_name"], buckets=3)
+        src = str(tmp_path / name / "in")
+
+        def arrive(rows, day):
+            spark.createDataFrame(rows, "tile_id string, content string, t string").selectExpr("tile_id", "content", "to_timestamp(t) AS arrived_at").coalesce(
+                1).write.mode("append").parquet(src)
+            stream = spark.readStream.schema(text).parquet(src)
+            ST.index_stream(stream, man, vec, HashingEncoder(16), str(tmp_path / name / "ck"), f"2024-01-0{day} 00:00:00", keep, "30 minutes").awaitTermination()
+            return {r.tile_id: (r.content_hash, r.indexed_at.day) for r in man.read().collect()}
+
+        h = lambda x: hashlib.sha256(x.encode()).hexdigest()
+        first = arrive([("a", "new a", "2024-01-01 10:00:00"), ("b", "b", "2024-01-01 10:00:00"), (None, "x", "2024-01-01 10:00:00")], 1)
+        assert first == {"a": (h("new a"), 1), "b": (h("b"), 1)}
+        second = arrive([("a", "old a", "2024-01-01 09:50:00"), ("c", "c", "2024-01-01 09:50:00"), ("a", "older a", "2024-01-01 09:45:00")], 2)
+        assert second == first | {"c": (h("c"), 2)}
+        vectors = {r.tile_id: r.embedding for r in vec.read().collect()}
+        assert vectors["a"] == HashingEncoder(16).encode(["new a"])[0].astype("float32").tolist()
+        third = arrive([("a", "newest a", "2024-01-01 12:30:00"), ("b", "b", "2024-01-01 12:30:00")], 3)
+        assert third == second | {"a": (h("newest a"), 3)}
+
+
 def test_windows_and_sessions_stream(spark, tmp_path):
     rows = [("click", 1.0, f"2024-01-01 00:{m:02d}:00", u) for m, u in ((0, 1), (5, 1), (50, 1), (10, 2))]
     spark.createDataFrame(rows, "query_type string, latency_ms double, t string, user_id long").withColumn("created_at", F.to_timestamp("t")).drop("t").write.parquet(str(tmp_path / "log"))

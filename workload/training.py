@@ -305,8 +305,8 @@ _ARRIVED = """SELECT (doc_id // 2)::VARCHAR AS tile_id, text, (doc_id // 2) % 5
 SELECT tile_id, sha256(text) AS content_hash, CASE WHEN known THEN '2023-01-01' ELSE '2024-01-01' END AS indexed_on, slot, w
 FROM ({_ARRIVED}) LEFT JOIN ({_vector_sql(f"SELECT tile_id, text FROM ({_ARRIVED}) WHERE NOT known")}) USING (tile_id)""")
 def indexed_stream(spark, d):
-    """Documents arrive as a file stream, two for each tile, of which the later one counts; every fifth tile is known
-    with that content.  The manifest and the vectors afterwards."""
+    """Documents arrive as a file stream in two rounds, two for each tile, of which the later one counts but comes in the first
+    round; every fifth tile is known with that content.  The manifest and the vectors afterwards."""
     from orbitloom import schemas
     from orbitloom.session import new_table_path
 
@@ -319,10 +319,13 @@ def indexed_stream(spark, d):
     manifest.merge(known.select(
         F.col("t").cast("string").alias("tile_id"), F.sha2("text", 256).alias("content_hash"), F.lit(enc.name).alias("embedding_model"),
         F.lit(enc.version).alias("embedding_version"), F.to_timestamp(F.lit("2023-01-01 00:00:00")).alias("indexed_at")))
-    arrivals = spark.readStream.schema(doc.schema).option("pathGlobFilter", "documents.parquet").parquet(d).select(
-        tile.cast("string").alias("tile_id"), F.col("text").alias("content"), F.col("doc_id").alias("arrived_at")
-    )
-    ST.index_stream(arrivals, manifest, vectors, enc, new_table_path(spark, "ck")).awaitTermination()
+    came, checkpoint = new_table_path(spark, "arrivals"), new_table_path(spark, "ck")
+    for first_round in (True, False):
+        newest = F.coalesce(F.col("doc_id") % 2 == 1, F.lit(False))
+        doc.where(newest if first_round else ~newest).write.mode("append").parquet(came)
+        arrivals = spark.readStream.schema(doc.schema).parquet(came).select(
+            tile.cast("string").alias("tile_id"), F.col("text").alias("content"), F.col("doc_id").alias("arrived_at"))
+        ST.index_stream(arrivals, manifest, vectors, enc, checkpoint).awaitTermination()
     rows = manifest.read().select("tile_id", "content_hash", F.date_format("indexed_at", "yyyy-MM-dd").alias("indexed_on"))
     return rows.join(_slots(vectors.read()), "tile_id", "left").select("tile_id", "content_hash", "indexed_on", "slot", "w")
 
