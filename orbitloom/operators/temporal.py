@@ -72,52 +72,68 @@ def timeline(observations: DataFrame) -> DataFrame:
 def tile_timeline(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """Timelines of the asked tiles: the tile itself first among equal dates, an undated tile last.
 
+    A tile without a center has the dated tiles whose boxes overlap its own instead of those around it.
     Output grows with the asked tiles only; the date order is computed per asked tile.
     """
-    asked = tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi").join(
-        scenes.select("scene_id", "acquisition_date", "sensor"), "scene_id"
-    ).select(
+    chosen = tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi")
+    asked = chosen.join(scenes.select("scene_id", "acquisition_date", "sensor"), "scene_id").select(
         F.col("tile_id").alias("reference"), place_of().alias("place"), F.col("acquisition_date").alias("date"), "sensor",
     )
-    obs = location_observations(tiles, scenes, around=tiles.join(tile_ids.select("tile_id").distinct(), "tile_id", "left_semi"))
+    obs = location_observations(tiles, scenes, around=chosen)
     others = asked.select("reference", *LOCATION).join(obs, LOCATION).where(F.col("reference") != F.col("tile_id")).select(
         "reference", "tile_id", "date", "sensor", F.lit(False).alias("is_reference")
     )
+    by_box = footprint_overlaps(chosen.where(place_of().isNull()), tiles, scenes).select(
+        "reference", "tile_id", "date", "sensor", F.lit(False).alias("is_reference"))
     own = asked.select("reference", F.col("reference").alias("tile_id"), "date", "sensor", F.lit(True).alias("is_reference"))
-    return date_ordered(own.unionByName(others), ["reference"], "date", [F.col("is_reference").desc(), F.col("tile_id")])
+    return date_ordered(own.unionByName(others).unionByName(by_box), ["reference"], "date", [F.col("is_reference").desc(), F.col("tile_id")])
 
 
-def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None = None) -> DataFrame:
-    """First and last dated observation for every tile with at least two of them, or only for the tiles in
-    `references` (reference), whose places alone are then searched.
+def _end_points(near: DataFrame, obs: DataFrame) -> DataFrame:
+    """(place, observations, lo, hi, hi2): count, earliest and latest two of the observations (near_place, o) at the places near each place.
 
-    A tile goes first among equal dates, so the end points are kept per location
-    (earliest one, latest two) and resolved per tile.  They are reduced at each exact
-    place before the range join, so a place with very many observations sends three
-    rows to its neighbours, and no timeline is built.
+    They are reduced at each exact place before the join, so a place with very many observations sends three rows.
     """
     here = ["near_place"]
-    obs = _dated(tiles, scenes).select(place_of().alias("near_place"), F.struct(F.col("acquisition_date").alias("date"), "tile_id").alias("o"))
     latest_two = lambda df, keys: df.withColumn(
         "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("o.date").desc(), F.col("o.tile_id").desc()))
     ).where(F.col("_rn") <= 2)
-    near = nearby_locations(tiles).select("place", "near_place")
-    refs = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").select(
-        F.col("tile_id").alias("reference"), place_of().alias("place"), F.col("acquisition_date").alias("_d"),
-    )
-    if references is not None:
-        refs = refs.join(references.select("reference").distinct(), "reference", "left_semi")
-        near = near.join(refs.select("place").distinct(), "place", "left_semi")
     first = near.join(obs.groupBy(*here).agg(F.count("*").alias("_n"), F.min("o").alias("_lo")), here).groupBy(*LOCATION).agg(
         F.sum("_n").alias("observations"), F.min("_lo").alias("lo")
     )
     last = latest_two(near.join(latest_two(obs, here).drop("_rn"), here), LOCATION).groupBy(*LOCATION).agg(
         F.max(F.when(F.col("_rn") == 1, F.col("o"))).alias("hi"), F.max(F.when(F.col("_rn") == 2, F.col("o"))).alias("hi2")
     )
-    ends = first.join(last, LOCATION).where(F.col("observations") >= 2)
+    return first.join(last, LOCATION).where(F.col("observations") >= 2)
+
+
+def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None = None) -> DataFrame:
+    """First and last dated observation for every tile with at least two of them, or only for the tiles in
+    `references` (reference), whose places alone are then searched.
+
+    A tile goes first among equal dates, so the end points are kept per location
+    (earliest one, latest two) and resolved per tile; no timeline is built.  A tile without a center has the
+    observations whose boxes overlap its own; its place is its box then.
+    """
+    dated = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").where(F.col("acquisition_date").isNotNull())
+    moment = F.struct(F.col("acquisition_date").alias("date"), "tile_id").alias("o")
+    refs = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").select(
+        F.col("tile_id").alias("reference"), place_of().alias("center"), *BOX, F.col("acquisition_date").alias("_d"),
+    )
+    if references is not None:
+        refs = refs.join(references.select("reference").distinct(), "reference", "left_semi")
+    near = nearby_locations(tiles).select("place", "near_place")
+    if references is not None:
+        near = near.join(refs.select(F.col("center").alias("place")).distinct(), "place", "left_semi")
+    by_center = _end_points(near, dated.where(place_of().isNotNull()).select(place_of().alias("near_place"), moment))
+    lost = refs.where("center IS NULL")
+    boxes = overlapping_boxes(lost, dated).select(_box_key("a_").alias("place"), _box_key("b_").alias("near_place"))
+    by_box = _end_points(boxes, dated.select(_box_key("bounds_").alias("near_place"), moment).where("near_place IS NOT NULL"))
+
     own_first = F.col("_d") == F.col("lo.date")
     shift = (F.col("hi.tile_id") == F.col("reference")) & (F.col("hi2.date") == F.col("hi.date"))
-    return refs.join(ends, LOCATION).select(
+    placed = refs.withColumn("place", F.coalesce("center", _box_key("bounds_")))
+    return placed.join(by_center.unionByName(by_box), LOCATION).select(
         "reference", "observations",
         F.when(own_first, F.col("reference")).otherwise(F.col("lo.tile_id")).alias("t1_tile_id"),
         F.col("lo.date").alias("t1_date"),
@@ -151,37 +167,59 @@ def chosen_pairs(requests: DataFrame, tiles: DataFrame, scenes: DataFrame) -> Da
     )
 
 
-def footprint_overlaps(references: DataFrame, tiles: DataFrame, scenes: DataFrame, cell: float = 0.05) -> DataFrame:
-    """Fallback for references without a center: dated tiles whose box overlaps the reference box.
+BOX = ["bounds_minx", "bounds_miny", "bounds_maxx", "bounds_maxy"]
+TOP_LEVEL = 14  # cells of 0.05 degrees doubled so often are wider than the globe
 
-    Distinct footprints are matched by the cells they cover; the pair is kept in
-    the one cell that holds the lower-left corner of the intersection, so no
-    de-duplication is needed.
-    """
-    box = ["bounds_minx", "bounds_miny", "bounds_maxx", "bounds_maxy"]
 
-    def covered(df: DataFrame, prefix: str) -> DataFrame:
-        d = df.select(*[F.col(b).alias(prefix + b[7:]) for b in box]).dropna().distinct()
-        span = lambda lo, hi: F.explode(F.sequence(_cell(F.col(prefix + lo), cell), _cell(F.col(prefix + hi), cell)))
-        return d.withColumn("_cx", span("minx", "maxx")).withColumn("_cy", span("miny", "maxy"))
+def _box_key(prefix: str) -> Column:
+    """Exact text key of a box; null if a side is missing."""
+    return F.concat(F.lit("box "), *[x for b in BOX for x in ((F.col(prefix + b[7:]) + 0.0).cast("string"), F.lit(","))])
+
+
+def overlapping_boxes(left: DataFrame, right: DataFrame, cell: float = 0.05) -> DataFrame:
+    """Distinct boxes of `left` (a_minx, ...) and `right` (b_minx, ...) that overlap, borders included.
+
+    Cells double from level to level.  A box has the level at which a cell is at least as wide as the box: there it touches four
+    cells at most, and as few at each level above, whatever its size.  Of two boxes the smaller one is looked up in the cells of the
+    larger one's level: once from the left side, once from the right.  A pair is kept in the one cell that holds the
+    lower-left corner of the intersection, so no de-duplication is needed.
+    """
+    def levelled(df: DataFrame, prefix: str, upwards: int | None) -> DataFrame:
+        """Boxes in the cells of their own level, or of all levels from `upwards` above their own."""
+        d = df.select(*[F.col(b).alias(prefix + b[7:]) for b in BOX]).dropna().distinct()
+        lo, hi = (lambda x: F.col(prefix + "min" + x)), (lambda x: F.col(prefix + "max" + x))
+        side = F.greatest(hi("x") - lo("x"), hi("y") - lo("y"))
+        own = F.least(F.lit(TOP_LEVEL), F.greatest(F.lit(0), F.coalesce(F.ceil(F.log2(side / cell)), F.lit(0)))).cast("int")
+        d = d.withColumn("level", own)
+        if upwards is not None:
+            d = d.where(F.col("level") + upwards <= TOP_LEVEL).withColumn("level", F.explode(F.sequence(F.col("level") + upwards, F.lit(TOP_LEVEL))))
+        size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+        span = lambda x: F.explode(F.sequence(F.floor(F.least(lo(x), hi(x)) / size), F.floor(F.greatest(lo(x), hi(x)) / size)))
+        return d.withColumn("_cx", span("x")).withColumn("_cy", span("y"))
 
-    a, b = covered(references, "a_"), covered(tiles, "b_")
     overlap = (
         (F.col("b_maxx") >= F.col("a_minx")) & (F.col("b_minx") <= F.col("a_maxx"))
         & (F.col("b_maxy") >= F.col("a_miny")) & (F.col("b_miny") <= F.col("a_maxy"))
     )
-    once = (_cell(F.greatest("a_minx", "b_minx"), cell) == F.col("_cx")) & (_cell(F.greatest("a_miny", "b_miny"), cell) == F.col("_cy"))
-    pairs = a.join(b, ["_cx", "_cy"]).where(overlap & once).drop("_cx", "_cy")
-    on_a = [F.col("r." + c) == F.col("a_" + c[7:]) for c in box]
-    on_b = [F.col("t." + c) == F.col("b_" + c[7:]) for c in box]
-    dated = tiles.join(scenes.select("scene_id", "sensor", "acquisition_date"), "scene_id").where(F.col("acquisition_date").isNotNull())
-    out = references.alias("r").join(pairs, on_a).join(dated.alias("t"), on_b).where(F.col("r.tile_id") != F.col("t.tile_id"))
+    size = F.lit(cell) * F.pow(F.lit(2.0), F.col("level"))
+    once = (F.floor(F.greatest("a_minx", "b_minx") / size) == F.col("_cx")) & (F.floor(F.greatest("a_miny", "b_miny") / size) == F.col("_cy"))
+    met = lambda a, b: a.join(b, ["level", "_cx", "_cy"]).where(overlap & once).drop("level", "_cx", "_cy")
+    return met(levelled(left, "a_", 0), levelled(right, "b_", None)).unionByName(met(levelled(left, "a_", None), levelled(right, "b_", 1)))
+
+
+def footprint_overlaps(references: DataFrame, tiles: DataFrame, scenes: DataFrame, cell: float = 0.05, min_iou: float = 0.0) -> DataFrame:
+    """Dated tiles whose box overlaps the reference box, by at least `min_iou` of their union; distinct footprints are matched."""
+    pairs = overlapping_boxes(references, tiles, cell)
     inter = (F.least("a_maxx", "b_maxx") - F.greatest("a_minx", "b_minx")) * (F.least("a_maxy", "b_maxy") - F.greatest("a_miny", "b_miny"))
     area = lambda p: (F.col(p + "maxx") - F.col(p + "minx")) * (F.col(p + "maxy") - F.col(p + "miny"))
-    return out.select(
-        F.col("r.tile_id").alias("reference"), F.col("t.tile_id").alias("tile_id"), F.col("t.acquisition_date").alias("date"),
-        F.col("t.sensor").alias("sensor"), F.round(inter / (area("a_") + area("b_") - inter), 6).alias("iou"),
-    )
+    shared = pairs.select(
+        _box_key("a_").alias("a_key"), _box_key("b_").alias("b_key"), F.round(inter / (area("a_") + area("b_") - inter), 6).alias("iou"))
+    if min_iou > 0:
+        shared = shared.where(F.col("iou") >= min_iou)
+    dated = tiles.join(scenes.select("scene_id", "sensor", "acquisition_date"), "scene_id").where(F.col("acquisition_date").isNotNull())
+    found = dated.select("tile_id", F.col("acquisition_date").alias("date"), "sensor", _box_key("bounds_").alias("b_key"))
+    asked = references.select(F.col("tile_id").alias("reference"), _box_key("bounds_").alias("a_key"))
+    return asked.join(shared, "a_key").join(found, "b_key").where("reference <> tile_id").select("reference", "tile_id", "date", "sensor", "iou")
 
 
 def nested_timeline(observations: DataFrame, site: list[str], chunk: int = 1000) -> DataFrame:

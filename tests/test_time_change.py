@@ -230,3 +230,35 @@ def test_band_views(spark):
     px = frame(spark, np.full((2, 2, 4), 7)).withColumnRenamed("pair_id", "tile_id")
     assert R.band_view(px, "cir").columns == R.band_view(px, "rgb").columns
     assert R.band_view(px, "ndvi").first().level == 127
+
+
+def test_boxes_of_any_size(spark):
+    """Boxes from a few meters to the whole world against every pair looked at; a box takes a bounded number of rows."""
+    import random
+
+    rng = random.Random(11)
+    def box():
+        w, h = 10 ** rng.uniform(-4, 2.5), 10 ** rng.uniform(-4, 2.2)
+        x, y = rng.uniform(-180, 180), rng.uniform(-90, 90)
+        return (x, y, x + w, y + h)
+    boxes = [box() for _ in range(150)] + [(-180.0, -90.0, 180.0, 90.0), (0.0, 0.0, 0.0, 0.0), (0.05, 0.05, 0.1, 0.1), (0.1, 0.1, 0.15, 0.15), (10.0, 10.0, 10.05, 10.05)]
+    names = "bounds_minx double, bounds_miny double, bounds_maxx double, bounds_maxy double"
+    df = spark.createDataFrame(boxes, names)
+    got = sorted(tuple(r) for r in T.overlapping_boxes(df.limit(80).unionByName(df.orderBy("bounds_minx").limit(80)).distinct(), df).collect())
+    left = {tuple(r) for r in df.limit(80).unionByName(df.orderBy("bounds_minx").limit(80)).collect()}
+    want = sorted((*a, *b) for a in left for b in boxes if b[2] >= a[0] and b[0] <= a[2] and b[3] >= a[1] and b[1] <= a[3])
+    assert got == want and len(want) > 500
+    world = spark.createDataFrame([boxes[150]], names)
+    assert T.overlapping_boxes(world, df).count() == sum(b[0] <= 180 and b[2] >= -180 and b[1] <= 90 and b[3] >= -90 for b in boxes)
+
+
+def test_tiles_without_a_center_go_by_their_boxes(spark, scenes_and_tiles):
+    scenes, tiles = scenes_and_tiles
+    lost = tiles.withColumns({c: F.when(F.col("tile_id") != "t1_0", F.col(c)) for c in ("center_lon", "center_lat")})
+    rows = T.tile_timeline(tiles.where("tile_id = 't1_0'").select("tile_id"), lost, scenes).orderBy("position").collect()
+    assert [r.tile_id for r in rows] == ["t1_0", "t2_0", "t3_0"]  # only equal boxes overlap; the undated scene is left out
+    best = {r.reference: (r.observations, r.t1_tile_id, r.t2_tile_id) for r in T.best_pairs(lost, scenes).collect()}
+    assert best["t1_0"] == (3, "t1_0", "t3_0")
+    nowhere = lost.withColumn("bounds_minx", F.when(F.col("tile_id") != "t1_0", F.col("bounds_minx")))
+    assert "t1_0" not in {r.reference for r in T.best_pairs(nowhere, scenes).collect()}
+    assert T.tile_timeline(tiles.where("tile_id = 't1_0'").select("tile_id"), nowhere, scenes).count() == 1

@@ -150,3 +150,59 @@ def nested_timelines(spark, d):
     out = T.nested_timeline(v.observations(spark, d), ["site"], chunk=8)
     entry = F.transform("observations", lambda o: F.concat_ws("@", o["position"].cast("string"), o["date"], o["tile_id"], o["sensor"]))
     return out.select("site", "chunk", F.array_join(entry, ";").alias("line"))
+
+
+# ---- tiles without a center: observations by overlapping boxes
+
+_HOLED = """SELECT * REPLACE (CASE WHEN vec_id % 7 <> 0 THEN center_lat END AS center_lat, CASE WHEN vec_id % 7 <> 0 THEN center_lon END AS center_lon) FROM v_tiles"""
+_SEEN = f"""
+holed AS ({_HOLED}),
+dated AS (SELECT t.*, s.sensor, s.acquisition_date AS date FROM holed t JOIN v_scenes s USING (scene_id) WHERE s.acquisition_date IS NOT NULL),
+refs AS (SELECT t.*, s.acquisition_date AS date, s.sensor FROM holed t JOIN v_scenes s USING (scene_id)),
+seen AS (SELECT r.tile_id AS reference, o.tile_id, o.date, o.sensor FROM refs r JOIN dated o ON abs(o.center_lat - r.center_lat) < 0.05 AND abs(o.center_lon - r.center_lon) < 0.05
+  UNION ALL SELECT r.tile_id, o.tile_id, o.date, o.sensor FROM refs r JOIN dated o ON r.center_lat IS NULL AND o.bounds_maxx >= r.bounds_minx AND o.bounds_minx <= r.bounds_maxx
+    AND o.bounds_maxy >= r.bounds_miny AND o.bounds_miny <= r.bounds_maxy)"""
+
+
+def _holed(spark, d):
+    """Every seventh tile has no center."""
+    lost = F.col("vec_id") % 7 == 0
+    return v.tiles(spark, d).withColumns({c: F.when(~lost, F.col(c)) for c in ("center_lat", "center_lon")})
+
+
+@query("W1 J4 J5", f"""
+WITH {_SEEN}, asked AS (SELECT tile_id FROM holed WHERE vec_id % 3 = 0),
+lines AS (SELECT tile_id AS reference, tile_id, date, sensor, true AS is_reference FROM refs SEMI JOIN asked USING (tile_id)
+  UNION ALL SELECT reference, tile_id, date, sensor, false FROM seen WHERE reference <> tile_id AND reference IN (SELECT tile_id FROM asked))
+SELECT reference, tile_id, date::VARCHAR AS date, sensor, is_reference, row_number() OVER (PARTITION BY reference ORDER BY date NULLS LAST, is_reference DESC, tile_id) AS position FROM lines""")
+def timelines_by_box(spark, d):
+    """Timelines of every third tile; a seventh of all tiles has no center."""
+    t = _holed(spark, d)
+    return T.tile_timeline(t.where("vec_id % 3 = 0").select("tile_id"), t, v.scenes(spark, d)).select(
+        "reference", "tile_id", F.col("date").cast("string").alias("date"), "sensor", "is_reference", "position")
+
+
+@query("W2 J5", f"""
+WITH {_SEEN}, ranked AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY date, reference = tile_id DESC, tile_id) AS a,
+  row_number() OVER (PARTITION BY reference ORDER BY date DESC, reference = tile_id, tile_id DESC) AS z, count(*) OVER (PARTITION BY reference) AS n FROM seen)
+SELECT reference, max(n) AS observations, max(CASE WHEN a = 1 THEN tile_id END) AS t1_tile_id, max(CASE WHEN a = 1 THEN date::VARCHAR END) AS t1_date,
+  max(CASE WHEN z = 1 THEN tile_id END) AS t2_tile_id, max(CASE WHEN z = 1 THEN date::VARCHAR END) AS t2_date FROM ranked WHERE n >= 2 GROUP BY 1""")
+def best_pairs_by_box(spark, d):
+    """First and last observation of every tile; a seventh of all tiles has no center."""
+    return T.best_pairs(_holed(spark, d), v.scenes(spark, d)).select(
+        "reference", "observations", "t1_tile_id", F.col("t1_date").cast("string").alias("t1_date"), "t2_tile_id", F.col("t2_date").cast("string").alias("t2_date"))
+
+
+@query("J5", f"""
+SELECT count(*) AS pairs, sum(CASE WHEN a.vec_id = b.vec_id THEN 1 ELSE 0 END)::BIGINT AS own
+FROM (SELECT vec_id, bounds_minx - 0.01 * (vec_id % 50) ** 2 AS minx, bounds_maxx + 0.01 * (vec_id % 50) ** 2 AS maxx, bounds_miny, bounds_maxy FROM v_tiles WHERE vec_id % 20 = 0) a
+JOIN v_tiles b ON b.bounds_maxx >= a.minx AND b.bounds_minx <= a.maxx AND b.bounds_maxy >= a.bounds_miny AND b.bounds_miny <= a.bounds_maxy""")
+def wide_box_overlaps(spark, d):
+    """Boxes of any width, up to that of a continent, against all tiles."""
+    t = v.tiles(spark, d)
+    more = F.lit(0.01) * F.pow(F.col("vec_id") % 50, F.lit(2.0))
+    wide = t.where("vec_id % 20 = 0").withColumns({"bounds_minx": F.col("bounds_minx") - more, "bounds_maxx": F.col("bounds_maxx") + more})
+    key = lambda df, p, name: df.select(F.col("vec_id").alias(name), *[F.col(b).alias(p + b[7:]) for b in T.BOX])
+    sides = lambda p: [p + b[7:] for b in T.BOX]
+    pairs = T.overlapping_boxes(wide, t).join(key(wide, "a_", "i"), sides("a_")).join(key(t, "b_", "j"), sides("b_"))
+    return pairs.agg(F.count("*").alias("pairs"), F.sum((F.col("i") == F.col("j")).cast("long")).alias("own"))
