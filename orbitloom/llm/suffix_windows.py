@@ -68,11 +68,12 @@ def sliding_least(v: np.ndarray, width: int) -> np.ndarray:
 def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(start, anchor, hash of the anchor's gram) of every window within a row, by start."""
     out = []
+    ends = np.repeat(offsets[1:], np.diff(offsets))
     for at in range(0, max(0, len(data) - DEPTH + 1), PIECE):
         piece = data[at:at + PIECE + DEPTH - 1]
         n = len(piece) - DEPTH + 1
         start = np.arange(at, at + n)
-        inside = offsets[np.searchsorted(offsets, start, "right")] - start >= DEPTH
+        inside = ends[at:at + n] - start >= DEPTH
         if not inside.any():
             continue
         gram = stretch_hashes(piece, np.arange(len(piece) - GRAM + 1), GRAM, VALUES[0])
@@ -85,6 +86,12 @@ def anchored(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def heads(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First places and sizes of the runs of equal values."""
+    first = np.flatnonzero(np.concatenate((np.ones(len(values[:1]), bool), values[1:] != values[:-1])))
+    return first, np.diff(np.append(first, len(values)))
+
+
 def _groups(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     data, offsets = column_bytes(texts)
     for lo, hi in row_groups(offsets, GROUP_BYTES):
@@ -100,8 +107,8 @@ def _first_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for lo, _, data, offsets in _groups(batch.column("text")):
             _, anchor, gram = anchored(data, offsets)
-            anchor, one = np.unique(anchor, return_index=True)
-            row = np.searchsorted(offsets, anchor, "right") - 1
+            one = heads(anchor)[0]  # an anchor's windows stand together
+            row = np.searchsorted(offsets, anchor[one], "right") - 1
             gram = gram[one].view(np.int64)
             order = np.lexsort((gram, row))
             gram, row = gram[order], row[order]
@@ -120,12 +127,14 @@ def _listed(column: pa.ListArray, lo: int, hi: int) -> tuple[np.ndarray, np.ndar
 def _repeated(batch: pa.RecordBatch, lo: int, hi: int, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, start, anchor) of the windows whose anchor's gram is not reported as unique."""
     start, anchor, gram = anchored(data, offsets)
-    row = np.searchsorted(offsets, start, "right") - 1
+    one, size = heads(anchor)
+    row = np.searchsorted(offsets, anchor[one], "right") - 1
     by_row, unique = _listed(batch.column("grams"), lo, hi)
     # both are marked by a number made of gram and row
     mark = lambda g, r: mix(g.astype(np.int64).view(np.uint64) * MULTIPLIER + r.astype(np.uint64))
-    stays = ~np.isin(mark(gram.view(np.int64), row), mark(unique, by_row))
-    return row[stays], start[stays], anchor[stays]
+    stays = ~np.isin(mark(gram[one].view(np.int64), row), mark(unique, by_row))
+    on = np.repeat(stays, size)
+    return np.repeat(row[stays], size[stays]), start[on], anchor[on]
 
 
 def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,8 +143,10 @@ def _second_digits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     for batch in batches:
         for lo, hi, data, offsets in _groups(batch.column("text")):
             row, start, anchor = _repeated(batch, lo, hi, data, offsets)
-            core, one = np.unique(anchor - (anchor - start) // BLOCK * BLOCK, return_index=True)
-            row = row[one]
+            core = anchor - (anchor - start) // BLOCK * BLOCK
+            one = heads(core)[0]
+            core, first = np.unique(core[one], return_index=True)
+            row = row[one[first]]
             if not len(core):
                 continue
             first = np.maximum(core - BLOCK + 1, offsets[row])
@@ -159,12 +170,13 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 places = offsets[by_row] + reported
                 order = np.argsort(places)
                 places, masks = places[order], masks[order].astype(np.int64)
-                at = np.minimum(np.searchsorted(places, core), len(places) - 1)
-                alone = (places[at] == core) & (masks[at] >> (start - core + BLOCK - 1) & 1).astype(bool)
-                start = start[~alone]
+                one, size = heads(core)
+                at = np.minimum(np.searchsorted(places, core[one]), len(places) - 1)
+                mask = np.repeat(np.where(places[at] == core[one], masks[at], 0), size)
+                start = start[(mask >> (start - core + BLOCK - 1) & 1) == 0]
             covered = np.zeros(len(data) + 1, np.int32)
-            np.add.at(covered, start, 1)
-            np.add.at(covered, start + DEPTH, -1)
+            covered[start] += 1  # starts are distinct
+            covered[start + DEPTH] -= 1
             gone = np.cumsum(covered)[:-1] > 0
             edge = np.zeros(len(data) + 1, bool)
             edge[offsets] = True
@@ -185,23 +197,24 @@ def _without_repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 def _unique_windows(blocks: DataFrame) -> DataFrame:
     """(id, place, mask): the unique windows of blocks (h1, h2, before, behind, n, holder), as bits of each block."""
     total = blocks.count()
-    cores = blocks.groupBy("h1", "h2").agg(F.count("*").alias("kinds"), F.min("n").alias("least"), F.min("holder").alias("holder"))
-    alone = cores.where("kinds = 1 AND least = 1").select("holder.*", F.lit(ALL).cast("long").alias("mask"))
+    cores = written(blocks.groupBy("h1", "h2").agg(
+        F.count("*").alias("kinds"), F.min("n").alias("least"), F.min("holder").alias("holder")).where("least = 1"), "cores")
+    alone = cores.where("kinds = 1").select("holder.*", F.lit(ALL).cast("long").alias("mask"))
     # blocks that share their core with others are told apart by their windows
-    several = cores.where("kinds > 1 AND least = 1").select("h1", "h2", (F.col("kinds") * HOT > total).alias("hot"))
+    several = cores.where("kinds > 1").select("h1", "h2", (F.col("kinds") * HOT > total).alias("hot"))
     hot = blocks.join(F.broadcast(several.where("hot")), ["h1", "h2"], "left")
     cold = hot.where("hot IS NULL").drop("hot").join(several.where("NOT hot"), ["h1", "h2"])
-    mixed = hot.where("hot").unionByName(cold)
-    behind_most, before_most = F.least(F.length("behind"), F.lit(BLOCK - 1)), F.length("before")
-    windows = mixed.select("h1", "h2", "before", "behind", "n", "holder", F.explode(F.expr(
+    mixed = written(hot.where("hot").unionByName(cold).drop("hot").withColumn("own", F.monotonically_increasing_id()), "mixed")
+    windows = mixed.select("h1", "h2", "before", "behind", "n", "own", F.explode(F.expr(
         f"sequence({BLOCK - 1} - length(before), least(length(behind), {BLOCK - 1}))")).alias("t"))
     part = [F.expr(f"substring(before, length(before) - ({BLOCK - 1} - t) + 1, {BLOCK - 1} - t)"), F.expr("substring(behind, 1, t)")]
     keyed = windows.select(
-        F.xxhash64("h1", "h2", "t", *part).alias("w1"), F.xxhash64(F.lit(1), "h2", "h1", "t", *part).alias("w2"), "t", "n", "holder")
-    counted = keyed.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("holder").alias("holder"), F.min("t").alias("t")).where("n = 1")
+        F.xxhash64("h1", "h2", "t", *part).alias("w1"), F.xxhash64(F.lit(1), "h2", "h1", "t", *part).alias("w2"),
+        F.least("n", F.lit(2)).alias("n"), (F.col("own") * BLOCK + F.col("t")).alias("seat"))
+    lone = keyed.groupBy("w1", "w2").agg(F.sum("n").alias("n"), F.min("seat").alias("seat")).where("n = 1")
     # a window has one holder; its block's bits are put together
-    bits = counted.groupBy("holder").agg(F.expr("bit_or(shiftleft(1L, t))").alias("mask")).select("holder.*", "mask")
-    return alone.unionByName(bits)
+    bits = lone.groupBy(F.expr(f"seat div {BLOCK}").alias("own")).agg(F.expr(f"bit_or(shiftleft(1L, cast(seat % {BLOCK} AS int)))").alias("mask"))
+    return alone.unionByName(mixed.select("own", "holder").join(bits, "own").select("holder.*", "mask"))
 
 
 def drop_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -217,6 +230,7 @@ def drop_repeated_windows(docs: DataFrame, key: str = "doc_id", text: str = "tex
     blocks = written(blocks.groupBy("h1", "h2", "before", "behind").agg(
         F.count("*").alias("n"), F.min(F.struct(*ID, "place")).alias("holder")), "blocks")
     windows = _unique_windows(blocks).groupBy(*ID).agg(F.collect_list("place").alias("places"), F.collect_list("mask").alias("masks"))
+    windows = written(windows, "windows")
     return (
         rows.join(lone, ID, "left").join(windows, ID, "left")
         .select("doc_id", "text", "grams", "places", "masks")
