@@ -50,9 +50,9 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     Kept runs lie between one covered window's end and the next start, so the work is linear in a document's lines.
     """
     later = later_windows(docs, key, text)
-    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("of"), F.xxhash64(text).alias("hash"), F.col(text).alias("whole"))
+    rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("of"), F.xxhash64(text).alias("hash"))
     held = rows.join(later, F.col("of").eqNullSafe(F.col("doc")) & (F.col("hash") == F.col("version")), "left").withColumns(
-        {"lines": _lines(F.col("whole"))}).withColumn("n", F.size("lines"))
+        {"lines": _lines(F.col("row")[text])}).withColumn("n", F.size("lines"))
     runs = F.zip_with(
         F.concat(F.array(F.lit(-SPAN)), "starts"), F.concat("starts", F.array("n")),
         lambda a, b: F.struct((a + SPAN + 1).alias("at"), F.greatest(b - a - SPAN, F.lit(0)).alias("size")))
@@ -61,7 +61,7 @@ def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", kept:
     held = held.withColumn("runs", runs).withColumn("left", F.when(cut, left))
     out = {
         removed: F.when(cut, F.col("n") - F.size("left")).otherwise(F.lit(0)).cast("long"),
-        kept: F.when(cut, F.array_join("left", "\n")).otherwise(F.col("whole")),
+        kept: F.when(cut, F.array_join("left", "\n")).otherwise(F.col("row")[text]),
     }
     # the input row is nested, so that none of its columns meets a name used here; both results replace columns in place
     names = [*docs.columns, *(c for c in out if c not in docs.columns)]
