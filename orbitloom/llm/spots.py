@@ -9,8 +9,8 @@ compared: `length_partition` puts set sizes into ranges such that only equal or
 `spot_groups` is the whole search; `successors` puts next to every document the one that follows it in descending order
 of doc_id, in one range shuffle.
 
-Defined results: words are runs of letters and digits, A-Z as a-z; a chain that the text's end cuts off makes no
-signature; in a text without a complete chain every word is an anchor and cut chains count; a null or wordless text
+Defined results: words are runs of letters and digits, A-Z as a-z; only the common words `ANCHORS` are anchors; a chain
+that the text's end cuts off makes no signature; in a text without a complete chain every word is an anchor and cut chains count; a null or wordless text
 has the empty fingerprint.  Two empty fingerprints have likeness 1, an empty and another one 0.  Documents without id
 come last in descending order, rows with equal ids are ordered by text, and after the last document the first follows.
 """
@@ -28,7 +28,7 @@ from ..session import materialize
 from .setsketch import CELL, components, link_cell
 from .words import MULTIPLIER, PUNCTUATION, column_bytes, mix, row_groups, tokenize
 
-CHAIN, DISTANCE, GAP = 2, 1, 8
+CHAIN, DISTANCE = 2, 1
 THRESHOLD = 0.75
 
 # fixed values: common words of English, German, French and Spanish
@@ -74,13 +74,7 @@ def signature_sets(column: pa.Array, anchors: np.ndarray) -> Iterator[np.ndarray
         words, _, _, starts = tokenize(data[offsets[lo]:offsets[hi]], own, PUNCTUATION)
         place = np.minimum(np.searchsorted(anchors, words), len(anchors) - 1)
         common = anchors[place] == words
-        # the last common word before each word of the same row
-        at = np.arange(len(words))
-        last = np.maximum.accumulate(np.where(common, at, -1)) if len(words) else at
-        last = np.concatenate((np.full(min(1, len(words)), -1), last[:-1]))
-        row_start = np.repeat(starts[:-1], np.diff(starts))
-        alone = (last < row_start) | (at - last > GAP)
-        h, row = _chains(words, starts, np.flatnonzero(common | alone), np.flatnonzero(~common), False)
+        h, row = _chains(words, starts, np.flatnonzero(common), np.flatnonzero(~common), False)
         bare = np.bincount(row, minlength=hi - lo) == 0
         if bare.any():
             word_row = np.repeat(np.arange(hi - lo), np.diff(starts))

@@ -17,12 +17,11 @@ def brute_signatures(text):
     anchors = set(S.ANCHORS.split())
     out = set()
     for i, w in enumerate(low):
-        rest = [x for x in low[i + 1:] if x not in anchors][:S.CHAIN]
-        alone = not any(x in anchors for x in low[max(0, i - S.GAP):i])
-        if (w in anchors or alone) and len(rest) == S.CHAIN:
+        rest = [x for x in low[i + 1:] if x not in anchors][:2]
+        if w in anchors and len(rest) == 2:
             out.add((w, *rest))
     if not out:
-        out = {tuple(low[i:i + 1 + S.CHAIN]) for i in range(len(low))}
+        out = {tuple(low[i:i + 3]) for i in range(len(low))}
     return out
 
 
@@ -39,6 +38,12 @@ def test_signatures_are_those_of_brute_force():
         assert len(got) == len(brute_signatures(text))
 
 
+def test_content_words_are_no_anchors():
+    text = "of one two " + " ".join(f"w{i}" for i in range(40)) + " the x z"
+    [got] = S.signature_sets(pa.array([text]), S.anchor_hashes())
+    assert len(got) == 2
+
+
 @pytest.mark.parametrize("floor", [0.0, 0.5, 0.75])
 def test_pruning_changes_nothing_at_or_above_the_floor(floor):
     rng = np.random.default_rng(2)
