@@ -10,8 +10,9 @@ backslash gets a backslash before it; `read_back` undoes this exactly.  Every co
 has neither later on, so none can arise where a body meets the template.  The loss mask covers the texts of assistant
 turns.
 
-Defined results: turns are ordered by turn, then role, then text (nulls first), so repeated rows follow each other and
-all count; a null text or an empty list of parts is an empty body; a null role is the empty role; a null conv_id is a
+Defined results: turns are ordered by turn (nulls first), then role, then body as it is before escaping, by their bytes,
+so repeated rows follow each other and all count; a null text or an empty list of parts is an empty body; a null role is
+the empty role; a null conv_id is a
 conversation of its own.  An unknown part kind is a document; a null measure counts as the least: one patch, one audio
 frame, one page.  Columns of other names are ignored.
 """
@@ -175,9 +176,10 @@ def conversation_digests(chunks: DataFrame) -> DataFrame:
 
     A digest is sequential, so one conversation is read by one task, chunk by chunk: nothing of it is gathered.
     """
+    body = F.regexp_replace(F.expr("left(chunk, length(chunk) - 4)"), r"(?s)\\(.)", "$1")  # turns of one role differ in their bodies only
     dealt = chunks.select("conv_id", "turn", "role", "chunk", F.size("attachments").cast("long").alias("n_attachments"), "expanded_tokens")
     return (
-        dealt.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "chunk")
+        dealt.repartition("conv_id").sortWithinPartitions("conv_id", "turn", F.coalesce("role", F.lit("")), body)
         .select("conv_id", "chunk", "n_attachments", "expanded_tokens")
         .mapInArrow(digest_batches, "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, n_attachments long, expanded_tokens long")
     )

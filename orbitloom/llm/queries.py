@@ -123,15 +123,15 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
              sum(length(regexp_replace(text, '(\\\\|<s>|</s>|\\[/?ROLE\\]|\\[/?INST\\]|<\\|(image|audio|document|end)\\|>)', '\\\\\\1', 'g')) - length(text)) AS extra
       FROM t GROUP BY conv_id)
     SELECT conv_id, CAST(n_turns AS BIGINT) AS n_turns, sha256(turns) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars,
-           sha256(loss) AS loss_sha256, CAST(plain_chars + extra AS BIGINT) AS formatted_chars
+           sha256(loss) AS loss_sha256, CAST(plain_chars + extra AS BIGINT) AS formatted_chars,
+           CAST(0 AS BIGINT) AS n_attachments, CAST(0 AS BIGINT) AS expanded_tokens
     FROM g
     """)
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation, formatted and read back; conversation -1 speaks the template's control strings."""
     talks = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)], talks.schema)
-    digests = conversation_digests(format_turns(text_parts(talks.unionByName(probe))))
-    return digests.select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return conversation_digests(format_turns(text_parts(talks.unionByName(probe))))
 
 
 @query(

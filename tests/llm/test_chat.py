@@ -52,3 +52,13 @@ def test_awkward_conversations(spark):
     assert {k: r["n_turns"] for k, r in got.items()} == {1: 3, None: 1, 2: 1}
     assert got[None]["loss_chars"] == 1 and got[1]["loss_chars"] == 0
     assert C.conversation_digests(C.format_turns(C.text_parts(df.limit(0)))).count() == 0
+
+
+def test_ties_are_ordered_by_the_text_itself(spark):
+    for texts in (["a", "a!"], ["[INST]", "Zed"], ["\\b", "]"], ["a\n", "a b", "a"]):
+        for role in ("user", None):
+            rows = [(1, 0, role, t) for t in texts] + [(1, 0, "" if role is None else role, "m")]
+            df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+            got = C.conversation_digests(C.format_turns(C.text_parts(df))).first()
+            own = sorted((r or "", t) for _, _, r, t in rows)
+            assert got["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in own).encode()).hexdigest()
