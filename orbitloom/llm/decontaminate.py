@@ -3,22 +3,20 @@
 The alphabet is words: runs of letters and digits, upper case as lower case; spaces and punctuation beyond ASCII separate,
 too, and each character of a script without spaces (Han, kana, Thai, Lao, Khmer, Burmese and others) is a word.  A CGK random walk reads a word string
 with steps j = 0, 1, ...; it copies the word at its place and moves on if the bit r_j(word) is set, so that strings at a
-small edit distance become sequences at a small Hamming distance.  Windows of a document as long as a benchmark item
-(in size classes about a third apart) are embedded by `WALKS` walks; each of `SAMPLES` hashes per walk takes the words
-at `POSITIONS` random places.  Equal hashes are candidates; an item is found where its edit distance in words to its best
-place near the window is at most `MAX_EDITS` of its words.  Windows start at every `STRIDE`-th word and items are
-indexed at every offset below the stride, so each alignment is met.
+small edit distance become sequences at a small Hamming distance.
 
-The walks lose some places, more of them the longer the item and the more edits.  So that every place within `MAX_EDITS`
-is a candidate, an item is also cut into one piece more than the edits allowed: an edit touches at most one piece, so
-one stands unchanged in the text.  The first 2 to 4 words of each piece (all pieces of an item alike) are looked up at
-every word of the text.  Together no place is lost but by the cut of `MAX_EDITS` itself.
+Edits add up along a walk, so an item is indexed by all its windows of about two thirds of its words, `LONGEST` at most: a
+long item has many of them, and some hold few edits at any rate up to `MAX_EDITS`.  Windows of equal length of a document
+start at every `STRIDE`-th word, so each alignment is met.  Windows are embedded by `WALKS` walks; each of `SAMPLES` hashes
+per walk takes the words at `POSITIONS` random places.  Equal hashes are candidates; an item is found where its edit distance
+in words to its best place near the window is at most `MAX_EDITS` of its words.  Recall is measured in the tests by item
+length and edit rate.  Items of fewer than `MIN_WORDS` words leave no room for edits: they are looked up as they are.
 
 All documents are read in one pass per block of items (`BLOCK_ITEMS`, `BLOCK_CHARS`); only a block's index, of bounded
 size, is sent to the tasks.  There is no shuffle of texts.
 
-Defined results: a null or empty text has no matches; an item without at least `MIN_WORDS` words is no passage and is
-ignored, as is a null one; of several places of an item in a document the one with the fewest edits, then the first,
+Defined results: a null or empty text has no matches; an item of fewer than `MIN_WORDS` words matches its exact words only;
+one without words is ignored, as is a null one; of several places of an item in a document the one with the fewest edits, then the first,
 is given.  Repeated documents and items each count; documents without an id can match, too.
 """
 
@@ -34,8 +32,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from .words import MULTIPLIER, PUNCTUATION, column_bytes, mix, row_groups, tokenize
 
-WALKS, SAMPLES, POSITIONS = 2, 6, 4
-STRIDE, MIN_WORDS, MAX_EDITS = 4, 5, 0.2
+WALKS, SAMPLES, POSITIONS = 2, 8, 4
+STRIDE, LONGEST, MIN_WORDS, MAX_EDITS = 2, 13, 5, 0.2
 BLOCK_ITEMS, BLOCK_CHARS = 2_000, 2_000_000
 FILTER_BITS = 18
 MATCH_DDL = "doc_id long, item_id long, start long, end long, edits int"
@@ -87,12 +85,9 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return h, first, end, np.searchsorted(first, offsets)
 
 
-def classes_up_to(longest: int) -> list[int]:
-    """Window sizes from MIN_WORDS to `longest`, each about a third larger than the one before."""
-    out = [MIN_WORDS]
-    while out[-1] * 4 // 3 <= longest:
-        out.append(max(out[-1] + 1, out[-1] * 4 // 3))
-    return out
+def window_size(n: int) -> int:
+    """Words of the windows of an item of `n` words."""
+    return max(MIN_WORDS, min(LONGEST, n * 2 // 3))
 
 
 def sampled_steps(walk: int, size: int) -> np.ndarray:
@@ -118,7 +113,7 @@ def window_hashes(words: np.ndarray, at: np.ndarray, sizes: list[int]) -> Iterat
                     uses.setdefault(int(j), []).append((size, k))
         hashes = {(size, k): np.full(len(at), walk * 1009 + size * 31 + k, np.uint64) for size in sizes for k in range(SAMPLES)}
         place = at.astype(np.int64)
-        for j in range(2 * sizes[-1]):
+        for j in range(2 * max(sizes, default=0)):
             if j % 64 == 0:
                 bits = mix(words * MULTIPLIER + np.uint64(walk * 4096 + j))
                 bits[words == 0] = 0
@@ -137,7 +132,7 @@ def most_edits(item: np.ndarray) -> int:
     return int(MAX_EDITS * len(item))
 
 
-def piece_hashes(words: np.ndarray, size: int) -> np.ndarray:
+def run_hashes(words: np.ndarray, size: int) -> np.ndarray:
     """Hashes of every `size` consecutive words; an end mark among them makes one that no item has."""
     n = max(0, len(words) - size + 1)
     h = np.zeros(n, np.uint64)
@@ -153,7 +148,7 @@ class ItemIndex:
     items: list[np.ndarray]  # the items' words
     sizes: list[int]
     tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray, np.ndarray]]  # sorted hashes, item numbers, offsets
-    pieces: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # by the words of a piece: the same
+    short: dict[int, tuple[np.ndarray, np.ndarray]]  # by words of a short item: sorted hashes, item numbers
 
 
 def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -163,30 +158,23 @@ def words_of(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 
 def build_index(ids: list[int], texts: list[str]) -> ItemIndex:
     h, _, _, starts = words_of(pa.array(texts, pa.large_string()))
-    kept = [(i, h[a:b] | np.uint64(1)) for i, a, b in zip(ids, starts[:-1], starts[1:], strict=True) if b - a >= MIN_WORDS]
+    kept = [(i, h[a:b] | np.uint64(1)) for i, a, b in zip(ids, starts[:-1], starts[1:], strict=True) if b > a]
     index = ItemIndex([i for i, _ in kept], [w for _, w in kept], [], {}, {})
-    if not kept:
-        return index
-    every = np.array(classes_up_to(max(len(w) for w in index.items)))
-    suffixes = [(n, o, int(every[np.searchsorted(every, len(w) - o, "right") - 1])) for n, w in enumerate(index.items) for o in range(min(STRIDE, len(w) - MIN_WORDS + 1))]
-    # an item too short for all its offsets has windows at every word, by its own size class
-    index.sizes = sorted({s for _, _, s in suffixes})
-    flat = np.concatenate([index.items[n][o:] for n, o, _ in suffixes])
-    words, at = padded(flat, np.concatenate(([0], np.cumsum([len(index.items[n]) - o for n, o, _ in suffixes]))))
-    number, offset, size_of = (np.array(x) for x in zip(*suffixes, strict=True))
-    for walk, size, k, hashes in window_hashes(words, at[:-1], index.sizes):
-        own = size_of == size
-        order = np.argsort(hashes[own], kind="stable")
-        index.tables[walk, size, k] = (hashes[own][order], number[own][order], offset[own][order])
-    cut: dict[int, list[tuple[np.uint64, int, int]]] = {}
-    for n, w in enumerate(index.items):
-        count = most_edits(w) + 1
-        size, starts = len(w) // count, [j * len(w) // count for j in range(count)]
-        cut.setdefault(size, []).extend(zip(piece_hashes(w, size)[starts], [n] * count, starts, strict=True))
-    for size, rows in cut.items():
-        hashes, number, offset = (np.array(x) for x in zip(*rows, strict=True))
-        order = np.argsort(hashes, kind="stable")
-        index.pieces[size] = (hashes[order], number[order], offset[order])
+    windows = [(n, o, size) for n, w in enumerate(index.items) for size in [window_size(len(w))] for o in range(len(w) - size + 1)]
+    if windows:
+        index.sizes = sorted({size for _, _, size in windows})
+        words, at = padded(np.concatenate([index.items[n][o:o + size] for n, o, size in windows]), np.cumsum([0] + [size for _, _, size in windows]))
+        number, offset, size_of = (np.array(x) for x in zip(*windows, strict=True))
+        for walk, size, k, hashes in window_hashes(words, at[:-1], index.sizes):
+            own = size_of == size
+            order = np.argsort(hashes[own], kind="stable")
+            index.tables[walk, size, k] = (hashes[own][order], number[own][order], offset[own][order])
+    for size in range(1, MIN_WORDS):
+        number = np.array([n for n, w in enumerate(index.items) if len(w) == size], np.int64)
+        if len(number):
+            hashes = np.concatenate([run_hashes(index.items[n], size) for n in number])
+            order = np.argsort(hashes, kind="stable")
+            index.short[size] = (hashes[order], number[order])
     return index
 
 
@@ -226,11 +214,11 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
     if not index.items:
         return
     data, offsets = column_bytes(texts)
-    shortest = min(len(w) for w in index.items)
-    stride = STRIDE if shortest >= STRIDE + MIN_WORDS - 1 else 1
+    # an item with fewer windows than the stride is met only by windows at every word
+    stride = STRIDE if all(len(w) - window_size(len(w)) + 1 >= STRIDE for w in index.items if len(w) >= MIN_WORDS) else 1
     listed = [w.tolist() for w in index.items]
     bitmaps = {}
-    for key, (hashes, _, _) in (index.tables | index.pieces).items():
+    for key, (hashes, *_) in (index.tables | index.short).items():
         bitmaps[key] = np.zeros(1 << FILTER_BITS, bool)
         bitmaps[key][hashes >> np.uint64(64 - FILTER_BITS)] = True
     for lo, hi in row_groups(offsets, 1 << 21):
@@ -252,14 +240,13 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
                 for e in range(a[x], b[x]):
                     row = int(row_of[hit[x]])  # an item whose first words are missing may begin before its row
                     candidates.add((int(number[e]), row, max(int(begins[row]), int(at[hit[x]]) - int(offset[e]))))
-        for size, (table, number, offset) in index.pieces.items():
-            hashes = piece_hashes(words, size)
+        for size, (table, number) in index.short.items():
+            hashes = run_hashes(words, size)
             hit = np.flatnonzero(bitmaps[size][hashes >> np.uint64(64 - FILTER_BITS)])
             a, b = np.searchsorted(table, hashes[hit], "left"), np.searchsorted(table, hashes[hit], "right")
             n = b - a
             hit, e = np.repeat(hit, n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            row = np.searchsorted(begins, hit, "right") - 1
-            candidates.update(zip(number[e].tolist(), row.tolist(), np.maximum(begins[row], hit - offset[e]).tolist(), strict=True))
+            candidates.update(zip(number[e].tolist(), (np.searchsorted(begins, hit, "right") - 1).tolist(), hit.tolist(), strict=True))
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
         for n, row, place in sorted(candidates):

@@ -115,9 +115,17 @@ def test_places_case_and_punctuation():
 def test_short_items_and_long_words():
     item = "alpha beta gamma delta epsilon"
     index = D.build_index([1, 2], [item, "too short"])
-    assert index.ids == [1]
-    got = list(D.find_in(index, pa.array([f"x {'y' * 700_000} {item} z", "too short", None, ""])))
-    assert [(r, i) for r, i, *_ in got] == [(0, 1)]
+    assert index.ids == [1, 2]
+    got = list(D.find_in(index, pa.array([f"x {'y' * 700_000} {item} z", "it is Too short!", None, "", "too very short"])))
+    assert [(r, i) for r, i, *_ in got] == [(0, 1), (1, 2)] and got[1][2:] == (6, 15, 0)
+
+
+def test_short_items_match_their_exact_words_only():
+    rng = random.Random(9)
+    items = [" ".join(f"s{rng.randrange(4)}" for _ in range(n)) for n in (1, 2, 2, 3, 4, 4)]
+    texts = [" ".join(f"s{rng.randrange(6)}" for _ in range(rng.randrange(9))) for _ in range(200)]
+    got = {(row, item) for row, item, *_ in D.find_in(D.build_index(list(range(6)), items), pa.array(texts))}
+    assert got == {(r, i) for r, t in enumerate(texts) for i, x in enumerate(items) if f" {x} " in f" {t} "}
 
 
 @pytest.mark.parametrize("item,copy", [
@@ -140,8 +148,8 @@ def test_blocks_cover_all_items(spark, monkeypatch):
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     docs = spark.createDataFrame([(i, f"start {t} end") for i, t in items if t] + [(50, "clean text here")], "doc_id long, text string")
     monkeypatch.setattr(D, "BLOCK_ITEMS", 3)
-    assert {(r["doc_id"], r["item_id"]) for r in D.find_passages(docs, benchmark).collect()} == {(i, i) for i in range(7)}
-    assert {r["doc_id"] for r in D.drop_contaminated(docs, benchmark).collect()} == {98, 50}
+    assert {(r["doc_id"], r["item_id"]) for r in D.find_passages(docs, benchmark).collect()} == {(i, i) for i in [*range(7), 98]}
+    assert {r["doc_id"] for r in D.drop_contaminated(docs, benchmark).collect()} == {50}
 
 
 def test_awkward_rows(spark, awkward, nothing):
