@@ -5,7 +5,7 @@ too, and each character of a script without spaces (Han, kana, Thai, Lao, Khmer,
 with steps j = 0, 1, ...; it copies the word at its place and moves on if the bit r_j(word) is set, so that strings at a
 small edit distance become sequences at a small Hamming distance.
 
-Edits add up along a walk, so an item is indexed by all its windows of about two thirds of its words, `LONGEST` at most: a
+Edits add up along a walk, so an item is indexed by all its windows of one of the sizes `WINDOWS`, about two thirds of its words: a
 long item has many of them, and some hold few edits at any rate up to `MAX_EDITS`.  Windows of equal length of a document
 start at every `STRIDE`-th word, so each alignment is met.  Windows are embedded by `WALKS` walks; each of `SAMPLES` hashes
 per walk takes the words at `POSITIONS` random places.  Equal hashes are candidates; an item is found where its edit distance
@@ -33,9 +33,10 @@ from pyspark.sql import DataFrame, functions as F
 from .words import MULTIPLIER, PUNCTUATION, column_bytes, mix, row_groups, tokenize
 
 WALKS, SAMPLES, POSITIONS = 2, 8, 4
-STRIDE, LONGEST, MIN_WORDS, MAX_EDITS = 2, 13, 5, 0.2
+STRIDE, MIN_WORDS, MAX_EDITS = 2, 5, 0.2
+WINDOWS = (5, 7, 10, 13)  # words of an item's windows
 BLOCK_ITEMS, BLOCK_CHARS = 2_000, 2_000_000
-FILTER_BITS = 18
+FILTER_BITS, PLACE_BITS = 18, 32
 MATCH_DDL = "doc_id long, item_id long, start long, end long, edits int"
 
 
@@ -87,7 +88,7 @@ def split_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 def window_size(n: int) -> int:
     """Words of the windows of an item of `n` words."""
-    return max(MIN_WORDS, min(LONGEST, n * 2 // 3))
+    return max([WINDOWS[0]] + [size for size in WINDOWS if size * 3 <= n * 2])
 
 
 def sampled_steps(walk: int, size: int) -> np.ndarray:
@@ -209,6 +210,27 @@ def best_place(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, int,
     return scores[end], end - int(np.argmin(back)), end
 
 
+def word_marks(words: np.ndarray) -> list[np.ndarray]:
+    """One of 128 bits for every word, in two arrays."""
+    h = mix(words * MULTIPLIER)
+    bit = np.uint64(1) << (h & np.uint64(63))
+    upper = (h >> np.uint64(6) & np.uint64(1)).astype(bool)
+    return [np.where(upper, np.uint64(0), bit), np.where(upper, bit, np.uint64(0))]
+
+
+def joined_marks(marks: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The marks of all words in [left, right) together, by runs of doubling length."""
+    out = np.zeros(len(left), np.uint64)
+    span, length = right - left, 1
+    while True:
+        own = (span >= length) & (span < 2 * length)
+        out[own] = marks[left[own]] | marks[right[own] - length]
+        if not (span >= 2 * length).any():
+            return out
+        marks = marks[:-length] | marks[length:]
+        length *= 2
+
+
 def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int, int, int]]:
     """(row, item id, start, end, edits) of every item found in every text; places are in code points."""
     if not index.items:
@@ -217,6 +239,9 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
     # an item with fewer windows than the stride is met only by windows at every word
     stride = STRIDE if all(len(w) - window_size(len(w)) + 1 >= STRIDE for w in index.items if len(w) >= MIN_WORDS) else 1
     listed = [w.tolist() for w in index.items]
+    most_of, size_of = np.array([most_edits(w) for w in index.items]), np.array([len(w) for w in index.items])
+    of_item = word_marks(np.concatenate(index.items))
+    item_marks = [np.bitwise_or.reduceat(x, np.cumsum(size_of) - size_of) for x in of_item]
     bitmaps = {}
     for key, (hashes, *_) in (index.tables | index.short).items():
         bitmaps[key] = np.zeros(1 << FILTER_BITS, bool)
@@ -230,26 +255,33 @@ def find_in(index: ItemIndex, texts: pa.Array) -> Iterator[tuple[int, int, int,
             continue
         counts = -(-np.diff(starts) // stride)
         at = np.repeat(begins[:-1], counts) + stride * (np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts))
-        row_of = np.repeat(np.arange(hi - lo), counts)
-        candidates: set[tuple[int, int, int]] = set()
-        for walk, size, k, hashes in window_hashes(words, at, index.sizes):
-            table, number, offset = index.tables[walk, size, k]
-            hit = np.flatnonzero(bitmaps[walk, size, k][hashes >> np.uint64(64 - FILTER_BITS)])
-            a, b = np.searchsorted(table, hashes[hit], "left"), np.searchsorted(table, hashes[hit], "right")
-            for x in np.flatnonzero(b > a):
-                for e in range(a[x], b[x]):
-                    row = int(row_of[hit[x]])  # an item whose first words are missing may begin before its row
-                    candidates.add((int(number[e]), row, max(int(begins[row]), int(at[hit[x]]) - int(offset[e]))))
-        for size, (table, number) in index.short.items():
-            hashes = run_hashes(words, size)
-            hit = np.flatnonzero(bitmaps[size][hashes >> np.uint64(64 - FILTER_BITS)])
+        met: list[np.ndarray] = []  # item number and place of the item's start
+
+        def look_up(key, table, number, hashes, spot, offset) -> None:
+            hit = np.flatnonzero(bitmaps[key][hashes >> np.uint64(64 - FILTER_BITS)])
             a, b = np.searchsorted(table, hashes[hit], "left"), np.searchsorted(table, hashes[hit], "right")
             n = b - a
             hit, e = np.repeat(hit, n), np.repeat(a - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            candidates.update(zip(number[e].tolist(), (np.searchsorted(begins, hit, "right") - 1).tolist(), hit.tolist(), strict=True))
+            row_begin = begins[np.searchsorted(begins, spot[hit], "right") - 1]
+            # an item whose first words are missing may begin before its row
+            met.append(np.unique(number[e] << PLACE_BITS | np.maximum(row_begin, spot[hit] - (offset[e] if offset is not None else 0))))
+
+        for walk, size, k, hashes in window_hashes(words, at, index.sizes):
+            look_up((walk, size, k), *index.tables[walk, size, k][:2], hashes, at, index.tables[walk, size, k][2])
+        for size, (table, number) in index.short.items():
+            look_up(size, table, number, run_hashes(words, size), np.arange(len(words)), None)
+        keys = np.unique(np.concatenate(met))
+        number, place = keys >> PLACE_BITS, keys & ((1 << PLACE_BITS) - 1)
+        row = np.searchsorted(begins, place, "right") - 1
+        reach = most_of[number] + STRIDE
+        left, right = np.maximum(begins[row], place - reach), np.minimum(begins[row + 1] - 1, place + size_of[number] + 2 * reach)
+        missing = np.zeros(len(keys), np.int64)
+        for marks, part in zip(item_marks, word_marks(words), strict=True):
+            missing += np.bitwise_count(marks[number] & ~joined_marks(part, left, right)).astype(np.int64)
+        likely = missing <= most_of[number]  # each missing mark is a missing word, and that an edit
         found: dict[tuple[int, int], tuple[int, int, int]] = {}
         done: dict[tuple[int, int], int] = {}
-        for n, row, place in sorted(candidates):
+        for n, row, place in zip(*(x[likely].tolist() for x in (number, row, place)), strict=True):
             item = index.items[n]
             most = most_edits(item)
             if done.get((n, row), -1) >= place:  # a little further on: the last look covered it
