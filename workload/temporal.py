@@ -206,3 +206,20 @@ def wide_box_overlaps(spark, d):
     sides = lambda p: [p + b[7:] for b in T.BOX]
     pairs = T.overlapping_boxes(wide, t).join(key(wide, "a_", "i"), sides("a_")).join(key(t, "b_", "j"), sides("b_"))
     return pairs.agg(F.count("*").alias("pairs"), F.sum((F.col("i") == F.col("j")).cast("long")).alias("own"))
+
+
+@query("J4", """
+WITH RECURSIVE nodes AS (SELECT scene_id, center_lat AS lat, center_lon AS lon, min(tile_id) AS node, count(*) AS n FROM v_tiles GROUP BY 1, 2, 3),
+near AS (SELECT a.node, b.node AS other, b.n FROM nodes a JOIN nodes b ON a.scene_id = b.scene_id AND abs(a.lat - b.lat) < 0.05 AND abs(a.lon - b.lon) < 0.05),
+core AS (SELECT node FROM near GROUP BY 1 HAVING sum(n) >= 4),
+links AS (SELECT node, other FROM near WHERE node IN (FROM core) AND other IN (FROM core)),
+reach(node, other) AS (SELECT node, node FROM core UNION SELECT r.node, l.other FROM reach r JOIN links l ON r.other = l.node),
+named AS (SELECT node, min(other) AS cluster, 'core' AS role FROM reach GROUP BY 1),
+border AS (SELECT n.node, min(c.cluster) AS cluster, 'border' AS role FROM near n JOIN named c ON n.other = c.node WHERE n.node NOT IN (FROM core) GROUP BY 1),
+found AS (FROM named UNION ALL FROM border)
+SELECT t.tile_id, coalesce(f.role, 'noise') AS role, f.cluster FROM v_tiles t JOIN nodes n ON t.scene_id = n.scene_id AND t.center_lat = n.lat AND t.center_lon = n.lon LEFT JOIN found f USING (node)""")
+def scene_site_clusters(spark, d):
+    """Density clusters of the places that each scene shows."""
+    from orbitloom.operators.clusters import site_clusters
+
+    return site_clusters(v.tiles(spark, d), ["scene_id"])
