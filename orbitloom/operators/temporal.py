@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .. import vocab
 from ..functions.spectral import doy_distance
+from .quadtree import ENDS, added_ends, latest_two, places_with_ends, window_ends
 from .ranking import date_ordered
 
 LOCATION = ["place"]
@@ -90,21 +91,13 @@ def tile_timeline(tile_ids: DataFrame, tiles: DataFrame, scenes: DataFrame) -> D
 
 
 def _end_points(near: DataFrame, obs: DataFrame) -> DataFrame:
-    """(place, observations, lo, hi, hi2): count, earliest and latest two of the observations (near_place, o) at the places near each place.
+    """(place, n, lo, hi, hi2): count, earliest and latest two of the observations (near_place, o) at the places near each place.
 
-    They are reduced at each exact place before the join, so a place with very many observations sends three rows.
+    They are reduced at each exact place before the join, so a place with very many observations sends one row.
     """
     here = ["near_place"]
-    latest_two = lambda df, keys: df.withColumn(
-        "_rn", F.row_number().over(Window.partitionBy(*keys).orderBy(F.col("o.date").desc(), F.col("o.tile_id").desc()))
-    ).where(F.col("_rn") <= 2)
-    first = near.join(obs.groupBy(*here).agg(F.count("*").alias("_n"), F.min("o").alias("_lo")), here).groupBy(*LOCATION).agg(
-        F.sum("_n").alias("observations"), F.min("_lo").alias("lo")
-    )
-    last = latest_two(near.join(latest_two(obs, here).drop("_rn"), here), LOCATION).groupBy(*LOCATION).agg(
-        F.max(F.when(F.col("_rn") == 1, F.col("o"))).alias("hi"), F.max(F.when(F.col("_rn") == 2, F.col("o"))).alias("hi2")
-    )
-    return first.join(last, LOCATION).where(F.col("observations") >= 2)
+    at = obs.groupBy(*here).agg(F.count("*").alias("n"), F.min("o").alias("lo")).join(latest_two(obs, here), here)
+    return added_ends(near.join(at, here).select(*LOCATION, *ENDS), LOCATION)
 
 
 def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None = None) -> DataFrame:
@@ -112,7 +105,7 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None
     `references` (reference), whose places alone are then searched.
 
     A tile goes first among equal dates, so the end points are kept per location
-    (earliest one, latest two) and resolved per tile; no timeline is built.  A tile without a center has the
+    (earliest one, latest two, by a tree of cells cut by their number of places) and resolved per tile; no timeline is built.  A tile without a center has the
     observations whose boxes overlap its own; its place is its box then.
     """
     dated = tiles.join(scenes.select("scene_id", "acquisition_date"), "scene_id").where(F.col("acquisition_date").isNotNull())
@@ -122,10 +115,10 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None
     )
     if references is not None:
         refs = refs.join(references.select("reference").distinct(), "reference", "left_semi")
-    near = nearby_locations(tiles).select("place", "near_place")
-    if references is not None:
-        near = near.join(refs.select(F.col("center").alias("place")).distinct(), "place", "left_semi")
-    by_center = _end_points(near, dated.where(place_of().isNotNull()).select(place_of().alias("near_place"), moment))
+    at = [place_of().alias("place"), F.col("center_lat").alias("lat"), F.col("center_lon").alias("lon")]
+    asked = tiles if references is None else tiles.join(references.select(F.col("reference").alias("tile_id")), "tile_id", "left_semi")
+    asked = asked.select(*at).where("place IS NOT NULL").groupBy("place").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
+    by_center = window_ends(asked, places_with_ends(dated.select(*at, moment).where("place IS NOT NULL")), vocab.COLOCATION_DEGREES)
     lost = refs.where("center IS NULL")
     boxes = overlapping_boxes(lost, dated).select(_box_key("a_").alias("place"), _box_key("b_").alias("near_place"))
     by_box = _end_points(boxes, dated.select(_box_key("bounds_").alias("near_place"), moment).where("near_place IS NOT NULL"))
@@ -133,8 +126,8 @@ def best_pairs(tiles: DataFrame, scenes: DataFrame, references: DataFrame | None
     own_first = F.col("_d") == F.col("lo.date")
     shift = (F.col("hi.tile_id") == F.col("reference")) & (F.col("hi2.date") == F.col("hi.date"))
     placed = refs.withColumn("place", F.coalesce("center", _box_key("bounds_")))
-    return placed.join(by_center.unionByName(by_box), LOCATION).select(
-        "reference", "observations",
+    return placed.join(by_center.unionByName(by_box).where("n >= 2"), LOCATION).select(
+        "reference", F.col("n").alias("observations"),
         F.when(own_first, F.col("reference")).otherwise(F.col("lo.tile_id")).alias("t1_tile_id"),
         F.col("lo.date").alias("t1_date"),
         F.when(shift, F.col("hi2.tile_id")).otherwise(F.col("hi.tile_id")).alias("t2_tile_id"),

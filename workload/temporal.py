@@ -223,3 +223,27 @@ def scene_site_clusters(spark, d):
     from orbitloom.operators.clusters import site_clusters
 
     return site_clusters(v.tiles(spark, d), ["scene_id"])
+
+
+# ---- half of all tiles in one cell of 0.05 degrees, each at a center of its own
+
+_CROWD = """SELECT * REPLACE (CASE WHEN vec_id % 2 = 0 THEN 10.001 + (vec_id * 7919 % 10007) / 10007.0::DOUBLE * 0.048 ELSE center_lat END AS center_lat,
+  CASE WHEN vec_id % 2 = 0 THEN 20.001 + (vec_id * 104729 % 10009) / 10009.0::DOUBLE * 0.048 ELSE center_lon END AS center_lon) FROM v_tiles"""
+
+
+@query("J4 W2", f"""
+WITH crowd AS ({_CROWD}),
+dated AS (SELECT t.*, s.acquisition_date AS date FROM crowd t JOIN v_scenes s USING (scene_id) WHERE s.acquisition_date IS NOT NULL),
+lines AS (SELECT r.tile_id AS reference, o.tile_id, o.date, o.tile_id = r.tile_id AS own FROM crowd r JOIN dated o ON abs(o.center_lat - r.center_lat) < 0.05 AND abs(o.center_lon - r.center_lon) < 0.05),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY reference ORDER BY date, own DESC, tile_id) AS a, row_number() OVER (PARTITION BY reference ORDER BY date DESC, own, tile_id DESC) AS z,
+  count(*) OVER (PARTITION BY reference) AS n FROM lines)
+SELECT reference, max(n) AS observations, max(CASE WHEN a = 1 THEN tile_id END) AS t1_tile_id, max(CASE WHEN a = 1 THEN date::VARCHAR END) AS t1_date,
+  max(CASE WHEN z = 1 THEN tile_id END) AS t2_tile_id, max(CASE WHEN z = 1 THEN date::VARCHAR END) AS t2_date FROM ranked WHERE n >= 2 GROUP BY 1""")
+def best_pairs_in_crowd(spark, d):
+    """First and last observation of every tile where every second tile lies in one crowded cell."""
+    k, even = F.col("vec_id"), F.col("vec_id") % 2 == 0
+    t = v.tiles(spark, d).withColumns({
+        "center_lat": F.when(even, F.lit(10.001) + (k * 7919 % 10007) / F.lit(10007.0) * 0.048).otherwise(F.col("center_lat")),
+        "center_lon": F.when(even, F.lit(20.001) + (k * 104729 % 10009) / F.lit(10009.0) * 0.048).otherwise(F.col("center_lon"))})
+    return T.best_pairs(t, v.scenes(spark, d)).select(
+        "reference", "observations", "t1_tile_id", F.col("t1_date").cast("string").alias("t1_date"), "t2_tile_id", F.col("t2_date").cast("string").alias("t2_date"))
