@@ -8,6 +8,7 @@ from orbitloom.functions import querytext as Q, vector as V
 from orbitloom.operators import embedding as E, knn, pruned, quantised, rerank as R
 from orbitloom.operators.ranking import one_row
 from orbitloom.plans import search as P
+from orbitloom.session import materialize
 
 from . import duck_views as dv, views as v
 from .registry import query
@@ -240,3 +241,43 @@ def stored_vectors(spark, d):
     S.save_vectors(v.tiles(spark, d), path)
     loaded = S.load_vectors(spark, path).select("tile_id", F.posexplode("embedding").alias("slot", "value"))
     return loaded.select("tile_id", "slot", (F.round(F.col("value").cast("double"), 5) + 0.0).alias("value"))
+
+
+# ---- vocabularies as dictionary tables
+
+@query("J7 Q4", "SELECT query_id, location FROM v_parsed")
+def dictionary_regions(spark, d):
+    """The gazetteer as a table: the same places as by one pattern per name."""
+    from orbitloom import vocab
+    from orbitloom.operators.dictionary import first_entry
+
+    regions = spark.createDataFrame([(r[0], i) for i, r in enumerate(vocab.REGIONS)], "name string, place int")
+    texts = v.queries(spark, d).select("query_id", F.lower(Q.clean(F.col("text"))).alias("low"))
+    return first_entry(texts, "low", regions, "name", "place").select("query_id", F.initcap("entry").alias("location"))
+
+
+@query("J8 K1", "SELECT cleaned_prompt, domains FROM v_prompt_domains")
+def dictionary_domains(spark, d):
+    """Domain keywords as a table: the bits of all domains whose keywords a prompt holds."""
+    from orbitloom import vocab
+    from orbitloom.operators.dictionary import labels_of
+
+    words = spark.createDataFrame([(w, 1 << i) for i, x in enumerate(vocab.DOMAINS) for w in x[1]], "word string, bit int")
+    parsed = Q.parse_queries(v.queries(spark, d)).select("cleaned_prompt").distinct()
+    prompts = materialize(parsed.withColumn("low", F.lower("cleaned_prompt")), "prompts")
+    bits = labels_of(prompts, "low", words, "word", "bit").groupBy(F.col("text").alias("low")).agg(F.sum("label").cast("int").alias("domains"))
+    return prompts.join(bits, "low", "left").select("cleaned_prompt", F.coalesce("domains", F.lit(0)).alias("domains"))
+
+
+@query("J7", """
+WITH words AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]{5,}')) AS entry FROM benchmark)
+SELECT doc_id, count(entry) AS held, coalesce(sum(length(entry)), 0)::BIGINT AS letters FROM documents LEFT JOIN words ON contains(lower(text), entry) GROUP BY 1""")
+def benchmark_words_in_documents(spark, d):
+    """A dictionary drawn from one table, looked up in all texts of another."""
+    from orbitloom.operators.dictionary import found_entries
+
+    words = v.table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]{5,}"), F.lit(0))).alias("entry"))
+    docs = v.table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    hits = found_entries(docs, "low", words, "entry").groupBy("text").agg(F.count("*").alias("held"), F.sum(F.char_length("entry")).alias("letters"))
+    return docs.join(hits, docs["low"] == hits["text"], "left").select(
+        "doc_id", F.coalesce("held", F.lit(0)).alias("held"), F.coalesce("letters", F.lit(0)).cast("long").alias("letters"))
