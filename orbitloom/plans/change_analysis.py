@@ -4,9 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
+from functools import reduce
+
+from .. import vocab
 from ..functions import spectral as S
 from ..functions.common import key_id
 from ..operators import change as C, morphology as M, raster as R
+from ..operators.ranking import date_ordered
+from ..session import materialize
 
 
 def matched_difference(t1: DataFrame, t2: DataFrame) -> DataFrame:
@@ -67,6 +72,59 @@ def analyze_pairs(pairs: DataFrame, t1: DataFrame, t2: DataFrame) -> DataFrame:
     )
 
 
+def change_shares(pairs: DataFrame, pixels: DataFrame) -> DataFrame:
+    """`pairs` (pair_id, t1_tile_id, t2_tile_id, ...) with `change_pct`, the cleaned change between both images in per cent (two
+    decimals); null without common pixels.  `pixels` is keyed by tile_id."""
+    image = lambda t: pixels.join(pairs.select("pair_id", F.col(t).alias("tile_id")), "tile_id").drop("tile_id")
+    both = matched_difference(image("t1_tile_id"), image("t2_tile_id"))
+    share = F.round(F.col("change_pixels") / F.col("total_pixels") * 100, 2).alias("change_pct")
+    return pairs.join(pair_facts(both, final_mask(both)).select("pair_id", share), "pair_id", "left")
+
+
+def earliest_supported_pixels(observations: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(site, observations, compared, run_length, earliest_supported): how far back the images of a site differ from its latest one.
+
+    `observations`: site, obs_id (unique), tile_id, date; undated ones are left out.  `pixels`: tile_id, row, col and the bands; an
+    observation without pixels is passed over.  The walk goes back from the latest observation (by date, then obs_id) and stops at the first
+    image that has at most the threshold of changed pixels, or none in common with the latest.  The date is null with
+    fewer than two observations or if the latest one has no image.
+
+    Images are compared in rounds of 1, 2, 4, ... further steps back, only for sites whose compared images all differ.  So a
+    site costs at most about twice the comparisons that its walk needs, and a history of n images takes log2(n) rounds,
+    each a written table.
+    """
+    dated = observations.where("date IS NOT NULL AND site IS NOT NULL").select("site", "obs_id", "tile_id", "date")
+    latest = dated.groupBy("site").agg(F.count("*").alias("observations"), F.max(F.struct("date", "obs_id", "tile_id")).alias("_last"))
+    latest = materialize(latest, "latest")
+    imaged = dated.join(pixels.select("tile_id").distinct(), "tile_id", "left_semi")
+    lines = materialize(date_ordered(imaged, ["site"], "date", [F.col("obs_id")]), "lines")
+    sizes = lines.groupBy("site").agg(F.count("*").alias("_images"))
+    newest = lines.join(sizes, "site").where("position = _images").select("site", "obs_id", "_images")
+    usable = latest.join(newest, "site").where("obs_id = _last.obs_id AND observations >= 2").select("site", "_last", "_images")
+    steps = materialize(lines.join(usable, "site").where("position < _images").select(
+        "site", "obs_id", "date", (F.col("_images") - F.col("position")).alias("back"), F.col("tile_id").alias("t1_tile_id"),
+        F.col("_last.tile_id").alias("t2_tile_id"), F.sha2(F.concat_ws("|", "site", "obs_id"), 256).alias("pair_id")), "steps")
+
+    differs = F.coalesce(F.col("change_pct") > vocab.SUPPORTED_CHANGE_PCT, F.lit(False))
+    walking, rounds, first, width = None, [steps.limit(0).withColumn("change_pct", F.lit(None).cast("double"))], 1, 1
+    while True:
+        front = steps.where(F.col("back").between(first, first + width - 1))
+        front = front if walking is None else front.join(walking, "site", "left_semi")
+        if front.isEmpty():
+            break
+        shares = materialize(change_shares(front, pixels), "shares")
+        rounds.append(shares)
+        walking = shares.groupBy("site").agg(F.min(differs).alias("_all")).where("_all").select("site")
+        first, width = first + width, width * 2
+    seen = reduce(DataFrame.unionByName, rounds)
+    stops = seen.groupBy("site").agg(F.count("*").alias("compared"), F.min(F.when(~differs, F.col("back"))).alias("_stop"))
+    run = seen.join(stops, "site").where("_stop IS NULL OR back < _stop").groupBy("site").agg(F.count("*").alias("run_length"), F.min("date").alias("_first"))
+    found = latest.join(stops, "site", "left").join(run, "site", "left").join(usable.select("site", F.lit(True).alias("_usable")), "site", "left")
+    none = lambda c: F.coalesce(c, F.lit(0)).alias(c)
+    return found.select("site", "observations", none("compared"), none("run_length"),
+                        F.when(F.col("_usable"), F.coalesce("_first", F.col("_last.date"))).alias("earliest_supported"))
+
+
 def with_dates(pairs: DataFrame, tiles: DataFrame, scenes: DataFrame) -> DataFrame:
     """Pairs (t1_tile_id, t2_tile_id, t1_date, t2_date) with missing dates taken from the tiles' scenes; a date that is
     given stays, and a tile or scene that is not known leaves its date null."""

@@ -327,3 +327,33 @@ def clear_tiles(spark, d):
     from orbitloom.operators.filters import metadata_filter
 
     return metadata_filter(R.quality(v.pixels(spark, d), ["tile_id"]), max_cloud=4.0).select("tile_id", "cloud_fraction")
+
+
+# ---- how far back the images of a site differ from its latest one
+
+_SIGHTS = """
+sights AS (SELECT DISTINCT tile // 6 AS site, tile_id || '_a' AS obs_id, DATE '2024-01-01' + tile * 9 AS date FROM v_pixels
+  UNION ALL SELECT DISTINCT tile // 6, tile_id || '_b', DATE '2024-01-01' + (tile * 9 + 5) FROM v_pixels_t2 WHERE tile % 6 = 4),
+shots AS (SELECT * REPLACE (tile_id || '_a' AS tile_id) FROM v_pixels WHERE tile % 5 <> 2 UNION ALL SELECT * REPLACE (tile_id || '_b' AS tile_id) FROM v_pixels_t2 WHERE tile % 6 = 4),
+line AS (SELECT *, row_number() OVER (PARTITION BY site ORDER BY date DESC, obs_id DESC) AS back, count(*) OVER (PARTITION BY site) AS n FROM sights),
+last AS (SELECT site, obs_id AS ref, date AS last_date, n, obs_id IN (SELECT tile_id FROM shots) AS last_image FROM line WHERE back = 1),
+matched AS (SELECT l.obs_id AS pair_id, l.site, l.date, l.back, r.ref FROM line l JOIN last r ON l.site = r.site WHERE l.back > 1 AND r.last_image AND l.obs_id IN (SELECT tile_id FROM shots))"""
+_SHOT_PAIRS = "SELECT m.pair_id, a.tile, a.row, a.col, " + ", ".join(f"a.{b} AS {b}1, b.{b} AS {b}2" for b in _BANDS) + \
+    " FROM matched m JOIN shots a ON a.tile_id = m.pair_id JOIN shots b ON b.tile_id = m.ref AND a.row = b.row AND a.col = b.col"
+
+
+@query("W3 C12", f"""WITH RECURSIVE {_SIGHTS}, {_FACTS.replace(_PAIRS, _SHOT_PAIRS)},
+walk AS (SELECT m.site, m.date, min(CASE WHEN round(100.0::DOUBLE * change_pixels / total_pixels, 2) > 2.0 THEN 1 ELSE 0 END) OVER (PARTITION BY m.site ORDER BY m.back ROWS UNBOUNDED PRECEDING) AS still
+  FROM matched m LEFT JOIN facts USING (pair_id))
+SELECT l.site, l.n AS observations, count(w.date) FILTER (w.still = 1) AS run_length,
+  CASE WHEN l.n >= 2 AND l.last_image THEN coalesce(min(w.date) FILTER (w.still = 1), l.last_date)::DATE::VARCHAR END AS earliest_supported
+FROM last l LEFT JOIN walk w ON l.site = w.site GROUP BY l.site, l.n, l.last_image, l.last_date""")
+def earliest_supported_pixels(spark, d):
+    """Six tiles are the dates of one site; one in five has no image, and a later image of the fifth tile is one more date."""
+    old, new = v.pixels(spark, d), v.pixels_t2(spark, d).where("tile % 6 = 4")
+    sight = lambda px, end, days: px.select("tile", "tile_id").distinct().select(
+        F.floor(F.col("tile") / 6).alias("site"), F.concat("tile_id", F.lit(end)).alias("obs_id"), F.concat("tile_id", F.lit(end)).alias("tile_id"),
+        F.date_add(F.lit("2024-01-01").cast("date"), F.col("tile") * 9 + days).alias("date"))
+    shot = lambda px, end: px.withColumn("tile_id", F.concat("tile_id", F.lit(end)))
+    out = P.earliest_supported_pixels(sight(old, "_a", 0).unionByName(sight(new, "_b", 5)), shot(old.where("tile % 5 <> 2"), "_a").unionByName(shot(new, "_b")))
+    return out.select("site", "observations", "run_length", F.col("earliest_supported").cast("string").alias("earliest_supported"))
